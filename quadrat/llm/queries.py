@@ -23,6 +23,12 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids", F.expr("decoded <=> text").alias("lossless"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, times=100, by=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, train
 
@@ -46,5 +52,20 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op5_language_id, op7_token_counts, op10_sentence_spans)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op5_language_id, op7_token_counts, op10_sentence_spans)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+""",
+}
