@@ -85,7 +85,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     every = spans(docs, id_col, text_col, least_words, longest)
     # One row for each repeated span; occurrences are combined before the shuffle, so a hot passage is one row a task.
-    repeated = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("lead"), F.max(F.struct("id", "at")).alias("last")).where("lead <> last").select("h1", "h2", "lead")
+    repeated = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("lead"), F.max(F.struct("id", "at")).alias("last")).where("lead <> last")
+    # The xor hides how this side is partitioned, so it is dealt out again and a hot span's partition can be split.
+    repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "lead")
     later = every.join(repeated, ["h1", "h2"]).where("NOT (struct(id, at) <=> lead)")
     gone = later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
     keep = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
