@@ -169,50 +169,101 @@ def _neighbours(least: int):
     return batches
 
 
+def _agreeing(side: np.ndarray, comp: np.ndarray, ids: np.ndarray, sig: np.ndarray, least_equal: int):
+    """Rows of a block pair whose groups differ and whose signatures agree often enough, as index arrays, in parts."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(right)
+    right = left if same else right
+    for i in range(0, len(left), 64):
+        rows = left[i : i + 64]
+        good = ((sig[rows][:, None] == sig[right][None]).sum(2) >= least_equal) & (comp[rows][:, None] != comp[right][None])
+        if same:
+            good &= ids[rows][:, None] < ids[right][None]
+        a, b = np.nonzero(good)
+        yield rows[a], right[b]
+
+
+def _runs(it, columns: list[str]):
+    """The rows of each block pair, from batches sorted by it: its name, and the columns as arrays."""
+    held = None
+    for batch in it:
+        rows = []
+        for c in ["pair", *columns]:
+            if c == "sig":
+                rows.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POOL))
+            elif c in ("pair", "items"):
+                out = np.empty(batch.num_rows, object)
+                out[:] = batch.column(c).to_pylist()
+                rows.append(out)
+            else:
+                rows.append(np.asarray(batch.column(c)))
+        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        edges = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield held[0][lo], *(x[lo:hi] for x in held[1:])
+        held = [x[edges[-1] :] for x in held]
+    if held is not None and len(held[0]):
+        yield held[0][0], *held[1:]
+
+
 def _crossed(least_equal: int):
-    """Rows of blocks in, sorted by block pair; out: pairs of different groups whose signatures agree often enough."""
+    """Out: agreeing pairs, to be confirmed one by one; where they are many, only the block pair's name."""
 
     def batches(it):
         import pyarrow as pa
 
-        def compare(name, side, comp, ids, sig):
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            same = not len(right)
-            right = left if same else right
-            for i in range(0, len(left), 64):
-                rows = left[i : i + 64]
-                equal = (sig[rows][:, None] == sig[right][None]).sum(2)
-                good = (equal >= least_equal) & (comp[rows][:, None] != comp[right][None])
-                if same:
-                    good &= ids[rows][:, None] < ids[right][None]
-                a, b = np.nonzero(good)
-                yield np.minimum(ids[rows[a]], ids[right[b]]), np.maximum(ids[rows[a]], ids[right[b]])
+        for name, side, comp, ids, sig in _runs(it, ["side", "component", "id", "sig"]):
+            found, n = [], 0
+            for a, b in _agreeing(side, comp, ids, sig, least_equal):
+                found.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
+                n += len(a)
+                if n > 2 * len(ids):
+                    break
+            if n > 2 * len(ids):
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([name])], ["a", "b", "dense"])
+            elif n:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(n, pa.string())], ["a", "b", "dense"])
 
-        held = None
+    return batches
 
-        def emit(rows):
-            name, side, comp, ids, sig = rows
-            edges = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                for a, b in compare(*(x[lo:hi] for x in rows)):
-                    if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in it:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POOL)
-            rows = (np.array(batch.column("pair").to_pylist(), object), *(np.asarray(batch.column(c)) for c in ("side", "component", "id")), sig)
-            held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            change = np.flatnonzero(held[0][1:] != held[0][:-1])
-            if len(change):
-                end = int(change[-1]) + 1
-                yield from emit(tuple(x[:end] for x in held))
-                held = tuple(x[end:] for x in held)
-        if held is not None and len(held[0]):
-            yield from emit(held)
+def _matched(least_equal: int, times: int, by: int):
+    """Rows of block pairs with their sets in; out: links that join the groups that any links of the block pair join."""
+
+    def batches(it):
+        import pyarrow as pa
+
+        for _, side, comp, ids, sig, items in _runs(it, ["side", "component", "id", "sig", "items"]):
+            sets = [np.frombuffer(x, np.uint64) for x in items]
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                return x
+
+            out = []
+            for a, b in _agreeing(side, comp, ids, sig, least_equal):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    x, y = find(int(comp[i])), find(int(comp[j]))
+                    if x != y and _linked(sets[i], sets[j], times, by):
+                        root[x] = y
+                        out.append((int(ids[i]), int(ids[j])))
+            if out:
+                yield pa.record_batch([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], ["u", "v"])
 
     return batches
 
 
+def _linked(x: np.ndarray, y: np.ndarray, times: int, by: int) -> bool:
+    """times * |intersection| >= by * |union| of two sorted sets."""
+    if times * min(len(x), len(y)) < by * max(len(x), len(y)) or not len(y):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return times * shared >= by * (len(x) + len(y) - shared)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, items): the sorted shingle hashes of the documents in ids."""
 
@@ -237,13 +288,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, times: int, by: int) -> DataFr
             keep = []
             a, b = batch.column("ia"), batch.column("ib")
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                # sizes decide most pairs that fail
-                if times * min(len(x), len(y)) < by * max(len(x), len(y)):
-                    continue
-                both = np.searchsorted(y, x)
-                shared = int((y[np.minimum(both, len(y) - 1)] == x).sum()) if len(y) else 0
-                if times * shared >= by * (len(x) + len(y) - shared):
+                if _linked(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b)), times, by):
                     keep.append(i)
             yield pa.record_batch([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], ["u", "v"])
 
@@ -283,18 +328,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = in_region.join(mixed.select("tree", "region", blocks.alias("blocks")), ["tree", "region"]).join(classes.select("id", "sig"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     low, high = F.least("own", "with"), F.greatest("own", "with")
-    crossed = (
+    crossed = settle(
         dealt.withColumn("own", own)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.concat_ws(":", "tree", "region", low, high).alias("pair"), F.when(F.col("own") == low, 0).otherwise(1).cast("int").alias("side"), "component", "id", "sig")
-        .repartition(parts, "pair")
-        .sortWithinPartitions("pair")
     )
     # Agreements of POOL that a linked pair falls short of about once in 5000.
     share = by / times
     least_equal = int(POOL * share - 3.5 * (POOL * share * (1 - share)) ** 0.5)
-    more = crossed.mapInArrow(_crossed(least_equal), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = settle(links.unionByName(_confirmed(settle(more), sets, times, by)))
+    found = settle(crossed.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_crossed(least_equal), "a long, b long, dense string"))
+    few = found.where("a IS NOT NULL").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    # Where agreeing pairs outnumber the rows, the rows go to the pairs' task with their sets instead.
+    dense = crossed.join(found.where("dense IS NOT NULL").select(F.col("dense").alias("pair")).distinct(), "pair").join(sets, "id")
+    dense = dense.select("pair", "side", "component", "id", "sig", "items").repartition(parts, "pair").sortWithinPartitions("pair")
+    links = settle(links.unionByName(_confirmed(settle(few), sets, times, by)).unionByName(dense.mapInArrow(_matched(least_equal, times, by), "u long, v long")))
     groups = components(links)
     named = classes.join(groups, classes.id == groups.node, "left").select("print", F.coalesce("component", "id").alias("component_id"))
     known = described.join(named, "print", "left")

@@ -36,7 +36,7 @@ LONG = 400
 class Encoder:
     """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, most_parts: int = 600_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, most_parts: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -195,7 +195,7 @@ class Encoder:
         while i < len(order):
             longest = sizes[order[i]]
             # parts of like length together, and a bounded matrix
-            j = min(int(np.searchsorted(sizes[order], longest + max(2, longest // 4), "right")), i + max(1, (1 << 21) // (int(longest) * 5 // 4 + 4)))
+            j = min(int(np.searchsorted(sizes[order], longest + max(2, longest // 4), "right")), i + max(1, (1 << 19) // (int(longest) * 5 // 4 + 4)))
             pick = order[i:j]
             if longest > LONG:
                 pick = order[i : i + 1]
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, var
 
         own = encoder(model, dropout, seed, variants)
         for batch in it:
-            for part in pieces(batch, column="__text"):
+            for part in pieces(batch, 1 << 20, "__text"):
                 texts = part.column("__text").to_pylist()
                 turns = np.asarray(part.column("__turn")).astype(np.int64) & 0xFFFF
                 ids, number = own.encode([t or "" for t in texts], turns)
