@@ -45,6 +45,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses", "n_passages", "dice")
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_spans import remove_repeats
 
@@ -52,8 +65,40 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op5_language_id, op7_token_counts, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op5_language_id, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans)}
+def _templates_sql() -> str:
+    from .licenses import TEMPLATES
+
+    return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in TEMPLATES)
+
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_winnowing": f"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM (SELECT *, least(13, len(w)) AS k FROM iw WHERE len(w) > 0))),
+dg AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT rid, i, k, item_id FROM dg JOIN win USING (k, g)),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+""",
+    "op9_license_scan": f"""
+WITH t AS (SELECT row_number() OVER () AS tid, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT name, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM (VALUES {_templates_sql()}) v(name, text))),
+u AS (SELECT DISTINCT rid, doc_id, unit FROM (SELECT rid, doc_id, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit
+  FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents))),
+s AS (SELECT rid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT rid, unit, regexp_extract_all({_LOWER.format("unit")}, '[a-z0-9]+') AS w FROM u)),
+p AS (SELECT rid, unit, name, len(list_intersect(s.b, t.b)) AS c, len(s.b) + len(t.b) AS n FROM s JOIN t ON 80 * (len(s.b) + len(t.b)) <= 200 * least(len(s.b), len(t.b)) WHERE len(s.b) > 0),
+m AS (SELECT * FROM p WHERE 200 * c >= 80 * n),
+g AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT unit) AS n_passages, max(200 * c // n)::BIGINT AS dice FROM m GROUP BY rid)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_passages, 0) AS n_passages, coalesce(dice, 0) AS dice
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN g USING (rid)
+""",
     "op2_near_duplicates": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
