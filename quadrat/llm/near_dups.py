@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_bytes, components, keyed, mix64, pieces, settle, span_hashes, words_of
 
-POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 128
+POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 512
 _MULTIPLY, _ADD = keyed(21, POOL) | np.uint64(1), keyed(22, POOL)
 ORDERS = np.argsort(keyed(23, TREES * POOL).reshape(TREES, POOL), 1)[:, :DEPTH]
 
@@ -325,21 +325,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_region = found.where("region IS NOT NULL").select("tree", "region", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = in_region.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = in_region.join(mixed.select("tree", "region", blocks.alias("blocks")), ["tree", "region"]).join(classes.select("id", "sig"), "id")
+    dealt = in_region.join(mixed.select("tree", "region", blocks.alias("blocks")), ["tree", "region"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     low, high = F.least("own", "with"), F.greatest("own", "with")
     crossed = settle(
         dealt.withColumn("own", own)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.concat_ws(":", "tree", "region", low, high).alias("pair"), F.when(F.col("own") == low, 0).otherwise(1).cast("int").alias("side"), "component", "id", "sig")
+        .select(F.concat_ws(":", "tree", "region", low, high).alias("pair"), F.when(F.col("own") == low, 0).otherwise(1).cast("int").alias("side"), "component", "id")
     )
     # Agreements of POOL that a linked pair falls short of about once in 5000.
     share = by / times
     least_equal = int(POOL * share - 3.5 * (POOL * share * (1 - share)) ** 0.5)
-    found = settle(crossed.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_crossed(least_equal), "a long, b long, dense string"))
+    signed = classes.select("id", "sig")
+    found = settle(crossed.join(signed, "id").repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_crossed(least_equal), "a long, b long, dense string"))
     few = found.where("a IS NOT NULL").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     # Where agreeing pairs outnumber the rows, the rows go to the pairs' task with their sets instead.
-    dense = crossed.join(found.where("dense IS NOT NULL").select(F.col("dense").alias("pair")).distinct(), "pair").join(sets, "id")
+    dense = crossed.join(found.where("dense IS NOT NULL").select(F.col("dense").alias("pair")).distinct(), "pair").join(signed, "id").join(sets, "id")
     dense = dense.select("pair", "side", "component", "id", "sig", "items").repartition(parts, "pair").sortWithinPartitions("pair")
     links = settle(links.unionByName(_confirmed(settle(few), sets, times, by)).unionByName(dense.mapInArrow(_matched(least_equal, times, by), "u long, v long")))
     groups = components(links)

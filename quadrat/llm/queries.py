@@ -29,6 +29,24 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, times=100, by=85)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import KINDS, find, joined
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    numbers = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *numbers, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+#: Fixed values of the rules: verdict, host, path.
+RULES = [("block", "com", "en/"), ("allow", "example.com", "en/7"), ("block", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, train
 
@@ -38,6 +56,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -65,7 +89,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op5_language_id, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans)}
 def _templates_sql() -> str:
     from .licenses import TEMPLATES
 
@@ -75,6 +99,14 @@ def _templates_sql() -> str:
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_cover_tree": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = vec_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = vec_id
+""",
     "op8_winnowing": f"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),

@@ -29,9 +29,19 @@ def _grams(hashes: str, size: int) -> str:
     return f"CASE WHEN size({hashes}) >= {size} THEN transform(sequence(1, size({hashes}) - {size - 1}), i -> xxhash64(slice({hashes}, i, {size}))) ELSE cast(array() AS array<bigint>) END"
 
 
-def _minima(grams: str) -> str:
-    span = WINDOW - GRAM + 1
-    return f"CASE WHEN size({grams}) >= {span} THEN array_distinct(transform(sequence(1, size({grams}) - {span - 1}), i -> array_min(slice({grams}, i, {span})))) ELSE cast(array() AS array<bigint>) END"
+def _over_seven(rows: DataFrame, source: str, to: str, both: str) -> DataFrame:
+    """Column `to`: the fold of every seven neighbours in array `source`, by runs of two, four and seven; both: the fold of x and y."""
+    for k, (a, b) in enumerate([(source, f"{to}_2"), (f"{to}_2", f"{to}_4"), (f"{to}_4", to)], 1):
+        n = f"greatest(size({a}) - {k}, 0)"
+        rows = rows.withColumn(b, F.expr(f"CASE WHEN {a} IS NOT NULL THEN zip_with(slice({a}, 1, {n}), slice({a}, {k + 1}, {n}), (x, y) -> {both}) END"))
+    return rows.drop(f"{to}_2", f"{to}_4")
+
+
+def _fingerprints(rows: DataFrame, hashes: str, grams: str, to: str) -> DataFrame:
+    """Columns `grams`, a hash of every GRAM words, and `to`, their distinct minima over every WINDOW words."""
+    assert GRAM == WINDOW - GRAM + 1 == 7
+    rows = _over_seven(rows, hashes, grams, "xxhash64(x, y)")
+    return _over_seven(rows, grams, to, "least(x, y)").withColumn(to, F.array_distinct(to))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -47,15 +57,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("ih", F.expr("transform(iw, x -> xxhash64(x))"))
     # At most WINDOW - 1 numbers.
     short = sorted(r[0] for r in items.where(F.size("iw") < WINDOW).select(F.size("iw")).distinct().collect())
-    items = items.withColumn("ig", F.expr(_grams("ih", GRAM)))
-    marks = items.withColumn("fp", F.expr(f"CASE WHEN size(iw) < {WINDOW} THEN array(xxhash64(ih)) ELSE {_minima('ig')} END"))
+    items = _fingerprints(items, "ih", "ig", "ip")
+    marks = items.withColumn("fp", F.expr(f"CASE WHEN size(iw) < {WINDOW} THEN array(xxhash64(ih)) ELSE ip END"))
     places = "CASE WHEN size(iw) < {w} THEN array(1) ELSE filter(sequence(1, size(ig)), i -> ig[i - 1] = fp1) END"
-    marks = marks.select("item", "iw", "ig", F.explode("fp").alias("fp1")).select("fp1", "item", "iw", F.expr(places.format(w=WINDOW)).alias("at"))
+    marks = marks.select("item", "iw", "ig", F.explode_outer("fp").alias("fp1")).select("fp1", "item", "iw", F.expr(places.format(w=WINDOW)).alias("at"))
     marks = marks.select("fp1", F.struct("item", F.expr(f"least({WINDOW}, size(iw))").alias("w"), "iw", "at").alias("mark"))
 
-    body = docs.select(F.col(id_col).alias("__id"), words(text_col).alias("dw")).select("__id", F.expr("transform(dw, x -> xxhash64(x))").alias("dh")).select("__id", "dh", F.expr(_grams("dh", GRAM)).alias("dg"))
-    prints = [_minima("dg"), *(_grams("dh", n) for n in short)]
-    found = body.select("__id", F.explode(F.expr(f"array_distinct(concat({', '.join(prints)}))")).alias("fp1"))
+    body = docs.select(F.col(id_col).alias("__id"), words(text_col).alias("dw")).select("__id", F.expr("transform(dw, x -> xxhash64(x))").alias("dh"))
+    prints = ["dp", *(_grams("dh", n) for n in short)]
+    # Not explode: Spark would put a filter on the array below all its steps, and compute them twice.
+    found = _fingerprints(body, "dh", "dg", "dp").select("__id", F.explode_outer(F.expr(f"array_distinct(concat({', '.join(prints)}))")).alias("fp1"))
     known = marks.select("fp1").distinct()
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
@@ -68,10 +79,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = rows.join(hits, F.col("__own").eqNullSafe(F.col("__id")), "left").select("__row", "hits", words("__text").alias("dw"))
     some = "hits IS NULL"
     rows = rows.withColumn("dh", F.expr(f"CASE WHEN {some} THEN NULL ELSE transform(dw, x -> xxhash64(x)) END"))
-    rows = rows.withColumn("grams", F.expr(f"CASE WHEN {some} THEN NULL ELSE map({', '.join(f'{n}, {_grams("dh", n)}' for n in [GRAM, *(n for n in short if n != GRAM)])}) END"))
+    rows = _over_seven(rows, "dh", "dg", "xxhash64(x, y)")
+    sizes = [f"{WINDOW}, dg", *(f"{n}, {_grams('dh', n)}" for n in short)]
+    rows = rows.withColumn("grams", F.expr(f"CASE WHEN {some} THEN NULL ELSE map({', '.join(sizes)}) END"))
     # Where an item may lie: the document's place before the item's first word.
     lays = f"""transform(hits, h -> struct(h.item AS item, h.w AS w, h.iw AS iw, array_distinct(flatten(flatten(transform(h.fps, f ->
-        transform(filter(sequence(1, size(grams[CASE WHEN h.w < {WINDOW} THEN h.w ELSE {GRAM} END])), p -> grams[CASE WHEN h.w < {WINDOW} THEN h.w ELSE {GRAM} END][p - 1] = f.fp1), p -> transform(f.at, q -> p - q)))))) AS lay))"""
+        transform(filter(CASE WHEN size(grams[h.w]) > 0 THEN sequence(1, size(grams[h.w])) ELSE cast(array() AS array<int>) END, p -> grams[h.w][p - 1] = f.fp1), p -> transform(f.at, q -> p - q)))))) AS lay))"""
     # Of each lay, the item's windows that occur; as the document's places where they start.
     starts = f"""transform(({lays}), h -> struct(h.item AS item, h.w AS w, array_distinct(flatten(transform(h.lay, d ->
         transform(filter(sequence(1, size(h.iw) - h.w + 1), j -> CASE WHEN d + j >= 1 AND d + j + h.w - 1 <= size(dw) THEN slice(h.iw, j, h.w) = slice(dw, d + j, h.w) ELSE false END), j -> d + j)))) AS starts))"""
