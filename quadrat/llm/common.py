@@ -32,6 +32,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few bytes, up to which a table that has been counted is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A settled table of ids, to be broadcast if its count allows; else joins shuffle it."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def sealed(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the columns `names` last, made once: a later filter on them stays above the steps that made them.
+
+    Spark would otherwise write those steps out in the filter, each as often as it is used by the next.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    out = df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("__made"))
+    return out.select(*rest, *[F.col("__made")[c].alias(c) for c in names])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sealed
 from .winnowing import SMALL, UPPER
 
 #: Usual notices of public licences, by their short names.
@@ -59,9 +60,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least_pe
     bounds = f"{least_percent} * (size(b) + size(t.b)) <= 200 * least(size(b), size(t.b))"
     rows = rows.withColumn("__met", F.expr(f"filter(transform(__sets, b -> transform(filter(__told, t -> {bounds}), t -> struct(t.name AS name, size(array_intersect(b, t.b)) AS shared, size(b) + size(t.b) AS both))), m -> size(m) > 0)"))
     rows = rows.withColumn("__met", F.expr(f"filter(transform(__met, m -> filter(m, x -> 200 * x.shared >= {least_percent} * x.both)), m -> size(m) > 0)"))
-    return rows.select(
+    out = rows.select(
         *[F.col("__row")[c].alias(c) for c in keep],
         F.expr("array_join(array_sort(array_distinct(transform(flatten(__met), x -> x.name))), ',')").alias("licenses"),
         F.expr("cast(size(__met) AS bigint)").alias("n_passages"),
         F.expr("cast(coalesce(array_max(transform(flatten(__met), x -> 200 * x.shared div x.both)), 0) AS bigint)").alias("dice"),
     )
+    return sealed(out, list(new))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_bytes, components, keyed, mix64, pieces, settle, span_hashes, words_of
+from .common import LOWER, arrow_bytes, bounded, components, keyed, mix64, pieces, settle, span_hashes, words_of
 
 POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 512
 _MULTIPLY, _ADD = keyed(21, POOL) | np.uint64(1), keyed(22, POOL)
@@ -275,7 +275,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 value, at = shingles(*arrow_bytes(part.column("text")), shingle)
                 yield pa.record_batch([part.column("id"), pa.array([value[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "items"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(batches, "id long, items binary")
+    return docs.join(bounded(ids), "id", "left_semi").mapInArrow(batches, "id long, items binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, times: int, by: int) -> DataFrame:

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sealed
+
 #: Kinds in their order, and their patterns. Possessive forms match the same as the greedy ones but
 #: take linear time; the look-behind skips starts inside a run, which fail where the run's own start fails.
 KINDS = ("email", "ip", "card", "phone")
@@ -220,11 +222,12 @@ def find(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
     taken = F.array(*map(F.lit, good)) if good else F.expr("cast(array() AS array<string>)")
     rows = rows.withColumn("taken", taken)
     spans = [f"array_sort(concat({named(k, f'base_{k}')}, {named(k, f'filter(wide_{k}, w -> array_contains(taken, concat(\'{k}\', w.votes)))')}))" for k in KINDS]
-    return rows.select(
+    out = rows.select(
         *[F.col("__row")[c].alias(c) for c in keep],
         F.expr(f"concat({', '.join(f'array_sort({named(k, f"base_{k}")})' for k in KINDS)})").alias("base"),
         F.expr(f"concat({', '.join(spans)})").alias("spans"),
     )
+    return sealed(out, ["base", "spans"])
 
 
 def joined(spans: str) -> F.Column:

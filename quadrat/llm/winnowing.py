@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sealed
+
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 7
@@ -96,4 +98,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.expr(f"CASE WHEN met IS NULL THEN 0L ELSE cast({covered} AS bigint) END").alias("n_hit"),
         F.expr("coalesce(array_sort(array_distinct(transform(met, h -> h.item))), cast(array() AS array<string>))").alias("items"),
     )
-    return out.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"))
+    out = sealed(out, ["n_words", "n_hit", "items"])
+    return out.select(*[f"`{c}`" for c in keep], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"))
