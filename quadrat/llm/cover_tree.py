@@ -8,6 +8,9 @@ cell of many classes is dealt out in blocks, each with a covering radius of its
 remains, a task builds the lower levels of both (halving radii again) and traverses the two trees against each other;
 only pairs of leaves that no bound separates are compared, in double precision, by the cosines themselves.
 
+A node whose points would need a net of more than a sixteenth of them is left whole: in many dimensions, points without
+clusters are nearly all apart, no bound separates them, and their block is compared outright.
+
 A task returns for each class the weight of its links and enough edges to join what its links join, so rows grow with classes, not with links.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, settle
 
-SAMPLE, BLOCK, LEAF = 2000, 2000, 24
+SAMPLE, BLOCK, LEAF = 2000, 4000, 24
 
 
 def cover(points: np.ndarray, least_radius: float, leaf: int) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -42,7 +45,7 @@ def cover(points: np.ndarray, least_radius: float, leaf: int) -> list[list[tuple
             to = np.zeros(len(own), np.int64)
             net: list[int] = []
             at = int(np.flatnonzero(own == c)[0])  # nested: the centre stays a centre
-            while True:
+            while len(net) <= max(8, len(own) // 16):
                 d = distance(points[left], points[own[at]][None])[:, 0]
                 closer = d < near
                 near[closer], to[closer] = d[closer], len(net)
@@ -50,6 +53,9 @@ def cover(points: np.ndarray, least_radius: float, leaf: int) -> list[list[tuple
                 at = int(near.argmax())
                 if near[at] <= radius:
                     break
+            else:  # a net of so many centres doesn't pay: the points are nearly all apart
+                centres.append(c), members.append(own), parents.append(k)
+                continue
             for j, c2 in enumerate(net):
                 centres.append(c2), members.append(own[to == j]), parents.append(k)
         levels.append((centres, members, parents))
@@ -136,17 +142,20 @@ def _compared(cosine: float, dims: int):
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             p = ma[i[order[lo]]]
             q = np.concatenate([mb[k] for k in j[order[lo:hi]]])
-            near = xa[p] @ xb[q].T >= cosine
-            if same:
-                near &= a[p][:, None] != b[q][None]
-            u, v = np.nonzero(near)
-            np.add.at(total, a[p[u]], weight[b[q[v]]])
-            if not same:
-                np.add.at(total, b[q[v]], weight[a[p[u]]])
-            for s, t in zip(a[p[u]].tolist(), b[q[v]].tolist(), strict=True):
-                s, t = find(s), find(t)
-                if s != t:
-                    root[max(s, t)] = min(s, t)
+            for k in range(0, len(p), 500):
+                own = p[k : k + 500]
+                near = xa[own] @ xb[q].T >= cosine
+                if same:
+                    near &= a[own][:, None] != b[q][None]
+                u, v = np.nonzero(near)
+                u, v = a[own[u]], b[q[v]]
+                np.add.at(total, u, weight[v])
+                if not same:
+                    np.add.at(total, v, weight[u])
+                for s, t in zip(u.tolist(), v.tolist(), strict=True):
+                    s, t = find(s), find(t)
+                    if s != t:
+                        root[max(s, t)] = min(s, t)
         to = np.array([find(k) for k in range(len(ids))])
         some = np.flatnonzero((total > 0) | (to != np.arange(len(ids))))
         return ids[some], total[some], ids[to[some]]
@@ -229,7 +238,8 @@ def _linked(spark, classes: DataFrame, dims: int, cosine: float) -> DataFrame:
     most = math.sqrt(max(2 - 2 * cosine, 0))
     sample = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE).collect()
     points = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(-1, dims)
-    upper = cover(points, most / 2, LEAF)
+    # Cells of about a block; where the sample has no clusters, the tree stays shallow and blocks do the dealing.
+    upper = cover(points, most / 2, max(LEAF, SAMPLE * BLOCK // max(classes.count(), 1)))
     centres = points[upper[-1][0]]
     placed = settle(classes.mapInArrow(_cells(centres), "id long, weight long, unit binary, cell int, far double"))
     # At most SAMPLE cells; a large one is dealt out in blocks by hash.
