@@ -160,7 +160,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = ASCII_WS
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def pieces(batch, most_bytes: int = 4 << 20, column: str = "text"):
+def pieces(batch, most_bytes: int = 2 << 20, column: str = "text"):
     """Slices of an Arrow batch whose texts have about most_bytes together; one long text is a slice of its own."""
     import pyarrow.compute as pc
 

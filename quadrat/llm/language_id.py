@@ -120,8 +120,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         total, number = np.zeros(1 << BITS, np.int64), 0
         for batch in it:
             for part in pieces(batch, 1 << 20):
-                for i in range(0, part.num_rows, 256):
-                    found = frequencies(part.slice(i, 256).column("text").to_pylist())
+                for i in range(0, part.num_rows, 64):
+                    found = frequencies(part.slice(i, 64).column("text").to_pylist())
                     total += (found > 0).sum(0)
                     number += len(found)
         some = np.flatnonzero(total)
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
         import pyarrow as pa
 
         for batch in it:
-            for part in pieces(batch, column="__text"):
+            for part in pieces(batch, 1 << 20, "__text"):
                 langs, scores = model.predict([t or "" for t in part.column("__text").to_pylist()])
                 yield pa.record_batch([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores)], ["__row", "__lang", "__score"])
 

@@ -36,7 +36,7 @@ LONG = 400
 class Encoder:
     """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, most_parts: int = 300_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, most_parts: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
