@@ -142,12 +142,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 part = batch.slice(i, 64)
                 found = frequencies(part.column("text").to_pylist())
                 some = [np.flatnonzero(f) for f in found]
-                yield pa.record_batch([part.column("lang"), pa.array([x.astype(np.int16) for x in some], pa.list_(pa.int16())), pa.array([(f[x] / f.sum()).astype(np.float32) for f, x in zip(found, some, strict=True)], pa.list_(pa.float32()))], ["lang", "bins", "shares"])
+                yield pa.record_batch([part.column("mark"), part.column("lang"), pa.array([x.astype(np.int16) for x in some], pa.list_(pa.int16())), pa.array([(f[x] / f.sum()).astype(np.float32) for f, x in zip(found, some, strict=True)], pa.list_(pa.float32()))], ["mark", "lang", "bins", "shares"])
 
     # The hashes alone are sorted, then the rows up to the last of them are read: no text is shuffled.
     mark = F.xxhash64("id", "text")
     last = rows.select(mark.alias("mark")).orderBy("mark").limit(most_rows).agg(F.max("mark")).first()[0]
-    sample = rows.where(mark <= F.lit(last)).mapInArrow(shares, "lang string, bins array<short>, shares array<float>").limit(most_rows).toArrow()
+    found = rows.withColumn("mark", mark).where(F.col("mark") <= F.lit(last)).mapInArrow(shares, "mark long, lang string, bins array<short>, shares array<float>")
+    sample = found.limit(most_rows).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     label = np.array([langs.index(x) for x in sample.column("lang").to_pylist()], np.int64)
     xs = []
