@@ -27,8 +27,10 @@ def _rounded(r, digits: int = 6) -> DataFrame:
 
 
 def within_oneway(spark, d):
-    out = within(_lines(spark, d), [Y, "l_quantity"], "l_partkey")
-    return out.select("l_orderkey", "l_linenumber", F.round(f"{Y}_tilde", 1).alias("price_within"), F.round("l_quantity_tilde", 3).alias("quantity_within"))
+    rows = _lines(spark, d)
+    spread = rows.agg(*[F.stddev(c) for c in (Y, "l_quantity")]).first()
+    out = within(rows, [Y, "l_quantity"], "l_partkey")
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col(f"{Y}_tilde") / spread[0], 8).alias("price_within"), F.round(F.col("l_quantity_tilde") / spread[1], 8).alias("quantity_within"))
 
 
 def fe_reg_oneway(spark, d):
@@ -119,7 +121,7 @@ def _cluster_meat(keys: str, name: str) -> str:
 _CLASSIC = ("c/det * {s}", "a/det * {s}")
 _RSS = "(SELECT sum(w*u*u) FROM e)"
 ORACLE_SQL = {
-    "within_oneway": f"SELECT l_orderkey, l_linenumber, round({Y} - avg({Y}) OVER p, 1) AS price_within, round(l_quantity - avg(l_quantity) OVER p, 3) AS quantity_within FROM lineitem WINDOW p AS (PARTITION BY l_partkey)",
+    "within_oneway": f"SELECT l_orderkey, l_linenumber, round(({Y} - avg({Y}) OVER p) / (SELECT stddev({Y}) FROM lineitem), 8) AS price_within, round((l_quantity - avg(l_quantity) OVER p) / (SELECT stddev(l_quantity) FROM lineitem), 8) AS quantity_within FROM lineitem WINDOW p AS (PARTITION BY l_partkey)",
     "fe_reg_oneway": _two(*X) + _out(*X, *(x.format(s=f"{_RSS} / (n - 2 - k)") for x in _CLASSIC)),
     "fe_reg_robust": _two(*X) + ", m AS (SELECT sum(u*u*x1*x1) AS m11, sum(u*u*x1*x2) AS m12, sum(u*u*x2*x2) AS m22 FROM e)" + _out(*X, *(x.format(f="n / (n - 2 - k)") for x in _SAND), ", m"),
     "fe_reg_cluster": _two(*X) + ", " + _cluster_meat("l_suppkey", "m") + _out(*X, *(x.format(f="gc / (gc - 1) * (n - 1) / (n - 2 - k)") for x in _SAND), ", m"),
