@@ -51,15 +51,16 @@ def absorb(df: DataFrame, columns: list[str], keys: list[str], weight: str | Non
 
 def _solve(df, columns, keys, cells, edges, suffix, tol, effects):
     import pandas as pd
+    import pyarrow as pa
 
-    tables = [c.toPandas() for c in cells]
+    tables = [c.toArrow().to_pandas() for c in cells]
     index = [pd.Index(t.iloc[:, 0]) for t in tables]
     low = np.concatenate([[0], np.cumsum([len(t) for t in tables])])
     diagonal = np.concatenate([t["w"].to_numpy(float) for t in tables])
     right = np.concatenate([t[[f"b{i}" for i in range(len(columns))]].to_numpy(float) for t in tables])
     parts = []
     for (a, b), e in edges.items():
-        e = e.toPandas()
+        e = e.toArrow().to_pandas()
         parts.append((index[a].get_indexer(e.iloc[:, 0]) + low[a], index[b].get_indexer(e.iloc[:, 1]) + low[b], e["w"].to_numpy(float)))
     r, c, v = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
@@ -90,7 +91,7 @@ def _solve(df, columns, keys, cells, edges, suffix, tol, effects):
     for d, key in enumerate(keys):
         levels = pd.DataFrame(solved[low[d] : low[d + 1]], columns=[f"__t{d}_{i}" for i in range(len(columns))])
         levels.insert(0, key, tables[d].iloc[:, 0])
-        out = out.join(df.sparkSession.createDataFrame(levels).withColumn(key, F.col(key).cast(df.schema[key].dataType)), key)
+        out = out.join(df.sparkSession.createDataFrame(pa.Table.from_pandas(levels, preserve_index=False)).withColumn(key, F.col(key).cast(df.schema[key].dataType)), key)
     whole = lambda i: sum((F.col(f"__t{d}_{i}") for d in range(len(keys))), F.lit(0.0))
     shown = [F.col(f"__t{d}_{i}").alias(f"{c}_fe{d + 1}") for i, c in enumerate(columns) for d in range(len(keys))] if effects else []
     return keep_cut(out.select(*df.columns, *[(F.col(c) - whole(i)).alias(f"{c}{suffix}") for i, c in enumerate(columns)], *shown)), {"method": "levels", "iterations": rounds}
