@@ -92,3 +92,12 @@ def splitmix64(x: int) -> int:
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
     x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
     return x ^ (x >> 31)
+
+
+def normal_tail(x: float) -> float:
+    """P(Z > x)."""
+    return math.erfc(x / math.sqrt(2)) / 2
+
+
+def normal_quantile(p: float) -> float:
+    return NormalDist().inv_cdf(p)

@@ -1,10 +1,11 @@
 """Within projection: columns less what fixed effects explain.
 
-One effect is a window. Several are solved on their levels: with D the effects' dummies, A = D'WD and B = D'WV, the
-level coefficients solve A t = B. B is one aggregation for each effect; A's off-diagonal blocks are edge tables, one
-aggregation for each pair. While levels and edges are few enough for the driver (MOST_CELLS, counted first) conjugate gradients
-solve there; beyond, rows are swept effect by effect in the cluster, with lineage cut. Either way the certificate
-measures what is left: the norm of D'W of the residual, by one aggregation for each effect.
+A term is a key, or an Effect: a key whose levels have an intercept, slopes on columns, or both. One effect of intercepts
+is a window. Otherwise terms are solved on their levels: with D their columns, A = D'WD and B = D'WV, the level
+coefficients solve A t = B. B and A's diagonal blocks are one aggregation for each term; A's other blocks are edge tables,
+one aggregation for each pair of terms. While levels and edges are few enough for the driver (MOST_CELLS, counted first)
+conjugate gradients solve there; beyond, rows are swept term by term in the cluster, with lineage cut. Either way the
+certificate measures what is left: the norm of D'W of the residual, by one aggregation for each term.
 """
 
 from __future__ import annotations
@@ -13,11 +14,29 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.formula import Effect
 from .sample import keep_cut
 
 MOST_CELLS = 20_000_000
 
 
+def as_effect(term: str | Effect) -> Effect:
+    """A term as an effect of one key column."""
+    e = Effect((term,)) if isinstance(term, str) else term
+    if len(e.keys) != 1:
+        raise ValueError(f"{e.name}: a joint key must be a column first")
+    return e
+
+
+def carriers(e: Effect) -> list:
+    """What a term's level coefficients multiply: None for the intercept, then the slope columns."""
+    return ([None] if e.intercept else []) + list(e.slopes)
+
+
+def _col(z: str | None):
+    return F.lit(1.0) if z is None else F.col(z)
+
+
 def within(df: DataFrame, columns: list[str], key: str, weight: str | None = None, suffix: str = "_tilde") -> DataFrame:
     """Columns less their (weighted) mean in each level of key."""
     by = Window.partitionBy(key)
@@ -25,47 +44,78 @@ def within(df: DataFrame, columns: list[str], key: str, weight: str | None = Non
     return df.select("*", *[(F.col(c) - mean(c)).alias(f"{c}{suffix}") for c in columns])
 
 
-def absorb(df: DataFrame, columns: list[str], keys: list[str], weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False) -> tuple[DataFrame, dict]:
+def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False) -> tuple[DataFrame, dict]:
     """The rows with <column>_tilde for each column, and how it went: method, iterations, certificate, certified.
 
-    effects: also <column>_fe1, _fe2, ... with what each effect contributes (several effects only).
+    effects: also <column>_fe1, _fe2, ... with what each term contributes, and in how["terms"] for each term a DataFrame
+    of its level coefficients: the key, then <column>_<carrier> (the carrier `const` or the slope's column).
     """
-    if not keys:
+    terms = [as_effect(k) for k in keys]
+    if not terms:
         return df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns]), {"method": "none", "iterations": 0, "certificate": 0.0, "certified": True}
-    if len(keys) == 1 and not effects:
-        return within(df, columns, keys[0], weight, suffix), {"method": "window", "iterations": 1, "certificate": 0.0, "certified": True}
+    if len(terms) == 1 and not terms[0].slopes and not effects:
+        return within(df, columns, terms[0].keys[0], weight, suffix), {"method": "window", "iterations": 1, "certificate": 0.0, "certified": True}
     w = F.col(weight) if weight else F.lit(1.0)
-    cells = [df.groupBy(k).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(f"b{i}") for i, c in enumerate(columns)]) for k in keys]
-    edges = {(a, b): df.groupBy(keys[a], keys[b]).agg(F.sum(w).alias("w")) for a in range(len(keys)) for b in range(a + 1, len(keys))}
-    number = sum(x.count() for x in [*cells, *edges.values()])
+    cells, edges = [], {}
+    for e in terms:
+        zs = carriers(e)
+        squares = [F.sum(w * _col(zs[i]) * _col(zs[j])).alias(f"g{i}_{j}") for i in range(len(zs)) for j in range(i + 1)]
+        cells.append(df.groupBy(e.keys[0]).agg(*squares, *[F.sum(w * _col(z) * F.col(c)).alias(f"b{i}_{n}") for i, z in enumerate(zs) for n, c in enumerate(columns)]))
+    for a in range(len(terms)):
+        for b in range(a + 1, len(terms)):
+            ka, kb = F.col(terms[a].keys[0]).alias("ka"), F.col(terms[b].keys[0]).alias("kb")
+            edges[a, b] = df.groupBy(ka, kb).agg(*[F.sum(w * _col(x) * _col(z)).alias(f"w{i}_{j}") for i, x in enumerate(carriers(terms[a])) for j, z in enumerate(carriers(terms[b]))])
+    number = sum(x.count() * max(len(x.columns) - 1, 1) for x in [*cells, *edges.values()])
     if number > MOST_CELLS:
-        out, told = _sweep(df, columns, keys, weight, suffix)
+        if effects:
+            raise ValueError(f"{number} cells of effects are more than the driver takes ({MOST_CELLS})")
+        out, told = _sweep(df, columns, terms, weight, suffix)
     else:
-        out, told = _solve(df, columns, keys, cells, edges, suffix, tol, effects)
-    told["certificate"] = certificate(out, [f"{c}{suffix}" for c in columns], columns, keys, weight)
+        out, told = _solve(df, columns, terms, cells, edges, suffix, tol, effects)
+    told["certificate"] = certificate(out, [f"{c}{suffix}" for c in columns], columns, terms, weight)
     told["certified"] = told["certificate"] <= 1e-8
     if not told["certified"]:
         raise RuntimeError(f"absorption left {told['certificate']:.3g}")
     return out, told
 
 
-def _solve(df, columns, keys, cells, edges, suffix, tol, effects):
+def _solve(df, columns, terms, cells, edges, suffix, tol, effects):
     import pandas as pd
     import pyarrow as pa
 
     tables = [c.toArrow().to_pandas() for c in cells]
     index = [pd.Index(t.iloc[:, 0]) for t in tables]
-    low = np.concatenate([[0], np.cumsum([len(t) for t in tables])])
-    diagonal = np.concatenate([t["w"].to_numpy(float) for t in tables])
-    right = np.concatenate([t[[f"b{i}" for i in range(len(columns))]].to_numpy(float) for t in tables])
-    parts = []
+    sizes = [(len(t), len(carriers(e))) for t, e in zip(tables, terms, strict=True)]
+    low = np.concatenate([[0], np.cumsum([n * q for n, q in sizes])])
+    grams, inverses, right = [], [], []
+    for t, (n, q) in zip(tables, sizes, strict=True):
+        g = np.zeros((n, q, q))
+        for i in range(q):
+            for j in range(i + 1):
+                g[:, i, j] = g[:, j, i] = t[f"g{i}_{j}"].to_numpy(float)
+        # scaled to a unit diagonal, so that the rank doesn't depend on the units of slopes
+        d = np.sqrt(np.einsum("nii->ni", g))
+        d = np.where(d > 0, 1 / np.where(d > 0, d, 1), 0)
+        grams.append(g)
+        inverses.append(np.linalg.pinv(g * d[:, :, None] * d[:, None, :], rcond=1e-12, hermitian=True) * d[:, :, None] * d[:, None, :] if q > 1 else (d * d)[:, :, None])
+        right.append(np.stack([t[[f"b{i}_{k}" for k in range(len(columns))]].to_numpy(float) for i in range(q)], 1).reshape(n * q, -1))
+    right = np.concatenate(right)
+    rows, cols, vals = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     for (a, b), e in edges.items():
         e = e.toArrow().to_pandas()
-        parts.append((index[a].get_indexer(e.iloc[:, 0]) + low[a], index[b].get_indexer(e.iloc[:, 1]) + low[b], e["w"].to_numpy(float)))
-    r, c, v = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        ia, ib = index[a].get_indexer(e["ka"]), index[b].get_indexer(e["kb"])
+        for i in range(sizes[a][1]):
+            for j in range(sizes[b][1]):
+                rows.append(low[a] + ia * sizes[a][1] + i)
+                cols.append(low[b] + ib * sizes[b][1] + j)
+                vals.append(e[f"w{i}_{j}"].to_numpy(float))
+    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+
+    def blocks(by, x):
+        return np.concatenate([np.einsum("nij,nj->ni", m, x[low[d] : low[d + 1]].reshape(sizes[d])).ravel() for d, m in enumerate(by)])
 
     def times(x):
-        out = diagonal * x
+        out = blocks(grams, x)
         out += np.bincount(r, v * x[c], len(x))
         return out + np.bincount(c, v * x[r], len(x))
 
@@ -73,39 +123,46 @@ def _solve(df, columns, keys, cells, edges, suffix, tol, effects):
     for k in range(right.shape[1]):
         b = right[:, k]
         x, res = np.zeros(len(b)), b.copy()
-        z = res / diagonal
+        z = blocks(inverses, res)
         p, rz, goal = z.copy(), res @ z, tol * (np.linalg.norm(b) or 1.0)
+        n = 0
         for n in range(10_000):
-            if np.linalg.norm(res) <= goal or rz == 0:
+            if np.linalg.norm(res) <= goal or rz <= 0:
                 break
             q = times(p)
             step = rz / (p @ q)
             x += step * p
             res -= step * q
-            z = res / diagonal
+            z = blocks(inverses, res)
             rz, old = res @ z, rz
             p = z + rz / old * p
         rounds = max(rounds, n)
         solved[:, k] = x
-    out = df
-    for d, key in enumerate(keys):
-        levels = pd.DataFrame(solved[low[d] : low[d + 1]], columns=[f"__t{d}_{i}" for i in range(len(columns))])
+    out, kept = df, []
+    for d, e in enumerate(terms):
+        key, (n, q) = e.keys[0], sizes[d]
+        levels = pd.DataFrame(solved[low[d] : low[d + 1]].reshape(n, -1), columns=[f"__t{d}_{i}_{k}" for i in range(q) for k in range(len(columns))])
         levels.insert(0, key, tables[d].iloc[:, 0])
-        out = out.join(df.sparkSession.createDataFrame(pa.Table.from_pandas(levels, preserve_index=False)).withColumn(key, F.col(key).cast(df.schema[key].dataType)), key)
-    whole = lambda i: sum((F.col(f"__t{d}_{i}") for d in range(len(keys))), F.lit(0.0))
-    shown = [F.col(f"__t{d}_{i}").alias(f"{c}_fe{d + 1}") for i, c in enumerate(columns) for d in range(len(keys))] if effects else []
-    return keep_cut(out.select(*df.columns, *[(F.col(c) - whole(i)).alias(f"{c}{suffix}") for i, c in enumerate(columns)], *shown)), {"method": "levels", "iterations": rounds}
+        table = df.sparkSession.createDataFrame(pa.Table.from_pandas(levels, preserve_index=False)).withColumn(key, F.col(key).cast(df.schema[key].dataType))
+        kept.append(table.select(key, *[F.col(f"__t{d}_{i}_{k}").alias(f"{name}_{z or 'const'}") for i, z in enumerate(carriers(e)) for k, name in enumerate(columns)]))
+        out = out.join(table, key)
+    part = lambda d, k: sum((_col(z) * F.col(f"__t{d}_{i}_{k}") for i, z in enumerate(carriers(terms[d]))), F.lit(0.0))
+    whole = lambda k: sum((part(d, k) for d in range(len(terms))), F.lit(0.0))
+    shown = [part(d, k).alias(f"{c}_fe{d + 1}") for k, c in enumerate(columns) for d in range(len(terms))] if effects else []
+    return keep_cut(out.select(*df.columns, *[(F.col(c) - whole(k)).alias(f"{c}{suffix}") for k, c in enumerate(columns)], *shown)), {"method": "levels", "iterations": rounds, "terms": kept}
 
 
-def _sweep(df, columns, keys, weight, suffix, tol: float = 1e-10, most_rounds: int = 2000):
+def _sweep(df, columns, terms, weight, suffix, tol: float = 1e-10, most_rounds: int = 2000):
     out = df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns])
+    w = F.col(weight) if weight else F.lit(1.0)
     for n in range(most_rounds):
         old = [f"__old{i}" for i in range(len(columns))]
         out = out.select("*", *[F.col(f"{c}{suffix}").alias(o) for c, o in zip(columns, old, strict=True)])
-        for k in keys:
-            by = Window.partitionBy(k)
-            w = F.col(weight) if weight else F.lit(1.0)
-            out = out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") - F.sum(w * F.col(f"{c}{suffix}")).over(by) / F.sum(w).over(by) for c in columns})
+        for e in terms:
+            by = Window.partitionBy(e.keys[0])
+            for z in carriers(e):
+                square = F.sum(w * _col(z) * _col(z)).over(by)
+                out = out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") - F.when(square > 0, _col(z) * F.sum(w * _col(z) * F.col(f"{c}{suffix}")).over(by) / square).otherwise(0.0) for c in columns})
         out = keep_cut(out)
         moved = out.agg(*[F.sum((F.col(f"{c}{suffix}") - F.col(o)) ** 2) / F.sum(F.col(c) ** 2) for c, o in zip(columns, old, strict=True)]).first()
         out = out.drop(*old)
@@ -114,14 +171,31 @@ def _sweep(df, columns, keys, weight, suffix, tol: float = 1e-10, most_rounds: i
     return out, {"method": "sweeps", "iterations": n + 1}
 
 
-def certificate(df: DataFrame, tilde: list[str], columns: list[str], keys: list[str], weight: str | None = None) -> float:
+def certificate(df: DataFrame, tilde: list[str], columns: list[str], keys: list, weight: str | None = None) -> float:
     """The largest over columns of |D'W residual| / (|D'W| |column|)."""
     w = F.col(weight) if weight else F.lit(1.0)
     left, scale = np.zeros(len(tilde)), 0.0
-    for k in keys:
-        sums = df.groupBy(k).agg(F.sum(w * w).alias("w"), *[F.sum(w * F.col(t)).alias(f"s{i}") for i, t in enumerate(tilde)])
-        got = sums.agg(F.sum("w"), *[F.sum(F.col(f"s{i}") ** 2) for i in range(len(tilde))]).first()
-        scale += got[0]
-        left += np.array(got[1:], float)
+    for e in map(as_effect, keys):
+        for z in carriers(e):
+            sums = df.groupBy(e.keys[0]).agg(F.sum((w * _col(z)) ** 2).alias("w"), *[F.sum(w * _col(z) * F.col(t)).alias(f"s{i}") for i, t in enumerate(tilde)])
+            got = sums.agg(F.sum("w"), *[F.sum(F.col(f"s{i}") ** 2) for i in range(len(tilde))]).first()
+            scale += got[0]
+            left += np.array(got[1:], float)
     norms = np.array(df.agg(*[F.sum(F.col(c) ** 2) for c in columns]).first(), float)
     return float(np.max(np.sqrt(left) / (np.sqrt(scale) * np.sqrt(np.maximum(norms, 1e-300)))))
+
+
+def normalise(df: DataFrame, parts: list[str], keys: list[str], weight: str | None = None) -> DataFrame:
+    """Recovered intercept effects with their free shifts fixed: one term is centred; of several, the mean of the second in
+    each mobility group of the first two goes to the first, then the first and those from the third on are centred."""
+    from .graph import mobility_groups
+
+    w = F.col(weight) if weight else F.lit(1.0)
+    if len(parts) > 1:
+        df = df.join(mobility_groups(df, keys[0], keys[1]).withColumnRenamed("group", "__group"), keys[0])
+        by = Window.partitionBy("__group")
+        shift = F.sum(w * F.col(parts[1])).over(by) / F.sum(w).over(by)
+        df = df.withColumn("__shift", shift).withColumns({parts[0]: F.col(parts[0]) + F.col("__shift"), parts[1]: F.col(parts[1]) - F.col("__shift")}).drop("__shift", "__group")
+    centred = [parts[0], *parts[2:]]
+    means = df.agg(*[F.sum(w * F.col(p)) / F.sum(w) for p in centred]).first()
+    return df.withColumns({p: F.col(p) - float(m) for p, m in zip(centred, means, strict=True)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .absorb import as_effect
 from .sample import keep_cut
 
 
@@ -31,10 +32,19 @@ def nested(df: DataFrame, inner: str, outer: str) -> bool:
     return df.groupBy(inner).agg(F.min(outer).alias("lo"), F.max(outer).alias("hi")).where("lo <> hi").isEmpty()
 
 
-def absorbed(df: DataFrame, keys: list[str], clusters: list[str] = (), intercept: bool = True) -> dict:
-    """Levels, redundant levels and absorbed degrees of freedom of the effects, for models clustered by `clusters`."""
+def absorbed(df: DataFrame, keys: list, clusters: list[str] = (), intercept: bool = True, method: str = "all", weight: str | None = None) -> dict:
+    """Levels, redundant levels and absorbed degrees of freedom of the effects, for models clustered by `clusters`.
+
+    method: all (or pairwise), firstpair or none: which pairs of effects are searched for mobility groups. exact tells for
+    each effect whether its redundant levels are known, not just bounded. Slopes add what slope_coefficients() counts.
+    """
+    if method not in ("all", "pairwise", "firstpair", "none"):
+        raise ValueError(f"degrees of freedom {method!r}")
+    effects = [as_effect(k) for k in keys]
+    sloped = [slope_coefficients(df, e.keys[0], list(e.slopes), e.intercept, weight) if e.slopes else 0 for e in effects]
+    keys = [e.keys[0] for e in effects if e.intercept]
     if not keys:
-        return {"levels": [], "redundant": [], "df_a": int(intercept), "nested": []}
+        return {"levels": [], "redundant": [], "df_a": sum(sloped) if effects else int(intercept), "nested": [], "exact": []}
     levels = list(df.agg(*[F.countDistinct(k) for k in keys]).first())
     redundant = [0] * len(keys)
     inside = [any(k == c or nested(df, k, c) for c in clusters) for k in keys]
@@ -46,11 +56,38 @@ def absorbed(df: DataFrame, keys: list[str], clusters: list[str] = (), intercept
     for i in coarse:
         redundant[i] = levels[i]
     rest = [i for i in rest if i not in coarse]
-    for n, i in enumerate(rest):
+    pairs = {"none": 0, "firstpair": 2}.get(method, len(rest))
+    for n, i in enumerate(rest[:pairs]):
         for j in rest[:n]:
             parts = mobility_groups(df, keys[j], keys[i]).select("group").distinct().count()
             redundant[i] = max(redundant[i], parts)
     for n, i in enumerate(rest):
         if n or any(inside):
             redundant[i] = max(redundant[i], 1)
-    return {"levels": levels, "redundant": redundant, "df_a": sum(max(0, a - b) for a, b in zip(levels, redundant, strict=True)), "nested": inside}
+    exact = [i not in rest or rest.index(i) < (2 if pairs else 1) for i in range(len(keys))]
+    return {"levels": levels, "redundant": redundant, "df_a": sum(max(0, a - b) for a, b in zip(levels, redundant, strict=True)) + sum(sloped), "nested": inside, "exact": exact}
+
+
+def slope_coefficients(df: DataFrame, key: str, slopes: list[str], intercept: bool, weight: str | None = None) -> int:
+    """How many slope coefficients the levels of key identify: the rank of each level's carriers, less its intercept."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    zs = [F.lit(1.0)] * intercept + [F.col(z) for z in slopes]
+    if len(zs) == 1:
+        return df.groupBy(key).agg(F.sum(w * zs[0] ** 2).alias("__a")).where("__a > 1e-12 * greatest(1D, __a)").count()
+    if len(zs) == 2:
+        told = df.groupBy(key).agg(F.sum(w * zs[0] * zs[0]).alias("__a"), F.sum(w * zs[0] * zs[1]).alias("__b"), F.sum(w * zs[1] * zs[1]).alias("__c"))
+        rank = F.when(F.expr("__a * __c - __b * __b > 1e-12 * greatest(1D, __a * __c)"), 2).when(F.expr("greatest(__a, __c) > 0"), 1).otherwise(0)
+        return told.agg(F.sum(rank - int(intercept))).first()[0] or 0
+    told = df.groupBy(key).agg(F.array(*[F.sum(w * a * b) for a in zs for b in zs]).alias("g"))
+    n = len(zs)
+
+    def ranks(parts):
+        import numpy as np
+        import pandas as pd
+
+        for part in parts:
+            g = np.stack(part["g"].to_numpy()).reshape(-1, n, n)
+            d = np.sqrt(np.maximum(np.einsum("nii->ni", g), 1e-300))
+            yield pd.DataFrame({"rank": np.linalg.matrix_rank(g / d[:, :, None] / d[:, None, :], tol=1e-12, hermitian=True) - int(intercept)})
+
+    return told.mapInPandas(ranks, "rank long").agg(F.sum("rank")).first()[0] or 0

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_tail, student_p, student_quantile
-from ..plans.formula import Formula, parse
-from .absorb import absorb
+from ..plans.formula import Effect, Formula, parse
+from .absorb import absorb, as_effect, normalise
 from .graph import absorbed
 from .sample import check, drop_singletons, keep_cut
 
@@ -54,6 +54,52 @@ class Result:
     def rmse(self) -> float:
         return math.sqrt(self.rss / self.df_resid) if self.df_resid > 0 else float("nan")
 
+    @property
+    def r2_adj(self) -> float:
+        free = self.n - self.df_model - max(self.df_absorbed, 1)
+        return 1 - (1 - self.r2) * (self.n - 1) / free if free > 0 else float("nan")
+
+    @property
+    def r2_within_adj(self) -> float:
+        free = self.n - self.df_model - max(self.df_absorbed, 1)
+        return 1 - (1 - self.r2_within) * (free + self.df_model) / free if free > 0 else float("nan")
+
+    def _log_likelihood(self, rss: float) -> float:
+        return -0.5 * self.n * (1 + math.log(2 * math.pi) + math.log(rss / self.n)) if rss > 0 else float("nan")
+
+    @property
+    def ll(self) -> float:
+        return self._log_likelihood(self.rss)
+
+    @property
+    def ll_0(self) -> float:
+        return self._log_likelihood(self.tss_within)
+
+    @property
+    def saturated(self) -> bool:
+        return self.df_model > 0 and self.rss <= 1e-9 * self.tss_within
+
+    def confint(self, level: float | None = None) -> dict[str, tuple[float, float]]:
+        crit = student_quantile(0.5 + (level or self.level) / 2, self.df_resid) if self.df_resid > 0 else float("nan")
+        return {t: (b - crit * s, b + crit * s) for t, b, s in zip(self.terms, self.coef.tolist(), self.se.tolist(), strict=True)}
+
+    def information(self) -> dict[str, float]:
+        """Log likelihoods and information criteria; rank counts slopes and the constant or effects."""
+        rank = self.df_model + max(self.df_absorbed, 1)
+        return {"n": self.n, "ll_0": self.ll_0, "ll": self.ll, "df": rank, "aic": 2 * rank - 2 * self.ll, "bic": rank * math.log(self.n) - 2 * self.ll}
+
+    def summarize(self) -> DataFrame:
+        """Mean, standard deviation, least and greatest of the outcome and each regressor over the sample."""
+        names = ["__y", *[t for t in self.terms if t != "_cons"]]
+        row = self.sample.agg(*[f(F.col(f"`{c}`")) for c in names for f in (F.avg, F.stddev, F.min, F.max)]).first()
+        return self.sample.sparkSession.createDataFrame([("y" if c == "__y" else c, *row[4 * i : 4 * i + 4]) for i, c in enumerate(names)], "variable string, mean double, sd double, least double, greatest double")
+
+    def fixef(self) -> DataFrame:
+        """The sample with fe1, fe2, ...: what each effect contributes. The model must be fit with retain_fes."""
+        if "fe1" not in self.sample.columns:
+            raise ValueError("fit with retain_fes=True")
+        return self.sample
+
     def tidy(self) -> list[dict]:
         crit = student_quantile(0.5 + self.level / 2, self.df_resid) if self.df_resid > 0 else float("nan")
         return [{"term": t, "coef": b, "se": s, "t": b / s, "p": student_p(b / s, self.df_resid), "low": b - crit * s, "high": b + crit * s} for t, b, s in zip(self.terms, self.coef.tolist(), self.se.tolist(), strict=True)]
@@ -69,11 +115,16 @@ class Result:
         return self.sample.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, n long, df_r double")
 
     def predict(self, kind: str = "residuals") -> DataFrame:
-        """The sample with a column `kind`: residuals, xb, xbd (fitted with effects) or d (the effects' part)."""
+        """The sample with a column `kind`: residuals, xb, xbd (fitted with effects), d (the effects' part),
+        dresiduals (residuals with effects), score or stdp (standard error of xb)."""
         slopes = [(t, b) for t, b in zip(self.terms, self.coef.tolist(), strict=True) if t != "_cons"]
         cons = dict(zip(self.terms, self.coef.tolist(), strict=True)).get("_cons", 0.0)
         xb = sum((F.col(t) * b for t, b in slopes), F.lit(cons))
-        made = {"residuals": F.col("__u"), "xb": xb, "xbd": F.col("__y") - F.col("__u"), "d": F.col("__y") - F.col("__u") - xb}[kind]
+        if kind == "stdp":
+            v = np.nan_to_num(self.vcov)
+            named = [F.lit(1.0) if t == "_cons" else F.col(t) for t in self.terms]
+            return self.sample.withColumn(kind, F.sqrt(sum((a * b * float(v[i, j]) for i, a in enumerate(named) for j, b in enumerate(named)), F.lit(0.0))))
+        made = {"score": F.col("__u"), "dresiduals": F.col("__y") - xb, "residuals": F.col("__u"), "xb": xb, "xbd": F.col("__y") - F.col("__u"), "d": F.col("__y") - F.col("__u") - xb}[kind]
         return self.sample.withColumn(kind, made)
 
 
@@ -130,8 +181,11 @@ def kept_columns(gram: np.ndarray, raw: np.ndarray, tol: float = 1e-6) -> tuple[
     return keep, out
 
 
-def fit(df: DataFrame, y: str, x: list[str], fes: list[str] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95) -> Result:
-    """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights."""
+def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False) -> Result:
+    """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights.
+
+    An Effect in fes may have slopes. retain_fes: the sample gets fe1, fe2, ..., what each effect contributes to y.
+    """
     se_type = SYNONYMS.get(se_type, se_type)
     if se_type not in ("unadjusted", "robust", "cluster") or (se_type == "cluster") != bool(clusters):
         raise ValueError(f"se_type {se_type!r} with clusters {list(clusters)}")
@@ -140,20 +194,25 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str] = (), weights: str |
     level = level / 100 if level > 1 else level
     xs = [*x, *endogenous]
     vs = [y, *xs, *instruments]
-    ids = list(dict.fromkeys([*fes, *clusters]))
-    picked = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(vs)], *([F.col(weights).cast("double").alias("__w")] if weights else []), *[F.col(c).alias(c) for c in ids])
+    effects = [as_effect(e) for e in fes]
+    ids = list(dict.fromkeys([*(e.keys[0] for e in effects), *clusters]))
+    slopes = {z: f"__z{i}" for i, z in enumerate(dict.fromkeys(z for e in effects for z in e.slopes))}
+    fes = [Effect(e.keys, tuple(slopes[z] for z in e.slopes), e.intercept) for e in effects]
+    plain = [e.keys[0] for e in effects if e.intercept]
+    picked = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(vs)], *[F.col(z).cast("double").alias(c) for z, c in slopes.items()], *([F.col(weights).cast("double").alias("__w")] if weights else []), *[F.col(c).alias(c) for c in ids])
     cols = [f"__v{i}" for i in range(len(vs))]
-    rows = check(picked, cols + (["__w"] if weights else []), ids, na_action)
+    rows = check(picked, cols + list(slopes.values()) + (["__w"] if weights else []), ids, na_action)
     if weights and rows.where("__w < 0" + (" OR __w <> floor(__w) OR __w = 0" if fweights else "")).limit(1).count():
         raise ValueError("weights must be" + (" positive whole numbers" if fweights else " at least 0"))
-    rows = drop_singletons(rows, list(fes), "__w" if fweights else None) if fes and drop_singletons_ else keep_cut(rows)
+    rows = drop_singletons(rows, plain, "__w" if fweights else None) if plain and drop_singletons_ else keep_cut(rows)
     w = F.col("__w") if weights else F.lit(1.0)
     told = rows.agg(F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(c)) / F.sum(w) for c in cols]).first()
     if not told[0]:
         raise ValueError("no rows are left")
     n_rows, w_sum, means = told[0], float(told[1]), np.array(told[2:], float)
     n = int(w_sum) if fweights else n_rows
-    centred = rows.select(*rows.columns, *[(F.col(c) - float(m if intercept or fes else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
+    cons = intercept and not fes
+    centred = rows.select(*rows.columns, *[(F.col(c) - float(m if cons or plain else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
     tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None)
     t = [f"{c}c_tilde" for c in cols]
     gram = moments(tilde, t, w)
@@ -161,7 +220,6 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str] = (), weights: str |
     k = len(xs)
     keep, omitted = kept_columns(gram[1 : k + 1, 1 : k + 1], raw[1 : k + 1])
     kept = [1 + j for j in keep]
-    cons = intercept and not fes
     if endogenous:
         exog = [i for i in kept if i <= len(x)]
         zs = [*exog, *range(k + 1, len(vs))]
@@ -183,7 +241,7 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str] = (), weights: str |
     rss = float(scored.agg(F.sum(w * F.col("__u") ** 2)).first()[0])
     centre = intercept or bool(fes)
     tss = float(raw[0] - centre * w_sum * means[0] ** 2)
-    dof = absorbed(rows, list(fes), list(clusters), intercept)
+    dof = absorbed(rows, list(fes), list(clusters), intercept, dof, "__w" if weights else None)
     df_a = dof["df_a"] if fes else 0
     p = len(kept) + cons
     df_r = n - len(kept) - (df_a if fes else cons)
@@ -224,7 +282,13 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str] = (), weights: str |
     vcov[np.ix_(place, place)] = v
     if intercept:
         coef[len(xs)] = means[0] - means[kept] @ b
-    sample = scored.select(*ids, F.col("__v0").alias("__y"), "__u", *([F.col("__w")] if weights else []), *[F.col(f"__v{i + 1}").alias(c) for i, c in enumerate(xs)])
+    if retain_fes and fes:
+        left = F.col("__v0") - sum((F.col(f"__v{j}") * float(v) for j, v in zip(kept, b, strict=True)), F.lit(float(coef[len(xs)]) if intercept else 0.0))
+        scored, _ = absorb(scored.withColumn("__d", left), ["__d"], list(fes), "__w" if weights else None, effects=True)
+        if not slopes:
+            scored = keep_cut(normalise(scored, [f"__d_fe{i + 1}" for i in range(len(fes))], plain, "__w" if weights else None))
+    shown = [F.col(f"__d_fe{i + 1}").alias(f"fe{i + 1}") for i in range(len(fes))] if retain_fes else []
+    sample = scored.select(*shown, *ids, F.col("__v0").alias("__y"), "__u", *([F.col("__w")] if weights else []), *[F.col(f"__v{i + 1}").alias(c) for i, c in enumerate(xs)])
     return Result(terms, coef, vcov, n, df_r, len(kept), df_a, rss * scale, tss * scale, float(gram[0, 0]) * scale, sample, how, dof, {xs[j]: r for j, r in omitted.items()}, level)
 
 
@@ -251,15 +315,15 @@ def feols(formula: str | Formula, df: DataFrame, **options) -> Result:
         names.append(term)
     keys = []
     for e in f.effects:
-        if e.slopes:
-            raise NotImplementedError("slopes on effects")
-        name = e.name
+        name = "^".join(e.keys)
         if len(e.keys) > 1:
             made = made.withColumn(name, F.concat_ws("\x1f", *[F.col(k).cast("string") for k in e.keys]))
-        keys.append(name)
+        keys.append(Effect((name,), e.slopes, e.intercept))
     return fit(made, f.y, names, keys, endogenous=list(f.endogenous), instruments=list(f.instruments), intercept=f.intercept, **options)
 
 
-def partial_out(df: DataFrame, columns: list[str], fes: list[str], weights: str | None = None) -> DataFrame:
-    """The rows with <column>_tilde: what the effects don't explain. Singletons stay."""
+def partial_out(df: DataFrame, columns: list[str], fes: list[str | Effect], weights: str | None = None, drop_singletons_: bool = False) -> DataFrame:
+    """The rows with <column>_tilde: what the effects don't explain. Singletons stay unless asked for."""
+    if drop_singletons_:
+        df = drop_singletons(df, [e.keys[0] for e in map(as_effect, fes) if e.intercept])
     return absorb(df, columns, fes, weights)[0]
