@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.absorb import absorb, within
+from .operators.akm import akm_kss, leave_out_set as leave_out
+from .operators.decompose import decompose
 from .operators.graph import absorbed, mobility_groups
+from .operators.groups import fit_groups
 from .operators.model import fit
 from .operators.sample import drop_singletons
+from .plans.formula import Effect
 
 Y, X = "l_extendedprice", ["l_quantity", "l_discount"]
 
@@ -88,7 +92,53 @@ def akm_matches(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, certificate, groupvar, twoway_dof, akm_matches)}
+def slope_reg(spark, d):
+    return _rounded(fit(_lines(spark, d), Y, X, [Effect(("l_suppkey",), ("l_tax",))]))
+
+
+def fixef_oneway(spark, d):
+    r = fit(_lines(spark, d), Y, X, ["l_partkey"], retain_fes=True)
+    spread = r.sample.agg(F.stddev("__y")).first()[0]
+    return r.fixef().groupBy("l_partkey").agg(F.round(F.avg("fe1") / spread, 8).alias("effect"))
+
+
+def model_summary(spark, d):
+    r = fit(_lines(spark, d), Y, X, ["l_partkey"])
+    told = {"r2": r.r2, "r2_within": r.r2_within, "rmse": r.rmse, "ll": r.ll, "f": r.wald()[0]}
+    return spark.createDataFrame([(k, float(f"{v:.6g}")) for k, v in told.items()], "statistic string, value double")
+
+
+def coef_movement(spark, d):
+    r = decompose(_lines(spark, d), Y, ["l_quantity"], {"discount": ["l_discount"], "tax": ["l_tax"]})
+    return spark.createDataFrame([(t["group"], float(f"{t['delta']:.6g}"), float(f"{t['se']:.6g}")) for t in r.tidy() if t["group"] != "total"], "part string, delta double, se double")
+
+
+def coef_movement_effects(spark, d):
+    return decompose(_lines(spark, d), Y, ["l_quantity"], {"discount": ["l_discount"]}, fes=["l_partkey"], vce="cluster", clusters=["l_suppkey"]).frame()
+
+
+def leave_out_set(spark, d):
+    return leave_out(_lines(spark, d), "l_orderkey", "l_suppkey").select("l_orderkey", "l_linenumber")
+
+
+def akm_components(spark, d):
+    return akm_kss(_table(spark, d, "events"), "value", "user_id", "event_type").frame()
+
+
+def _orders(spark, d):
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"))
+    return _lines(spark, d).select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
+def group_reg(spark, d):
+    return _rounded(fit_groups(_orders(spark, d), "o_totalprice", ["day"], "l_orderkey", ["o_custkey"]))
+
+
+def group_individual_reg(spark, d):
+    return _rounded(fit_groups(_orders(spark, d), "o_totalprice", ["day"], "l_orderkey", individual="l_suppkey"))
+
+
+QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, certificate, groupvar, twoway_dof, akm_matches, slope_reg, fixef_oneway, model_summary, coef_movement, coef_movement_effects, leave_out_set, akm_components, group_reg, group_individual_reg)}
 
 
 def _sig(x: str, digits: int = 6) -> str:
@@ -159,3 +209,38 @@ ORACLE_SQL["twoway_reg"] = (
     "b AS (SELECT *, a*c - b*b AS det, (c*p - b*q) / (a*c - b*b) AS b1, (a*q - b*p) / (a*c - b*b) AS b2 FROM g), e AS (SELECT d.*, y - b1*x1 - b2*x2 AS u FROM d, b)"
     + _out(*X, *(x.format(s=f"{_RSS} / (n - 2 - k)") for x in _CLASSIC))
 )
+
+
+def _line_fit(c: str) -> str:
+    """c less its least-squares line on l_tax, with intercept, in each supplier."""
+    return f"{c} - avg({c}) OVER p - (l_tax - avg(l_tax) OVER p) * covar_pop({c}, l_tax) OVER p / var_pop(l_tax) OVER p"
+
+
+ORACLE_SQL["slope_reg"] = (
+    f"WITH d AS (SELECT {_line_fit(Y)} AS y, {_line_fit(X[0])} AS x1, {_line_fit(X[1])} AS x2, 1.0 AS w FROM lineitem WINDOW p AS (PARTITION BY l_suppkey)), "
+    "g AS (SELECT sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, sum(x1*y) AS p, sum(x2*y) AS q, count(*) AS n, (SELECT 2 * count(DISTINCT l_suppkey) FROM lineitem) AS k FROM d), "
+    "b AS (SELECT *, a*c - b*b AS det, (c*p - b*q) / (a*c - b*b) AS b1, (a*q - b*p) / (a*c - b*b) AS b2 FROM g), e AS (SELECT d.*, y - b1*x1 - b2*x2 AS u FROM d, b)"
+    + _out(*X, *(x.format(s=f"{_RSS} / (n - 2 - k)") for x in _CLASSIC))
+)
+ORACLE_SQL["fixef_oneway"] = _two(*X) + f", f AS (SELECT l_partkey, {Y} AS y, {Y} - b1*l_quantity - b2*l_discount AS v FROM s, b) SELECT l_partkey, round((avg(v) - (SELECT avg(v) FROM f)) / (SELECT stddev(y) FROM f), 8) AS effect FROM f GROUP BY l_partkey"
+ORACLE_SQL["model_summary"] = (
+    _two(*X)
+    + f""", t AS (SELECT {_RSS} AS rss, (SELECT sum(y*y) FROM d) AS tw, (SELECT var_pop({Y}) * count(*) FROM s) AS tss, * FROM b),
+m AS (SELECT 1 - rss/tss AS r2, 1 - rss/tw AS r2_within, sqrt(rss / (n - 2 - k)) AS rmse, -0.5 * n * (1 + ln(2 * pi()) + ln(rss / n)) AS ll, (b1*p + b2*q) / 2 / (rss / (n - 2 - k)) AS f FROM t)
+"""
+    + " UNION ALL ".join(f"SELECT '{k}' AS statistic, {_sig(k)} AS value FROM m" for k in ("r2", "r2_within", "rmse", "ll", "f"))
+)
+ORACLE_SQL["coef_movement"] = f"""WITH d AS (SELECT {Y} - avg({Y}) OVER () AS y, l_quantity - avg(l_quantity) OVER () AS x, l_discount - avg(l_discount) OVER () AS z1, l_tax - avg(l_tax) OVER () AS z2 FROM lineitem),
+g AS (SELECT sum(x*x) AS xx, sum(x*z1) / sum(x*x) AS g1, sum(x*z2) / sum(x*x) AS g2, sum(x*y) / sum(x*x) AS gy, count(*) AS n, avg(x) AS mx FROM d),
+r AS (SELECT x, y - gy*x AS y, z1 - g1*x AS z1, z2 - g2*x AS z2 FROM d, g),
+h AS (SELECT sum(z1*z1) AS a, sum(z1*z2) AS b, sum(z2*z2) AS c, sum(z1*y) AS p, sum(z2*y) AS q FROM r),
+b AS (SELECT *, (c*p - b*q) / (a*c - b*b) AS b1, (a*q - b*p) / (a*c - b*b) AS b2, c / (a*c - b*b) AS i1, a / (a*c - b*b) AS i2 FROM h),
+s AS (SELECT sum((y - b1*z1 - b2*z2) * (y - b1*z1 - b2*z2)) / (any_value(n) - 4) AS s2 FROM r, b, g)
+SELECT 'discount' AS part, {_sig('g1*b1')} AS delta, {_sig('sqrt(b1*b1*a / (n - 4) / xx + g1*g1*s2*i1)')} AS se FROM g, b, s
+UNION ALL SELECT 'tax', {_sig('g2*b2')}, {_sig('sqrt(b2*b2*c / (n - 4) / xx + g2*g2*s2*i2)')} FROM g, b, s"""
+#: Orders and suppliers of these tables are one component that no order holds together alone, so only orders of one line go.
+ORACLE_SQL["leave_out_set"] = "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1"
+ORACLE_SQL["group_reg"] = f"""WITH s AS (SELECT o_totalprice, dayofyear(o_orderdate) AS day, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1),
+d AS (SELECT o_totalprice - avg(o_totalprice) OVER p AS y, day - avg(day) OVER p AS x FROM s WINDOW p AS (PARTITION BY o_custkey)),
+b AS (SELECT sum(x*y) / sum(x*x) AS b, sum(x*x) AS xx, count(*) AS n, (SELECT count(DISTINCT o_custkey) FROM s) AS k FROM d)
+SELECT 'day' AS term, {_sig('any_value(b)')} AS coef, {_sig('sqrt(sum((y - b*x) * (y - b*x)) / (any_value(n) - 1 - any_value(k)) / any_value(xx))')} AS se, any_value(n) AS n FROM d, b"""
