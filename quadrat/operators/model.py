@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_tail, student_p, student_quantile
-from ..plans.formula import Effect, Formula, parse
+from ..plans.formula import Effect, Formula, parse, split_top
 from .absorb import absorb, as_effect, normalise
 from .graph import absorbed
 from .sample import check, drop_singletons, keep_cut
@@ -151,13 +152,16 @@ def meat(df: DataFrame, scores: list[str], by: list[str] | None) -> tuple[np.nda
     return out, row[0]
 
 
-def multiway(df: DataFrame, scores: list[str], clusters: list[str]) -> tuple[np.ndarray, int]:
-    """Sums over all non-empty sets of cluster variables, with alternating signs; and the least number of clusters."""
+def multiway(df: DataFrame, scores: list[str], clusters: list[str], each: bool = False) -> tuple[np.ndarray, int]:
+    """Sums over all non-empty sets of cluster variables, with alternating signs; and the least number of clusters.
+
+    each: every set's sum is scaled by its own G / (G - 1).
+    """
     total, least = np.zeros((len(scores), len(scores))), None
     for n in range(1, len(clusters) + 1):
         for some in combinations(clusters, n):
             part, g = meat(df, scores, list(some))
-            total += (-1) ** (n + 1) * part
+            total += (-1) ** (n + 1) * part * (g / (g - 1) if each and g > 1 else 1.0)
             least = g if least is None or (n == 1 and g < least) else least
     return total, least
 
@@ -181,11 +185,17 @@ def kept_columns(gram: np.ndarray, raw: np.ndarray, tol: float = 1e-6) -> tuple[
     return keep, out
 
 
-def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False) -> Result:
+def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | None = None) -> Result:
     """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights.
 
     An Effect in fes may have slopes. retain_fes: the sample gets fe1, fe2, ..., what each effect contributes to y.
+    ssc: small-sample options: k_adj (count parameters in robust and clustered factors), g_adj (G / (G - 1)), g_df (min: one
+    factor of the fewest clusters, conventional: one for each set of cluster variables), t_df (degrees of freedom of t).
     """
+    small = {"k_adj": True, "g_adj": True, "g_df": "min", "t_df": None}
+    if (ssc or {}).keys() - small.keys() or (ssc or {}).get("g_df", "min") not in ("min", "conventional"):
+        raise ValueError(f"small-sample options {ssc}")
+    small |= ssc or {}
     se_type = SYNONYMS.get(se_type, se_type)
     if se_type not in ("unadjusted", "robust", "cluster") or (se_type == "cluster") != bool(clusters):
         raise ValueError(f"se_type {se_type!r} with clusters {list(clusters)}")
@@ -262,17 +272,19 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
         scores = scored.select(*clusters, *[(power * F.col("__u") * F.col(f"__x{i}")).alias(c) for i, c in enumerate(s)])
         if se_type == "robust":
             middle, _ = meat(scores, s, None)
-            factor = n / df_r if df_r > 0 else np.nan
+            factor = (n / df_r if small["k_adj"] else 1.0) if df_r > 0 else np.nan
         else:
-            middle, g = meat(scores, s, list(clusters)) if len(clusters) == 1 else multiway(scores, s, list(clusters))
+            middle, g = meat(scores, s, list(clusters)) if len(clusters) == 1 else multiway(scores, s, list(clusters), small["g_adj"] and small["g_df"] == "conventional")
             inside = int(bool(fes) and any(dof["nested"]))
             free = n - len(kept) - max(df_a, 1 if centre else 0) - (inside if df_a else 0)
-            factor = g / (g - 1) * (n - 1) / free if g > 1 and free > 0 else np.nan
+            once = small["g_adj"] and not (len(clusters) > 1 and small["g_df"] == "conventional")
+            factor = (g / (g - 1) if once else 1.0) * ((n - 1) / free if small["k_adj"] else 1.0) if g > 1 and free > 0 else np.nan
             df_r = min(df_r, g - 1)
         v = full @ middle @ full * factor
         if len(clusters) > 1:
             e, q = np.linalg.eigh(v)
             v = (q * np.maximum(e, 0)) @ q.T
+    df_r = small["t_df"] or df_r
     v = shift @ v @ shift.T
     terms = [*xs, *(["_cons"] if intercept else [])]
     coef, vcov = np.zeros(len(terms)), np.full((len(terms), len(terms)), np.nan)
@@ -292,34 +304,97 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     return Result(terms, coef, vcov, n, df_r, len(kept), df_a, rss * scale, tss * scale, float(gram[0, 0]) * scale, sample, how, dof, {xs[j]: r for j, r in omitted.items()}, level)
 
 
-def feols(formula: str | Formula, df: DataFrame, **options) -> Result:
-    """Fit a formula; products of columns become columns, joint effects become joint keys, C(g) becomes dummies."""
+def _categories(term: str, df: DataFrame, intercept: bool) -> tuple[str, list]:
+    """The column of C(g) or C(g, Treatment(reference=v)) and the levels that get a column, in order."""
+    parts = split_top(term[2:-1], ",")
+    g = parts[0].strip("`")
+    values = sorted(r[0] for r in df.where(F.col(g).isNotNull()).select(g).distinct().collect())  # a regressor for each level, so few
+    if not intercept:
+        return g, values
+    reference = values[0] if values else None
+    if len(parts) > 1:
+        m = re.fullmatch(r"Treatment\(\s*(?:reference\s*=\s*)?(.+?)\s*\)", parts[1])
+        found = [v for v in values if m and str(v) == m[1].strip("\"'")]
+        if not found:
+            raise ValueError(f"no such reference level: {term}")
+        reference = found[0]
+    return g, [v for v in values if v != reference]
+
+
+def _transform(term: str, df: DataFrame, context: dict):
+    """The column of one factor of a term: a column, I(...), Q("name"), or a call of context's or Spark's functions."""
+    if (name := term.strip("`")) in df.columns:
+        return F.col(f"`{name}`")
+    if m := re.fullmatch(r"""Q\((["'])(.+)\1\)""", term):
+        return F.col(f"`{m[2]}`")
+    if m := re.fullmatch(r"(\w+)\((.*)\)", term):
+        inner = re.sub(r"([\w.`]+|\([^()]*\))\s*\*\*\s*([\w.]+)", r"power(\1, \2)", m[2])
+        if m[1] == "I":
+            return F.expr(inner)
+        if m[1] in context:
+            return context[m[1]](*[F.expr(a) for a in split_top(inner, ",")])
+        return F.expr(f"{m[1]}({inner})")
+    raise ValueError(f"no column {term!r}")
+
+
+@dataclass
+class Prepared:
+    """A formula's columns over a frame, made once; fit() takes the options of the module's fit()."""
+
+    df: DataFrame
+    formula: Formula
+    names: list[str]
+    effects: list[Effect]
+
+    def fit(self, **options) -> Result:
+        f = self.formula
+        return fit(self.df, f.y, self.names, self.effects, endogenous=list(f.endogenous), instruments=list(f.instruments), intercept=f.intercept, **options)
+
+
+def design(formula: str | Formula, df: DataFrame, context: dict | None = None, subset=None) -> Prepared:
+    """Products of columns become columns, joint effects become joint keys, C(g) becomes dummies.
+
+    context: names to functions of columns, for terms like log1(x). subset: a condition on rows, as SQL or column.
+    """
     f = parse(formula) if isinstance(formula, str) else formula
-    made = df
+    made = df if subset is None else df.where(subset)
     names: list[str] = []
     for term in f.x:
         if term.startswith("C("):
-            g = term[2:-1].split(",")[0].strip()
-            values = sorted(r[0] for r in df.select(g).distinct().collect())  # a regressor for each level, so few
-            for value in values[1:] if f.intercept or f.effects else values:
-                made = made.withColumn(f"{g}[{value}]", F.when(F.col(g) == value, 1.0).otherwise(0.0))
+            g, values = _categories(term, made, f.intercept or bool(f.effects))
+            for value in values:
+                made = made.withColumn(f"{g}[{value}]", F.when(F.col(g) == value, 1.0).otherwise(F.when(F.col(g).isNotNull(), 0.0)))
                 names.append(f"{g}[{value}]")
             continue
-        if ":" in term or term.startswith("I("):
-            product = F.expr(term[2:-1].replace("**", "^") if term.startswith("I(") and "**" not in term else term[2:-1]) if term.startswith("I(") else None
-            if product is None:
-                product = F.lit(1.0)
-                for part in term.split(":"):
-                    product = product * F.col(part)
+        if term not in df.columns:
+            product = F.lit(1.0)
+            for part in split_top(term, ":"):
+                product = product * _transform(part, df, context or {})
             made = made.withColumn(term, product)
         names.append(term)
     keys = []
     for e in f.effects:
         name = "^".join(e.keys)
         if len(e.keys) > 1:
-            made = made.withColumn(name, F.concat_ws("\x1f", *[F.col(k).cast("string") for k in e.keys]))
+            # as a struct's JSON, so that values that hold the separator don't meet
+            whole = F.lit(True)
+            for k in e.keys:
+                whole = whole & F.col(k).isNotNull()
+            made = made.withColumn(name, F.when(whole, F.to_json(F.array(*[F.col(k).cast("string") for k in e.keys]))))
         keys.append(Effect((name,), e.slopes, e.intercept))
-    return fit(made, f.y, names, keys, endogenous=list(f.endogenous), instruments=list(f.instruments), intercept=f.intercept, **options)
+    return Prepared(made, f, names, keys)
+
+
+def prepare_formula(formula: str | Formula, df: DataFrame, context: dict | None = None, subset=None) -> Prepared:
+    """A design kept in the checkpoint folder, to be fit repeatedly without making its columns again."""
+    out = design(formula, df, context, subset)
+    used = list(dict.fromkeys([*out.df.columns]))
+    return Prepared(keep_cut(out.df.select(*[F.col(f"`{c}`") for c in used])), out.formula, out.names, out.effects)
+
+
+def feols(formula: str | Formula, df: DataFrame, context: dict | None = None, subset=None, **options) -> Result:
+    """Fit a formula, see design(); options are those of fit()."""
+    return design(formula, df, context, subset).fit(**options)
 
 
 def partial_out(df: DataFrame, columns: list[str], fes: list[str | Effect], weights: str | None = None, drop_singletons_: bool = False) -> DataFrame:

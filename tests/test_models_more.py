@@ -12,7 +12,7 @@ from quadrat.operators.absorb import absorb
 from quadrat.operators.akm import akm_kss, bipartite, cut_workers, leave_out_csv, leave_out_set, subsampling
 from quadrat.operators.decompose import bootstrap, decompose
 from quadrat.operators.groups import fit_groups
-from quadrat.operators.model import feols, fit, partial_out
+from quadrat.operators.model import feols, fit, partial_out, prepare_formula
 from quadrat.plans.formula import Effect
 
 
@@ -245,3 +245,21 @@ def test_tables(spark):
     assert render(rows).startswith("|  | one |") and "x2" in render(rows, "csv") and len(rows) == 8
     with pytest.raises(ValueError):
         render(rows, "pdf")
+
+
+def test_formula_terms_and_small_sample_options(spark):
+    from pyspark.sql import functions as F
+
+    p = panel(120)
+    df = spark.createDataFrame(p)
+    r = feols("y ~ x1 + I(x1**2) + exp(x2) + twice(x3) + C(b, Treatment(reference=2))", df, context={"twice": lambda c: 2 * c}, subset=F.col("a") < 10)
+    q = p[p.a < 10]
+    levels = [v for v in sorted(q.b.unique()) if v != 2]
+    z = np.column_stack([q.x1, q.x1**2, np.exp(q.x2), 2 * q.x3, *[(q.b == v) * 1.0 for v in levels], np.ones(len(q))])
+    assert r.terms[4:-1] == [f"b[{v}]" for v in levels] and np.allclose(r.coef, np.linalg.lstsq(z, q.y, rcond=None)[0])
+    kept = prepare_formula("y ~ x1 | a^b", df)
+    one = kept.fit(clusters=["a", "w"], se_type="cluster", na_action="omit")
+    two = kept.fit(clusters=["a", "w"], se_type="cluster", ssc={"g_adj": False, "k_adj": False, "t_df": 5})
+    assert np.allclose(one.coef, two.coef) and two.df_resid == 5 and two.se[0] < one.se[0]
+    with pytest.raises(ValueError):
+        kept.fit(ssc={"other": 1})
