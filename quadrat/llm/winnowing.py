@@ -51,7 +51,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     n_hit counts the document's words inside any occurrence of a window, items are those with such windows;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and no windows; so have such
-    items, and an item without id. Repeated items count once. Columns that have the new names are replaced.
+    items, and an item without id. Repeated items count once; texts that
+    share an item's id are windows of that item. Columns that have the new names are replaced.
     """
     new = ("n_words", "n_hit", "n_items", "items", "contaminated")
     keep = [c for c in docs.columns if c.lower() not in new]
@@ -74,7 +75,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         known = F.broadcast(known)
     found = found.join(known, "fp1")
     # One row for each item and document: a document's row takes up its items, not their hits.
-    hits = found.distinct().join(marks, "fp1").groupBy("__id", "mark.item").agg(F.first("mark.w").alias("w"), F.first("mark.iw").alias("iw"), F.collect_list(F.struct("fp1", "mark.at")).alias("fps"))
+    hits = found.distinct().join(marks, "fp1").groupBy("__id", "mark.item", "mark.w", "mark.iw").agg(F.collect_list(F.struct("fp1", "mark.at")).alias("fps"))
     hits = hits.groupBy("__id").agg(F.collect_list(F.struct("item", "w", "iw", "fps")).alias("hits"))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))

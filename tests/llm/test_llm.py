@@ -145,6 +145,9 @@ def test_winnowing(spark):
     got = {r.doc_id: r for r in decontaminate(docs(spark, texts).withColumn("N_hit", F.lit(1)), bench).collect()}
     assert [got[i].n_hit for i in range(7)] == [0, 0, 20, 20, 0, 2, 2]
     assert got[2].items == ["1"] and got[6].items == ["3"] and got[2].contaminated and not got[3].contaminated
+    other = prose(12, 30).replace(".", "")
+    two = decontaminate(docs(spark, [item + " " + other]), spark.createDataFrame([(1, item), (1, other)], "item_id long, text string")).first()
+    assert (two.n_hit, two.items) == (50, ["1"])
 
 
 def test_licenses(spark):
