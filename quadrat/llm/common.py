@@ -160,6 +160,28 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = ASCII_WS
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def released(batches):
+    """The function of a mapInArrow; after a task, its worker process gives the memory it has freed back to the system.
+
+    Workers live on between tasks and stages, so what the allocators of one keep would add to the needs of the next.
+    """
+
+    def run(it):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from batches(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim:
+                trim(0)
+
+    return run
+
+
 def pieces(batch, most_bytes: int = 2 << 20, column: str = "text"):
     """Slices of an Arrow batch whose texts have about most_bytes together; one long text is a slice of its own."""
     import pyarrow.compute as pc
