@@ -108,18 +108,30 @@ def _common(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumprod(key[1:] == key[:-1], 1).sum(1)])
 
 
-def _regions(keys: np.ndarray, tree: np.ndarray, least: int) -> np.ndarray:
-    """A number for the region of each reading of a sorted run, and -1 for those alone."""
+def _regions(keys: np.ndarray, tree: np.ndarray, least: int, before: np.ndarray) -> np.ndarray:
+    """A number for the region of each reading of a sorted run, and -1 for those alone.
+
+    before: by depth, how many readings with the first one's prefix went ahead of the run.
+    """
     shared = _common(keys)
     shared[1:][tree[1:] != tree[:-1]] = 0
     number = np.zeros(len(keys), np.int64)
+    alone = np.zeros(len(keys), bool)
     for depth in range(least, DEPTH + 1):
         fresh = np.cumsum(shared < depth)
-        size = np.bincount(fresh)[fresh]
+        size = np.bincount(fresh)
+        size[1:2] += before[depth]
+        size = size[fresh]
         take = (number == 0) & ((size <= REGION) | (depth == DEPTH))
         number[take] = fresh[take] * (DEPTH + 1) + depth + 1
-    _, number, size = np.unique(number, return_inverse=True, return_counts=True)
-    return np.where(size[number] > 1, number, -1)
+        alone[take] = size[take] == 1
+    _, number = np.unique(number, return_inverse=True)
+    return np.where(alone, -1, number)
+
+
+def _prefixed(key: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """By depth, how many of the keys share the prefix of `one`."""
+    return np.concatenate([[len(key)], np.cumprod(key == one, 1).sum(0)])
 
 
 def _neighbours(least: int):
@@ -129,42 +141,59 @@ def _neighbours(least: int):
 
         held = None
         most = 400_000
+        nothing = np.zeros(DEPTH + 1, np.int64)
+        # Of the part of this head that is out: what it shares with the readings held, and its last key, id and region.
+        before, last = nothing, None
 
-        def emit(rows, lead):
+        def emit(rows, end):
+            nonlocal before, last
             tree, key, ids = rows
-            number = _regions(key, tree, least)
+            number = _regions(key, tree, least, before)
             shared = _common(key)
             shared[1:][tree[1:] != tree[:-1]] = 0
-            near = shared >= least
             other = np.concatenate([ids[:1], ids[:-1]])
+            if last is not None:
+                shared[0], other[0] = _common(np.stack([last[0], key[0]]))[1], last[1]
+            near = shared >= least
             some = np.flatnonzero((number >= 0) | near)
-            if lead:
-                some = some[some > 0]
+            some = some[some < end]
             first = np.full(number.max(initial=0) + 1, len(number))
             np.minimum.at(first, number[number >= 0], np.flatnonzero(number >= 0))
-            top = first[np.maximum(number[some], 0)]
-            name = ids[np.minimum(top, len(ids) - 1)]
+            names = ids[np.minimum(first, len(ids) - 1)]
+            if shared[0] == DEPTH:
+                names[number[0]] = last[2]  # only whole keys are parted, and their region goes on under its name
+            name = names[np.maximum(number[some], 0)]
             for i in range(0, len(some), 50_000):
                 s = some[i : i + 50_000]
                 yield pa.record_batch([pa.array(tree[s]), pa.array(ids[s]), pa.array(other[s], mask=~near[s]), pa.array(name[i : i + 50_000], mask=number[s] < 0)], ["tree", "id", "other", "region"])
 
-        lead = False
+            if end < len(ids):
+                before = _prefixed(key[:end], key[end]) + np.where(_prefixed(key[:1], key[end]) > 0, before, 0)
+                last = key[end - 1], ids[end - 1], names[max(number[end - 1], 0)]
+            else:
+                before, last = nothing, None
+
         for batch in it:
             key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)
             rows = (np.asarray(batch.column("tree")), key, np.asarray(batch.column("id")))
             held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            # Whole heads go out; a run of one head longer than `most` goes out in parts that share a reading.
+            # Whole heads go out. Of a run of one head longer than `most`, all goes out but its last group of up to
+            # REGION readings: the size of that one isn't known yet, and larger ones are split in any case.
             tree, key, ids = held
             cut = np.flatnonzero((key[1:, :least] != key[:-1, :least]).any(1) | (tree[1:] != tree[:-1]))
             end = int(cut[-1]) + 1 if len(cut) else 0
             if end:
-                yield from emit(tuple(x[:end] for x in held), lead)
-                held, lead = tuple(x[end:] for x in held), False
-            if len(held[0]) > most:
-                yield from emit(held, lead)
-                held, lead = tuple(x[-1:] for x in held), True
+                yield from emit(tuple(x[:end] for x in held), end)
+                held = tuple(x[end:] for x in held)
+            tree, key, ids = held
+            if len(ids) > most:
+                own = _prefixed(key, key[-1])
+                size = own + np.where(_prefixed(key[:1], key[-1]) > 0, before, 0)
+                end = len(ids) - max((int(n) for n, m in zip(own[least:], size[least:], strict=True) if m <= REGION), default=1)
+                yield from emit(held, end)
+                held = tuple(x[end:] for x in held)
         if held is not None and len(held[0]):
-            yield from emit(held, lead)
+            yield from emit(held, len(held[0]))
 
     return batches
 

@@ -89,6 +89,35 @@ def test_near_duplicates(spark, size, by):
     assert near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_regions_of_long_heads():
+    """A region that is longer than what is held at once keeps one name, and no other changes at a cut."""
+    import pyarrow as pa
+
+    from quadrat.llm.near_dups import DEPTH, REGION, _neighbours
+
+    g = np.random.default_rng(4)
+    keys = np.ones((430_000, DEPTH), ">u2")
+    keys[450:, 3] = 2
+    keys[450:, 4:] = np.minimum(g.geometric(0.02, (len(keys) - 450, DEPTH - 4)), 60)
+    keys[100_000:, 3:] = 3  # of one whole key, and cut within it
+    keys[:450, 5:] = g.integers(0, 9, (450, DEPTH - 5))
+    keys = keys[np.lexsort(keys.T[::-1])]
+    keys = np.concatenate([keys, np.full((2, DEPTH), 9, ">u2")])
+    ids = np.arange(len(keys)) * 3
+    whole = pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids)], ["tree", "key", "id"])
+    got = pa.Table.from_batches(_neighbours(3)(whole.slice(i, 10_000) for i in range(0, len(ids), 10_000)))
+    names, wanted = dict(zip(got["id"].to_pylist(), got["region"].to_pylist(), strict=True)), {}
+    sizes = [np.unique(keys[:, :d], axis=0, return_inverse=True, return_counts=True) for d in range(3, DEPTH + 1)]
+    groups = [(k, n[k]) for _, k, n in sizes]
+    depth = np.select([n <= REGION for _, n in groups], range(len(groups)), len(groups) - 1)
+    for i, x in enumerate(ids.tolist()):
+        at, n = groups[depth[i]][0][i], groups[depth[i]][1][i]
+        first = wanted.setdefault((depth[i], at), x)
+        assert names.get(x) == (first if n > 1 else None)
+    others = dict(zip(got["id"].to_pylist(), got["other"].to_pylist(), strict=True))
+    assert [others.get(x) for x in ids.tolist()] == [None, *ids[:-3].tolist(), None, ids[-2]]
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(components(df).collect())
