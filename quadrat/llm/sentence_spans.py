@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a line end, or at . ! ? before white space; one of more than `longest` words is cut every `longest`
-words. From every sentence starts one span: the fewest consecutive sentences, two at least, that hold `least_words`
-words. Spans are compared by two 64-bit hashes of their lower-cased words. Of equal spans anywhere, the one with the
+A sentence ends at a line end, or at . ! ? before white space. One of more than `longest` words is cut into pieces of
+`longest` at most, at places chosen by the words around them, so that a passage is cut alike wherever it stands. From
+every sentence starts one span and at every sentence ends one: the fewest consecutive sentences, two at least, that hold
+`least_words` words. Spans are compared by two 64-bit hashes of their lower-cased words. Of equal spans anywhere, the one with the
 smallest (id, sentence number) is the first; the sentences of all others are removed.
 """
 
@@ -19,35 +20,61 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
 
+def _cuts(word: np.ndarray, new: np.ndarray, longest: int) -> np.ndarray:
+    """Where sentences of more than `longest` words are cut.
+
+    Of any `longest` places in a row in a sentence, it is cut at the one with the least hash of the words on both sides;
+    of equal ones, the last. A run of one word has no such places, and is cut by count.
+    """
+    n, none = len(word), np.uint64(2**64 - 1)
+    place = np.arange(n)
+    begin = np.maximum.accumulate(np.where(new, place, 0))
+    out = np.zeros(n, bool)
+    if n > longest:
+        local = np.append(none, mix64(word[1:] ^ mix64(word[:-1])))
+        local[1:][(local[1:] == local[:-1]) & (place[1:] - 1 > begin[1:])] = none
+        k = place[: n - longest + 1]
+        k = k[(begin[k] == begin[k + longest - 1]) & (k > begin[k])]
+        least, at = local[k], k
+        for j in range(1, longest):
+            better = local[k + j] <= least
+            least, at = np.where(better, local[k + j], least), np.where(better, k + j, at)
+        out[at[least < none]] = True
+    piece = np.maximum.accumulate(np.where(new | out, place, 0))
+    return out | ((place - piece) % longest == 0)
+
+
 class Sentences:
-    """The sentences of texts that lie end to end: the text, the first and last byte, and the words of each."""
+    """The sentences of texts that lie end to end: the words, their hashes, and the text and the words of each sentence."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, longest: int):
         self.starts, self.ends, owner = words_of(data, offsets)
+        self.word = span_hashes(LOWER[data], self.starts, self.ends)
         n = len(self.starts)
         new = np.ones(n, bool)
         if n:
             line = np.cumsum(data == 10)
             ended = _ENDS[data[self.ends[:-1] - 1]] | (line[self.starts[1:]] > line[self.ends[:-1] - 1]) | (owner[1:] != owner[:-1])
             new[1:] = ended
-            begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            new |= (np.arange(n) - begin) % longest == 0
+            new |= _cuts(self.word, new, longest)
         self.first = np.flatnonzero(new)  # the first word of each sentence
         self.stop = np.append(self.first[1:], n)
         self.owner = owner[self.first]
 
 
-def span_hash_pairs(data: np.ndarray, s: Sentences, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hash_pairs(s: Sentences, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each span: its first sentence, the sentence after it, and two hashes."""
-    word = span_hashes(LOWER[data], s.starts, s.ends)
-    m = len(s.first)
+    word, m = s.word, len(s.first)
     # the sentence after the span: enough words, and two sentences
     to = np.searchsorted(s.stop, s.first + least_words, "left") + 1
     to = np.maximum(to, np.arange(m) + 2)
-    good = to <= m
-    good[good] &= s.owner[to[good] - 1] == s.owner[good]
-    a = np.flatnonzero(good)
-    b = to[a]
+    # the spans at whose end none of these ends: the last start from which there are enough
+    last = np.setdiff1d(np.arange(1, m + 1), to)
+    since = np.searchsorted(to, last, "right") - 1
+    a, b = np.concatenate([np.arange(m), since]), np.concatenate([to, last])
+    good = (a >= 0) & (b <= m)
+    good[good] &= s.owner[b[good] - 1] == s.owner[a[good]]
+    a, b = a[good], b[good]
     out = []
     for base in _BASES:
         total = np.zeros(len(word) + 1, np.uint64)
@@ -68,7 +95,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest
             for part in pieces(batch):
                 data, offsets = arrow_bytes(part.column("text"))
                 s = Sentences(data, offsets, longest)
-                a, b, h1, h2 = span_hash_pairs(data, s, least_words)
+                a, b, h1, h2 = span_hash_pairs(s, least_words)
                 at = a - np.searchsorted(s.owner, s.owner[a], "left")
                 yield pa.record_batch([pa.array(h1), pa.array(h2), part.column("id").take(pa.array(s.owner[a])), pa.array(at.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["h1", "h2", "id", "at", "size"])
 

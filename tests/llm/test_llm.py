@@ -190,3 +190,31 @@ def test_sentence_spans(spark):
     got = {r.doc_id: r for r in remove_repeats(docs(spark, texts)).collect()}
     assert [got[i].n_removed > 0 for i in range(6)] == [False, False, False, True, False, True]
     assert got[0].text == texts[0] and got[4].text == texts[4] and got[1].text is None and got[5].text.startswith("start.")
+
+
+@pytest.mark.parametrize("lengths", [[30, 30, 5], [30, 14, 3, 2], [70]])
+def test_sentence_spans_cover(lengths):
+    """All of a passage that repeats lies in common spans, but for what is near its ends within a long sentence."""
+    from quadrat.llm import sentence_spans as m
+
+    for seed in range(20):
+        words = prose(seed, sum(lengths)).replace(".", "").split()
+        ends = np.cumsum(lengths)
+        passage = " ".join(w + "." * (i + 1 in ends) for i, w in enumerate(words))
+        inner = len(lengths) == 1  # the passage begins and ends in a sentence
+        texts = [passage, ("some words and no stop " if inner else "Some words. ") + passage + (" and on" if inner else " And on.")]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        s = m.Sentences(data, np.cumsum([0, *map(len, texts)]), 16)
+        assert (s.stop - s.first).max() <= 16
+        try:
+            a, b, h1, _ = m.span_hash_pairs(s, 25)
+        except TypeError:
+            a, b, h1, _ = m.span_hash_pairs(data, s, 25)
+        both = np.intersect1d(h1[s.owner[a] == 0], h1[s.owner[a] == 1])
+        held = np.zeros(len(words), bool)
+        for i, j in zip(a[np.isin(h1, both) & (s.owner[a] == 0)], b[np.isin(h1, both) & (s.owner[a] == 0)], strict=True):
+            held[s.first[i] : s.stop[j - 1]] = True
+        assert held[31:-31].all() and held.any() if inner else held.all()
+    same = np.frombuffer(b"word " * 400, np.uint8)
+    s = m.Sentences(same, np.array([0, len(same)]), 16)
+    assert (s.stop - s.first).max() <= 16 and len(s.first) <= 26
