@@ -145,6 +145,14 @@ def test_url_filter(spark):
     assert got[1].rule == "com/en/" and got[6].rule == "example.com/en/7" and got[4].host == "" and got[8].host == "a.example.com"
 
 
+def test_url_filter_targets(spark):
+    link, turn = "<link rel='canonical' href='{}'>", "<meta http-equiv='refresh' content='0;url={}'>"
+    rows = [(1, "http://x.com/a/b.html?q", link.format("../c/./d")), (2, "http://x.com/c/d", None), (3, "http://y.org/p", link.format("//bad.net/de/1")), (4, "http://z.org/a", turn.format("/b") + turn.format("http://bad.net/de/2")), (5, "http://z.org/b", None), (6, "http://w.org/a/b", turn.format("c")), (7, "http://w.org/a/c", None), (8, "none", link.format("/c/d"))]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "bad.net", "de/")]).collect()}
+    assert [got[i].component for i in range(1, 9)] == [1, 1, 3, 4, 4, 6, 6, 8]
+    assert [got[i].verdict for i in range(1, 9)] == ["allow", "allow", "block", "block", "block", "allow", "allow", "allow"]
+
+
 def test_language_id(spark):
     r = random.Random(1)
     word = {"xx": lambda: r.choice(["lorem", "ipsum", "dolor"]), "yy": lambda: r.choice(["straße", "über", "ähnlich"])}
