@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.operators.sample import keep_cut
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ASCII_WS = np.zeros(256, bool)
@@ -20,16 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder of spark.checkpoint.dir and drop its lineage.
-
-    The folder is the session's; one is made under the temp folder only where the setting is unset (tests).
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
+    """Materialise df in the folder of spark.checkpoint.dir and drop its lineage."""
+    return keep_cut(df)
 
 
 #: Rows of a few bytes, up to which a table that has been counted is broadcast.
@@ -51,38 +42,76 @@ def sealed(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*rest, *[F.col("__made")[c].alias(c) for c in names])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
+#: Edges that one task joins at a time.
+MOST_EDGES = 500_000
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    met = down.join(least, "u")
-    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
+def joined_nodes(u: np.ndarray, v: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges and the root of each: of the nodes joined with it, the one with the least key.
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    keys: a function's values for the distinct nodes in ascending order; without it a node is its own key.
+    """
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.arange(len(nodes)) if keys is None else np.argsort(keys(nodes), kind="stable")
+    back = np.empty(len(nodes), np.int64)
+    back[order] = np.arange(len(nodes))
+    a, b = back[at[: len(u)]], back[at[len(u) :]]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        a, b = root[a], root[b]
+        left = a != b
+        a, b = a[left], b[left]
+    return nodes, nodes[order[root[back]]]
+
+
+def components(edges: DataFrame, most_edges: int = MOST_EDGES, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v), for each node that has an edge to another.
 
-    Alternating large-star and small-star steps; each is an aggregation with map-side combine and a join with one
-    row per node, so no node's neighbours are gathered. The rounds are logarithmic in the longest path.
+    Each round deals the edges out to tasks of about most_edges. A task joins its own and names a root for each node;
+    where a node got several roots, edges between those are the next round's. Roots go by a keyed order that changes
+    with the round, so that of any path a third of the nodes drops out in a round, however its ids lie. A node is in a
+    task's result once, so no node has more rows than there are tasks, and edges that fit into one task are done in one.
     """
-    edges = settle(edges.where("u <> v").select("u", "v").distinct())
-    seen = None
-    for _ in range(most_rounds):
-        mark = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark == seen or not mark[0]:
+    edges = settle(edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+    steps: list[DataFrame] = []
+    for turn in range(most_rounds):
+        tasks = -(-edges.count() // most_edges)
+        key = None if tasks <= 1 else np.uint64(keyed(31 + turn, 1)[0])
+
+        def batches(it, key=key):
+            import pyarrow as pa
+
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for batch in it:
+                u.append(np.asarray(batch.column("u")))
+                v.append(np.asarray(batch.column("v")))
+            nodes, roots = joined_nodes(np.concatenate(u), np.concatenate(v), key and (lambda x: mix64(x.astype(np.uint64) ^ key)))
+            yield pa.record_batch([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+        found = edges.repartition(max(tasks, 1)).mapInArrow(released(batches), "node long, root long")
+        if tasks <= 1:
+            steps.append(found)
             break
-        seen = mark
-        edges = settle(_small_star(_large_star(edges)))
+        found = settle(found)
+        # One of a node's roots stands for it; edges lead from it to the others.
+        own = settle(found.groupBy("node").agg(F.min("root").alias("own")))
+        steps.append(own.select("node", F.col("own").alias("root")))
+        edges = settle(found.join(own, "node").where("root <> own").select(F.col("root").alias("u"), F.col("own").alias("v")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = steps.pop()
+    while steps:
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("final"))
+        out = steps.pop().join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root"))
+        out = settle(out)
+    if key is None and turn == 0:
+        return settle(out.withColumnRenamed("root", "component"))
+    least = out.groupBy("root").agg(F.min("node").alias("component"))
+    return settle(out.join(least, "root").select("node", "component"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ Forest. Each of TREES orders reads DEPTH of the minima in an order of its own, a
 Classes that agree on a prefix of at least `least_depth` form a region; a region of more than REGION classes is split
 at a longer prefix, as deep as it must be. Candidates are neighbours in the sorted order, which have the longest
 common prefixes, and then any two classes of a region that are still in different groups and whose whole signatures
-agree often enough. A region that stays large at full depth is dealt out in blocks of rows, so no task holds it whole.
+agree often enough. In a region that stays large at full depth, only classes outside its largest group are compared with
+the rest, in blocks, so no task holds it whole and no row is copied for each of its partners.
 
 Decision. Candidates are confirmed on the full shingle sets by exact integer arithmetic, and confirmed links make
 connected components. Neighbour links are confirmed first: what they have joined needs no further comparison.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_bytes, bounded, components, keyed, mix64, pieces, released, settle, span_hashes, words_of
 
-POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 512
+POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 256
 _MULTIPLY, _ADD = keyed(21, POOL) | np.uint64(1), keyed(22, POOL)
 ORDERS = np.argsort(keyed(23, TREES * POOL).reshape(TREES, POOL), 1)[:, :DEPTH]
 
@@ -220,7 +221,7 @@ def _runs(it, columns: list[str]):
         for c in ["pair", *columns]:
             if c == "sig":
                 rows.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POOL))
-            elif c in ("pair", "items"):
+            elif c == "items":
                 out = np.empty(batch.num_rows, object)
                 out[:] = batch.column(c).to_pylist()
                 rows.append(out)
@@ -252,7 +253,7 @@ def _crossed(least_equal: int):
                 yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([name])], ["a", "b", "dense"])
             elif n:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(n, pa.string())], ["a", "b", "dense"])
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(n, pa.int64())], ["a", "b", "dense"])
 
     return batches
 
@@ -265,26 +266,43 @@ def _matched(least_equal: int, times: int, by: int):
 
         for _, side, comp, ids, sig, items in _runs(it, ["side", "component", "id", "sig", "items"]):
             sets = [np.frombuffer(x, np.uint64) for x in items]
-            root: dict[int, int] = {}
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            order = np.argsort(every, kind="stable")
+            owner, value = np.repeat(np.arange(len(sets)), sizes)[order], every[order]
+            root = {int(c): int(c) for c in comp}
 
             def find(x: int) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = x = root.get(up, up)
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
                 return x
 
             out = []
             for a, b in _agreeing(side, comp, ids, sig, least_equal):
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    x, y = find(int(comp[i])), find(int(comp[j]))
-                    if x != y and _linked(sets[i], sets[j], times, by):
-                        root[x] = y
-                        out.append((int(ids[i]), int(ids[j])))
+                for lo, hi in zip(*_edges(a), strict=True):
+                    i, js = a[lo], b[lo:hi]
+                    # what set i shares with all others, from the places of its items among the items of all
+                    first, last = np.searchsorted(value, sets[i], "left"), np.searchsorted(value, sets[i], "right")
+                    n = last - first
+                    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    shared = np.bincount(owner[at], minlength=len(sets))[js]
+                    for j in js[times * shared >= by * (sizes[i] + sizes[js] - shared)].tolist():
+                        x, y = find(int(comp[i])), find(int(comp[j]))
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            out.append((int(ids[i]), int(ids[j])))
             if out:
                 yield pa.record_batch([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], ["u", "v"])
 
     return batches
 
 
+def _edges(a: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    cut = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)] if len(a) else [0]
+    return cut[:-1], cut[1:]
+
+
 def _linked(x: np.ndarray, y: np.ndarray, times: int, by: int) -> bool:
     """times * |intersection| >= by * |union| of two sorted sets."""
     if times * min(len(x), len(y)) < by * max(len(x), len(y)) or not len(y):
@@ -326,6 +344,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, times: int, by: int) -> DataFr
     return both.select("a", "b", "ia", "ib").mapInArrow(released(batches), "u long, v long")
 
 
+def _dealt(regions: DataFrame, groups: DataFrame) -> DataFrame:
+    """(pair, side, component, id): rows to compare, by block pairs, of the regions in which several groups are left.
+
+    A region of REGION classes at most is one block. In a larger one most classes are of one group, as a rule, and that group
+    needs no comparison within: the others are compared with it and with each other. The same others meet the
+    same group in region after region and tree after tree, so larger regions are put together by their largest group.
+    """
+    told = regions.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    numbers = told.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    mixed = numbers.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.count("*").alias("groups"), F.max(F.struct("n", (-F.col("component")).alias("component"))).alias("main"))
+    mixed = mixed.where("groups > 1 AND size > 2").select("tree", "region", "size", (-F.col("main.component")).alias("main"))
+    told = settle(told.join(mixed, ["tree", "region"]))
+    small = told.where(F.col("size") <= REGION).select(F.xxhash64("tree", "region").alias("pair"), F.lit(0).alias("side"), "component", "id")
+    large = told.where(F.col("size") > REGION).select("main", "component", "id").distinct().withColumn("inside", F.col("component") == F.col("main"))
+    sizes = large.groupBy("main").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).cast("int").alias("others"), F.ceil(F.count_if("inside") / BLOCK).cast("int").alias("mains"))
+    # Blocks of the others come first; a block of the main group meets only those.
+    large = large.join(sizes, "main").withColumn("own", F.when(F.col("inside"), F.col("others") + F.pmod(F.xxhash64("id"), "mains")).otherwise(F.pmod(F.xxhash64("id"), "others")).cast("int"))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    low, high = F.least("own", "with"), F.greatest("own", "with")
+    return small.unionByName(large.select(F.xxhash64("main", low, high).alias("pair"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"), "component", "id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, times: int = 100, by: int = 80, least_depth: int = 3) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document, with 64-bit integer ids.
 
@@ -349,24 +389,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = settle(found.where("region IS NOT NULL").select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct())
     sets = settle(_sets(rows, members, shingle))
     links = settle(_confirmed(first, sets, times, by))
-    groups = settle(components(links))
-    # Regions that still hold several groups.
-    in_region = found.where("region IS NOT NULL").select("tree", "region", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = in_region.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = in_region.join(mixed.select("tree", "region", blocks.alias("blocks")), ["tree", "region"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    low, high = F.least("own", "with"), F.greatest("own", "with")
-    crossed = settle(
-        dealt.withColumn("own", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.concat_ws(":", "tree", "region", low, high).alias("pair"), F.when(F.col("own") == low, 0).otherwise(1).cast("int").alias("side"), "component", "id")
-    )
+    groups = components(links)
+    crossed = settle(_dealt(found.where("region IS NOT NULL").select("tree", "region", "id"), groups))
     # Agreements of POOL that a linked pair falls short of about once in 5000.
     share = by / times
     least_equal = int(POOL * share - 3.5 * (POOL * share * (1 - share)) ** 0.5)
     signed = classes.select("id", "sig")
-    found = settle(crossed.join(signed, "id").repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(released(_crossed(least_equal)), "a long, b long, dense string"))
+    found = settle(crossed.join(signed, "id").repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(released(_crossed(least_equal)), "a long, b long, dense long"))
     few = found.where("a IS NOT NULL").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     # Where agreeing pairs outnumber the rows, the rows go to the pairs' task with their sets instead.
     dense = crossed.join(found.where("dense IS NOT NULL").select(F.col("dense").alias("pair")).distinct(), "pair").join(signed, "id").join(sets, "id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.llm import personal_data
-from quadrat.llm.common import components
+from quadrat.llm.common import components, joined_nodes, mix64
 from quadrat.llm.cover_tree import near_vectors
 from quadrat.llm.language_id import identify, train
 from quadrat.llm.licenses import scan
@@ -120,8 +120,28 @@ def test_regions_of_long_heads():
 
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "u long, v long")
-    got = dict(components(df).collect())
-    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+    wanted = {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+    assert dict(components(df).collect()) == wanted
+    assert dict(components(df.repartition(3), most_edges=20).collect()) == wanted
+    assert components(df.limit(0)).count() == 0
+
+
+def test_joined_nodes():
+    g = np.random.default_rng(1)
+    u, v = g.integers(-500, 500, (2, 700))
+    nodes, roots = joined_nodes(u, v)
+    root = {x: x for x in nodes.tolist()}
+    for _ in range(1000):
+        moved = False
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == root
+    turned, other = joined_nodes(u, v, lambda x: mix64(x.astype(np.uint64)))
+    assert len({(root[x], y) for x, y in zip(turned.tolist(), other.tolist(), strict=True)}) == len(set(root.values()))
 
 
 def test_personal_data(spark):
