@@ -2,14 +2,16 @@
 
 Base spans are the matches of four strict patterns that pass their checks; they always stay. Candidates come from wider patterns (tight
 numbers next to others, numbers without a country code, spelled-out addresses). Labelers of three sorts vote on each,
-for, against or not at all: regular expressions (strict form, clean borders), gazetteers (endings of host names,
-issuer digits, country codes) and context (words before). Expectation-maximisation over the counts of all vote
-patterns in the corpus estimates each labeler's reliability in a kind and so the chance of each pattern; these chances
-train a logistic span classifier over the votes and the span's shape. Candidates it finds likely, and that overlap no
+for, against or not at all: regular expressions (strict form, clean borders, check digits), gazetteers (endings of host names,
+issuer ranges, blocks of addresses, country codes) and context (words before). Expectation-maximisation over the counts of all vote
+patterns in the corpus estimates each labeler's reliability in a kind and so the chance of each pattern. With these
+chances as targets a logistic span classifier is trained on what the labelers don't see: the span's digits and
+separators, the characters at its borders and the word before it. Candidates it finds likely, that pass their check and that overlap no
 base span, are added.
 
-Everything runs on DataFrame functions; only the counts of patterns, of which there is a fixed number at most, reach the driver.
-Offsets are code points, ends exclusive.
+What a text holds depends on the text alone, so every text is searched once, what is found in those that hold anything is settled
+by a hash of the text, and the model is learnt from that and joined back. All is DataFrame functions; only counts of
+vote patterns and of shapes, of which there is a fixed number at most, reach the driver. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sealed
+from .common import sealed, settle
+
+#: Texts that hold anything, up to which their spans are broadcast; beyond it rows are joined by the hash of the text.
+MOST_HELD = 50_000
 
 #: Kinds in their order, and their patterns. Possessive forms match the same as the greedy ones but
 #: take linear time; the look-behind skips starts inside a run, which fail where the run's own start fails.
@@ -45,12 +50,19 @@ FOR = {
     "phone": "phone|tel|call|mobile|cell|fax|whatsapp",
 }
 AGAINST = r"version|token|\bsha|hash|\bisbn|order|serial|\bid\b|release"
-#: Fixed values of the gazetteers: endings of host names, first octets in public use, issuers' first digits, country codes.
+#: Fixed values of the gazetteers. Endings of host names (besides those of two letters, which are countries'):
+ENDINGS = "com org net edu gov mil int info biz name pro aero coop museum mobi asia tel jobs cat travel post xyz online site app dev shop store tech cloud blog live email agency digital"
+#: Blocks of addresses that aren't public unicast.
+RESERVED = r"0|10|127|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.168|192\.0\.[02]|192\.88\.99|198\.1[89]|198\.51\.100|203\.0\.113|22[4-9]|2[3-9][0-9]"
+#: Issuer ranges of card numbers and their lengths, as digits alone.
+ISSUERS = r"4([0-9]{12}|[0-9]{15}|[0-9]{18})|(5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}|3(0[0-5]|[68][0-9])[0-9]{11}|35(2[89]|[3-8][0-9])[0-9]{12,15}|62[0-9]{14,17}|(50|5[6-8]|6[0-9])[0-9]{11,17}"
+#: Country codes of telephone numbers.
+COUNTRIES = "1|7|2[07]|21[1-368]|2[2346][0-9]|25[0-8]|29[017-9]|3[0-469]|3[578][0-9]|4[013-9]|42[013]|5[1-8]|50[0-9]|59[0-9]|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]|8[1246]|80[08]|85[02356]|87[08]|88[0-368]|9[0-58]|96[0-8]|97[0-79]|99[2-689]"
 GAZETTEER = {
-    "email": r"(?i)(com|org|net|edu|gov|io|info|de|fr|es|uk)$",
-    "ip": r"^([1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.",
-    "card": "^[3-6]",
-    "phone": r"^\+?(1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "email": rf"(?i)[.\s)\]]({'|'.join(ENDINGS.split())}|[a-z]{{2}})$",
+    "ip": rf"^(?!({RESERVED})\.)",
+    "card": rf"^({ISSUERS})$",
+    "phone": rf"^(\+({COUNTRIES})|\(?[2-9][0-9]{{2}}\)?[\x20.-][2-9])",
 }
 STRICT = {"email": "at|dot", "ip": r"^[0-9.]+$", "card": r"^([0-9]{16}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4})$", "phone": r"^\+"}
 LABELERS = ("form", "border", "check", "gazetteer", "context")
@@ -58,14 +70,19 @@ _NONE = "cast(array() AS array<struct<s:int,e:int,m:string,before:string,after:s
 _RUN = 64
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with name standing for value, which is made once; a lambda would make it again at each step."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _positions(found: str, gaps: str) -> str:
     """Spans with their offsets, from the matches of a pattern and the text between; sums go by runs, so they are not quadratic."""
     item = "struct(a.pos + x.g AS s, a.pos + x.g + length(x.m) AS e, x.m AS m, x.before AS before, x.after AS after)"
     parts = f"transform(sequence(0, size({found}) - 1), i -> struct(length({gaps}[i]) AS g, {found}[i] AS m, right({gaps}[i], 40) AS before, left({gaps}[i + 1], 1) AS after))"
-    runs = f"transform(sequence(0, (size({found}) - 1) div {_RUN}), b -> aggregate(slice({parts}, cast(b * {_RUN} + 1 AS int), {_RUN}), struct(0 AS pos, {_NONE} AS out), (a, x) -> struct(a.pos + x.g + length(x.m) AS pos, concat(a.out, array({item})) AS out)))"
-    return f"""CASE WHEN size({found}) = 0 THEN {_NONE} ELSE transform(array({runs}), r -> flatten(zip_with(r,
-        aggregate(r, struct(0 AS pos, cast(array() AS array<int>) AS low), (a, x) -> struct(a.pos + x.pos AS pos, concat(a.low, array(a.pos)) AS low)).low,
-        (x, low) -> transform(x.out, o -> struct(o.s + low AS s, o.e + low AS e, o.m AS m, o.before AS before, o.after AS after)))))[0] END"""
+    runs = f"transform(sequence(0, (size(ps) - 1) div {_RUN}), b -> aggregate(slice(ps, cast(b * {_RUN} + 1 AS int), {_RUN}), struct(0 AS pos, {_NONE} AS out), (a, x) -> struct(a.pos + x.g + length(x.m) AS pos, concat(a.out, array({item})) AS out)))"
+    lows = "aggregate(rs, struct(0 AS pos, cast(array() AS array<int>) AS low), (a, x) -> struct(a.pos + x.pos AS pos, concat(a.low, array(a.pos)) AS low)).low"
+    moved = "flatten(zip_with(rs, ls, (x, low) -> transform(x.out, o -> struct(o.s + low AS s, o.e + low AS e, o.m AS m, o.before AS before, o.after AS after))))"
+    return f"CASE WHEN size({found}) = 0 THEN {_NONE} ELSE {_let(parts, 'ps', _let(runs, 'rs', _let(lows, 'ls', moved)))} END"
 
 
 def _with_spans(rows: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
@@ -96,17 +113,24 @@ CHECKS = {
 
 
 def _votes(kind: str) -> str:
-    """The labelers' votes on candidate x, as digits: 0 against, 1 none, 2 for; and the span's shape."""
+    """The labelers' votes on candidate x, as digits: 0 against, 1 none, 2 for."""
     check = CHECKS[kind] if kind != "email" else "length(x.m) < 80"
-    digits = f"length({_DIGITS.format(m='x.m')})"
-    shape = f"cast(least({digits} div 2, 9) AS string)"
+    named = _DIGITS.format(m="x.m") if kind == "card" else "x.m"
     return f"""concat(
         CASE WHEN x.m rlike '{_sql(STRICT[kind])}' THEN '2' ELSE '1' END,
         CASE WHEN concat(right(x.before, 1), x.after) rlike '[A-Za-z0-9"_/]' THEN '0' ELSE '2' END,
         CASE WHEN {check} THEN '2' ELSE '0' END,
-        CASE WHEN x.m rlike '{_sql(GAZETTEER[kind])}' THEN '2' ELSE '0' END,
-        CASE WHEN lower(x.before) rlike '{_sql(AGAINST)}' THEN '0' WHEN lower(x.before) rlike '{_sql(FOR[kind])}' THEN '2' ELSE '1' END,
-        {shape})"""
+        CASE WHEN {named} rlike '{_sql(GAZETTEER[kind])}' THEN '2' ELSE '0' END,
+        CASE WHEN lower(x.before) rlike '{_sql(AGAINST)}' THEN '0' WHEN lower(x.before) rlike '{_sql(FOR[kind])}' THEN '2' ELSE '1' END)"""
+
+
+#: What the classifier sees of candidate x, a letter each: digits, separators, the characters before and after, the word before.
+SHAPE = f"""concat(
+    cast(least(length({_DIGITS.format(m="x.m")}) div 2, 9) AS string),
+    CASE WHEN x.m rlike '^[0-9A-Za-z+]*$' THEN 'n' WHEN x.m rlike '^[^ .()-]*( [^ .()-]*)+$' THEN 's' WHEN x.m rlike '^[^ .()-]*(-[^ .()-]*)+$' THEN 'd' WHEN x.m rlike '^[^ .()-]*([.][^ .()-]*)+$' THEN 'p' ELSE 'm' END,
+    CASE WHEN x.before = '' THEN 'b' WHEN x.before rlike '[:=#]$' THEN 'c' WHEN x.before rlike '[[:space:]]$' THEN 's' WHEN x.before rlike '[("<]$' THEN 'q' ELSE 'o' END,
+    CASE WHEN x.after = '' THEN 'b' WHEN x.after rlike '[[:space:]]' THEN 's' WHEN x.after rlike '[.,;:!?)]' THEN 'p' ELSE 'o' END,
+    CASE WHEN x.before rlike '[:=#] ?$' THEN 'l' WHEN x.before rlike '[0-9][^A-Za-z0-9]*$' THEN 'd' WHEN x.before rlike '(^|[^A-Za-z])[A-Z][A-Za-z]*[^A-Za-z0-9]*$' THEN 'u' WHEN x.before rlike '[a-z][^A-Za-z0-9]*$' THEN 'w' ELSE 'n' END)""".replace("[[:space:]]", "[\\\\s]")
 
 
 def _sql(pattern: str) -> str:
@@ -118,17 +142,22 @@ def _free(kind: str) -> str:
     return f"filter(wide_{kind}, x -> NOT exists(base_all, b -> b.s < x.e AND x.s < b.e))"
 
 
+def _hashed(text: F.Column) -> list[F.Column]:
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), text).alias("__h2")]
+
+
 def _spotted(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs as __row, __text, base_<kind> (valid base spans), base_all and wide_<kind> (votes in `before`)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    """(__h1, __h2, base_<kind>, wide_<kind>) for every row whose text holds anything: valid base spans, and candidates with votes and shape."""
+    rows = docs.select(*_hashed(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = _with_spans(rows, BASE, "raw")
     for kind in KINDS:
         rows = rows.withColumn(f"base_{kind}", F.expr(f"transform(filter(raw_{kind}, x -> {CHECKS[kind]}), x -> struct(x.s AS s, x.e AS e))")).drop(f"raw_{kind}")
     rows = rows.withColumn("base_all", F.concat(*[f"base_{k}" for k in KINDS]))
     rows = _with_spans(rows, WIDE, "wide")
     for kind in KINDS:
-        rows = rows.withColumn(f"wide_{kind}", F.expr(f"transform({_free(kind)}, x -> struct(x.s AS s, x.e AS e, {_votes(kind)} AS votes))"))
-    return rows
+        rows = rows.withColumn(f"wide_{kind}", F.expr(f"transform({_free(kind)}, x -> struct(x.s AS s, x.e AS e, {_votes(kind)} AS votes, {SHAPE} AS shape))"))
+    made = ["__h1", "__h2", *(f"{x}_{k}" for k in KINDS for x in ("base", "wide"))]
+    return sealed(rows.select(*made), made).where(" OR ".join(f"size({c}) > 0" for c in made[2:]))
 
 
 @dataclass
@@ -138,20 +167,26 @@ class Model:
     reliability: dict[tuple[str, int], tuple[float, float]]
     weights: dict[str, float]
 
-    def chance(self, kind: str, votes: str) -> float:
-        return 1 / (1 + math.exp(-sum(self.weights.get(f, 0.0) for f in features(kind, votes))))
+    def chance(self, kind: str, shape: str) -> float:
+        return 1 / (1 + math.exp(-sum(self.weights.get(f, 0.0) for f in features(kind, shape))))
 
+    def score(self, kind: str) -> str:
+        """The log odds of candidate x, in SQL."""
+        table = ", ".join(f"'{k}', {v!r}D" for k, v in sorted(self.weights.items())) or "'', 0D"
+        names = [f"'{kind}'", *(f"concat('{kind}:{i}:', substring(x.shape, {i + 1}, 1))" for i in range(5))]
+        return f"({' + '.join(f'coalesce(element_at(map({table}), {n}), 0D)' for n in names)})"
 
-def features(kind: str, votes: str) -> list[str]:
-    n = len(LABELERS)
-    return ["1", kind, *(f"{i}:{v}" for i, v in enumerate(votes[:n])), f"{kind}:{votes[n:]}", *(f"{kind}:{i}:{v}" for i, v in enumerate(votes[:n]))]
+
+def features(kind: str, shape: str) -> list[str]:
+    return [kind, *(f"{kind}:{i}:{v}" for i, v in enumerate(shape))]
 
 
 def reconcile(counts: dict[tuple[str, str], int], rounds: int = 50) -> tuple[dict[tuple[str, str], float], dict]:
     """Expectation-maximisation over vote patterns: the chance that each is personal data, and the labelers' reliabilities.
 
     A labeler votes for a true span with one probability and for a false one with another; a prior of a few votes keeps
-    both sensible where a kind has few candidates.
+    both sensible where a kind has few candidates. One that would speak
+    against what it votes for says nothing, so what is common isn't taken for what is true.
     """
     n = len(LABELERS)
     chance = {}
@@ -171,7 +206,8 @@ def reconcile(counts: dict[tuple[str, str], int], rounds: int = 50) -> tuple[dic
                 con = [(v, c) for v, c in own if v[i] == "0"]
                 a, b = (sum(c * chance[kind, v] for v, c in x) for x in (pro, con))
                 d, e = (sum(c * (1 - chance[kind, v]) for v, c in x) for x in (pro, con))
-                rates[kind, i] = ((a + 8) / (a + b + 10), (d + 2) / (d + e + 10))
+                t, f = (a + 8) / (a + b + 10), (d + 2) / (d + e + 10)
+                rates[kind, i] = (t, f) if t > f else ((a + d + 5) / (a + b + d + e + 10),) * 2
         for kind, votes in chance:
             odds = math.log(prior[kind] / (1 - prior[kind]))
             for i, v in enumerate(votes[:n]):
@@ -181,31 +217,31 @@ def reconcile(counts: dict[tuple[str, str], int], rounds: int = 50) -> tuple[dic
     return chance, rates
 
 
-def fit(chance: dict[tuple[str, str], float], counts: dict[tuple[str, str], int], rounds: int = 400, rate: float = 0.5, ridge: float = 0.01) -> dict[str, float]:
-    """Logistic weights that give the patterns' chances, each pattern weighted by the logarithm of its count."""
+def fit(targets: dict[tuple[str, str], tuple[int, float]], rounds: int = 400, rate: float = 2.0, ridge: float = 0.01) -> dict[str, float]:
+    """Logistic weights for shapes by kind; targets: the number of candidates of a shape, and the sum of their chances."""
     weights: dict[str, float] = {}
-    rows = [(features(*p), c, math.log1p(counts[p])) for p, c in sorted(chance.items())]
-    whole = sum(w for *_, w in rows) or 1.0
+    rows = [(features(*p), t / n, math.log1p(n)) for p, (n, t) in sorted(targets.items())]
+    whole = {k: sum(w for f, _, w in rows if f[0] == k) for k in KINDS}
     for _ in range(rounds):
         step: dict[str, float] = {}
         for names, target, w in rows:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in names)))))
             for f in names:
-                step[f] = step.get(f, 0.0) + w * (target - p)
+                step[f] = step.get(f, 0.0) + w * (target - p) / whole[names[0]]
         for f, g in step.items():
-            weights[f] = weights.get(f, 0.0) + rate * (g / whole - ridge * weights.get(f, 0.0))
+            weights[f] = weights.get(f, 0.0) + rate * (g - ridge * weights.get(f, 0.0))
     return weights
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, dict[tuple[str, str], int]]:
-    """A model from all documents, and the counts of the vote patterns. Without candidates the model is blank."""
-    rows = _spotted(docs.select(text_col), text_col)
-    every = F.concat(*[F.expr(f"transform(wide_{k}, x -> struct('{k}' AS kind, x.votes AS votes))") for k in KINDS])
-    # Not explode: Spark would put a filter on the arrays below all their steps, and compute them twice.
-    found = rows.select(F.explode_outer(every).alias("x")).where("x IS NOT NULL").groupBy("x.kind", "x.votes").count().collect()  # 4 kinds by 3**5 votes by 10 shapes at most
-    counts = {(r["kind"], r["votes"]): r["count"] for r in found}
+def learn(spotted: DataFrame) -> Model:
+    """A model from the candidates of all rows. Without candidates it is blank."""
+    every = F.concat(*[F.expr(f"transform(wide_{k}, x -> struct('{k}' AS kind, x.votes AS votes, x.shape AS shape))") for k in KINDS])
+    found = spotted.select(F.explode(every).alias("x")).select("x.*")
+    counts = {(r["kind"], r["votes"]): r["count"] for r in found.groupBy("kind", "votes").count().collect()}  # 4 kinds by 3**5 votes at most
     chance, rates = reconcile(counts)
-    return Model(rates, fit(chance, counts)), counts
+    told = spotted.sparkSession.createDataFrame([(*k, p) for k, p in chance.items()], "kind string, votes string, chance double")
+    shapes = found.join(F.broadcast(told), ["kind", "votes"]).groupBy("kind", "shape").agg(F.count("*").alias("n"), F.sum("chance").alias("t")).collect()  # 4 kinds by 5000 shapes at most
+    return Model(rates, fit({(r["kind"], r["shape"]): (r["n"], r["t"]) for r in shapes}))
 
 
 def find(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -213,21 +249,21 @@ def find(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
 
     Null and empty texts have none. Columns of docs named base or spans are replaced. Repeated rows count as often.
     """
-    model, counts = learn(docs, text_col)
-    # A failed check (a card's check digit, an octet over 255) rules a span out, whatever the other labelers say.
-    good = [f"{k}{v}" for k, v in sorted(counts) if v[LABELERS.index("check")] == "2" and model.chance(k, v) >= least]
-    rows = _spotted(docs, text_col)
+    spotted = settle(_spotted(docs.select(text_col), text_col))
+    model = learn(spotted)
+    named = lambda kind, a: f"array_sort(transform({a}, x -> struct('{kind}' AS kind, x.s AS s, x.e AS e)))"
+    odds = math.log(least / (1 - least))
+    # A failed check (a card's check digit, an octet over 255) rules a span out, whatever the classifier says.
+    added = {k: f"transform(filter(wide_{k}, x -> substring(x.votes, {LABELERS.index('check') + 1}, 1) = '2' AND {model.score(k)} >= {odds!r}D), x -> struct(x.s AS s, x.e AS e))" for k in KINDS}
+    spans = [f"concat({', '.join(named(k, f'base_{k}') for k in KINDS)}) AS __base", f"concat({', '.join(named(k, f'concat(base_{k}, {added[k]})') for k in KINDS)}) AS __spans"]
+    held = settle(spotted.dropDuplicates(["__h1", "__h2"]).selectExpr("__h1 AS __k1", "__h2 AS __k2", *spans))
+    if held.count() <= MOST_HELD:
+        held = F.broadcast(held)
     keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
-    named = lambda kind, a: f"transform({a}, x -> struct('{kind}' AS kind, x.s AS s, x.e AS e))"
-    taken = F.array(*map(F.lit, good)) if good else F.expr("cast(array() AS array<string>)")
-    rows = rows.withColumn("taken", taken)
-    spans = [f"array_sort(concat({named(k, f'base_{k}')}, {named(k, f'filter(wide_{k}, w -> array_contains(taken, concat(\'{k}\', w.votes)))')}))" for k in KINDS]
-    out = rows.select(
-        *[F.col("__row")[c].alias(c) for c in keep],
-        F.expr(f"concat({', '.join(f'array_sort({named(k, f"base_{k}")})' for k in KINDS)})").alias("base"),
-        F.expr(f"concat({', '.join(spans)})").alias("spans"),
-    )
-    return sealed(out, ["base", "spans"])
+    rows = docs.select(*_hashed(F.col(text_col)), *[F.col(f"`{c}`") for c in keep])
+    rows = rows.join(held, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
+    none = F.expr("cast(array() AS array<struct<kind:string,s:int,e:int>>)")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__base", none).alias("base"), F.coalesce("__spans", none).alias("spans"))
 
 
 def joined(spans: str) -> F.Column:

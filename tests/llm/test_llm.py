@@ -157,6 +157,45 @@ def test_personal_data(spark):
     assert chance["card", "222225"] > 0.9 > 0.1 > chance["card", "200005"]
 
 
+def test_personal_data_by_force(spark):
+    """Base spans as the contract's patterns give them, in texts of pieces that touch and overlap, and in one with many."""
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    r = random.Random(5)
+    some = ["a@b.c", "1.2.3.4", "256.1.1.1", "4111111111111111", "4111 1111-1111 1111", "+1 (826) 555-4081", "+12", ".", "@", " ", "-", "é", "x", "7", "+", "(", "\n", "_", "a.b"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(1, 30))) for _ in range(400)]
+    texts += [" ".join(f"me{i}@host{i}.com 10.0.{i % 300}.1" for i in range(2500)), "1" * 5000, "1." * 3000, "a." * 3000 + "@", "+1" + "-" * 4000]
+    got = {x.doc_id: x.b for x in personal_data.find(docs(spark, texts)).select("doc_id", personal_data.joined("base").alias("b")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(f"{k}:{m.start()}:{m.end()}" for k, (p, good) in rules.items() for m in re.finditer(p, t) if good(m[0]))
+
+
+def test_personal_data_learns(spark):
+    """The classifier tells spans that labelers agree on from those of another shape, and never adds one that fails its check."""
+    good = [f"Call me, phone 212-555-{i:04d} today" for i in range(60)]
+    bad = [f"version 12 1234 {i:04d} x" for i in range(60)]
+    cards = [f"card: 4111 1111 1111 {i:04d}x" for i in range(100, 160)]
+    found = personal_data.find(docs(spark, good + bad + cards)).select("doc_id", personal_data.joined("spans").alias("s")).collect()
+    got = {x.doc_id: x.s for x in found}
+    assert sum(got[i] == "phone:15:27" for i in range(60)) == 60 and not any("phone" in got[i] for i in range(60, 120))
+    assert not any(got[i] for i in range(120, 180) if not personal_data_luhn(f"411111111111{i - 20:04d}"))
+    assert personal_data.find(docs(spark, ["x"]).limit(0)).count() == 0
+    same = personal_data.find(docs(spark, ["a@b.co"] * 3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("Base", F.lit(1)))
+    assert [x.base[0].s for x in same.collect()] == [0, 0, 0]
+
+
+def personal_data_luhn(d):
+    return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
 def test_url_filter(spark):
     rows = [(1, "http://a.example.com/en/5", None), (2, "https://www.b.org/x/", None), (3, "http://b.org/x", '<link rel="canonical" href="http://a.example.com/en/5">'), (4, None, None), (5, "none", ""), (6, "http://example.com/en/77", "<meta http-equiv='refresh' content='0;url=http://c.net/q'>"), (7, "http://m.c.net/q?x", None), (8, "HTTP://A.EXAMPLE.com/en/5#t", None)]
     rules = [("block", "com", "en/"), ("allow", "example.com", "en/7")]
