@@ -96,30 +96,29 @@ def _templates_sql() -> str:
     return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in TEMPLATES)
 
 
-def _links() -> list[str]:
-    from .url_filters import LINKS
-
-    return LINKS
-
-
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": f"""
-WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '(?s)^[^/?#]*', 0)")} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p),
-k AS (SELECT page_id, x FROM (SELECT page_id, unnest([{", ".join("regexp_extract(html, '{}', 1)".format(x.replace("'", "''")) for x in _links())}]) AS x FROM h) WHERE x <> ''),
-kr AS (SELECT page_id, CASE WHEN instr(x, '://') > 0 THEN substr(x, instr(x, '://') + 3) ELSE '' END AS rest FROM k),
-a AS (SELECT page_id, host, path FROM h UNION ALL
-  SELECT page_id, {_LOWER.format("regexp_extract(rest, '(?s)^[^/?#]*', 0)")}, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) FROM kr),
-n AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(host, '^(?:www|m|mobile|amp)\\.([^.]+\\.)', '\\1'), ':[0-9]+$', '')
-  || regexp_replace(regexp_replace(regexp_replace(path, '(?i)/index\\.(html?|php)$', '/'), '/+$', ''), '(?i)\\.html?$', '') AS name FROM a WHERE host <> ''),
+WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS whole FROM pages),
+q AS (SELECT page_id, html, split_part(whole, '#', 1) AS rest FROM p),
+h AS (SELECT page_id, html, {_LOWER.format("split_part(split_part(rest, '?', 1), '/', 1)")} AS host, substr(split_part(rest, '?', 1), len(split_part(split_part(rest, '?', 1), '/', 1)) + 1) AS path,
+  substr(rest, len(split_part(rest, '?', 1)) + 1) AS query FROM q),
+tag AS (SELECT page_id, t, replace(replace(lower(t), '"', ' '), chr(39), ' ') AS flat FROM (SELECT page_id, split_part(unnest(string_split(html, '<')[2:]), '>', 1) AS t FROM h)),
+link AS (SELECT page_id, trim(split_part(split_part(replace(t, chr(39), '"'), CASE WHEN starts_with(flat, 'link ') THEN 'href="' ELSE 'url=' END, 2), '"', 1)) AS x FROM tag
+  WHERE (starts_with(flat, 'link ') AND list_contains(string_split(flat, ' '), 'canonical')) OR (starts_with(flat, 'meta ') AND list_contains(string_split(flat, ' '), 'refresh'))),
+full_ AS (SELECT page_id, split_part(CASE WHEN instr(x, '://') > 0 THEN substr(x, instr(x, '://') + 3) WHEN starts_with(x, '//') THEN substr(x, 3) ELSE host || CASE WHEN starts_with(x, '/') THEN x ELSE regexp_replace(path, '[^/]*$', '') || x END END, '#', 1) AS rest
+  FROM link JOIN h USING (page_id) WHERE x <> ''),
+a AS (SELECT page_id, host, path, query FROM h UNION ALL
+  SELECT page_id, {_LOWER.format("split_part(split_part(rest, '?', 1), '/', 1)")}, substr(split_part(rest, '?', 1), len(split_part(split_part(rest, '?', 1), '/', 1)) + 1), substr(rest, len(split_part(rest, '?', 1)) + 1) FROM full_),
+n AS (SELECT DISTINCT page_id, host, path, host || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '?' THEN '' ELSE query END AS name FROM a WHERE host <> ''),
 e AS (SELECT DISTINCT x.page_id AS a, y.page_id AS b FROM n x JOIN n y USING (name)),
 r(a, b) AS (SELECT page_id, page_id FROM h UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS page_id, min(b) AS component FROM r GROUP BY a),
 u(verdict, rh, rp) AS (VALUES {", ".join(f"('{v}', '{x}', '/{y}')" for v, x, y in RULES)}),
-d AS (SELECT page_id, arg_max(rh || rp, len(rh) + len(rp)) AS rule, arg_max(u.verdict, len(rh) + len(rp)) AS verdict FROM h JOIN u ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY page_id),
-g AS (SELECT component, min(verdict) AS verdict FROM c JOIN d USING (page_id) GROUP BY component)
+d AS (SELECT page_id, arg_max(rh || rp, len(rh) + len(rp)) AS rule, arg_max(u.verdict, len(rh) + len(rp)) AS verdict FROM h JOIN u ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+v AS (SELECT page_id, name, arg_max(u.verdict, len(rh) + len(rp)) AS verdict FROM n JOIN u ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, name),
+g AS (SELECT component, min(verdict) AS verdict FROM c JOIN v USING (page_id) GROUP BY component)
 SELECT h.page_id, host, path, d.rule, coalesce(d.verdict, g.verdict, 'allow') AS verdict, c.component
 FROM h JOIN c USING (page_id) LEFT JOIN d USING (page_id) LEFT JOIN g USING (component)
 """,
