@@ -42,6 +42,11 @@ def sealed(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*rest, *[F.col("__made")[c].alias(c) for c in names])
 
 
+def keyed_by_text(text) -> list:
+    """Two 64-bit hashes of a text column, as __h1 and __h2: equal texts are one, whatever rows they are in."""
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), text).alias("__h2")]
+
+
 #: Edges that one task joins at a time.
 MOST_EDGES = 500_000
 

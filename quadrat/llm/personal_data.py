@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sealed, settle
+from .common import keyed_by_text, sealed, settle
 
 #: Texts that hold anything, up to which their spans are broadcast; beyond it rows are joined by the hash of the text.
 MOST_HELD = 50_000
@@ -142,13 +142,9 @@ def _free(kind: str) -> str:
     return f"filter(wide_{kind}, x -> NOT exists(base_all, b -> b.s < x.e AND x.s < b.e))"
 
 
-def _hashed(text: F.Column) -> list[F.Column]:
-    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), text).alias("__h2")]
-
-
 def _spotted(docs: DataFrame, text_col: str) -> DataFrame:
     """(__h1, __h2, base_<kind>, wide_<kind>) for every row whose text holds anything: valid base spans, and candidates with votes and shape."""
-    rows = docs.select(*_hashed(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = docs.select(*keyed_by_text(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = _with_spans(rows, BASE, "raw")
     for kind in KINDS:
         rows = rows.withColumn(f"base_{kind}", F.expr(f"transform(filter(raw_{kind}, x -> {CHECKS[kind]}), x -> struct(x.s AS s, x.e AS e))")).drop(f"raw_{kind}")
@@ -260,7 +256,7 @@ def find(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
     if held.count() <= MOST_HELD:
         held = F.broadcast(held)
     keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
-    rows = docs.select(*_hashed(F.col(text_col)), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(*keyed_by_text(F.col(text_col)), *[F.col(f"`{c}`") for c in keep])
     rows = rows.join(held, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     none = F.expr("cast(array() AS array<struct<kind:string,s:int,e:int>>)")
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__base", none).alias("base"), F.coalesce("__spans", none).alias("spans"))

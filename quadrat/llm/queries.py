@@ -79,7 +79,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses", "n_passages", "dice")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses", "n_templates", "dice")
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,16 +143,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """,
     "op9_license_scan": f"""
-WITH t AS (SELECT row_number() OVER () AS tid, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM (SELECT name, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM (VALUES {_templates_sql()}) v(name, text))),
-u AS (SELECT DISTINCT rid, doc_id, unit FROM (SELECT rid, doc_id, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit
-  FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents))),
-s AS (SELECT rid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT rid, unit, regexp_extract_all({_LOWER.format("unit")}, '[a-z0-9]+') AS w FROM u)),
-p AS (SELECT rid, unit, name, len(list_intersect(s.b, t.b)) AS c, len(s.b) + len(t.b) AS n FROM s JOIN t ON 80 * (len(s.b) + len(t.b)) <= 200 * least(len(s.b), len(t.b)) WHERE len(s.b) > 0),
-m AS (SELECT * FROM p WHERE 200 * c >= 80 * n),
-g AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT unit) AS n_passages, max(200 * c // n)::BIGINT AS dice FROM m GROUP BY rid)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_passages, 0) AS n_passages, coalesce(dice, 0) AS dice
-FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN g USING (rid)
+WITH tw AS (SELECT row_number() OVER () AS tid, name, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM (VALUES {_templates_sql()}) v(name, text)),
+tp AS (SELECT tid, name, len(w) AS n_words, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM tw),
+t AS (SELECT *, ceil(80 * len(b) / 120.0)::INT AS shared, least(ceil(80 * len(b) / 120.0)::INT, greatest(1, len(b) // 4)) AS least_ FROM (SELECT *, list_distinct(p) AS b FROM tp)),
+ta AS (SELECT tid, g FROM (SELECT tid, g, row_number() OVER (PARTITION BY tid ORDER BY len(g) DESC, g) AS k, len(b) - shared + least_ AS most FROM (SELECT tid, b, shared, least_, unnest(b) AS g FROM t)) WHERE k <= most),
+an AS (SELECT tid, g, unnest(list_filter(range(1, len(p) + 1), lambda i: p[i] = g)) AS q FROM ta JOIN t USING (tid)),
+d AS (SELECT rid, doc_id, x, regexp_extract_all({_LOWER.format("x")}, '[a-z0-9]+') AS w FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents)),
+dp AS (SELECT rid, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
+h AS (SELECT rid, tid, list_distinct(list(i - q)) AS lays FROM dp JOIN an USING (g) JOIN t USING (tid) GROUP BY rid, tid HAVING count(DISTINCT g) >= any_value(least_)),
+u AS (SELECT rid, w FROM (SELECT rid, regexp_extract_all({_LOWER.format("unit")}, '[a-z0-9]+') AS w FROM
+  (SELECT rid, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit FROM d WHERE rid IN (SELECT rid FROM h))) WHERE len(w) > 1),
+ps AS (SELECT rid, tid, NULL AS l, list_distinct(list_transform(range(1, len(u.w)), lambda i: u.w[i] || ' ' || u.w[i + 1])) AS s FROM u JOIN h USING (rid)
+  UNION ALL SELECT rid, tid, l, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) FROM
+  (SELECT rid, tid, l, w[greatest(l, 0) + 1:l + n_words] AS v FROM (SELECT rid, tid, unnest(lays) AS l FROM h) JOIN d USING (rid) JOIN t USING (tid))),
+pc AS (SELECT rid, tid, name, n_words, len(b) AS nb, l, c, 200 * c // n AS dice FROM (SELECT rid, tid, name, n_words, b, l, len(list_intersect(s, b)) AS c, len(s) + len(b) AS n FROM ps JOIN t USING (tid))),
+wn AS (SELECT rid, tid, l AS place FROM pc WHERE l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid, tid ORDER BY dice DESC, c DESC, l) = 1),
+ms AS (SELECT rid, tid, name, n_words, nb, place, max(dice) AS dice, arg_max(c, dice * 100000 + c) AS c FROM pc JOIN wn USING (rid, tid) GROUP BY ALL HAVING max(dice) >= 80),
+m AS (SELECT * FROM ms x WHERE NOT EXISTS (SELECT 1 FROM ms y WHERE y.rid = x.rid AND 2 * y.c - y.nb > 2 * x.c - x.nb AND y.place < x.place + x.n_words AND x.place < y.place + y.n_words)),
+g AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_templates, max(dice)::BIGINT AS dice FROM m GROUP BY rid)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_templates, 0) AS n_templates, coalesce(dice, 0) AS dice
+FROM d LEFT JOIN g USING (rid)
 """,
     "op2_near_duplicates": """
 WITH RECURSIVE w AS (

@@ -270,8 +270,57 @@ def test_winnowing(spark):
 
 
 def test_licenses(spark):
-    got = {r.doc_id: r for r in scan(docs(spark, [None, "", "x", "text\nReleased under the MIT license\nmore", "Released under the ABC thing", "Licensed under CC BY-NC 4.0."])).collect()}
-    assert [got[i].licenses for i in range(6)] == ["", "", "", "MIT", "", "CC-BY-NC-4.0"] and got[5].dice == 100
+    mit = """Copyright (c) 2019 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    gpl = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */ int main() {}"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer."""
+    texts = [None, "", "x", "text\nReleased under the MIT license\nmore", "Released under the ABC thing", "Licensed under CC BY-NC 4.0.", "Copyright 2024 X. All rights reserved. Released under the MIT License.", mit, "code " * 500 + gpl, bsd, gpl, gpl]
+    df = docs(spark, texts).withColumn("Dice", F.lit("x"))
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert [got[i].licenses for i in range(12)] == ["", "", "", "MIT", "", "CC-BY-NC-4.0", "MIT", "MIT", "GPL-3.0", "BSD", "GPL-3.0", "GPL-3.0"]
+    assert got[5].dice == 100 and got[3].n_templates == 1
+    assert scan(df.limit(0)).count() == 0
+    own = scan(df, spark.createDataFrame([("own", "code code int main"), ("none", "word")], "name string, text string"))
+    assert [r.licenses for r in own.collect() if r.licenses] == []
+
+
+def test_licenses_sql(spark, tmp_path):
+    """The registered SQL agrees on texts that hold altered notices among other words."""
+    import duckdb
+
+    from quadrat.llm.licenses import TEMPLATES
+    from quadrat.llm.queries import ORACLE_SQL
+
+    r = random.Random(8)
+    texts = [None, ""]
+    for i in range(60):
+        w = TEMPLATES[i % len(TEMPLATES)][1].split()
+        for _ in range(r.randrange(1 + len(w) // 6)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], ["other"], [w[k], "and"], [w[k] + "\n"], [w[k] + "\n\n"]])
+        texts.append(r.choice(["", "Some words before. ", "a line\n"]) + " ".join(w) + r.choice(["", " and words after", "\nend"]))
+    df = docs(spark, texts)
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    wanted = sorted(own.sql(ORACLE_SQL["op9_license_scan"]).fetchall())
+    assert sorted(tuple(x) for x in scan(df).select("doc_id", "licenses", "n_templates", "dice").collect()) == wanted
+    assert 20 < sum(bool(x[1]) for x in wanted) < 60
 
 
 def test_sentence_spans(spark):
