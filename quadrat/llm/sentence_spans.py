@@ -13,9 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, _powers, arrow_bytes, mix64, pieces, released, span_hashes, words_of
+from .common import LOWER, _powers, arrow_bytes, mix64, pieces, released, settle, span_hashes, words_of
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: Spans to remove, of 8 bytes each, up to which they are broadcast; beyond it they and the texts are shuffled.
+MOST_MARKS = 4_000_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -116,7 +118,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The xor hides how this side is partitioned, so it is dealt out again and a hot span's partition can be split.
     repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "lead")
     later = every.join(repeated, ["h1", "h2"]).where("NOT (struct(id, at) <=> lead)")
-    gone = later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
+    gone = settle(later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone")))
+    marks = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    if marks <= MOST_MARKS:
+        gone = F.broadcast(gone)
     keep = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
     both = rows.join(gone, F.col("__id").eqNullSafe(F.col("id")), "left").select("__text", "__row", "gone")
