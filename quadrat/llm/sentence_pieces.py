@@ -4,9 +4,10 @@ Agenda. A text is split where no piece can reach across (before a space that fol
 ends), so each part is merged alone. A part starts as its characters; the agenda holds the neighbouring pairs whose
 joined string is a piece, and the pair with the best score, then the leftmost, is merged, until none is left.
 
-Dropout. A candidate is named by its part, its start and its end. A hash of that name under the seed and a variant
-number decides whether the merge is skipped, so a skip is the same in every run and on every machine. The variant
-turns with the document's key and the part's place in it, so a word is segmented in up to `variants` ways.
+Dropout. A candidate is named by its document, the part's place in it, and its start and end in the part. A hash of that
+name under the seed decides whether the merge is skipped, so every occurrence of a word draws anew, and a skip is the
+same in every run and on every machine. A part's own segmentation is kept with the candidates that came up in it: an
+occurrence that skips none of them is segmented so, and any other is merged by itself.
 
 Whatever is skipped, the pieces of a part spell the part: decoding returns the text. Characters outside the model, and
 the character U+2581 that stands for a space, are written as byte pieces.
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, pieces, released
+from .common import mix64, pieces, released
 
 MARK = "▁"
 #: Stands in a part for U+2581 of the text itself; a lone surrogate is in no valid text.
@@ -31,12 +32,15 @@ OWN_MARK = "\udc81"
 PARTS = re.compile(r" *[^ \n]+| +|\n")
 #: Characters from which a part is merged with a heap.
 LONG = 400
+#: The place in the agenda of a pair that joins to nothing.
+NONE = 1 << 30
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Encoder:
     """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, most_parts: int = 200_000):
+    def __init__(self, path: str, dropout: float, most_parts: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,6 +59,8 @@ class Encoder:
                 plain[name] = i
                 self.spelled.append(name.replace(MARK, " ").encode())
         self.letters = {x: i for x, i in plain.items() if len(x) == 1}
+        self.letter_ids = np.full(max(map(ord, self.letters)) + 1, size, np.int32)
+        self.letter_ids[[ord(x) for x in self.letters]] = list(self.letters.values())
         self.unknown = size  # characters outside the model join with nothing
         joins = {}
         for name, i in plain.items():
@@ -63,76 +69,113 @@ class Encoder:
                 if a is not None and b is not None:
                     joins[a * (size + 1) + b] = i
         self.base = size + 1
-        self.pairs = np.array(sorted(joins), np.int64)
-        self.joined = np.array([joins[k] for k in self.pairs.tolist()], np.int64)
+        # Joins in an open hash table of a power of two; most probes find their pair or an empty slot at once.
+        self.mask = (1 << (4 * len(joins)).bit_length()) - 1
+        self.pairs = np.full(self.mask + 1, -1, np.int64)
+        self.joined = np.zeros(self.mask + 1, np.int32)
+        left, slot = np.array(list(joins), np.int64), self.slot(np.array(list(joins), np.int64))
+        value = np.array(list(joins.values()), np.int32)
+        while len(left):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.pairs[slot[first]] < 0]
+            self.pairs[slot[first]], self.joined[slot[first]] = left[first], value[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slot, value = left[rest], slot[rest] + 1 & self.mask, value[rest]
         #: The place of a piece in the order of scores, the best first; ties stay in the order of ids.
         order = sorted(plain.values(), key=lambda i: -model.get_score(i))
-        self.place = np.zeros(size + 1, np.int64)
+        self.place = np.zeros(size + 1, np.int32)
         self.place[order] = np.arange(len(order))
         self.bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-        self.dropout, self.variants, self.most_parts = dropout, (variants if dropout else 1), most_parts
-        self.variant_keys = keyed(seed, self.variants)
+        self.dropout, self.most_parts = dropout, most_parts
+        #: The bytes of all pieces, laid end to end.
+        self.letters_of = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.length = np.array([len(x) for x in self.spelled], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.parts: list[str] = []
-        self.at = np.full(1024 * self.variants, -1, np.int64)
-        self.size = np.zeros(1024 * self.variants, np.int32)
+        # Of each part: where its own segmentation is kept, and the candidates that came up in it.
+        self.at, self.size = np.full(1024, -1, np.int64), np.zeros(1024, np.int64)
+        self.span_at, self.span_n, self.lens = (np.zeros(1024, np.int64) for _ in range(3))
+        self.spans, self.span_fill = np.zeros(1 << 16, np.uint64), 0
         self.flat, self.fill = np.zeros(1 << 16, np.int32), 0
 
-    def best(self, left: np.ndarray, right: np.ndarray, name: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * PLACE >> np.uint64(24)).astype(np.int64) & self.mask
+
+    def skipped(self, name: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Whether candidates are skipped, by the names of their occurrences and start << 32 | end."""
+        return mix64(name ^ mix64(span)) < self.bar
+
+    def best(self, left: np.ndarray, right: np.ndarray, name: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For candidate pairs: the joined piece's place in the agenda (a large number if there is none or it is skipped), and the piece."""
-        key = left * self.base + right
-        k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        found = self.pairs[k] == key
+        key = left.astype(np.int64) * self.base + right
+        k = self.slot(key)
+        there = self.pairs[k]
+        odd = np.flatnonzero((there != key) & (there >= 0))
+        while len(odd):
+            k[odd] = k[odd] + 1 & self.mask
+            there[odd] = self.pairs[k[odd]]
+            odd = odd[(there[odd] != key[odd]) & (there[odd] >= 0)]
+        found = there == key
         piece = self.joined[k]
-        if self.dropout:
-            found &= mix64(name ^ mix64((start.astype(np.uint64) << np.uint64(32)) | end.astype(np.uint64))) >= self.bar
-        return np.where(found, self.place[piece], 1 << 40), piece
-
-    def merge(self, words: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of the words, all of about one length, laid end to end, and their numbers; names: the hash of each."""
-        n, longest = len(words), max(map(len, words))
+        if name is not None:
+            found &= ~self.skipped(name, (start.astype(np.uint64) << np.uint64(32)) | end.astype(np.uint64))
+        return np.where(found, self.place[piece], np.int32(NONE)), piece
+
+    def merge(self, words: list[str], sizes: np.ndarray, names: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the words, all of about one length, laid end to end, and their numbers. names: of the occurrences; None for no skips."""
+        name = (lambda r: None) if names is None else names.__getitem__
+        seen: list[tuple] = []  # candidates without skips, for learn()
+        n, longest = len(words), int(sizes.max())
         text = "".join(words)
-        sizes = np.array([len(w) for w in words], np.int64)
-        letters = np.fromiter(map(self.letters.get, text, [self.unknown] * len(text)), np.int64, len(text))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.where(points < len(self.letter_ids), self.letter_ids[np.minimum(points, len(self.letter_ids) - 1)], self.unknown)
         row = np.repeat(np.arange(n), sizes)
         col = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.full((n, longest + 1), self.unknown, np.int64)
+        ids = np.full((n, longest + 1), self.unknown, np.int32)
         ids[row, col] = letters
         # A linked list in each row: the next live symbol's column, and the one before it.
-        nxt = np.broadcast_to(np.arange(1, longest + 2), (n, longest + 1)).copy()
+        nxt = np.broadcast_to(np.arange(1, longest + 2, dtype=np.int32), (n, longest + 1)).copy()
         prv = nxt - 2
         live = np.zeros((n, longest + 1), bool)
         live[row, col] = True
-        rank = np.full((n, longest + 1), 1 << 40, np.int64)
-        piece = np.zeros((n, longest + 1), np.int64)
+        rank = np.full((n, longest + 1), NONE, np.int32)
+        piece = np.zeros((n, longest + 1), np.int32)
         have = col + 1 < sizes[row]
         r, c = row[have], col[have]
-        rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, c + 1], names[r], c, c + 2)
+        rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, c + 1], name(r), c, c + 2)
+        if names is None:
+            seen.append((r, c, c + 2, rank[r, c]))
         todo = np.arange(n)
         while len(todo):
             own = rank[todo]
             at = own.argmin(1)
-            good = own[np.arange(len(todo)), at] < 1 << 40
+            good = own[np.arange(len(todo)), at] < NONE
             todo, at = todo[good], at[good]
             if not len(todo):
                 break
             after = nxt[todo, at]
             ids[todo, at] = piece[todo, at]
             live[todo, after] = False
-            rank[todo, after] = 1 << 40
+            rank[todo, after] = NONE
             then = nxt[todo, after]
             nxt[todo, at] = then
             inside = then < sizes[todo]
             prv[todo[inside], then[inside]] = at[inside]
-            rank[todo, at] = 1 << 40
+            rank[todo, at] = NONE
             r, c, d = todo[inside], at[inside], then[inside]
-            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], names[r], c, nxt[r, d])
+            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], name(r), c, nxt[r, d])
+            if names is None:
+                seen.append((r, c, nxt[r, d], rank[r, c]))
             before = prv[todo, at]
             r, c, d = todo[before >= 0], before[before >= 0], at[before >= 0]
-            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], names[r], c, nxt[r, d])
+            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], name(r), c, nxt[r, d])
+            if names is None:
+                seen.append((r, c, nxt[r, d], rank[r, c]))
         kept = live[row, col]
         out, owner = ids[row, col][kept], row[kept]
         odd = np.flatnonzero(out == self.unknown)
@@ -143,29 +186,37 @@ class Encoder:
             times[odd] = [len(x) for x in spelled]
             out, owner = np.repeat(out, times), np.repeat(owner, times)
             out[np.repeat(np.isin(np.arange(len(times)), odd), times)] = np.concatenate(spelled)
+        if names is None and self.dropout:
+            r, c, d, k = (np.concatenate(x) for x in zip(*seen, strict=True))
+            good = k < NONE
+            r, spans = r[good], (c[good].astype(np.int64) << 32 | d[good]).astype(np.uint64)
+            order = np.argsort(r, kind="stable")
+            self.told = spans[order], np.bincount(r, minlength=n)
         return out, np.bincount(owner, minlength=n)
 
     def spell_out(self, letter: str) -> np.ndarray:
         """The byte pieces of a character that the model has no piece for."""
         return self.bytes[list((MARK if letter == OWN_MARK else letter).encode())]
 
-    def merge_long(self, word: str, name: np.uint64) -> list[int]:
+    def merge_long(self, word: str, name: np.uint64 | None) -> list[int]:
         """merge() for one long word, with the agenda in a heap."""
         n = len(word)
         ids = [self.letters.get(x, self.unknown) for x in word]
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        names = np.full(n - 1, name)
+        names = None if name is None else np.full(max(n - 1, 1), name)
         col = np.arange(n - 1)
         flat = np.array(ids)
-        rank, piece = self.best(flat[:-1], flat[1:], names, col, col + 2)
-        agenda = [(r, i, i + 2, p) for r, i, p in zip(rank.tolist(), col.tolist(), piece.tolist(), strict=True) if r < 1 << 40]
+        rank, piece = self.best(flat[:-1], flat[1:], None if names is None else names[: n - 1], col, col + 2)
+        seen = [i << 32 | i + 2 for i in col[rank < NONE].tolist()]
+        agenda = [(r, i, i + 2, p) for r, i, p in zip(rank.tolist(), col.tolist(), piece.tolist(), strict=True) if r < NONE]
         heapq.heapify(agenda)
         live = [True] * n
 
         def offer(i: int, j: int) -> None:
             one = lambda x: np.array([x], np.int64)
-            r, p = self.best(one(ids[i]), one(ids[j]), names[:1], one(i), one(end[j]))
-            if r[0] < 1 << 40:
+            r, p = self.best(one(ids[i]), one(ids[j]), None if names is None else names[:1], one(i), one(end[j]))
+            if r[0] < NONE:
+                seen.append(i << 32 | end[j])
                 heapq.heappush(agenda, (int(r[0]), i, end[j], int(p[0])))
 
         while agenda:
@@ -179,18 +230,19 @@ class Encoder:
                 offer(i, stop)
             if before[i] >= 0:
                 offer(before[i], i)
+        self.told = np.array(seen, np.uint64), np.array([len(seen)])
         out: list[int] = []
         for i in range(n):
             if live[i]:
                 out += self.spell_out(word[i]).tolist() if ids[i] == self.unknown else [ids[i]]
         return out
 
-    def learn(self, keys: np.ndarray) -> None:
-        """Segment the parts named by keys = part * variants + variant."""
-        words = [self.parts[k] for k in (keys // self.variants).tolist()]
-        names = np.array([hash_text(w) for w in words], np.uint64) ^ self.variant_keys[keys % self.variants]
-        sizes = np.array([len(w) for w in words])
+    def learn(self, part: np.ndarray, names: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Segment parts by number, and say where in `flat` their pieces are and how many there are. Without names, keep their candidates."""
+        words = [self.parts[k] for k in part.tolist()]
+        sizes = self.lens[part]
         order = np.argsort(sizes, kind="stable")
+        where, total = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         i = 0
         while i < len(order):
             longest = sizes[order[i]]
@@ -199,79 +251,108 @@ class Encoder:
             pick = order[i:j]
             if longest > LONG:
                 pick = order[i : i + 1]
-                j, out = i + 1, np.array(self.merge_long(words[pick[0]], names[pick[0]]), np.int64)
+                j, out = i + 1, np.array(self.merge_long(words[pick[0]], None if names is None else names[pick[0]]), np.int64)
                 number = np.array([len(out)])
             else:
-                out, number = self.merge([words[k] for k in pick], names[pick])
+                out, number = self.merge([words[k] for k in pick.tolist()], sizes[pick], None if names is None else names[pick])
             while self.fill + len(out) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.fill : self.fill + len(out)] = out
-            self.at[keys[pick]] = self.fill + np.cumsum(number) - number
-            self.size[keys[pick]] = number
+            if names is None and self.dropout:
+                spans, n = self.told
+                while self.span_fill + len(spans) > len(self.spans):
+                    self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+                self.spans[self.span_fill : self.span_fill + len(spans)] = spans
+                self.span_at[part[pick]], self.span_n[part[pick]] = self.span_fill + np.cumsum(n) - n, n
+                self.span_fill += len(spans)
+            where[pick] = self.fill + np.cumsum(number) - number
+            total[pick] = number
             self.fill += len(out)
             i = j
-
-    def encode(self, texts: list[str], turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of the texts, laid end to end, and their numbers. turns: where each text starts among the variants."""
-        if len(self.parts) > self.most_parts or self.fill > 16 * self.most_parts:
+        return where, total
+
+    def varied(self, part: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The occurrences of parts that skip a candidate of the part's own segmentation, by number."""
+        out = []
+        ends = np.cumsum(self.span_n[part])
+        lo = 0
+        while lo < len(part):  # some candidates at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000, "right")))
+            n = self.span_n[part[lo:hi]]
+            owner = np.repeat(np.arange(lo, hi), n)
+            at = np.arange(len(owner)) + np.repeat(self.span_at[part[lo:hi]] - np.cumsum(n) + n, n)
+            hit = owner[self.skipped(names[owner], self.spans[at])]
+            out.append(hit[np.concatenate([[True], hit[1:] != hit[:-1]])] if len(hit) else hit)
+            lo = hi
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the texts, laid end to end, and their numbers. names: of the documents, as uint64."""
+        if len(self.parts) > self.most_parts or self.fill > 40 * self.most_parts:
             self.clear()
-        index, split = self.index, [PARTS.findall(" " + t) if t else [] for t in texts]
+        split = [PARTS.findall(" " + t) if t else [] for t in texts]
         flat = [x for s in split for x in s]
-        for x in flat:
-            if x not in index:
-                index[x] = len(self.parts)
-                self.parts.append(x.replace(MARK, OWN_MARK).replace(" ", MARK))
+        had = len(self.parts)
+        for x in set(flat).difference(self.index):
+            self.index[x] = len(self.parts)
+            self.parts.append(x.replace(MARK, OWN_MARK).replace(" ", MARK))
+        while len(self.parts) > len(self.at):
+            self.at = np.concatenate([self.at, np.full(len(self.at), -1)])
+            self.size, self.span_at, self.span_n, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.span_at, self.span_n, self.lens))
+        self.lens[had : len(self.parts)] = list(map(len, self.parts[had:]))
+        part = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         number = np.array([len(s) for s in split], np.int64)
-        part = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
-        key = part * self.variants + (place + np.repeat(turns % self.variants, number)) % self.variants
-        while len(self.parts) * self.variants > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.full_like(self.at, -1)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        new = np.unique(key[self.at[key] < 0])
+        new = np.unique(part[self.at[part] < 0])
         if len(new):
-            self.learn(new)
-        sizes = self.size[key].astype(np.int64)
+            self.at[new], self.size[new] = self.learn(new, None)
+        where, sizes, own_fill = self.at[part], self.size[part], self.fill
+        if self.dropout:
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
+            own = mix64(np.repeat(names, number) ^ (place.astype(np.uint64) + np.uint64(1)) * PLACE)
+            some = self.varied(part, own)
+            if len(some):
+                where[some], sizes[some] = self.learn(part[some], own[some])
+        self.fill = own_fill  # what skips gave isn't kept
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[key] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(where - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(number)])]
         return ids, np.diff(total)
 
-    def decode(self, ids: list[int]) -> str:
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "replace")
-
-
-def hash_text(text: str) -> int:
-    """A 64-bit hash of the text, the same on every machine."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts that lists of ids spell."""
+        number = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        sizes = self.length[flat]
+        ends = np.cumsum(sizes)
+        spelled = self.letters_of[np.repeat(self.begin[flat] - (ends - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(number)])].tolist()
+        # each begins with the space that was put before it
+        return [spelled[i + 1 : j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(2)
-def encoder(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, dropout: float) -> Encoder:
     """One for each worker process, kept between tasks."""
-    return Encoder(path, dropout, seed, variants)
+    return Encoder(path, dropout)
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
     """The rows of docs with the piece ids of each whole text and their number.
 
     A null text has null ids and no tokens; an empty one has no ids. dropout 0 gives the library's own encoding (but
-    for U+2581). Repeated rows are encoded alike. Columns of docs that have the new columns' names are replaced.
+    for U+2581). Rows of one id draw alike, so repeated rows are encoded alike; a null id is an id like others. Columns of docs that have the new columns' names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (ids_col.lower(), n_col.lower())]
-    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("__turn"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("__name"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
 
     def batches(it) -> Iterator:
         import pyarrow as pa
 
-        own = encoder(model, dropout, seed, variants)
+        own = encoder(model, dropout)
         for batch in it:
             for part in pieces(batch, 1 << 20, "__text"):
                 texts = part.column("__text").to_pylist()
-                turns = np.asarray(part.column("__turn")).astype(np.int64) & 0xFFFF
-                ids, number = own.encode([t or "" for t in texts], turns)
+                ids, number = own.encode([t or "" for t in texts], np.asarray(part.column("__name")).view(np.uint64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
                 yield pa.record_batch([part.column("__row"), lists, pa.array(number, pa.int64())], ["__row", "__ids", "__n"])
@@ -285,7 +366,17 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
 
     @F.pandas_udf("string")
     def spell(ids):
-        own = encoder(model, 0.0, 0, 1)
-        return ids.map(lambda x: None if x is None else own.decode(x.tolist()))
+        import pandas as pd
+
+        own = encoder(model, 0.0)
+        out = pd.Series([None] * len(ids), dtype=object)
+        some = np.flatnonzero(ids.notna().to_numpy())
+        ends = np.cumsum([len(ids.iloc[k]) for k in some])
+        lo = 0
+        while lo < len(some):  # some ids at a time, whole texts
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 300_000, "right")))
+            out.iloc[some[lo:hi]] = own.decode(ids.iloc[some[lo:hi]].tolist())
+            lo = hi
+        return out
 
     return encoded.withColumn(text_col, spell(F.col(ids_col)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.llm import personal_data
-from quadrat.llm.common import components, joined_nodes, mix64
+from quadrat.llm.common import components, joined_nodes, keyed, mix64
 from quadrat.llm.cover_tree import near_vectors
 from quadrat.llm.language_id import identify, train
 from quadrat.llm.licenses import scan
@@ -51,6 +51,51 @@ def test_sentence_pieces(spark):
     assert encode(df.limit(0), MODEL).count() == 0
 
 
+def test_sentence_pieces_by_force():
+    """With dropout, each occurrence is merged as a plain agenda with the same skips merges it."""
+    from quadrat.llm import sentence_pieces as m
+
+    own = m.Encoder(MODEL, 0.3)
+    texts = [t or "" for t in ODD] + [prose(3, 400), "été über " * 50, "internationalization " * 40, "ab" * 300]
+    names = keyed(9, len(texts))
+    for _ in range(2):  # the second time from what is kept
+        ids, number = own.encode(texts, names)
+    got = np.split(ids, np.cumsum(number)[:-1])
+    one = lambda x: np.array([x], np.uint64)
+    joins = {}
+
+    def joined(a, b):
+        if (a, b) not in joins:
+            place, piece = own.best(np.array([a]), np.array([b]), None, np.zeros(1), np.zeros(1))
+            joins[a, b] = (int(place[0]), int(piece[0]))
+        return joins[a, b]
+
+    def merged(part, name):
+        part = part.replace(m.MARK, m.OWN_MARK).replace(" ", m.MARK)
+        live = [(i, i + 1, own.letters.get(x, own.unknown)) for i, x in enumerate(part)]
+        while True:
+            best = None
+            for k, (x, y) in enumerate(zip(live, live[1:], strict=False)):
+                place, piece = joined(x[2], y[2])
+                if place < m.NONE and not own.skipped(one(name), one(x[0] << 32 | y[1]))[0] and (best is None or place < best[0]):
+                    best = place, k, piece
+            if best is None:
+                return [i for a, _, i in live for i in (own.spell_out(part[a]).tolist() if i == own.unknown else [i])]
+            _, k, piece = best
+            live[k : k + 2] = [(live[k][0], live[k + 1][1], piece)]
+
+    varied = 0
+    for t, name, ids in zip(texts, names, got, strict=True):
+        parts = m.PARTS.findall(" " + t) if t else []
+        if len(parts) > 120 or max(map(len, parts), default=0) > 700:
+            parts = parts[:120]  # of long ones the beginning is enough here
+        wanted = [i for place, p in enumerate(parts) if len(p) <= 700 for i in merged(p, int(mix64(one(name) ^ one(place + 1) * m.PLACE)[0]))]
+        assert ids[: len(wanted)].tolist() == wanted
+        varied += len({tuple(merged(" internationalization", int(mix64(one(name) ^ one(k + 1) * m.PLACE)[0]))) for k in range(40)})
+    assert varied > 8 * len(texts)  # a word has many segmentations
+    assert own.decode(got) == texts
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
