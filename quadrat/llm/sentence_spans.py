@@ -3,8 +3,8 @@
 A sentence ends at a line end, or at . ! ? before white space. One of more than `longest` words is cut into pieces of
 `longest` at most, at places chosen by the words around them, so that a passage is cut alike wherever it stands. From
 every sentence starts one span and at every sentence ends one: the fewest consecutive sentences, two at least, that hold
-`least_words` words. Spans are compared by two 64-bit hashes of their lower-cased words. Of equal spans anywhere, the one with the
-smallest (id, sentence number) is the first; the sentences of all others are removed.
+`least_words` words. Spans are compared by 96 bits of hashes of their lower-cased words. Of equal spans anywhere, the
+first in the document of the smallest id stays; the sentences of all others are removed.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, _powers, arrow_bytes, mix64, pieces, released, settle, span_hashes, words_of
+from .common import LOWER, _powers, arrow_bytes, mix64, pieces, released, span_hashes, words_of
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-#: Spans to remove, of 8 bytes each, up to which they are broadcast; beyond it they and the texts are shuffled.
-MOST_MARKS = 4_000_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -84,11 +82,11 @@ def span_hash_pairs(s: Sentences, least_words: int) -> tuple[np.ndarray, np.ndar
         low, high = s.first[a], s.stop[b - 1]
         raw = (total[high] - total[low]) * _powers(pow(base, -1, 2**64), len(word) + 1)[low]
         out.append(mix64(raw ^ (high - low).astype(np.uint64)).view(np.int64))
-    return a, b, out[0], out[1]
+    return a, b, out[0], (out[1] >> 32).astype(np.int32)
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest: int) -> DataFrame:
-    """(h1, h2, id, at, size): every span; at: the number of its first sentence in its text."""
+    """(h1, h2, id, at, size, again): every span; at: the number of its first sentence in its text; again: the text has it before."""
 
     def batches(it):
         import pyarrow as pa
@@ -99,29 +97,32 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest
                 s = Sentences(data, offsets, longest)
                 a, b, h1, h2 = span_hash_pairs(s, least_words)
                 at = a - np.searchsorted(s.owner, s.owner[a], "left")
-                yield pa.record_batch([pa.array(h1), pa.array(h2), part.column("id").take(pa.array(s.owner[a])), pa.array(at.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["h1", "h2", "id", "at", "size"])
+                order = np.lexsort((a, h2, h1, s.owner[a]))
+                k = order[1:], order[:-1]
+                again = np.zeros(len(a), bool)
+                again[k[0]] = (h1[k[0]] == h1[k[1]]) & (h2[k[0]] == h2[k[1]]) & (s.owner[a[k[0]]] == s.owner[a[k[1]]])
+                columns = [pa.array(h1), pa.array(h2), part.column("id").take(pa.array(s.owner[a])), pa.array(at.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(again)]
+                yield pa.record_batch(columns, ["h1", "h2", "id", "at", "size", "again"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(released(batches), f"h1 long, h2 long, id {rows.schema['id'].dataType.simpleString()}, at int, size int")
+    return rows.mapInArrow(released(batches), f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, at int, size int, again boolean")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, longest: int = 16) -> DataFrame:
     """The rows with repeated spans taken out of the text, and n_sentences and n_removed.
 
     A sentence goes with the white space after it. Null stays null; texts shorter than a span stay as they are. Rows
-    that share an id are one document: what is removed is removed from each. A null id is smaller than others.
+    that share an id are one document: the first place of a span stays in each of them, and what is removed (by the
+    numbers of sentences) is removed from each. A null id is larger than others.
     Columns named n_sentences or n_removed are replaced.
     """
     every = spans(docs, id_col, text_col, least_words, longest)
     # One row for each repeated span; occurrences are combined before the shuffle, so a hot passage is one row a task.
-    repeated = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("lead"), F.max(F.struct("id", "at")).alias("last")).where("lead <> last")
+    repeated = every.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     # The xor hides how this side is partitioned, so it is dealt out again and a hot span's partition can be split.
     repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "lead")
-    later = every.join(repeated, ["h1", "h2"]).where("NOT (struct(id, at) <=> lead)")
-    gone = settle(later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone")))
-    marks = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
-    if marks <= MOST_MARKS:
-        gone = F.broadcast(gone)
+    later = every.join(repeated, ["h1", "h2"]).where("again OR NOT (id <=> lead)")
+    gone = later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
     keep = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
     both = rows.join(gone, F.col("__id").eqNullSafe(F.col("id")), "left").select("__text", "__row", "gone")

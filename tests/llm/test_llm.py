@@ -376,6 +376,44 @@ def test_sentence_spans(spark):
     assert got[0].text == texts[0] and got[4].text == texts[4] and got[1].text is None and got[5].text.startswith("start.")
 
 
+def test_sentence_spans_by_force(spark):
+    """Against every run of the same sentences in plain Python: what is removed is what lies in a repeated span that isn't the first."""
+    from quadrat.llm import sentence_spans as m
+
+    r = random.Random(4)
+    common = [[" ".join(prose(100 + k, n).replace(".", "").split()) + "." for n in (9, 7, 12, 5, 15)] for k in range(6)]
+    texts = []
+    for i in range(40):
+        own = [" ".join(prose(500 + i * 10 + k, r.randrange(3, 16)).replace(".", "").split()) + "." for k in range(r.randrange(1, 6))]
+        for _ in range(r.randrange(3)):
+            c = r.choice(common)
+            lo = r.randrange(len(c))
+            own[(k := r.randrange(len(own) + 1)) : k] = c[lo : r.randrange(lo + 1, len(c) + 1)]
+        texts.append(" ".join(own))
+    texts += [texts[5], None, "", "x"]
+    split = [re.findall(r"[^.]+\.", t or "") or ([t] if t else []) for t in texts]
+
+    def spans(sentences):
+        n = [len(x.split()) for x in sentences]
+        starts = [(i, next((j for j in range(i + 2, len(n) + 1) if sum(n[i:j]) >= 25), None)) for i in range(len(n))]
+        ends = [(next((i for i in range(j - 2, -1, -1) if sum(n[i:j]) >= 25), None), j) for j in range(1, len(n) + 1)]
+        return sorted({(i, j) for i, j in starts + ends if i is not None and j is not None})
+
+    first, number = {}, {}
+    for d, sentences in enumerate(split):
+        for i, j in spans(sentences):
+            key = tuple(" ".join(sentences[i:j]).lower().split())
+            first.setdefault(key, (d, i))
+            number[key] = number.get(key, 0) + 1
+    gone = [{k for i, j in spans(x) if first[key := tuple(" ".join(x[i:j]).lower().split())] != (d, i) for k in range(i, j)} for d, x in enumerate(split)]
+    got = {x.doc_id: x for x in remove_repeats(docs(spark, texts).repartition(3)).collect()}
+    assert [got[i].n_removed for i in range(len(texts))] == [len(g) for g in gone]
+    assert [len(split[i]) for i in range(40)] == [got[i].n_sentences for i in range(40)] and sum(map(len, gone)) > 20
+    assert all((got[i].text or "").split() == " ".join(s for k, s in enumerate(split[i]) if k not in gone[i]).split() for i in range(len(texts)))
+    same = remove_repeats(docs(spark, texts[:2] * 2).withColumn("doc_id", F.lit(7)).withColumn("N_removed", F.lit("x"))).collect()
+    assert len(same) == 4 and remove_repeats(docs(spark, texts).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("lengths", [[30, 30, 5], [30, 14, 3, 2], [70]])
 def test_sentence_spans_cover(lengths):
     """All of a passage that repeats lies in common spans, but for what is near its ends within a long sentence."""
