@@ -7,10 +7,12 @@ position in that suffix, the last token of the prefix ending there and its token
 These states are finite in number; they are determinised lazily and interned. Reading a byte leads to one state and
 emits the change of the token count, so the tokens of a text are the sum of what its transitions emit.
 
-Runs. Each text is cut into chunks. A chunk with a pre-token start in it maps every entry state to the same exit
-state; only its head, before that start, depends on the entry. Chunks without one (inside a very long pre-token)
-pass their entry on. All chunks of a batch run side by side in NumPy, and the maps compose along each text in a scan:
-exits are guessed, entries set to the exits before them, and chunks whose entry changed run again until none does.
+Runs. Each text is cut into chunks. A chunk with a pre-token start in it leaves in the same state whatever its entry; only its
+head, before that start, depends on the entry. A chunk without one (inside a very long pre-token) is a map from entry states to exit states and
+counts. All chunks of a batch run side by side in NumPy. Maps are made for the states that can occur: from guessed
+entries, the exits of one chunk are entries of the next until no new one comes up, which is soon, as runs from different
+states meet after some bytes (and else cycle through few states). The maps are then composed in a parallel scan: the entries of maps
+point at the entries they lead to, and pointers and sums double until they reach the end of their pre-token.
 """
 
 from __future__ import annotations
@@ -80,8 +82,6 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     """Counts tokens of byte-level BPE. most_states bounds memory: beyond it the table is emptied and built anew."""
 
-    BIAS, SHIFT = 64, 7
-
     def __init__(self, path: str, most_states: int = 250_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -91,6 +91,9 @@ class Transducer:
         self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
         tokens = dict.fromkeys([bytes([b]) for b in range(256)] + [a + b for a, b in self.ranks])
         self.tokens = [t for t in tokens if self.split(t) == [t]]
+        # A byte changes the count by 1 at most upwards, and downwards by less than the bytes of a token.
+        self.SHIFT = max(map(len, self.tokens)).bit_length() + 1
+        self.BIAS = 1 << self.SHIFT - 1
         #: Added tokens: the library takes their strings out of a text before all else, as one token each.
         self.special = [x["content"] for x in told["added_tokens"]]
         self.most_states = most_states
@@ -174,7 +177,7 @@ class Transducer:
             if last < 0 or self.fit(last, token):
                 break
         else:
-            raise AssertionError("no token fits")
+            raise ValueError("the merges are not those of a byte-level BPE")
         change = count + 1
         keep = self.depth[node]
         return (node, (*((t, c - change) for t, c in tail[len(tail) - keep :]), (token, 0))), change
@@ -188,7 +191,6 @@ class Transducer:
             self.used += 1
         to, change = self.step(self.states[state], b)
         k = self.intern(to)
-        assert abs(change) < self.BIAS
         self.table[state, self.columns[b]] = k << self.SHIFT | change + self.BIAS
 
     def run(self, data: np.ndarray, reset: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,20 +253,46 @@ class Transducer:
         first = np.concatenate([marks, [len(data)]])[np.searchsorted(marks, begin)]
         head = np.minimum(first, end)  # where the part that depends on the entry ends
         total, leave = self.run(data, reset, head, end, np.zeros(len(begin), np.int64))
-        depend = np.flatnonzero(head > begin)
-        came = np.full(len(begin), -1, np.int64)
-        added = np.zeros(len(begin), np.int64)
-        while True:
-            entry = leave[depend - 1]
-            again = entry != came[depend]
-            if not again.any():
-                break
-            lanes = depend[again]
-            came[lanes] = entry[again]
-            added[lanes], out = self.run(data, reset, begin[lanes], head[lanes], entry[again])
-            passed = head[lanes] == end[lanes]
-            leave[lanes[passed]] = out[passed]
-        return np.bincount(text, total + added, len(texts)).astype(np.int64)
+        total += self.heads(data, reset, begin, head, head == end, leave)
+        return np.bincount(text, total, len(texts)).astype(np.int64)
+
+    def heads(self, data: np.ndarray, reset: np.ndarray, begin: np.ndarray, head: np.ndarray, passes: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """What the heads of chunks emit, at the chunk where their pre-token enters its first whole chunk.
+
+        passes: chunks that are all head; leave: the exits of the others.
+        """
+        out = np.zeros(len(begin), np.int64)
+        depend = head > begin
+        if not depend.any():
+            return out
+        follows = depend & np.concatenate([[False], passes[:-1] & depend[:-1]])  # its entry is the exit of a map
+        guess = np.zeros(len(begin), np.int64)
+        whole = np.flatnonzero(passes & depend)
+        guess[whole] = self.run(data, reset, begin[whole], head[whole], guess[whole])[1]
+        known = np.where(passes, guess, leave)
+        chunk = np.flatnonzero(depend)
+        # A row is an entry of a chunk's map: chunk << 32 | state, sorted; what it emits, and the key of the entry it leads to.
+        new = chunk << 32 | known[chunk - 1]
+        starts = new[~follows[chunk]]
+        keys, emits, leads = (np.zeros(0, np.int64) for _ in range(3))
+        while len(new):
+            at = new >> 32
+            n, exits = self.run(data, reset, begin[at], head[at], new & 0xFFFFFFFF)
+            on = passes[at] & (at + 1 < len(begin))
+            on[on] = follows[at[on] + 1]
+            to = np.where(on, at + 1 << 32 | exits, -1)
+            keys, emits, leads = (np.concatenate(x) for x in ((keys, new), (emits, n), (leads, to)))
+            order = np.argsort(keys, kind="stable")
+            keys, emits, leads = keys[order], emits[order], leads[order]
+            new = np.setdiff1d(to[on], keys)
+        # Pointers double; the last row is where all end.
+        to = np.where(leads < 0, len(keys), np.searchsorted(keys, leads))
+        to, emits = np.append(to, len(keys)), np.append(emits, 0)
+        while (to < len(keys)).any():
+            emits = emits + emits[to]
+            to = to[to]
+        out[starts >> 32] = emits[np.searchsorted(keys, starts)]
+        return out
 
 
 @lru_cache(2)

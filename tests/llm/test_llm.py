@@ -103,8 +103,15 @@ def test_token_counts(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts(docs(spark, ODD), BPE).collect()}
     assert got == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
     machine = Transducer(BPE)
-    texts = [t or "" for t in ODD] + [prose(1, 300)]
-    assert machine.counts(texts, chunk=5).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    texts = [t or "" for t in ODD] + [prose(1, 300), "ab" * 4000, "x" + "a" * 5001, "".join(random.Random(2).choice("abcde") for _ in range(6000)), "日本" * 900, " " * 700 + "z"]
+    wanted = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk in (3, 5, 64, 1024):
+        assert machine.counts(texts, chunk=chunk).tolist() == wanted
+    rounds = []
+    run = machine.run
+    machine.run = lambda *a: (rounds.append(1), run(*a))[1]
+    machine.plain_counts(["".join(random.Random(3).choice("abcde") for _ in range(60_000))], 64)
+    assert len(rounds) < 12  # not one for each chunk of a long pre-token
 
 
 @pytest.mark.parametrize(("size", "by"), [(3, 85), (5, 80)])
