@@ -5,8 +5,9 @@ the smallest hash among the GRAM-word grams in them is a fingerprint: a shared w
 both sides, so every shared window shares a fingerprint. An item of fewer words has one fingerprint, the hash of all its words;
 on the documents' side all grams of just those lengths that occur are fingerprints too.
 
-Fingerprints are joined; a hit lays an item's gram over a document's, and is extended over the item word by word:
-every window of the item that occurs there marks its words.
+Fingerprints are joined; only texts with a common one are looked at again. There every occurrence of an item's gram lays
+the item over the text, and each lay is extended over the item word by word: every window of the item that occurs there marks its words.
+A text is looked at once, whatever rows it is in, and lays are rows of their own, so no document gathers items.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sealed
+from .common import keyed_by_text, sealed, settle
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 7
-#: Fingerprints are broadcast up to this many rows of 8 bytes and shuffled beyond.
+#: Fingerprints and keys of texts are broadcast up to this many rows of 16 bytes and shuffled beyond; so are results, of fewer rows.
 MOST_BROADCAST = 500_000
+MOST_HELD = 50_000
 
 
 def words(column: str) -> F.Column:
@@ -46,12 +48,12 @@ def _fingerprints(rows: DataFrame, hashes: str, grams: str, to: str) -> DataFram
     return _over_seven(rows, grams, to, "least(x, y)").withColumn(to, F.array_distinct(to))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows with n_words, n_hit, n_items, items (sorted ids, as strings) and contaminated.
 
     n_hit counts the document's words inside any occurrence of a window, items are those with such windows;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and no windows; so have such
-    items, and an item without id. Repeated items count once; texts that
+    items, and an item without id. Repeated rows are each given what their text holds; repeated items count once; texts that
     share an item's id are windows of that item. Columns that have the new names are replaced.
     """
     new = ("n_words", "n_hit", "n_items", "items", "contaminated")
@@ -62,42 +64,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short = sorted(r[0] for r in items.where(F.size("iw") < WINDOW).select(F.size("iw")).distinct().collect())
     items = _fingerprints(items, "ih", "ig", "ip")
     marks = items.withColumn("fp", F.expr(f"CASE WHEN size(iw) < {WINDOW} THEN array(xxhash64(ih)) ELSE ip END"))
-    places = "CASE WHEN size(iw) < {w} THEN array(1) ELSE filter(sequence(1, size(ig)), i -> ig[i - 1] = fp1) END"
-    marks = marks.select("item", "iw", "ig", F.explode_outer("fp").alias("fp1")).select("fp1", "item", "iw", F.expr(places.format(w=WINDOW)).alias("at"))
-    marks = marks.select("fp1", F.struct("item", F.expr(f"least({WINDOW}, size(iw))").alias("w"), "iw", "at").alias("mark"))
+    marks = settle(marks.select(F.xxhash64("item", "iw").alias("mark"), "item", "iw", "ig", F.explode("fp").alias("fp1")))
+    few = marks.count() <= MOST_BROADCAST
+    held = F.broadcast if few else (lambda df: df)
 
-    body = docs.select(F.col(id_col).alias("__id"), words(text_col).alias("dw")).select("__id", F.expr("transform(dw, x -> xxhash64(x))").alias("dh"))
+    texts = docs.select(*keyed_by_text(F.col(text_col)), words(text_col).alias("dw"))
+    body = texts.select("__h1", "__h2", F.expr("transform(dw, x -> xxhash64(x))").alias("dh"))
     prints = ["dp", *(_grams("dh", n) for n in short)]
     # Not explode: Spark would put a filter on the array below all its steps, and compute them twice.
-    found = _fingerprints(body, "dh", "dg", "dp").select("__id", F.explode_outer(F.expr(f"array_distinct(concat({', '.join(prints)}))")).alias("fp1"))
-    known = marks.select("fp1").distinct()
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    found = found.join(known, "fp1")
-    # One row for each item and document: a document's row takes up its items, not their hits.
-    hits = found.distinct().join(marks, "fp1").groupBy("__id", "mark.item", "mark.w", "mark.iw").agg(F.collect_list(F.struct("fp1", "mark.at")).alias("fps"))
-    hits = hits.groupBy("__id").agg(F.collect_list(F.struct("item", "w", "iw", "fps")).alias("hits"))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
-    rows = rows.join(hits, F.col("__own").eqNullSafe(F.col("__id")), "left").select("__row", "hits", words("__text").alias("dw"))
-    some = "hits IS NULL"
-    rows = rows.withColumn("dh", F.expr(f"CASE WHEN {some} THEN NULL ELSE transform(dw, x -> xxhash64(x)) END"))
-    rows = _over_seven(rows, "dh", "dg", "xxhash64(x, y)")
-    sizes = [f"{WINDOW}, dg", *(f"{n}, {_grams('dh', n)}" for n in short)]
-    rows = rows.withColumn("grams", F.expr(f"CASE WHEN {some} THEN NULL ELSE map({', '.join(sizes)}) END"))
-    # Where an item may lie: the document's place before the item's first word.
-    lays = f"""transform(hits, h -> struct(h.item AS item, h.w AS w, h.iw AS iw, array_distinct(flatten(flatten(transform(h.fps, f ->
-        transform(filter(CASE WHEN size(grams[h.w]) > 0 THEN sequence(1, size(grams[h.w])) ELSE cast(array() AS array<int>) END, p -> grams[h.w][p - 1] = f.fp1), p -> transform(f.at, q -> p - q)))))) AS lay))"""
-    # Of each lay, the item's windows that occur; as the document's places where they start.
-    starts = f"""transform(({lays}), h -> struct(h.item AS item, h.w AS w, array_distinct(flatten(transform(h.lay, d ->
-        transform(filter(sequence(1, size(h.iw) - h.w + 1), j -> CASE WHEN d + j >= 1 AND d + j + h.w - 1 <= size(dw) THEN slice(h.iw, j, h.w) = slice(dw, d + j, h.w) ELSE false END), j -> d + j)))) AS starts))"""
-    rows = rows.withColumn("met", F.expr(f"CASE WHEN {some} THEN NULL ELSE filter({starts}, h -> size(h.starts) > 0) END"))
-    covered = "size(array_distinct(flatten(transform(met, h -> flatten(transform(h.starts, s -> sequence(s, s + h.w - 1)))))))"
-    out = rows.select(
-        *[F.col("__row")[c].alias(c) for c in keep],
-        F.size("dw").cast("long").alias("n_words"),
-        F.expr(f"CASE WHEN met IS NULL THEN 0L ELSE cast({covered} AS bigint) END").alias("n_hit"),
-        F.expr("coalesce(array_sort(array_distinct(transform(met, h -> h.item))), cast(array() AS array<string>))").alias("items"),
-    )
-    out = sealed(out, ["n_words", "n_hit", "items"])
+    found = _fingerprints(body, "dh", "dg", "dp").select("__h1", "__h2", F.explode_outer(F.expr(f"array_distinct(concat({', '.join(prints)}))")).alias("fp1"))
+    some = settle(found.join(held(marks.select("fp1").distinct()), "fp1", "left_semi").select(F.col("__h1").alias("k1"), F.col("__h2").alias("k2")).distinct())
+    some = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
+    of_key = (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
+    seen = settle(texts.join(some, of_key, "left_semi").dropDuplicates(["__h1", "__h2"]))
+
+    # Where items may lie: a document's place before the item's first word.
+    rows = _over_seven(seen.select("__h1", "__h2", F.expr("transform(dw, x -> xxhash64(x))").alias("dh")), "dh", "dg", "xxhash64(x, y)")
+    places = [f"transform({g}, (x, i) -> struct(x AS fp1, i AS p, {n} AS w))" for n, g in [(WINDOW, "dg"), *((n, _grams("dh", n)) for n in short)]]
+    rows = rows.select("__h1", "__h2", F.explode_outer(F.expr(f"concat({', '.join(places)})")).alias("x")).select("__h1", "__h2", "x.*")
+    own = f"CASE WHEN size(iw) < {WINDOW} THEN array(0) ELSE transform(filter(sequence(1, size(ig)), i -> ig[i - 1] = fp1), i -> i - 1) END"
+    lays = rows.join(held(marks.select("fp1", "mark", F.expr(f"least({WINDOW}, size(iw))").alias("w"), F.explode(F.expr(own)).alias("q"))), ["fp1", "w"])
+    lays = lays.select("__h1", "__h2", "mark", (F.col("p") - F.col("q")).alias("lay")).distinct()
+    # Of each lay, the item's windows that occur, as the document's places where they start.
+    lays = lays.join(held(marks.select("mark", "item", "iw").distinct()), "mark").join(seen.select("__h1", "__h2", "dw"), ["__h1", "__h2"])
+    starts = f"""transform(filter(sequence(1, size(iw) - least({WINDOW}, size(iw)) + 1), j -> CASE WHEN lay + j >= 1 AND lay + j + least({WINDOW}, size(iw)) - 1 <= size(dw)
+        THEN slice(iw, j, least({WINDOW}, size(iw))) = slice(dw, lay + j, least({WINDOW}, size(iw))) ELSE false END), j -> struct(lay + j AS s, least({WINDOW}, size(iw)) AS w))"""
+    met = sealed(lays.select("__h1", "__h2", "item", F.expr(starts).alias("starts")), ["starts"]).where("size(starts) > 0")
+    words_hit = met.select("__h1", "__h2", F.explode("starts").alias("x")).select("__h1", "__h2", F.explode(F.sequence("x.s", F.col("x.s") + F.col("x.w") - 1)).alias("word")).distinct().groupBy("__h1", "__h2").agg(F.count("*").alias("__hit"))
+    met = met.groupBy("__h1", "__h2").agg(F.array_sort(F.collect_set("item")).alias("__items")).join(words_hit, ["__h1", "__h2"])
+    met = settle(met.select(F.col("__h1").alias("k1"), F.col("__h2").alias("k2"), "__hit", "__items"))
+    met = F.broadcast(met) if met.count() <= MOST_HELD else met
+
+    out = docs.select(*keyed_by_text(F.col(text_col)), F.size(words(text_col)).cast("long").alias("__words"), *[F.col(f"`{c}`") for c in keep]).join(met, of_key, "left")
+    out = out.select(*[F.col(f"`{c}`") for c in keep], F.col("__words").alias("n_words"), F.coalesce("__hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("__items", F.expr("cast(array() AS array<string>)")).alias("items"))
     return out.select(*[f"`{c}`" for c in keep], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"))

@@ -321,6 +321,37 @@ def test_winnowing(spark):
     assert (two.n_hit, two.items) == (50, ["1"])
 
 
+def test_winnowing_sql(spark, tmp_path):
+    """The registered SQL agrees on texts that hold whole, cut, altered and repeated items, and on repeated rows, ids and items."""
+    import duckdb
+
+    from quadrat.llm.queries import ORACLE_SQL
+
+    r = random.Random(6)
+    words = lambda n: [r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(n)]
+    items = [words(r.choice([1, 3, 12, 13, 14, 20, 40])) for _ in range(14)] + [["x"] * 30, []]
+    texts = [None, "", "x " * 50]
+    for _ in range(60):
+        w = words(r.randrange(60))
+        for _ in range(r.randrange(3)):
+            x = r.choice(items)
+            lo = r.randrange(len(x) + 1)
+            at = r.randrange(len(w) + 1)
+            w[at:at] = r.choice([x, x[lo:], x[:lo], x + x])
+        texts.append(r.choice([" ", ", ", "\n"]).join(w).upper())
+    df = docs(spark, texts + texts[:9])
+    bench = spark.createDataFrame([(i % 12, " ".join(x)) for i, x in enumerate(items)] + [(3, " ".join(items[3])), (None, "x"), (90, None)], "item_id long, text string")
+    for name, t in (("documents", df), ("benchmark", bench)):
+        t.toPandas().astype({c: "Int64" for c in t.columns if c != "text"}).to_parquet(tmp_path / f"{name}.parquet")
+    own = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        own.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    wanted = sorted(own.sql(ORACLE_SQL["op8_winnowing"].replace("FROM benchmark)", "FROM benchmark WHERE item_id IS NOT NULL)")).fetchall())
+    got = decontaminate(df.repartition(3), bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated")
+    assert sorted(tuple(x) for x in got.collect()) == wanted and sum(x[2] > 0 for x in wanted) > 20
+    assert decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate(df.limit(0), bench).count() == 0
+
+
 def test_licenses(spark):
     mit = """Copyright (c) 2019 Somebody
 
