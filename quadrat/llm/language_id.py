@@ -6,7 +6,8 @@ documents. A score is linear in the shares, so a text is scored by one sum over
 
 Weights: follow-the-regularised-leader with L1 and L2 penalties, on at most `most_rows` training documents, those with
 the smallest hash of their id (the sample is the one bounded part; it is a parameter). A fifth of them is held back from the
-weights and sets a temperature by likelihood, so the scores are calibrated.
+weights and sets a temperature by likelihood, so the scores are calibrated. A score is the language's calibrated probability times the
+share of the text's letters that the training documents have, so a text in letters never seen is placed nowhere.
 """
 
 from __future__ import annotations
@@ -49,12 +50,14 @@ def bins(key: np.ndarray) -> np.ndarray:
     return (mix64(key) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def frequencies(texts: list[str]) -> np.ndarray:
-    """Counts of the bins in each text, dense; for slices of few texts."""
+def frequencies(texts: list[str], letters: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the bins in each text, dense; for slices of few texts. letters: counts of the bins of letters, to be added to."""
     out = np.zeros(len(texts) << BITS, np.int64)
-    for owner, bin_ in grams(texts):
+    for k, (owner, bin_) in enumerate(grams(texts)):
         if bin_ is not None:
             out += np.bincount(owner << BITS | bin_, minlength=len(out))
+            if not k and letters is not None:
+                letters += np.bincount(bin_, minlength=1 << BITS)
     return out.reshape(len(texts), -1)
 
 
@@ -64,14 +67,17 @@ class Model:
     weights: np.ndarray  # bins x langs, IDF and scale included
     bias: np.ndarray
     temperature: float
+    known: np.ndarray  # whether training documents have a letter of the bin
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        letters = n
-        for owner, bin_ in grams(texts):
+        letters, known = n, n
+        for k, (owner, bin_) in enumerate(grams(texts)):
             if bin_ is None:
                 letters = owner
                 continue
+            if not k:
+                known = np.bincount(owner, self.known[bin_], len(texts))
             n += np.bincount(owner, minlength=len(texts))
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(owner, self.weights[bin_, k], len(texts))
@@ -80,7 +86,7 @@ class Model:
         p = softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(1)
         some = letters > 0
-        return [self.langs[k] if s else UNDETERMINED for k, s in zip(best, some, strict=True)], np.where(some, p[np.arange(len(p)), best], 0.0)
+        return [self.langs[k] if s else UNDETERMINED for k, s in zip(best, some, strict=True)], np.where(some, p[np.arange(len(p)), best] * known / np.maximum(letters, 1), 0.0)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -117,21 +123,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def document_counts(it):
         import pyarrow as pa
 
-        total, number = np.zeros(1 << BITS, np.int64), 0
+        total, letters, number = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
         for batch in it:
             for part in pieces(batch, 1 << 20):
                 for i in range(0, part.num_rows, 64):
-                    found = frequencies(part.slice(i, 64).column("text").to_pylist())
+                    found = frequencies(part.slice(i, 64).column("text").to_pylist(), letters)
                     total += (found > 0).sum(0)
                     number += len(found)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(total[some], number))], ["bin", "n"])
-
-    seen = rows.select("text").mapInArrow(released(document_counts), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 2**BITS + 1 rows at most
-    counts = {r["bin"]: r["n"] for r in seen}
-    number = counts.pop(-1, 0)
-    frequency = np.zeros(1 << BITS)
-    frequency[list(counts)] = list(counts.values())
+        every = np.concatenate([total, letters, [number]])
+        some = np.flatnonzero(every)
+        yield pa.record_batch([pa.array(some), pa.array(every[some])], ["bin", "n"])
+
+    seen = rows.select("text").mapInArrow(released(document_counts), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 2 * 2**BITS + 1 rows at most
+    every = np.zeros((2 << BITS) + 1)
+    every[[r["bin"] for r in seen]] = [r["n"] for r in seen]
+    frequency, known, number = every[: 1 << BITS], every[1 << BITS : -1] > 0, every[-1]
     idf = np.log((1 + number) / (1 + frequency)) + 1
 
     def shares(it):
@@ -156,11 +162,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         b = np.array(b, np.int64)
         xs.append((np.append(b, 1 << BITS), np.append(np.array(s) * idf[b] * SCALE, 1.0)))
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
+        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, known)
     held = np.arange(len(xs)) % 5 == 4
     w, bias = follow_the_leader([x for x, h in zip(xs, held, strict=True) if not h], label[~held], len(langs))
     logits = np.array([x[:-1] @ w[b[:-1]] + bias for (b, x), h in zip(xs, held, strict=True) if h]).reshape(-1, len(langs))
-    return Model(langs, (w * (idf * SCALE)[:, None]).astype(np.float64), bias, temperature(logits, label[held]))
+    return Model(langs, (w * (idf * SCALE)[:, None]).astype(np.float64), bias, temperature(logits, label[held]), known)
 
 
 def temperature(logits: np.ndarray, label: np.ndarray) -> float:
@@ -172,7 +178,7 @@ def temperature(logits: np.ndarray, label: np.ndarray) -> float:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """The rows with the language of each whole text and its calibrated probability.
+    """The rows with the language of each whole text and its score. Repeated rows are judged alike.
 
     `und` with score 0 where the text is null or has no letter. Columns that have the new names are replaced.
     """

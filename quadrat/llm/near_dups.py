@@ -406,3 +406,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = described.join(named, "print", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs of which no other is a near copy, and one row of each group of near copies: that of the smallest id.
+
+    Rows that are alike in id and text are copies, whatever their text; of those that differ in other columns, the one
+    whose columns come first as JSON stays. Rows without id are larger than others, and take part by their texts. A text without words is like no other.
+    """
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    rows = docs.select(key.alias("__key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    groups = near_duplicates(rows, "__key", "text", **how).groupBy("__key").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    named = settle(groups.join(rows.groupBy("__key").agg(F.min("id").alias("id")), "__key"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("__key").alias("stays"), "n")).alias("x"))
+    kept = settle(least.select(F.col("x.stays").alias("__key"), "x.n"))
+    gone = settle(named.select("__key").join(kept, "__key", "left_anti"))
+    stay = docs.withColumn("__key", key).join(bounded(gone), "__key", "left_anti")
+    many = settle(kept.where("n > 1").select("__key"))
+    if not many.head(1):
+        return stay.select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = stay.join(bounded(many), "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return stay.join(bounded(many), "__key", "left_anti").select(docs.columns).unionByName(first)
