@@ -64,14 +64,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     short = sorted(r[0] for r in items.where(F.size("iw") < WINDOW).select(F.size("iw")).distinct().collect())
     items = _fingerprints(items, "ih", "ig", "ip")
     marks = items.withColumn("fp", F.expr(f"CASE WHEN size(iw) < {WINDOW} THEN array(xxhash64(ih)) ELSE ip END"))
-    marks = settle(marks.select(F.xxhash64("item", "iw").alias("mark"), "item", "iw", "ig", F.explode("fp").alias("fp1")))
+    # Not explode: Spark would put a filter on the array below all its steps, and compute them twice.
+    marks = settle(marks.select(F.xxhash64("item", "iw").alias("mark"), "item", "iw", "ig", F.explode_outer("fp").alias("fp1")))
     few = marks.count() <= MOST_BROADCAST
     held = F.broadcast if few else (lambda df: df)
 
     texts = docs.select(*keyed_by_text(F.col(text_col)), words(text_col).alias("dw"))
     body = texts.select("__h1", "__h2", F.expr("transform(dw, x -> xxhash64(x))").alias("dh"))
     prints = ["dp", *(_grams("dh", n) for n in short)]
-    # Not explode: Spark would put a filter on the array below all its steps, and compute them twice.
     found = _fingerprints(body, "dh", "dg", "dp").select("__h1", "__h2", F.explode_outer(F.expr(f"array_distinct(concat({', '.join(prints)}))")).alias("fp1"))
     some = settle(found.join(held(marks.select("fp1").distinct()), "fp1", "left_semi").select(F.col("__h1").alias("k1"), F.col("__h2").alias("k2")).distinct())
     some = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
