@@ -216,13 +216,18 @@ def released(batches):
     return run
 
 
-def pieces(batch, most_bytes: int = 2 << 20, column: str = "text"):
-    """Slices of an Arrow batch whose texts have about most_bytes together; one long text is a slice of its own."""
+def text_of(name: str):
+    """How to take a text column out of a batch of rows packed in a struct __row."""
+    return lambda batch: batch.column("__row").field(name)
+
+
+def pieces(batch, most_bytes: int = 2 << 20, column: str = "text", text=None):
+    """Slices of an Arrow batch whose texts have about most_bytes together; one long text is a slice of its own. text: see text_of()."""
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(text(batch) if text else batch.column(column)), 0)).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     i = 0
     while i < len(sizes):

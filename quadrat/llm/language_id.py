@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, released
+from .common import mix64, pieces, released, text_of
 from .token_counts import LETTER, classes
 
 BITS = 14
@@ -183,14 +183,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     `und` with score 0 where the text is null or has no letter. Columns that have the new names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
-    rows = docs.select(F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    text = text_of(text_col)
 
     def batches(it):
         import pyarrow as pa
 
         for batch in it:
-            for part in pieces(batch, 1 << 20, "__text"):
-                langs, scores = model.predict([t or "" for t in part.column("__text").to_pylist()])
+            for part in pieces(batch, 1 << 20, text=text):
+                langs, scores = model.predict([t or "" for t in text(part).to_pylist()])
                 yield pa.record_batch([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores)], ["__row", "__lang", "__score"])
 
     out = rows.mapInArrow(released(batches), f"__row {rows.schema['__row'].dataType.simpleString()}, __lang string, __score double")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, released
+from .common import mix64, pieces, released, text_of
 
 MARK = "▁"
 #: Stands in a part for U+2581 of the text itself; a lone surrogate is in no valid text.
@@ -37,27 +37,49 @@ NONE = 1 << 30
 PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Encoder:
-    """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
+class Spelling:
+    """The pieces of a model: what they spell, and what they are."""
 
-    def __init__(self, path: str, dropout: float, most_parts: int = 300_000):
+    def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        names = [model.id_to_piece(i) for i in range(size)]
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.full(256, -1, np.int32)
-        plain: dict[str, int] = {}
-        self.spelled: list[bytes] = []
-        for i, name in enumerate(names):
-            if model.is_byte(i):
+        self.plain: dict[str, int] = {}
+        spelled: list[bytes] = []
+        for i in range(self.model.get_piece_size()):
+            name = self.model.id_to_piece(i)
+            if self.model.is_byte(i):
                 self.bytes[int(name[1:-1], 16)] = i
-                self.spelled.append(bytes([int(name[1:-1], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
-                self.spelled.append(b"")
+                spelled.append(bytes([int(name[1:-1], 16)]))
+            elif self.model.is_control(i) or self.model.is_unknown(i):
+                spelled.append(b"")
             else:
-                plain[name] = i
-                self.spelled.append(name.replace(MARK, " ").encode())
+                self.plain[name] = i
+                spelled.append(name.replace(MARK, " ").encode())
+        #: The bytes of all pieces, laid end to end.
+        self.letters_of = np.frombuffer(b"".join(spelled), np.uint8)
+        self.length = np.array([len(x) for x in spelled], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts that lists of ids spell."""
+        number = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        sizes = self.length[flat]
+        ends = np.cumsum(sizes)
+        spelled = self.letters_of[np.repeat(self.begin[flat] - (ends - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(number)])].tolist()
+        # each begins with the space that was put before it
+        return [spelled[i + 1 : j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+class Encoder(Spelling):
+    """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
+
+    def __init__(self, path: str, dropout: float, most_parts: int = 150_000):
+        super().__init__(path)
+        plain, size = self.plain, len(self.length)
         self.letters = {x: i for x, i in plain.items() if len(x) == 1}
         self.letter_ids = np.full(max(map(ord, self.letters)) + 1, size, np.int32)
         self.letter_ids[[ord(x) for x in self.letters]] = list(self.letters.values())
@@ -83,15 +105,11 @@ class Encoder:
             rest[first] = False
             left, slot, value = left[rest], slot[rest] + 1 & self.mask, value[rest]
         #: The place of a piece in the order of scores, the best first; ties stay in the order of ids.
-        order = sorted(plain.values(), key=lambda i: -model.get_score(i))
+        order = sorted(plain.values(), key=lambda i: -self.model.get_score(i))
         self.place = np.zeros(size + 1, np.int32)
         self.place[order] = np.arange(len(order))
         self.bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         self.dropout, self.most_parts = dropout, most_parts
-        #: The bytes of all pieces, laid end to end.
-        self.letters_of = np.frombuffer(b"".join(self.spelled), np.uint8)
-        self.length = np.array([len(x) for x in self.spelled], np.int64)
-        self.begin = np.cumsum(self.length) - self.length
         self.clear()
 
     def clear(self) -> None:
@@ -318,17 +336,6 @@ class Encoder:
         total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(number)])]
         return ids, np.diff(total)
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts that lists of ids spell."""
-        number = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        sizes = self.length[flat]
-        ends = np.cumsum(sizes)
-        spelled = self.letters_of[np.repeat(self.begin[flat] - (ends - sizes), sizes) + np.arange(sizes.sum())].tobytes()
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(number)])].tolist()
-        # each begins with the space that was put before it
-        return [spelled[i + 1 : j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
-
 
 @lru_cache(2)
 def encoder(path: str, dropout: float) -> Encoder:
@@ -336,6 +343,11 @@ def encoder(path: str, dropout: float) -> Encoder:
     return Encoder(path, dropout)
 
 
+@lru_cache(2)
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
     """The rows of docs with the piece ids of each whole text and their number.
 
@@ -343,15 +355,16 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_
     for U+2581). Rows of one id draw alike, so repeated rows are encoded alike; a null id is an id like others. Columns of docs that have the new columns' names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (ids_col.lower(), n_col.lower())]
-    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("__name"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("__name"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    text = text_of(text_col)
 
     def batches(it) -> Iterator:
         import pyarrow as pa
 
         own = encoder(model, dropout)
         for batch in it:
-            for part in pieces(batch, 1 << 20, "__text"):
-                texts = part.column("__text").to_pylist()
+            for part in pieces(batch, 1 << 20, text=text):
+                texts = text(part).to_pylist()
                 ids, number = own.encode([t or "" for t in texts], np.asarray(part.column("__name")).view(np.uint64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
@@ -368,7 +381,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     def spell(ids):
         import pandas as pd
 
-        own = encoder(model, 0.0)
+        own = spelling(model)
         out = pd.Series([None] * len(ids), dtype=object)
         some = np.flatnonzero(ids.notna().to_numpy())
         ends = np.cumsum([len(ids.iloc[k]) for k in some])
