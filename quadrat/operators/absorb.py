@@ -44,9 +44,11 @@ def within(df: DataFrame, columns: list[str], key: str, weight: str | None = Non
     return df.select("*", *[(F.col(c) - mean(c)).alias(f"{c}{suffix}") for c in columns])
 
 
-def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False) -> tuple[DataFrame, dict]:
+def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False, bound: float = 1e-8) -> tuple[DataFrame, dict]:
     """The rows with <column>_tilde for each column, and how it went: method, iterations, certificate, certified.
 
+    bound: the greatest certificate that passes; a greater one raises.
+
     effects: also <column>_fe1, _fe2, ... with what each term contributes, and in how["terms"] for each term a DataFrame
     of its level coefficients: the key, then <column>_<carrier> (the carrier `const` or the slope's column).
     """
@@ -73,7 +75,7 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
     else:
         out, told = _solve(df, columns, terms, cells, edges, suffix, tol, effects)
     told["certificate"] = certificate(out, [f"{c}{suffix}" for c in columns], columns, terms, weight)
-    told["certified"] = told["certificate"] <= 1e-8
+    told["certified"] = told["certificate"] <= bound
     if not told["certified"]:
         raise RuntimeError(f"absorption left {told['certificate']:.3g}")
     return out, told

@@ -31,6 +31,13 @@ def _arrow(df: DataFrame):
     return df.toArrow().to_pandas()
 
 
+def matches(df: DataFrame, y: str, worker: str, firm: str, weight: str | None = None) -> DataFrame:
+    """(worker, firm, t, s, ss): of each match the number of its rows (or their frequency weight), and the sums of y and of its square."""
+    w = F.col(weight) if weight else F.lit(1)
+    v = F.col(y).cast("double")
+    return df.groupBy(F.col(worker).alias("worker"), F.col(firm).alias("firm")).agg(F.sum(w).alias("t"), F.sum(w * v).alias("s"), F.sum(w * v * v).alias("ss"))
+
+
 def cut_workers(w: np.ndarray, f: np.ndarray, n_workers: int, n_firms: int) -> np.ndarray:
     """Workers whose removal splits the bipartite graph of edges (w, f): its articulation points, by depth-first search."""
     n = n_workers + n_firms
@@ -249,7 +256,8 @@ class Solver:
         left = np.maximum(1 - p, 1e-300)
         var = (left**2 * p2 + p**2 * m2 - 2 * left * p * pm) / draws
         bias = (left * p2 - p * m2 + 2 * (left - p) * pm) / draws
-        return np.stack([p / t if by_match else p, fe, pe, cov]), 1 - var / left**2 + bias / left
+        # a leverage of 1 (a stayer's match) has no correction; it isn't used there
+        return np.stack([p / t if by_match else p, fe, pe, cov]), np.where(left > 1e-300, 1 - var / np.maximum(left, 1e-150) ** 2 + bias / left, 1.0)
 
 
 @dataclass
@@ -302,7 +310,7 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
         r = fit(rows, "y", [f"x{i}" for i in range(len(controls))], ["worker", "firm"], drop_singletons_=False)
         beta = dict(zip(controls, r.coef[: len(controls)].tolist(), strict=True))
         rows = rows.withColumn("y", F.col("y") - sum((F.col(f"x{i}") * b for i, b in enumerate(beta.values())), F.lit(0.0)))
-    m = _arrow(rows.groupBy("worker", "firm").agg(F.count(F.lit(1)).alias("t"), F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("ss"))).sort_values(["worker", "firm"], ignore_index=True)
+    m = _arrow(matches(rows, "y", "worker", "firm")).sort_values(["worker", "firm"], ignore_index=True)
     w, workers = m["worker"].factorize(sort=True)
     f, firms = m["firm"].factorize(sort=True)
     t, s, ss = (m[c].to_numpy(float) for c in ("t", "s", "ss"))

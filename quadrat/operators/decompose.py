@@ -258,7 +258,8 @@ def bootstrap(df: DataFrame, unit: str, reps: int = 999, seed: int = 0, conf: fl
         raise ValueError("bootstrap takes no weights")
     if kind not in ("percentile", "basic"):
         raise ValueError(f"interval {kind!r}")
-    options = {k: v for k, v in options.items() if k not in ("vce", "clusters")}
+    if options.keys() & {"vce", "clusters", "level", "alpha"}:
+        raise ValueError("intervals come from the draws: vce, clusters, level and alpha have no effect here")
     units = df.select(unit).distinct()
     if units.count() > 20_000_000:
         raise ValueError("more units than the driver takes")

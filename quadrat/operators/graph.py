@@ -27,6 +27,28 @@ def mobility_groups(df: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select(F.col("a").alias(a), "group")
 
 
+def mobility_profile(df: DataFrame, a: str, b: str, weight: str | None = None) -> dict:
+    """The graph of a and b: its components, the largest one's share of the rows and of the weight, and its class.
+
+    A graph is highly connected if the largest component has nine tenths of the rows, moderately from a half on.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    groups = mobility_groups(df, a, b)
+    told = df.groupBy(a).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w")).join(groups, a).groupBy("group").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    parts, n, total, top, heavy = told.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w"), F.max("n"), F.max("w")).first()
+    share = top / n if n else 0.0
+    return {"components": parts, "largest_share": share, "largest_weight_share": heavy / total if total else 0.0, "class": "high" if share >= 0.9 else "moderate" if share >= 0.5 else "low"}
+
+
+def largest_pair(df: DataFrame, keys: list[str]) -> tuple[str, str]:
+    """The two keys with the most levels, ties from the left."""
+    if len(keys) < 2:
+        raise ValueError("a pair needs two keys")
+    levels = df.agg(*[F.countDistinct(k) for k in keys]).first()
+    order = sorted(range(len(keys)), key=lambda i: (-levels[i], i))[:2]
+    return tuple(keys[i] for i in order)
+
+
 def nested(df: DataFrame, inner: str, outer: str) -> bool:
     """Whether each level of inner lies in one level of outer."""
     return df.groupBy(inner).agg(F.min(outer).alias("lo"), F.max(outer).alias("hi")).where("lo <> hi").isEmpty()

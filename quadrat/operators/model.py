@@ -17,6 +17,10 @@ from .absorb import absorb, as_effect, normalise
 from .graph import absorbed
 from .sample import check, drop_singletons, keep_cut
 
+#: Stands on the diagonal of a covariance that can't be estimated.
+UNAVAILABLE = -1e-10
+#: What a sweep may still move, by mode; results are solved to the same precision, and certified by it.
+MODES = {"comparable": 1e-9, "fast": 1.0, "strict-residual": 1e-9}
 SYNONYMS = {"homoskedastic": "unadjusted", "classical": "unadjusted", "unadj": "unadjusted", "ols": "unadjusted", "iid": "unadjusted", "hc1": "robust", "heteroskedastic": "robust", "clustered": "cluster"}
 
 
@@ -37,11 +41,19 @@ class Result:
     dof: dict
     omitted: dict[str, str] = field(default_factory=dict)
     level: float = 0.95
+    y_name: str = "y"
+    fe_names: list[str] = field(default_factory=list)
+    vce: str = "unadjusted"
+    cluster_names: list[str] = field(default_factory=list)
+    iv: dict = field(default_factory=dict)
+    available: bool = True
+    retained: bool = False
 
     @property
     def se(self) -> np.ndarray:
+        """NaN for omitted terms, and for all where inference isn't available (then the covariance's diagonal is UNAVAILABLE)."""
         d = np.diag(self.vcov)
-        return np.where(d > 0, np.sqrt(np.maximum(d, 0)), np.nan)
+        return np.where((d > 0) & self.available, np.sqrt(np.maximum(d, 0)), np.nan)
 
     @property
     def r2(self) -> float:
@@ -97,12 +109,15 @@ class Result:
 
     def fixef(self) -> DataFrame:
         """The sample with fe1, fe2, ...: what each effect contributes. The model must be fit with retain_fes."""
-        if "fe1" not in self.sample.columns:
+        if not self.retained:
             raise ValueError("fit with retain_fes=True")
         return self.sample
 
     def tidy(self) -> list[dict]:
-        crit = student_quantile(0.5 + self.level / 2, self.df_resid) if self.df_resid > 0 else float("nan")
+        crit = student_quantile(0.5 + self.level / 2, self.df_resid) if self.df_resid > 0 and self.available else float("nan")
+        nan = float("nan")
+        if not self.available:
+            return [{"term": t, "coef": b, "se": nan, "t": nan, "p": nan, "low": nan, "high": nan} for t, b in zip(self.terms, self.coef.tolist(), strict=True)]
         return [{"term": t, "coef": b, "se": s, "t": b / s, "p": student_p(b / s, self.df_resid), "low": b - crit * s, "high": b + crit * s} for t, b, s in zip(self.terms, self.coef.tolist(), self.se.tolist(), strict=True)]
 
     def wald(self) -> tuple[float, float]:
@@ -111,6 +126,40 @@ class Result:
         f = float(self.coef[k] @ np.linalg.solve(self.vcov[np.ix_(k, k)], self.coef[k]) / len(k))
         return f, f_tail(f, len(k), self.df_resid)
 
+    def coef_table(self) -> list[dict]:
+        """Terms with estimates, standard errors, t, p and interval, for table packages."""
+        return [{"term": r["term"], "b": r["coef"], "se": r["se"], "t": r["t"], "p": r["p"], "ci95l": r["low"], "ci95u": r["high"]} for r in self.tidy()]
+
+    def supported_stats(self) -> list[str]:
+        return ["N", "r2", "adj_r2", "r2_within", "adj_r2_within", "rmse", "ll", "aic", "bic", "fvalue", "se_type", "df_r", "df_a"]
+
+    def stat(self, key: str):
+        """One of supported_stats(); None for others."""
+        told = {"N": lambda: self.n, "r2": lambda: self.r2, "adj_r2": lambda: self.r2_adj, "r2_within": lambda: self.r2_within, "adj_r2_within": lambda: self.r2_within_adj, "rmse": lambda: self.rmse, "ll": lambda: self.ll}
+        told |= {"aic": lambda: self.information()["aic"], "bic": lambda: self.information()["bic"], "fvalue": lambda: self.wald()[0], "se_type": lambda: self.vcov_info()["label"], "df_r": lambda: self.df_resid, "df_a": lambda: self.df_absorbed}
+        return told[key]() if key in told else None
+
+    def default_stat_keys(self) -> list[str]:
+        return ["N", "r2", *(["r2_within"] if self.fe_names else [])]
+
+    def stat_labels(self) -> dict[str, str]:
+        return {"N": "Observations", "r2": "R2", "adj_r2": "Adj. R2", "r2_within": "Within R2", "adj_r2_within": "Adj. within R2", "rmse": "RMSE", "ll": "Log likelihood", "aic": "AIC", "bic": "BIC", "fvalue": "F", "se_type": "S.E. type", "df_r": "Residual df", "df_a": "Absorbed df"}
+
+    def vcov_info(self) -> dict:
+        label = {"unadjusted": "iid", "robust": "robust", "cluster": "by: " + "+".join(self.cluster_names)}[self.vce]
+        return {"vcov_type": self.vce, "clustervar": list(self.cluster_names), "label": label}
+
+    @property
+    def depvar(self) -> str:
+        return self.y_name
+
+    @property
+    def fixef_string(self) -> str | None:
+        return "+".join(self.fe_names) or None
+
+    def var_labels(self) -> dict[str, str]:
+        return {t: "Constant" if t == "_cons" else t for t in self.terms}
+
     def frame(self) -> DataFrame:
         rows = [(r["term"], r["coef"], r["se"], r["t"], self.n, float(self.df_resid)) for r in self.tidy()]
         return self.sample.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, n long, df_r double")
@@ -166,36 +215,83 @@ def multiway(df: DataFrame, scores: list[str], clusters: list[str], each: bool =
     return total, least
 
 
-def kept_columns(gram: np.ndarray, raw: np.ndarray, tol: float = 1e-6) -> tuple[list[int], dict[int, str]]:
-    """Columns kept, from the left; dropped: those the effects explain, and those that columns before them do."""
+def kept_columns(gram: np.ndarray, raw: np.ndarray, tol: float = 1e-6, left: np.ndarray | None = None, order: list[int] | None = None) -> tuple[list[int], dict[int, str]]:
+    """Columns kept, in their order; dropped: those the effects explain, and those that kept columns do.
+
+    raw and left: squares of the columns before and after absorption, by default gram's. order: which come first; the rest go from the left.
+    """
+    left = np.diag(gram) if left is None else left
     keep: list[int] = []
     out: dict[int, str] = {}
-    for j in range(len(gram)):
-        if gram[j, j] <= 1e-9 * raw[j]:
+    for j in [*(order or []), *(k for k in range(len(gram)) if k not in (order or []))]:
+        if left[j] <= 1e-9 * raw[j]:
             out[j] = "explained by the effects"
             continue
-        left = gram[j, j]
+        rest = gram[j, j]
         if keep:
             b = np.linalg.solve(gram[np.ix_(keep, keep)], gram[keep, j])
-            left -= b @ gram[keep, j]
-        if left <= tol**2 * gram[j, j]:
+            rest -= b @ gram[keep, j]
+        if rest <= tol**2 * gram[j, j]:
             out[j] = "collinear"
         else:
             keep.append(j)
-    return keep, out
-
-
-def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | None = None) -> Result:
+    return sorted(keep), out
+
+
+def small_sample(told: dict | str | None) -> dict:
+    """The small-sample options, from a dict or a text like "K.adj=1 K.fixef=nonnested G.df=min"."""
+    options = {"k_adj": True, "k_fixef": None, "k_exact": True, "g_adj": True, "g_df": "min", "t_df": None}
+    if isinstance(told, str):
+        flags = {"": True, "1": True, "true": True, "yes": True, "0": False, "false": False, "no": False}
+        given = {}
+        for part in told.replace(",", " ").split():
+            name, _, value = part.lower().partition("=")
+            name = name.replace(".", "_")
+            if name in ("k_adj", "k_exact", "g_adj"):
+                if value not in flags:
+                    raise ValueError(f"small-sample option {part!r}")
+                given[name] = flags[value]
+            elif name == "k_fixef":
+                given[name] = {"true": "full", "yes": "full", "false": "none", "no": "none"}.get(value, value)
+            elif name == "t_df":
+                given[name] = float(value)
+            else:
+                given[name] = value
+        told = given
+    options |= told or {}
+    if len(options) > 6 or options["g_df"] not in ("min", "conventional") or options["k_fixef"] not in (None, "full", "nonnested", "none"):
+        raise ValueError(f"small-sample options {told}")
+    return options
+
+
+def clamped(v: np.ndarray, scale: np.ndarray) -> np.ndarray | None:
+    """v without its negative eigenvalues, of the columns divided by their scale; None if it has none."""
+    e, q = np.linalg.eigh((v + v.T) / 2 * np.outer(scale, scale))
+    return (q * np.maximum(e, 0)) @ q.T / np.outer(scale, scale) if len(e) and e[0] < 0 else None
+
+
+def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | str | None = None, weight_kind: str | None = None, tol: float = 1e-8, tolerance_mode: str = "comparable", collinear_priority: list[str] = (), aliases: list[str] = ()) -> Result:
     """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights.
 
     An Effect in fes may have slopes. retain_fes: the sample gets fe1, fe2, ..., what each effect contributes to y.
-    ssc: small-sample options: k_adj (count parameters in robust and clustered factors), g_adj (G / (G - 1)), g_df (min: one
-    factor of the fewest clusters, conventional: one for each set of cluster variables), t_df (degrees of freedom of t).
+    aliases: names for those columns. ssc: small-sample options, see small_sample(): k_adj (count parameters in robust and
+    clustered factors), k_fixef (full, nonnested or none: which effects count in them, by default those that clusters don't nest),
+    k_exact (less redundant levels, or all levels), g_adj (G / (G - 1)), g_df (min: one factor of the fewest clusters,
+    conventional: one for each set of cluster variables), t_df (degrees of freedom of t).
+    weight_kind: a, f (as fweights), p (as a, and robust unless told otherwise) or i (as a, but n is the sum of weights).
+    tol and tolerance_mode (comparable, fast, strict-residual) bound the certificate of the absorption; what is solved is the same.
+    Where inference isn't available (no degrees of freedom left, fewer than two clusters) standard errors are NaN.
     """
-    small = {"k_adj": True, "g_adj": True, "g_df": "min", "t_df": None}
-    if (ssc or {}).keys() - small.keys() or (ssc or {}).get("g_df", "min") not in ("min", "conventional"):
-        raise ValueError(f"small-sample options {ssc}")
-    small |= ssc or {}
+    small = small_sample(ssc)
+    if weight_kind not in (None, "a", "f", "p", "i") or (weight_kind and not weights):
+        raise ValueError(f"weight_kind {weight_kind!r}")
+    if tolerance_mode not in MODES:
+        raise ValueError(f"tolerance_mode {tolerance_mode!r}")
+    if tolerance_mode == "strict-residual" and any(as_effect(e).slopes for e in fes):
+        raise ValueError("strict-residual goes without slopes")
+    bound = max(8 * min(tol, MODES[tolerance_mode]), 64 * float(np.finfo(float).eps))
+    fweights = fweights or weight_kind == "f"
+    se_type = "robust" if weight_kind == "p" and SYNONYMS.get(se_type, se_type) == "unadjusted" else se_type
     se_type = SYNONYMS.get(se_type, se_type)
     if se_type not in ("unadjusted", "robust", "cluster") or (se_type == "cluster") != bool(clusters):
         raise ValueError(f"se_type {se_type!r} with clusters {list(clusters)}")
@@ -220,44 +316,59 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     if not told[0]:
         raise ValueError("no rows are left")
     n_rows, w_sum, means = told[0], float(told[1]), np.array(told[2:], float)
-    n = int(w_sum) if fweights else n_rows
+    n = int(w_sum) if fweights or weight_kind == "i" else n_rows
     cons = intercept and not fes
     centred = rows.select(*rows.columns, *[(F.col(c) - float(m if cons or plain else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
-    tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None)
+    tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None, bound=bound)
     t = [f"{c}c_tilde" for c in cols]
     gram = moments(tilde, t, w)
-    raw = np.diag(moments(rows, cols, w))
+    # Squares without weights tell what the effects explain.
+    squares = np.array(tilde.agg(*[F.sum(F.col(c) ** 2) for c in [*cols, *t]]).first(), float)
+    raw, after = squares[: len(cols)], squares[len(cols) :]
     k = len(xs)
-    keep, omitted = kept_columns(gram[1 : k + 1, 1 : k + 1], raw[1 : k + 1])
+    first_ones = [xs.index(c) for c in collinear_priority]
+    keep, omitted = kept_columns(gram[1 : k + 1, 1 : k + 1], raw[1 : k + 1], max(1e-6, 10 * tol), after[1 : k + 1], first_ones)
     kept = [1 + j for j in keep]
     if endogenous:
         exog = [i for i in kept if i <= len(x)]
         zs = [*exog, *range(k + 1, len(vs))]
-        z_keep, _ = kept_columns(gram[np.ix_(zs, zs)], raw[zs])
+        z_keep, _ = kept_columns(gram[np.ix_(zs, zs)], raw[zs], left=after[zs])
         zs = [zs[i] for i in z_keep]
         if len(zs) < len(kept):
-            raise ValueError("under-identified")
+            raise ValueError(f"under-identified: {len(zs)} instruments and exogenous columns are left for {len(kept)} regressors")
+        # The rank of the first stage: of the endogenous columns' covariance with what instruments add to the exogenous ones.
+        given, new, told_by = [i for i in kept if i <= len(x)], [z for z in zs if z > k], [i for i in kept if i > len(x)]
+        inner = gram[np.ix_(new, new)] - (gram[np.ix_(new, given)] @ np.linalg.solve(gram[np.ix_(given, given)], gram[np.ix_(given, new)]) if given else 0)
+        outer = gram[np.ix_(new, told_by)] - (gram[np.ix_(new, given)] @ np.linalg.solve(gram[np.ix_(given, given)], gram[np.ix_(given, told_by)]) if given else 0)
+        d1, d2 = np.sqrt(np.diag(inner)), np.sqrt(np.maximum(np.diag(gram)[told_by], 1e-300))
+        rank = int(np.linalg.matrix_rank(outer / d1[:, None] / d2[None], tol=1e-9))
+        if rank < len(told_by):
+            raise ValueError(f"under-identified: the first stage has rank {rank} for {len(told_by)} endogenous regressors")
+        explained = np.einsum("ij,ij->j", outer, np.linalg.solve(inner, outer))
+        total = np.diag(gram)[told_by] - (np.einsum("ij,ij->j", gram[np.ix_(given, told_by)], np.linalg.solve(gram[np.ix_(given, given)], gram[np.ix_(given, told_by)])) if given else 0)
+        checks = {"instruments": len(new), "rank": rank, "overidentified": len(zs) - len(kept), "partial_r2": dict(zip([xs[i - 1] for i in told_by], (explained / total).tolist(), strict=True))}
         first = np.linalg.solve(gram[np.ix_(zs, zs)], gram[np.ix_(zs, kept)])
         a = first.T @ gram[np.ix_(zs, kept)]
         b = np.linalg.solve(a, first.T @ gram[zs, 0])
         fitted = [sum((F.col(t[z]) * float(first[i, j]) for i, z in enumerate(zs)), F.lit(0.0)) for j in range(len(kept))]
     else:
+        checks = {}
         a = gram[np.ix_(kept, kept)]
         b = np.linalg.solve(a, gram[kept, 0])
         fitted = [F.col(t[j]) for j in kept]
     bread = np.linalg.inv(a) if kept else np.zeros((0, 0))
     u = F.col(t[0]) - sum((F.col(t[j]) * float(v) for j, v in zip(kept, b, strict=True)), F.lit(0.0))
     scored = keep_cut(tilde.select(*rows.columns, u.alias("__u"), *[f.alias(f"__x{i}") for i, f in enumerate(fitted)]))
-    rss = float(scored.agg(F.sum(w * F.col("__u") ** 2)).first()[0])
     centre = intercept or bool(fes)
-    tss = float(raw[0] - centre * w_sum * means[0] ** 2)
+    middle_y = float(means[0]) if centre else 0.0
+    rss, tss = (float(v) for v in scored.agg(F.sum(w * F.col("__u") ** 2), F.sum(w * (F.col("__v0") - middle_y) ** 2)).first())
     dof = absorbed(rows, list(fes), list(clusters), intercept, dof, "__w" if weights else None)
     df_a = dof["df_a"] if fes else 0
-    p = len(kept) + cons
+    p = len(kept) + intercept
     df_r = n - len(kept) - (df_a if fes else cons)
     scale = n / w_sum if weights and not fweights else 1.0
-    # the constant joins as a column of ones where it is estimated
-    if cons:
+    # The constant joins as a column of ones: with effects it is recovered from the means, and so is its part of the scores.
+    if intercept:
         m = means[kept]
         shift = np.block([[np.eye(len(kept)), np.zeros((len(kept), 1))], [-m[None], np.ones((1, 1))]])
         full = np.block([[bread, np.zeros((len(kept), 1))], [np.zeros((1, len(kept))), np.array([[1 / w_sum]])]])
@@ -265,6 +376,12 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     else:
         shift, full = np.eye(len(kept)), bread
     s = [f"__s{i}" for i in range(p)]
+    counted = df_a
+    if small["k_fixef"] or not small["k_exact"]:
+        lost = sum(x for x, inside in zip(dof["levels"], dof["nested"], strict=True) if inside)
+        own = df_a if small["k_exact"] else sum(x for x, inside in zip(dof["levels"], dof["nested"], strict=True) if not inside)
+        counted = {"none": 0, "full": own + lost}.get(small["k_fixef"], own)
+    available = df_r > 0
     if se_type == "unadjusted":
         v = full * (rss * scale / df_r if df_r > 0 else np.nan)
     else:
@@ -272,36 +389,49 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
         scores = scored.select(*clusters, *[(power * F.col("__u") * F.col(f"__x{i}")).alias(c) for i, c in enumerate(s)])
         if se_type == "robust":
             middle, _ = meat(scores, s, None)
-            factor = (n / df_r if small["k_adj"] else 1.0) if df_r > 0 else np.nan
+            free = n - len(kept) - (counted if fes else cons)
+            factor = (n / free if small["k_adj"] else 1.0) if df_r > 0 and free > 0 else np.nan
         else:
             middle, g = meat(scores, s, list(clusters)) if len(clusters) == 1 else multiway(scores, s, list(clusters), small["g_adj"] and small["g_df"] == "conventional")
             inside = int(bool(fes) and any(dof["nested"]))
-            free = n - len(kept) - max(df_a, 1 if centre else 0) - (inside if df_a else 0)
+            free = n - len(kept) - max(counted, 1 if centre else 0) - (inside if counted else 0)
             once = small["g_adj"] and not (len(clusters) > 1 and small["g_df"] == "conventional")
             factor = (g / (g - 1) if once else 1.0) * ((n - 1) / free if small["k_adj"] else 1.0) if g > 1 and free > 0 else np.nan
             df_r = min(df_r, g - 1)
+            available = available and g > 1
         v = full @ middle @ full * factor
-        if len(clusters) > 1:
-            e, q = np.linalg.eigh(v)
-            v = (q * np.maximum(e, 0)) @ q.T
     df_r = small["t_df"] or df_r
     v = shift @ v @ shift.T
+    if len(clusters) > 1 and available:
+        spread = np.array(rows.agg(*[F.sqrt(F.sum(w * (F.col(cols[j]) - float(means[j])) ** 2) / ((w_sum if fweights else n_rows) - 1) / (1.0 if fweights else w_sum / n_rows)) for j in kept]).first(), float) if kept else np.zeros(0)
+        of = np.append(np.maximum(spread, 1e-3), [1.0] * int(intercept))
+        whole = clamped(v, of)
+        if whole is not None:
+            # the slopes' own block is mended by itself, so that it doesn't depend on the constant
+            own = v[: len(kept), : len(kept)]
+            block = clamped(own, of[: len(kept)])
+            whole[: len(kept), : len(kept)] = own if block is None else block
+            v = whole
     terms = [*xs, *(["_cons"] if intercept else [])]
-    coef, vcov = np.zeros(len(terms)), np.full((len(terms), len(terms)), np.nan)
+    coef, vcov = np.zeros(len(terms)), np.zeros((len(terms), len(terms)))
     at = [j for j in keep]
     coef[at] = b
-    place = at + ([len(xs)] if cons else [])
-    vcov[np.ix_(place, place)] = v
+    place = at + ([len(xs)] if intercept else [])
+    vcov[np.ix_(place, place)] = v if available else 0.0
     if intercept:
         coef[len(xs)] = means[0] - means[kept] @ b
+    if not available:
+        np.fill_diagonal(vcov, UNAVAILABLE)
+    elif not (np.isfinite(coef).all() and np.isfinite(vcov).all()):
+        raise RuntimeError("the fit gave coefficients or variances that aren't finite")
     if retain_fes and fes:
         left = F.col("__v0") - sum((F.col(f"__v{j}") * float(v) for j, v in zip(kept, b, strict=True)), F.lit(float(coef[len(xs)]) if intercept else 0.0))
         scored, _ = absorb(scored.withColumn("__d", left), ["__d"], list(fes), "__w" if weights else None, effects=True)
         if not slopes:
             scored = keep_cut(normalise(scored, [f"__d_fe{i + 1}" for i in range(len(fes))], plain, "__w" if weights else None))
-    shown = [F.col(f"__d_fe{i + 1}").alias(f"fe{i + 1}") for i in range(len(fes))] if retain_fes else []
+    shown = [F.col(f"__d_fe{i + 1}").alias(([*aliases, *[f"fe{j + 1}" for j in range(len(aliases), len(fes))]])[i]) for i in range(len(fes))] if retain_fes else []
     sample = scored.select(*shown, *ids, F.col("__v0").alias("__y"), "__u", *([F.col("__w")] if weights else []), *[F.col(f"__v{i + 1}").alias(c) for i, c in enumerate(xs)])
-    return Result(terms, coef, vcov, n, df_r, len(kept), df_a, rss * scale, tss * scale, float(gram[0, 0]) * scale, sample, how, dof, {xs[j]: r for j, r in omitted.items()}, level)
+    return Result(terms, coef, vcov, n, df_r, len(kept), df_a, rss * scale, tss * scale, float(gram[0, 0]) * scale, sample, how, dof, {xs[j]: r for j, r in omitted.items()}, level, y, [e.name for e in effects], se_type, list(clusters), checks, available, bool(retain_fes and fes))
 
 
 def _categories(term: str, df: DataFrame, intercept: bool) -> tuple[str, list]:

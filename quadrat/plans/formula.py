@@ -1,4 +1,7 @@
-"""Formulas: y ~ x1 + a:b + a*b + I(a + b) + C(g) | fe1 + f1^f2 + fe[z] + fe[[z]] | endogenous ~ instruments."""
+"""Formulas: y ~ x1 + a:b + a*b + I(a + b) + C(g) | fe1 + f1^f2 + fe[z] + fe[[z]] | endogenous ~ instruments.
+
+Effects may also be written f1#f2, fe##c.z, fe#c.z and fe##c.(z1 z2).
+"""
 
 from __future__ import annotations
 
@@ -71,6 +74,8 @@ def terms(text: str) -> tuple[tuple[str, ...], bool]:
 
 
 def effect(text: str) -> Effect:
+    if "#" in text:
+        return crossed(text)
     if m := re.fullmatch(r"(.+?)\[\[(.+)\]\]", text):
         return Effect(tuple(split_top(m[1], "^")), tuple(split_top(m[2], ",")), False)
     if m := re.fullmatch(r"(.+?)\[(.+)\]", text):
@@ -78,6 +83,16 @@ def effect(text: str) -> Effect:
     return Effect(tuple(k.strip("`") for k in split_top(text, "^")))
 
 
+def crossed(text: str) -> Effect:
+    """a#b and a##b are a joint id; a#c.x a slope, a##c.x intercept and slope, and c.(x z) several slopes."""
+    parts = [x for x in re.split(r"#+", text) if x]
+    slopes = [z for x in parts if x.startswith("c.") for z in x[2:].strip("()").split()]
+    keys = tuple(x.removeprefix("i.").strip("`") for x in parts if not x.startswith("c."))
+    if not keys:
+        raise ValueError(f"no key in {text!r}")
+    return Effect(keys, tuple(slopes), not slopes or "##" in text)
+
+
 @lru_cache(128)
 def parse(text: str) -> Formula:
     parts = split_top(text, "|")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.absorb import absorb, within
+from .operators.absorb import within
 from .operators.akm import akm_kss, leave_out_set as leave_out
 from .operators.decompose import decompose
 from .operators.graph import absorbed, mobility_groups
@@ -73,11 +73,6 @@ def singletons(spark, d):
     return drop_singletons(_lines(spark, d), ["l_orderkey", "l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
-def certificate(spark, d):
-    out, told = absorb(_lines(spark, d), [Y], ["l_partkey", "l_suppkey"])
-    return spark.createDataFrame([(told["method"], bool(told["certified"]))], "method string, certified boolean")
-
-
 def groupvar(spark, d):
     return mobility_groups(_table(spark, d, "events"), "user_id", "event_type").select("user_id", "group")
 
@@ -87,11 +82,6 @@ def twoway_dof(spark, d):
     return spark.createDataFrame([(*told["levels"], told["df_a"])], "parts long, suppliers long, df_a long")
 
 
-def akm_matches(spark, d):
-    out = _lines(spark, d).groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("t"), F.round(F.avg(Y), 4).alias("mean_y"))
-    return out
-
-
 def slope_reg(spark, d):
     return _rounded(fit(_lines(spark, d), Y, X, [Effect(("l_suppkey",), ("l_tax",))]))
 
@@ -138,7 +128,7 @@ def group_individual_reg(spark, d):
     return _rounded(fit_groups(_orders(spark, d), "o_totalprice", ["day"], "l_orderkey", individual="l_suppkey"))
 
 
-QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, certificate, groupvar, twoway_dof, akm_matches, slope_reg, fixef_oneway, model_summary, coef_movement, coef_movement_effects, leave_out_set, akm_components, group_reg, group_individual_reg)}
+QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, groupvar, twoway_dof, slope_reg, fixef_oneway, model_summary, coef_movement, coef_movement_effects, leave_out_set, akm_components, group_reg, group_individual_reg)}
 
 
 def _sig(x: str, digits: int = 6) -> str:
@@ -185,12 +175,10 @@ d AS (SELECT {Y} - avg({Y}) OVER p AS y, l_quantity - avg(l_quantity) OVER p AS
 b AS (SELECT sum(z*y) / sum(z*x) AS b, sum(z*z) / (sum(z*x) * sum(z*x)) AS v, count(*) AS n, (SELECT count(DISTINCT l_partkey) FROM s) AS k FROM d)
 SELECT 'l_quantity' AS term, {_sig('any_value(b)')} AS coef, {_sig('sqrt(any_value(v) * sum((y - b*x) * (y - b*x)) / (any_value(n) - 1 - any_value(k)))')} AS se, any_value(n) AS n FROM d, b""",
     "singletons": "WITH " + ", ".join(f"s{i} AS MATERIALIZED (SELECT * FROM {'lineitem' if i == 0 else f's{i - 1}'} QUALIFY count(*) OVER (PARTITION BY {'l_orderkey' if i % 2 == 0 else 'l_partkey'}) > 1)" for i in range(10)) + " SELECT l_orderkey, l_linenumber FROM s9",
-    "certificate": "SELECT 'levels' AS method, true AS certified",
     "groupvar": """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type FROM events),
 r(a, b) AS (SELECT user_id, user_id FROM e UNION SELECT r.a, y.user_id FROM r JOIN e x ON x.user_id = r.b JOIN e y ON y.event_type = x.event_type)
 SELECT a AS user_id, min(b) AS "group" FROM r GROUP BY a""",
     "twoway_dof": "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) - 1 AS df_a FROM lineitem",
-    "akm_matches": f"SELECT l_partkey, l_suppkey, count(*) AS t, round(avg({Y}), 4) AS mean_y FROM lineitem GROUP BY ALL",
 }
 
 
