@@ -97,7 +97,7 @@ def components(edges: DataFrame, most_edges: int = MOST_EDGES, most_rounds: int
             nodes, roots = joined_nodes(np.concatenate(u), np.concatenate(v), key and (lambda x: mix64(x.astype(np.uint64) ^ key)))
             yield pa.record_batch([pa.array(nodes), pa.array(roots)], ["node", "root"])
 
-        found = edges.repartition(max(tasks, 1)).mapInArrow(released(batches), "node long, root long")
+        found = edges.repartition(max(tasks, 1)).transform(in_arrow, batches, "node long, root long")
         if tasks <= 1:
             steps.append(found)
             break
@@ -216,6 +216,19 @@ def released(batches):
     return run
 
 
+#: Bytes of rows that Spark hands to a worker at a time, where the session has its own setting's default; texts are
+#: large, and each batch is held by the executor, the pipe and the worker.
+BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
+
+
+def in_arrow(df: DataFrame, batches, schema: str) -> DataFrame:
+    """df.mapInArrow() with released() and batches of bounded bytes."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, DEFAULT_BYTES) == DEFAULT_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(released(batches), schema)
+
+
 def text_of(name: str):
     """How to take a text column out of a batch of rows packed in a struct __row."""
     return lambda batch: batch.column("__row").field(name)

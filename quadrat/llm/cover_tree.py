@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, joined_nodes, released, settle
+from .common import components, in_arrow, joined_nodes, settle
 
 SAMPLE, BLOCK = 2000, 10_000
 #: More than single-precision products of unit vectors are off by.
@@ -329,7 +329,7 @@ def _units(vectors: DataFrame) -> DataFrame:
                 units.append((x / np.sqrt(x @ x)).tobytes())
             yield pa.record_batch([batch.column("id"), pa.array(units, pa.binary())], ["id", "unit"])
 
-    return vectors.mapInArrow(released(batches), "id long, unit binary")
+    return vectors.transform(in_arrow, batches, "id long, unit binary")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -369,7 +369,7 @@ def _linked(spark, classes: DataFrame, dims: int, cosine: float) -> DataFrame:
     # Cells of about a block; where the sample has no clusters, the tree stays shallow and blocks do the dealing.
     upper = cover(points, most / 2, max(24, SAMPLE * BLOCK // max(classes.count(), 1)), share=1 / 16)
     centres = points[upper[-1].centres]
-    placed = settle(classes.mapInArrow(released(_cells(centres)), "id long, weight long, unit binary, cell int, far double"))
+    placed = settle(classes.transform(in_arrow, _cells(centres), "id long, weight long, unit binary, cell int, far double"))
     # At most SAMPLE cells; a large one is dealt out in blocks by hash.
     cells = {r["cell"]: (r["far"], -(-r["n"] // BLOCK)) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     # Covering radii of the upper nodes, over all classes: by the children's.
@@ -398,4 +398,4 @@ def _linked(spark, classes: DataFrame, dims: int, cosine: float) -> DataFrame:
     pair = F.when(lower, F.concat_ws(":", "cell", "own", "other", "block")).otherwise(F.concat_ws(":", "other", "block", "cell", "own"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(pair.alias("pair"), F.when(lower, 0).otherwise(1).cast("int").alias("side"), "id", "weight", "unit").repartition(parts, "pair").sortWithinPartitions("pair", "id")
-    return dealt.mapInArrow(released(_compared(cosine, dims)), "id long, n long, to long")
+    return dealt.transform(in_arrow, _compared(cosine, dims), "id long, n long, to long")

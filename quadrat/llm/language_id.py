@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, released, text_of
+from .common import in_arrow, mix64, pieces, text_of
 from .token_counts import LETTER, classes
 
 BITS = 14
@@ -134,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         some = np.flatnonzero(every)
         yield pa.record_batch([pa.array(some), pa.array(every[some])], ["bin", "n"])
 
-    seen = rows.select("text").mapInArrow(released(document_counts), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 2 * 2**BITS + 1 rows at most
+    seen = rows.select("text").transform(in_arrow, document_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 2 * 2**BITS + 1 rows at most
     every = np.zeros((2 << BITS) + 1)
     every[[r["bin"] for r in seen]] = [r["n"] for r in seen]
     frequency, known, number = every[: 1 << BITS], every[1 << BITS : -1] > 0, every[-1]
@@ -153,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # The hashes alone are sorted, then the rows up to the last of them are read: no text is shuffled.
     mark = F.xxhash64("id", "text")
     last = rows.select(mark.alias("mark")).orderBy("mark").limit(most_rows).agg(F.max("mark")).first()[0]
-    found = rows.withColumn("mark", mark).where(F.col("mark") <= F.lit(last)).mapInArrow(released(shares), "mark long, lang string, bins array<short>, shares array<float>")
+    found = rows.withColumn("mark", mark).where(F.col("mark") <= F.lit(last)).transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>")
     sample = found.limit(most_rows).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     label = np.array([langs.index(x) for x in sample.column("lang").to_pylist()], np.int64)
@@ -194,5 +194,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
                 langs, scores = model.predict([t or "" for t in text(part).to_pylist()])
                 yield pa.record_batch([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores)], ["__row", "__lang", "__score"])
 
-    out = rows.mapInArrow(released(batches), f"__row {rows.schema['__row'].dataType.simpleString()}, __lang string, __score double")
+    out = rows.transform(in_arrow, batches, f"__row {rows.schema['__row'].dataType.simpleString()}, __lang string, __score double")
     return out.select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__lang").alias(lang_col), F.col("__score").alias(score_col))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_bytes, bounded, components, keyed, mix64, pieces, released, settle, span_hashes, words_of
+from .common import LOWER, arrow_bytes, bounded, components, in_arrow, keyed, mix64, pieces, settle, span_hashes, words_of
 
 POOL, TREES, DEPTH, REGION, BLOCK = 48, 24, 8, 64, 256
 _MULTIPLY, _ADD = keyed(21, POOL) | np.uint64(1), keyed(22, POOL)
@@ -81,7 +81,7 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                     sigs[i] = s.tobytes()
                 yield pa.record_batch([part.column("id"), pa.array(number), pa.array([p.tobytes() for p in prints]), pa.array(sigs, pa.binary())], ["id", "n", "print", "sig"])
 
-    return docs.mapInArrow(released(batches), "id long, n long, print binary, sig binary")
+    return docs.transform(in_arrow, batches, "id long, n long, print binary, sig binary")
 
 
 def _readings(classes: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _readings(classes: DataFrame) -> DataFrame:
                 keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(key), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
                 yield pa.record_batch([pa.array(tree), keys, ids], ["tree", "key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(released(batches), "tree int, key binary, id long")
+    return classes.select("id", "sig").transform(in_arrow, batches, "tree int, key binary, id long")
 
 
 def _common(key: np.ndarray) -> np.ndarray:
@@ -322,7 +322,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 value, at = shingles(*arrow_bytes(part.column("text")), shingle)
                 yield pa.record_batch([part.column("id"), pa.array([value[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "items"])
 
-    return docs.join(bounded(ids), "id", "left_semi").mapInArrow(released(batches), "id long, items binary")
+    return docs.join(bounded(ids), "id", "left_semi").transform(in_arrow, batches, "id long, items binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, times: int, by: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, times: int, by: int) -> DataFr
 
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-    return both.select("a", "b", "ia", "ib").mapInArrow(released(batches), "u long, v long")
+    return both.select("a", "b", "ia", "ib").transform(in_arrow, batches, "u long, v long")
 
 
 def _dealt(regions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     head = F.expr(f"substring(key, 1, {2 * least_depth})")
     sorted_ = _readings(classes).repartition(parts, "tree", head).sortWithinPartitions("tree", "key", "id")
-    found = settle(sorted_.mapInArrow(released(_neighbours(least_depth)), "tree int, id long, other long, region long"))
+    found = settle(sorted_.transform(in_arrow, _neighbours(least_depth), "tree int, id long, other long, region long"))
     first = settle(found.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     members = settle(found.where("region IS NOT NULL").select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct())
     sets = settle(_sets(rows, members, shingle))
@@ -395,12 +395,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = by / times
     least_equal = int(POOL * share - 3.5 * (POOL * share * (1 - share)) ** 0.5)
     signed = classes.select("id", "sig")
-    found = settle(crossed.join(signed, "id").repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(released(_crossed(least_equal)), "a long, b long, dense long"))
+    found = settle(crossed.join(signed, "id").repartition(parts, "pair").sortWithinPartitions("pair").transform(in_arrow, _crossed(least_equal), "a long, b long, dense long"))
     few = found.where("a IS NOT NULL").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     # Where agreeing pairs outnumber the rows, the rows go to the pairs' task with their sets instead.
     dense = crossed.join(found.where("dense IS NOT NULL").select(F.col("dense").alias("pair")).distinct(), "pair").join(signed, "id").join(sets, "id")
     dense = dense.select("pair", "side", "component", "id", "sig", "items").repartition(parts, "pair").sortWithinPartitions("pair")
-    links = settle(links.unionByName(_confirmed(settle(few), sets, times, by)).unionByName(dense.mapInArrow(released(_matched(least_equal, times, by)), "u long, v long")))
+    links = settle(links.unionByName(_confirmed(settle(few), sets, times, by)).unionByName(dense.transform(in_arrow, _matched(least_equal, times, by), "u long, v long")))
     groups = components(links)
     named = classes.join(groups, classes.id == groups.node, "left").select("print", F.coalesce("component", "id").alias("component_id"))
     known = described.join(named, "print", "left")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, released, text_of
+from .common import in_arrow, mix64, pieces, text_of
 
 MARK = "▁"
 #: Stands in a part for U+2581 of the text itself; a lone surrogate is in no valid text.
@@ -370,7 +370,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
                 yield pa.record_batch([part.column("__row"), lists, pa.array(number, pa.int64())], ["__row", "__ids", "__n"])
 
-    out = rows.mapInArrow(released(batches), f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>, __n long")
+    out = rows.transform(in_arrow, batches, f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>, __n long")
     return out.select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__ids").alias(ids_col), F.col("__n").alias(n_col))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, _powers, arrow_bytes, mix64, pieces, released, span_hashes, words_of
+from .common import LOWER, _powers, arrow_bytes, in_arrow, mix64, pieces, span_hashes, words_of
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _ENDS = np.zeros(256, bool)
@@ -105,7 +105,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest
                 yield pa.record_batch(columns, ["h1", "h2", "id", "at", "size", "again"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(released(batches), f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, at int, size int, again boolean")
+    return rows.transform(in_arrow, batches, f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, at int, size int, again boolean")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, longest: int = 16) -> DataFrame:
@@ -151,5 +151,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 number = np.bincount(s.owner[out], minlength=part.num_rows)
                 yield pa.record_batch([pa.array(texts, pa.string()), part.column("__row"), pa.array(np.diff(low)), pa.array(number)], ["__text", "__row", "n_sentences", "n_removed"])
 
-    out = both.mapInArrow(released(batches), f"__text string, __row {rows.schema['__row'].dataType.simpleString()}, n_sentences long, n_removed long")
+    out = both.transform(in_arrow, batches, f"__text string, __row {rows.schema['__row'].dataType.simpleString()}, n_sentences long, n_removed long")
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in keep], "n_sentences", "n_removed")

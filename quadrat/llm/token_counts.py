@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, released
+from .common import in_arrow, pieces
 
 LETTER, NUMBER, OTHER, SPACE, BLANK, EDGE = range(6)
 #: The code points of Unicode's White_Space besides U+0020.
@@ -317,4 +317,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.record_batch([part.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(machine.counts(texts))], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(batches), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, batches, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
