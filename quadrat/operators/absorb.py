@@ -4,7 +4,8 @@ A term is a key, or an Effect: a key whose levels have an intercept, slopes on c
 is a window. Otherwise terms are solved on their levels: with D their columns, A = D'WD and B = D'WV, the level
 coefficients solve A t = B. B and A's diagonal blocks are one aggregation for each term; A's other blocks are edge tables,
 one aggregation for each pair of terms. While levels and edges are few enough for the driver (MOST_CELLS, counted first)
-conjugate gradients solve there; beyond, rows are swept term by term in the cluster, with lineage cut. Either way the
+conjugate gradients solve there; beyond, the same iterations run on those tables in the cluster: rows are read to make the
+tables and to be joined with the result, and in no iteration. Either way the
 certificate measures what is left: the norm of D'W of the residual, by one aggregation for each term.
 """
 
@@ -69,9 +70,7 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
             edges[a, b] = df.groupBy(ka, kb).agg(*[F.sum(w * _col(x) * _col(z)).alias(f"w{i}_{j}") for i, x in enumerate(carriers(terms[a])) for j, z in enumerate(carriers(terms[b]))])
     number = sum(x.count() * max(len(x.columns) - 1, 1) for x in [*cells, *edges.values()])
     if number > MOST_CELLS:
-        if effects:
-            raise ValueError(f"{number} cells of effects are more than the driver takes ({MOST_CELLS})")
-        out, told = _sweep(df, columns, terms, weight, suffix)
+        out, told = _spread(df, columns, terms, cells, edges, suffix, effects)
     else:
         out, told = _solve(df, columns, terms, cells, edges, suffix, tol, effects)
     told["certificate"] = certificate(out, [f"{c}{suffix}" for c in columns], columns, terms, weight)
@@ -140,37 +139,114 @@ def _solve(df, columns, terms, cells, edges, suffix, tol, effects):
             p = z + rz / old * p
         rounds = max(rounds, n)
         solved[:, k] = x
-    out, kept = df, []
+    made = []
     for d, e in enumerate(terms):
         key, (n, q) = e.keys[0], sizes[d]
         levels = pd.DataFrame(solved[low[d] : low[d + 1]].reshape(n, -1), columns=[f"__t{d}_{i}_{k}" for i in range(q) for k in range(len(columns))])
         levels.insert(0, key, tables[d].iloc[:, 0])
-        table = df.sparkSession.createDataFrame(pa.Table.from_pandas(levels, preserve_index=False)).withColumn(key, F.col(key).cast(df.schema[key].dataType))
-        kept.append(table.select(key, *[F.col(f"__t{d}_{i}_{k}").alias(f"{name}_{z or 'const'}") for i, z in enumerate(carriers(e)) for k, name in enumerate(columns)]))
-        out = out.join(table, key)
+        made.append(df.sparkSession.createDataFrame(pa.Table.from_pandas(levels, preserve_index=False)).withColumn(key, F.col(key).cast(df.schema[key].dataType)))
+    out, kept = _joined(df, columns, terms, made, suffix, effects)
+    return out, {"method": "levels", "iterations": rounds, "terms": kept}
+
+
+def _joined(df, columns, terms, tables, suffix, effects):
+    """The rows less what the terms' level coefficients (key, __t<term>_<carrier>_<column>) add up to, and the coefficients by carrier."""
+    out, kept = df, []
+    for d, (e, table) in enumerate(zip(terms, tables, strict=True)):
+        kept.append(table.select(e.keys[0], *[F.col(f"__t{d}_{i}_{k}").alias(f"{name}_{z or 'const'}") for i, z in enumerate(carriers(e)) for k, name in enumerate(columns)]))
+        out = out.join(table, e.keys[0])
     part = lambda d, k: sum((_col(z) * F.col(f"__t{d}_{i}_{k}") for i, z in enumerate(carriers(terms[d]))), F.lit(0.0))
     whole = lambda k: sum((part(d, k) for d in range(len(terms))), F.lit(0.0))
     shown = [part(d, k).alias(f"{c}_fe{d + 1}") for k, c in enumerate(columns) for d in range(len(terms))] if effects else []
-    return keep_cut(out.select(*df.columns, *[(F.col(c) - whole(k)).alias(f"{c}{suffix}") for k, c in enumerate(columns)], *shown)), {"method": "levels", "iterations": rounds, "terms": kept}
+    return keep_cut(out.select(*df.columns, *[(F.col(c) - whole(k)).alias(f"{c}{suffix}") for k, c in enumerate(columns)], *shown)), kept
 
 
-def _sweep(df, columns, terms, weight, suffix, tol: float = 1e-10, most_rounds: int = 2000):
-    out = df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns])
-    w = F.col(weight) if weight else F.lit(1.0)
-    for n in range(most_rounds):
-        old = [f"__old{i}" for i in range(len(columns))]
-        out = out.select("*", *[F.col(f"{c}{suffix}").alias(o) for c, o in zip(columns, old, strict=True)])
-        for e in terms:
-            by = Window.partitionBy(e.keys[0])
-            for z in carriers(e):
-                square = F.sum(w * _col(z) * _col(z)).over(by)
-                out = out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") - F.when(square > 0, _col(z) * F.sum(w * _col(z) * F.col(f"{c}{suffix}")).over(by) / square).otherwise(0.0) for c in columns})
-        out = keep_cut(out)
-        moved = out.agg(*[F.sum((F.col(f"{c}{suffix}") - F.col(o)) ** 2) / F.sum(F.col(c) ** 2) for c, o in zip(columns, old, strict=True)]).first()
-        out = out.drop(*old)
-        if max(x or 0.0 for x in moved) < tol**2:
+def _inverses(q: int):
+    """Adds m<i>_<j>, the generalised inverse of each level's block g<i>_<j>, scaled to a unit diagonal first."""
+
+    def run(parts):
+        for part in parts:
+            g = np.zeros((len(part), q, q))
+            for i in range(q):
+                for j in range(i + 1):
+                    g[:, i, j] = g[:, j, i] = part[f"g{i}_{j}"].to_numpy(float)
+            d = np.sqrt(np.einsum("nii->ni", g))
+            d = np.where(d > 0, 1 / np.where(d > 0, d, 1), 0)
+            m = np.linalg.pinv(g * d[:, :, None] * d[:, None, :], rcond=1e-12, hermitian=True) * d[:, :, None] * d[:, None, :]
+            for i in range(q):
+                for j in range(q):
+                    part[f"m{i}_{j}"] = m[:, i, j]
+            yield part
+
+    return run
+
+
+def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-12, most_rounds: int = 2000):
+    """_solve() in the cluster. A level is a row with its block, its solution x, what is left r and its direction p.
+
+    Levels of all terms are one table, by term and key; edges lie both ways, dealt out by the level they read, as the levels are, so a
+    round moves one row for each level and the sums of edges in each task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, cols = max(len(carriers(e)) for e in terms), range(len(columns))
+    name = lambda d, c: F.concat(F.lit(f"{d}:"), F.col(c).cast("string"))
+    zero = F.lit(0.0)
+    cut = [keep_cut(c) for c in cells]
+    levels, both = None, None
+    for d, (e, c) in enumerate(zip(terms, cut, strict=True)):
+        own = len(carriers(e))
+        blocks = [(F.col(f"g{i}_{j}") if i < own else zero).cast("double").alias(f"g{i}_{j}") for i in range(q) for j in range(i + 1)]
+        some = c.select(name(d, e.keys[0]).alias("k"), *blocks, *[(F.col(f"b{i}_{n}") if i < own else zero).cast("double").alias(f"r{i}_{n}") for i in range(q) for n in cols])
+        levels = some if levels is None else levels.unionByName(some)
+    for (a, b), e in edges.items():
+        na, nb = len(carriers(terms[a])), len(carriers(terms[b]))
+        for u, v, turn in ((name(a, "ka"), name(b, "kb"), False), (name(b, "kb"), name(a, "ka"), True)):
+            weight = lambda i, j: (F.col(f"w{j}_{i}") if turn else F.col(f"w{i}_{j}")) if (i < nb and j < na if turn else i < na and j < nb) else zero  # noqa: B023, E731
+            some = e.select(u.alias("u"), v.alias("v"), *[weight(i, j).cast("double").alias(f"w{i}_{j}") for i in range(q) for j in range(q)])
+            both = some if both is None else both.unionByName(some)
+    if q > 1:
+        schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in levels.schema] + [f"m{i}_{j} double" for i in range(q) for j in range(q)])
+        levels = levels.mapInPandas(_inverses(q), schema)
+    else:
+        levels = levels.withColumn("m0_0", F.when(F.col("g0_0") > 0, 1 / F.col("g0_0")).otherwise(zero))
+    fixed = ["k", *[f"g{i}_{j}" for i in range(q) for j in range(i + 1)], *[f"m{i}_{j}" for i in range(q) for j in range(q)]]
+    gram = lambda i, j: F.col(f"g{max(i, j)}_{min(i, j)}")
+    z = lambda i, n, r="r": sum((F.col(f"m{i}_{j}") * F.col(f"{r}{j}_{n}") for j in range(q)), zero)
+    state = keep_cut(levels.select(*fixed, *[F.col(f"r{i}_{n}") for i in range(q) for n in cols], *[zero.alias(f"x{i}_{n}") for i in range(q) for n in cols], *[z(i, n).alias(f"p{i}_{n}") for i in range(q) for n in cols]).repartition(parts, "k"))
+    both = keep_cut(both.repartition(parts, "v")) if both is not None else None
+    dot = lambda a, b: [F.sum(sum((a(i, n) * b(i, n) for i in range(q)), zero)) for n in cols]
+    r = lambda i, n: F.col(f"r{i}_{n}")
+    told = state.agg(*dot(r, r), *dot(r, z)).first()
+    goal, rz = tol**2 * np.maximum(np.array(told[: len(cols)], float), 1e-300), np.array(told[len(cols) :], float)
+    left, rounds = goal / tol**2, 0
+    for rounds in range(1, most_rounds + 1):
+        if (left <= goal).all() or (rz <= 0).all():
             break
-    return out, {"method": "sweeps", "iterations": n + 1}
+        p = state.select(F.col("k").alias("v"), *[F.col(f"p{i}_{n}") for i in range(q) for n in cols])
+        own = [sum((gram(i, j) * F.col(f"p{j}_{n}") for j in range(q)), zero) for i in range(q) for n in cols]
+        names = [f"q{i}_{n}" for i in range(q) for n in cols]
+        if both is not None:
+            met = both.join(p, "v").groupBy("u").agg(*[F.sum(sum((F.col(f"w{i}_{j}") * F.col(f"p{j}_{n}") for j in range(q)), zero)).alias(f"q{i}_{n}") for i in range(q) for n in cols])
+            state = state.join(met.withColumnRenamed("u", "k"), "k", "left")
+            state = state.select(*[c for c in state.columns if c not in names], *[(v + F.coalesce(F.col(c), zero)).alias(c) for v, c in zip(own, names, strict=True)])
+        else:
+            state = state.select("*", *[v.alias(c) for v, c in zip(own, names, strict=True)])
+        state = keep_cut(state)
+        pq = np.array(state.agg(*dot(lambda i, n: F.col(f"p{i}_{n}"), lambda i, n: F.col(f"q{i}_{n}"))).first(), float)
+        step = np.where((pq > 0) & (left > goal), rz / np.where(pq > 0, pq, 1), 0.0)
+        state = state.select(*fixed, *[(F.col(f"x{i}_{n}") + float(step[n]) * F.col(f"p{i}_{n}")).alias(f"x{i}_{n}") for i in range(q) for n in cols], *[(F.col(f"r{i}_{n}") - float(step[n]) * F.col(f"q{i}_{n}")).alias(f"r{i}_{n}") for i in range(q) for n in cols], *[F.col(f"p{i}_{n}") for i in range(q) for n in cols])
+        told = state.agg(*dot(r, r), *dot(r, z)).first()
+        left, new = np.array(told[: len(cols)], float), np.array(told[len(cols) :], float)
+        turn = np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)
+        rz = new
+        state = state.select(*fixed, *[F.col(f"{v}{i}_{n}") for v in "xr" for i in range(q) for n in cols], *[(z(i, n) + float(turn[n]) * F.col(f"p{i}_{n}")).alias(f"p{i}_{n}") for i in range(q) for n in cols])
+    state = keep_cut(state)
+    made = []
+    for d, (e, c) in enumerate(zip(terms, cut, strict=True)):
+        found = c.select(e.keys[0], name(d, e.keys[0]).alias("k")).join(state, "k")
+        made.append(found.select(e.keys[0], *[F.col(f"x{i}_{n}").alias(f"__t{d}_{i}_{n}") for i in range(len(carriers(e))) for n in cols]))
+    out, kept = _joined(df, columns, terms, made, suffix, effects)
+    return out, {"method": "spread levels", "iterations": rounds, "terms": kept}
 
 
 def certificate(df: DataFrame, tilde: list[str], columns: list[str], keys: list, weight: str | None = None) -> float:

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,18 +50,31 @@ def check(df: DataFrame, numbers: list[str], ids: list[str], na_action: str = "r
 
 
 def drop_singletons(df: DataFrame, keys: list[str], weight: str | None = None, most_rounds: int = 200) -> DataFrame:
-    """Drop rows alone in a level of any key, again and again until none is; weight: frequency weights, counted as rows."""
+    """Drop rows alone in a level of any key, again and again until none is; weight: frequency weights, counted as rows.
+
+    Rounds go over the distinct cells of the keys with their counts; the rows are read for those, and once at the end.
+    """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    before = df.count()
+    cells = keep_cut(df.groupBy(*keys).agg(size.alias("__n")))
+    first = before = cells.count()
     for _ in range(most_rounds):
         for k in keys:
-            df = df.withColumn("__n", size.over(Window.partitionBy(k))).where("__n > 1").drop("__n")
-        df = keep_cut(df)
-        after = df.count()
-        if after == before:
-            return df
+            alone = cells.groupBy(k).agg(F.sum("__n").alias("__n")).where("__n <= 1").select(k)
+            cells = cells.join(alone.withColumnRenamed(k, "__alone"), F.col(k).eqNullSafe(F.col("__alone")), "left_anti")
+        cells = keep_cut(cells)
+        after = cells.count()
+        if after == before or len(keys) == 1:
+            break
         before = after
-    raise RuntimeError("singletons did not settle")
+    else:
+        raise RuntimeError("singletons did not settle")
+    if after == first:
+        return keep_cut(df)
+    named = cells.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return keep_cut(df.join(named, same, "left_semi"))
 
 
 def collapse(df: DataFrame, group: str, columns: list[str]) -> DataFrame:

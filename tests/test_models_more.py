@@ -57,10 +57,14 @@ def test_sweeps_and_formula_slopes(spark, monkeypatch):
     assert np.allclose(want.coef, got.coef)
     monkeypatch.setattr(absorb_module, "MOST_CELLS", 1)
     out, told = absorb(df, ["y"], ["a", "b"])
-    assert told["method"] == "sweeps" and told["certified"]
+    assert told["method"] == "spread levels" and told["certified"]
     z = np.column_stack([dummies(p, "a"), dummies(p, "b")])
     u = p.y - z @ np.linalg.lstsq(z, p.y, rcond=None)[0]
     assert np.allclose(sorted(out.toPandas().y_tilde), sorted(u), atol=1e-6)
+    spread = fit(df, "y", ["x1"], [Effect(("a",), ("z",)), "b"], retain_fes=True)
+    assert np.allclose(want.coef, spread.coef) and np.allclose(want.vcov, spread.vcov) and spread.absorption["method"] == "spread levels"
+    t = spread.fixef().toPandas()
+    assert np.allclose(t.fe1 + t.fe2 + t.x1 * spread.coef[0] + spread.coef[1], t["__y"] - t["__u"], atol=1e-7)
 
 
 def test_retained_effects_and_predictions(spark):
