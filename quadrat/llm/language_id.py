@@ -4,8 +4,8 @@ Features: the n-grams of one to three letters of the lower-cased text (every oth
 2**BITS bins. TF is a bin's share of the text's n-grams, IDF comes from the document frequencies of all training
 documents. A score is linear in the shares, so a text is scored by one sum over its n-grams, of any length.
 
-Weights: follow-the-regularised-leader with L1 and L2 penalties, on at most `most_rows` training documents, those with
-the smallest hash of their id (the sample is the one bounded part; it is a parameter). A fifth of them is held back from the
+Weights: follow-the-regularised-leader with L1 and L2 penalties, on about `most_rows` training documents (the sample is the
+one bounded part; it is a parameter): each language gives its share, `least_rows` at least, by the hash of id and text, so none is too rare to be learnt. A fifth of them is held back from the
 weights and sets a temperature by likelihood, so the scores are calibrated. A score is the language's calibrated probability times the
 share of the text's letters that the training documents have, so a text in letters never seen is placed nowhere.
 """
@@ -116,7 +116,7 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarr
     return w[:-1], w[-1]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 3000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 3000, least_rows: int = 50) -> Model:
     """Learn from the text and language of every row that has both. With none, the model predicts only `und`."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -150,11 +150,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 some = [np.flatnonzero(f) for f in found]
                 yield pa.record_batch([part.column("mark"), part.column("lang"), pa.array([x.astype(np.int16) for x in some], pa.list_(pa.int16())), pa.array([(f[x] / f.sum()).astype(np.float32) for f, x in zip(found, some, strict=True)], pa.list_(pa.float32()))], ["mark", "lang", "bins", "shares"])
 
-    # The hashes alone are sorted, then the rows up to the last of them are read: no text is shuffled.
+    # A language's share of the range of hashes gives about its number of rows: nothing is sorted, no text is shuffled.
     mark = F.xxhash64("id", "text")
-    last = rows.select(mark.alias("mark")).orderBy("mark").limit(most_rows).agg(F.max("mark")).first()[0]
-    found = rows.withColumn("mark", mark).where(F.col("mark") <= F.lit(last)).transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>")
-    sample = found.limit(most_rows).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
+    total = sum(r["count"] for r in sizes)
+    wanted = {r["lang"]: max(least_rows, most_rows * r["count"] / total) for r in sizes}
+    bars = rows.sparkSession.createDataFrame([(r["lang"], min(2**63 - 1, int(-(2**63) + min(1.0, wanted[r["lang"]] / r["count"]) * 2**64))) for r in sizes], "lang string, bar long")
+    picked = rows.withColumn("mark", mark).join(F.broadcast(bars), "lang").where("mark <= bar").select("mark", "lang", "text")
+    # Repeated rows have one hash, and count once.
+    picked = picked.groupBy("mark", "lang").agg(F.first("text").alias("text"))
+    most = int(2 * sum(wanted.values())) + 100
+    sample = picked.transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>").limit(most).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     label = np.array([langs.index(x) for x in sample.column("lang").to_pylist()], np.int64)
     xs = []
