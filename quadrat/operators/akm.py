@@ -260,6 +260,139 @@ class Solver:
         return np.stack([p / t if by_match else p, fe, pe, cov]), np.where(left > 1e-300, 1 - var / np.maximum(left, 1e-150) ** 2 + bias / left, 1.0)
 
 
+def quantile_groups(x: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each value, from 0, by cuts at i (N + 1) / groups of the N sorted values, each counted weight times.
+
+    Cuts are interpolated between neighbours; a value equal to a cut is above it.
+    """
+    order = np.argsort(x, kind="stable")
+    ends = np.cumsum(weight[order])
+    n = int(ends[-1])
+    value = lambda k: x[order][np.searchsorted(ends, k, "left")]  # noqa: E731  the k-th of all, from 1
+    at = np.arange(1, groups) * (n + 1) / groups
+    low = np.floor(at)
+    part = at - low
+    low = np.clip(low, 1, max(n - 1, 1))
+    cuts = (1 - part) * value(low) + part * value(np.minimum(low + 1, n))
+    return np.searchsorted(cuts, x, "right")
+
+
+def lowess(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A local linear surface of y over two predictors, at each point: tricube weights over the nearest n^(2/3) of the n points.
+
+    Points count weight times; y is the mean of a point. Predictors are scaled first. Quadratic in the points.
+    """
+    n = weight.sum()
+
+    def scaled(v):
+        v = v - (weight * v).sum() / n
+        sd = math.sqrt((weight * v * v).sum() / (n - 1)) if n > 1 else 1.0
+        return v / sd if sd > 0 else v * 0
+
+    x1, x2 = scaled(x1), scaled(x2)
+    near = min(max(math.ceil(n ** (2 / 3)), 3), n)
+    out = np.empty(len(y))
+    for i in range(len(y)):
+        a, b = x1 - x1[i], x2 - x2[i]
+        d = np.sqrt(a * a + b * b)
+        order = np.argsort(d, kind="stable")
+        far = d[order][np.searchsorted(np.cumsum(weight[order]), near, "left")]
+        w = weight * (np.clip(1 - (d / far) ** 3, 0, None) ** 3 if far > 0 else (d <= 0))
+        z = np.stack([np.ones(len(y)), a, b])
+        gram, right = (z * w) @ z.T, (z * w) @ y
+        out[i] = np.linalg.solve(gram, right)[0] if np.linalg.matrix_rank(gram) == 3 else right[0] / gram[0, 0] if gram[0, 0] > 0 else y[i]
+    return out
+
+
+def component_errors(k: Solver, m: dict[str, np.ndarray], alpha: np.ndarray, psi: np.ndarray, weights: tuple, by_match: bool, draws: int = 1000, seed: int = 1, smooth: str = "bins", grid: int = 1000) -> dict[str, tuple[float, float]]:
+    """(estimate, standard error) of each component, where many effects make it nearly normal.
+
+    With y = X b + e and errors of a variance smoothed over leverage and weight, a component is a quadratic form of y without its
+    diagonal blocks; its variance is 4 W' S W less that of the same form of errors alone, which draws simulate. m holds the
+    matches' t, s, ss and leverages p; all terms are sums over matches. var_alpha is told for observations only.
+    """
+    w, f, t, n = k.w, k.f, k.c, k.dw.sum()
+    s, ss, fitted = m["s"], m["ss"], alpha[k.w] + psi[k.f]
+    stays = np.bincount(w, minlength=k.n)[w] < 2
+    p = np.where(stays, 1 / k.dw[w], m["p"])
+    block = t if by_match else np.ones(len(t))
+    left = 1 - block * p
+    gain = np.where(left > 1e-12, p / np.where(left > 1e-12, left, 1), 0.0)
+    eta = s - t * fitted  # a match's sum of residuals
+    # sums over a match of y times its left-out residual, and of that residual
+    raw = ss - s * fitted + gain * eta * s if by_match else (ss - s * fitted) / np.where(left > 1e-12, left, 1)
+    eta_h = eta * (1 + t * gain) if by_match else eta / np.where(left > 1e-12, left, 1)
+    psi, alpha = psi - k.df @ psi / n, alpha - k.dw @ alpha / n
+    key = quantile_groups(p.astype(np.float32).astype(float), t, grid)
+    first = {}
+    for i in np.flatnonzero(stays & (t > 1)):
+        first.setdefault(t[i], i)
+    names = ["var_psi", "cov_alpha_psi", *([] if by_match else ["var_alpha"])]
+    plain = {"var_psi": k.df @ psi**2, "cov_alpha_psi": (t * alpha[w]) @ psi[f], "var_alpha": k.dw @ alpha**2}
+    out = {}
+    for name in names:
+        base = weights[{"var_psi": 0, "var_alpha": 1, "cov_alpha_psi": 2}[name]].copy()
+        if name == "var_alpha":
+            base[stays] = [base[first[x]] if x in first else 0.0 for x in t[stays]]
+        else:
+            base[stays] = 0.0
+        theta = (plain[name] - (base * (s * eta_h if by_match else raw)).sum()) / n
+        if smooth == "lowess":
+            spread = lowess(p, base, raw / t, t)
+        else:
+            cell = quantile_groups(base.astype(np.float32).astype(float), t, grid) * np.int64(grid + 1) + key
+            _, cell = np.unique(cell, return_inverse=True)
+            spread = (np.bincount(cell, raw) / np.bincount(cell, t))[cell]
+
+        def form(a, b, c, d):
+            """The component's quadratic form of effects (a, b) with (c, d)."""
+            centre = lambda x, df: x - df @ x / n
+            if name == "var_psi":
+                return (k.df * centre(b, k.df) * centre(d, k.df).conj()).sum()
+            if name == "var_alpha":
+                return (k.dw * centre(a, k.dw) * centre(c, k.dw).conj()).sum()
+            return 0.5 * (t * centre(a, k.dw)[w] * centre(d, k.df).conj()[f] + t * centre(c, k.dw).conj()[w] * centre(b, k.df)[f]).sum()
+
+        none_w, none_f = np.zeros(k.n), np.zeros(k.j)
+        if name == "var_psi":
+            bw, bf = k.solve(none_w, k.df * psi)
+        elif name == "var_alpha":
+            bw, bf = k.solve(k.dw * alpha, none_f)
+        else:
+            bw, bf = k.solve(0.5 * np.bincount(w, t * psi[f], k.n), 0.5 * np.bincount(f, t * alpha[w], k.j))
+        # what a row gets from the diagonal blocks: of a match's sum of y, or of the row's own y
+        turned = np.where(left > 1e-12, left, 1)
+        if by_match:
+            u = np.where(base == 0, 0.0, base * s / turned)  # the same for all rows of a match
+            xw, xf = k.solve(np.bincount(w, t * u, k.n), np.bincount(f, t * u, k.j))
+            row = bw[w] + bf[f] - 0.5 * (base * eta_h + u - xw[w] - xf[f])
+            total = (t * row**2 * spread).sum()
+        else:
+            # a row's y and residual differ within a match: row = c + g y + h, with sums of y and its square
+            g = -0.5 * (base / turned + base / turned)
+            xw, xf = k.solve(np.bincount(w, base * s / turned, k.n), np.bincount(f, base * s / turned, k.j))
+            c = bw[w] + bf[f] + 0.5 * (base * fitted / turned + xw[w] + xf[f])
+            total = ((t * c**2 + 2 * c * g * s + g**2 * ss) * spread).sum()
+        scale = np.sqrt(spread.astype(complex))
+        forms = np.zeros(draws, complex)
+        for i in range(draws):
+            rng = np.random.Generator(np.random.Philox(key=[seed, i]))
+            z = rng.standard_normal(len(t))
+            v = scale * np.sqrt(t) * z  # a match's sum of errors
+            re, im = k.solve(np.bincount(w, v.real, k.n), np.bincount(f, v.real, k.j)), (k.solve(np.bincount(w, v.imag, k.n), np.bincount(f, v.imag, k.j)) if v.imag.any() else (0.0, 0.0))
+            ew, ef = re[0] + 1j * im[0], re[1] + 1j * im[1]
+            at = ew[w] + ef[f]
+            if by_match:
+                own = (base * v.conj() * (v - t * at) * (1 + t * gain)).sum()
+            else:
+                squares = np.abs(spread) * (z**2 + np.where(t > 1, rng.chisquare(np.maximum(t - 1, 1e-9)), 0.0))
+                own = (base / turned * (squares - v.conj() * at)).sum()
+            forms[i] = form(ew, ef, ew, ef) - own
+        below = float((np.abs(forms - forms.mean()) ** 2).sum() / (draws - 1))
+        out[name] = (float(theta), math.sqrt(max(4 * total - below, 0.0)) / n)
+    return out
+
+
 @dataclass
 class Components:
     """Variances of firm and worker effects and their covariance: plain, corrected, and corrected for one error variance."""
@@ -278,6 +411,7 @@ class Components:
     rows: DataFrame
     beta: dict[str, float] = field(default_factory=dict)
     lincom: list[dict] = field(default_factory=list)
+    errors: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def frame(self) -> DataFrame:
         rows = [(k, self.plugin[k], self.kss[k], self.agsu[k], self.kss[k] / self.var_y if self.var_y else float("nan")) for k in self.plugin]
@@ -291,26 +425,41 @@ class Components:
             df.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{path}_{name}")
 
 
-def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True) -> Components:
+def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True, weights: str | None = None, errors: bool = False, smooth: str = "bins", error_draws: int = 1000, progress=None) -> Components:
     """Variance components of y = worker + firm + controls, leaving out matches or observations (level: match or obs).
 
     leverages: exact, jla (random signs) or auto. z: columns onto which firm effects are projected. Workers with one row and
-    rows that aren't leave-out connected go with prune; without, a row with leverage 1 raises.
+    rows that aren't leave-out connected go with prune; without, a row with leverage 1 raises. weights: frequency weights, at
+    match level and without z or errors. errors: also component_errors(), with variances smoothed by bins or lowess.
+    progress: called with a line of text at each step.
     """
+    say = progress or (lambda text: None)
+    if weights and (level != "match" or z or errors):
+        raise ValueError("frequency weights go with the match level, without projections or standard errors")
+    if smooth not in ("bins", "lowess"):
+        raise ValueError(f"smooth {smooth!r}")
     if level not in ("match", "obs") or leverages not in ("auto", "exact", "jla"):
         raise ValueError(f"level {level!r}, leverages {leverages!r}")
-    picked = df.select(F.col(y).cast("double").alias("y"), F.col(worker).alias("worker"), F.col(firm).alias("firm"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(controls)], *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)])
-    rows = check(picked, ["y", *[f"x{i}" for i in range(len(controls))], *[f"z{i}" for i in range(len(z))]], ["worker", "firm"])
-    rows = keep_cut(leave_out_set(rows, "worker", "firm") if prune else rows)
-    var_y, n = rows.agg(F.var_samp("y"), F.count(F.lit(1))).first()
+    picked = df.select(F.col(y).cast("double").alias("y"), F.col(worker).alias("worker"), F.col(firm).alias("firm"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(controls)], *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)], *([F.col(weights).cast("double").alias("wt")] if weights else []))
+    if weights:
+        if picked.where("wt <= 0 OR wt <> floor(wt)").head(1):
+            raise ValueError("weights must be positive whole numbers")
+    rows = check(picked, ["y", *(["wt"] if weights else []), *[f"x{i}" for i in range(len(controls))], *[f"z{i}" for i in range(len(z))]], ["worker", "firm"])
+    own = "wt" if weights else None
+    rows = keep_cut(leave_out_set(rows, "worker", "firm", own) if prune else rows)
+    say("the leave-out set is made")
+    of = F.col("wt") if weights else F.lit(1.0)
+    n, mean_y = rows.agg(F.sum(of), F.sum(of * F.col("y")) / F.sum(of)).first()
+    n = int(n or 0)
+    var_y = rows.agg(F.sum(of * (F.col("y") - F.lit(mean_y)) ** 2)).first()[0] / (n - 1) if n > 1 else None
     if not n:
         raise ValueError("the leave-out set is empty")
     beta: dict[str, float] = {}
     if controls:
-        r = fit(rows, "y", [f"x{i}" for i in range(len(controls))], ["worker", "firm"], drop_singletons_=False)
+        r = fit(rows, "y", [f"x{i}" for i in range(len(controls))], ["worker", "firm"], drop_singletons_=False, weights=own, fweights=bool(weights))
         beta = dict(zip(controls, r.coef[: len(controls)].tolist(), strict=True))
         rows = rows.withColumn("y", F.col("y") - sum((F.col(f"x{i}") * b for i, b in enumerate(beta.values())), F.lit(0.0)))
-    m = _arrow(matches(rows, "y", "worker", "firm")).sort_values(["worker", "firm"], ignore_index=True)
+    m = _arrow(matches(rows, "y", "worker", "firm", own)).sort_values(["worker", "firm"], ignore_index=True)
     w, workers = m["worker"].factorize(sort=True)
     f, firms = m["firm"].factorize(sort=True)
     t, s, ss = (m[c].to_numpy(float) for c in ("t", "s", "ss"))
@@ -347,12 +496,12 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
     centred = alpha - k.dw @ alpha / n
     names = ("var_psi", "var_alpha", "cov_alpha_psi")
     plain = np.array([k.df @ psi**2, k.dw @ centred**2, (t * centred[w]) @ psi[f]]) / (n - 1)
-    weights = (fe, pe, cov)
+    weights_ = (fe, pe, cov)
     free = n - (k.n + k.j - 1)
     rss = float((ss - 2 * s * fitted + t * fitted**2).sum())
     one = rss / free if free > 0 else 0.0
-    kss = plain - np.array([b @ sigma for b in weights]) / (n - 1)
-    agsu = plain - one * np.array([b @ t for b in weights]) / (n - 1)
+    kss = plain - np.array([b @ sigma for b in weights_]) / (n - 1)
+    agsu = plain - one * np.array([b @ t for b in weights_]) / (n - 1)
     spark = rows.sparkSession
     import pyarrow as pa
 
@@ -371,8 +520,10 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
             x2 = (zw[w] + zf[f]) ** 2
             se = math.sqrt(max(sigma @ x2, 0.0))
             told.append({"term": c, "coef": float(coef[i]), "se": se, "se_white": math.sqrt(squares @ x2), "t": float(coef[i]) / se if se else float("nan")})
+    found = component_errors(k, {"t": t, "s": s, "ss": ss, "p": p}, alpha - psi_mean, psi + psi_mean, weights_, by_match, error_draws, seed, smooth) if errors else {}
+    say("the components are estimated")
     three = lambda v: dict(zip(names, map(float, v), strict=True))
-    return Components(three(plain), three(kss), three(agsu), float(var_y or 0.0), one, n, k.n, k.j, len(m), use, effects, rows.join(a, "worker").join(b, "firm"), beta, told)
+    return Components(three(plain), three(kss), three(agsu), float(var_y or 0.0), one, n, k.n, k.j, len(m), use, effects, rows.join(a, "worker").join(b, "firm"), beta, told, found)
 
 
 def bipartite(df: DataFrame, y: str, worker: str, firm: str, order: list[str]) -> DataFrame:
