@@ -65,3 +65,8 @@ def render(rows: list[dict[str, str]], kind: str = "markdown") -> str:
         csv.writer(out, lineterminator="\n").writerows([head, *body])
         return out.getvalue()
     raise ValueError(f"table as {kind!r}")
+
+
+def records(result) -> list[dict]:
+    """The rows of a model's or a decomposition's tidy() as plain records, with NaN as None, for frames and other table packages."""
+    return [{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()} for r in result.tidy()]

@@ -255,14 +255,44 @@ def certificate(df: DataFrame, tilde: list[str], columns: list[str], keys: list,
     left, scale = np.zeros(len(tilde)), 0.0
     for e in map(as_effect, keys):
         for z in carriers(e):
-            sums = df.groupBy(e.keys[0]).agg(F.sum((w * _col(z)) ** 2).alias("w"), *[F.sum(w * _col(z) * F.col(t)).alias(f"s{i}") for i, t in enumerate(tilde)])
-            got = sums.agg(F.sum("w"), *[F.sum(F.col(f"s{i}") ** 2) for i in range(len(tilde))]).first()
+            sums = df.groupBy(e.keys[0]).agg(F.sum((w * _col(z)) ** 2).alias("__cw"), *[F.sum(w * _col(z) * F.col(t)).alias(f"__cs{i}") for i, t in enumerate(tilde)])
+            got = sums.agg(F.sum("__cw"), *[F.sum(F.col(f"__cs{i}") ** 2) for i in range(len(tilde))]).first()
             scale += got[0]
             left += np.array(got[1:], float)
     norms = np.array(df.agg(*[F.sum(F.col(c) ** 2) for c in columns]).first(), float)
     return float(np.max(np.sqrt(left) / (np.sqrt(scale) * np.sqrt(np.maximum(norms, 1e-300)))))
 
 
+def absorb_cached(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, folder: str = "", mode: str = "auto", **options) -> tuple[DataFrame, dict]:
+    """absorb(), kept as parquet under a folder that all executors share, by a hash of the rows and of what is asked.
+
+    mode: off, read (raises where nothing is kept), write (makes it anew) or auto. The hash is the count and the sums of two
+    hashes of all used columns over the rows, in whatever order they come, and the columns' names, effects and options.
+    """
+    import hashlib
+    import json
+
+    if mode not in ("off", "auto", "read", "write"):
+        raise ValueError(f"cache mode {mode!r}")
+    if mode == "off" or not folder:
+        return absorb(df, columns, keys, weight, **options)
+    terms = [as_effect(k) for k in keys]
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    sums = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cells).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), *cells).cast("decimal(38,0)"))).first()
+    told = [[str(x) for x in sums], df.columns, columns, [[*e.keys, list(e.slopes), e.intercept] for e in terms], weight, sorted((k, str(v)) for k, v in options.items())]
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(json.dumps(told).encode()).hexdigest()}"
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    if mode == "read" and not there:
+        raise FileNotFoundError(path)
+    if there and mode != "write":
+        return spark.read.parquet(path), {"method": "cache", "iterations": 0, "certified": True}
+    out, how = absorb(df, columns, keys, weight, **options)
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), how
+
+
 def normalise(df: DataFrame, parts: list[str], keys: list[str], weight: str | None = None) -> DataFrame:
     """Recovered intercept effects with their free shifts fixed: one term is centred; of several, the mean of the second in
     each mobility group of the first two goes to the first, then the first and those from the third on are centred."""

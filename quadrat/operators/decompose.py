@@ -44,8 +44,13 @@ class Decomposition:
 
     @property
     def total_cov(self) -> np.ndarray:
+        """The covariance of totals; the total of a target imposed as zero is its base coefficient."""
         k, g = len(self.targets), len(self.groups)
-        return self.cov.reshape(g, k, g, k).sum((0, 2))
+        out = self.cov.reshape(g, k, g, k).sum((0, 2))
+        lost = [self.targets.index(t) for t in self.diagnostics.get("imposed_zero", [])]
+        if lost and not np.isnan(out[np.ix_(lost, lost)]).any():
+            out[np.ix_(lost, lost)] = self.base_cov[np.ix_(lost, lost)]
+        return out
 
     def tidy(self, share: str = "base", least: float = 1e-12, weak_t: float = 3.0) -> list[dict]:
         """A row for each target and group, and for each target's total.
@@ -100,12 +105,14 @@ class Decomposition:
         return self.sample.sparkSession.createDataFrame(rows, "target string, group string, delta double, se double, share double")
 
 
-def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]] | None = None, fes: list[str] = (), common_fes: list[str] = (), vce: str = "unadjusted", clusters: list[str] = (), weights: str | None = None, fweights: bool = False, gamma0: bool = False, cov0: bool = False, na_action: str = "raise", alpha: float = 0.05, level: float = 0.95) -> Decomposition:
+def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]] | None = None, fes: list[str] = (), common_fes: list[str] = (), vce: str = "unadjusted", clusters: list[str] = (), weights: str | None = None, fweights: bool = False, gamma0: bool = False, cov0: bool = False, na_action: str = "raise", alpha: float = 0.05, level: float = 0.95, absorbed_targets: list[str] = (), position: str | None = None) -> Decomposition:
     """Contributions of groups of columns, and of each effect in fes, to the difference of x1's coefficients without and with them.
 
     common_fes are in both models and in every auxiliary one. Both models use the full one's sample. gamma0 leaves out the
     sampling of the groups' coefficients, cov0 its covariance with the auxiliary regressions; effects always go by gamma0.
-    Targets that the full model doesn't identify raise.
+    Targets that the full model doesn't identify raise; but those in absorbed_targets must be explained by the effects: their full
+    coefficient is imposed as zero, and their total has the base coefficient's variance, which needs clusters by an added effect
+    (else their covariances are NaN). position: a column of row numbers from 0, whose kept ones are hashed (see sample_hash()).
     """
     vce = SYNONYMS.get(vce, vce)
     if vce not in ("unadjusted", "robust", "cluster") or (vce == "cluster") != bool(clusters):
@@ -114,10 +121,15 @@ def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]]
     if not x1 or not (groups or fes) or set(fes) & set(common) or set(fes) & set(groups):
         raise ValueError("name targets, and groups or effects with distinct names")
     x2 = [c for g in groups.values() for c in g]
-    p, q, every = len(x1), len(x2), [*common, *fes]
+    if set(absorbed_targets) - set(x1) or absorbed_targets and not fes:
+        raise ValueError("absorbed targets must be targets, and effects must be added")
+    whole_p, q, every = len(x1), len(x2), [*common, *fes]
+    active = [i for i, t in enumerate(x1) if t not in absorbed_targets]
+    p = len(active)  # targets that the full model estimates
     ids = list(dict.fromkeys([*every, *clusters]))
-    names = ["__y", *[f"__a{i}" for i in range(p)], *[f"__b{i}" for i in range(q)]]
-    picked = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([y, *x1, *x2], names, strict=True)], *([F.col(weights).cast("double").alias("__w")] if weights else []), *ids)
+    names = ["__y", *[f"__a{i}" for i in range(whole_p)], *[f"__b{i}" for i in range(q)]]
+    picked = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([y, *x1, *x2], names, strict=True)], *([F.col(weights).cast("double").alias("__w")] if weights else []), *([F.col(position).cast("long").alias("__at")] if position else []), *ids)
+    n_input = df.count() if position else 0
     rows = check(picked, names + (["__w"] if weights else []), ids, na_action)
     rows = keep_cut(drop_singletons(rows, every, "__w" if fweights else None) if every else rows)
     n_rows, w_sum = rows.agg(F.count(F.lit(1)), F.sum("__w") if weights else F.count(F.lit(1))).first()
@@ -130,16 +142,23 @@ def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]]
     power = F.sqrt(w) if fweights and vce == "robust" else w
 
     rows, _ = absorb(rows, names, every, "__q", "_t", effects=bool(every)) if every else absorb(rows, names, [], None, "_t")
-    design = [f"{c}_t" for c in names[1:]] + ([] if every else ["__one"])
+    provenance = sample_hash(n_input, rows.select("__at")) if position else None
+    estimated = [f"__a{i}" for i in active] + names[whole_p + 1 :]
+    design = [f"{c}_t" for c in estimated] + ([] if every else ["__one"])
+    if absorbed_targets:
+        lost = [f"__a{x1.index(t)}" for t in absorbed_targets]
+        kept_part = rows.agg(*[F.sum(w * F.col(f"{c}_t") ** 2) / F.sum(w * F.col(c) ** 2) for c in lost]).first()
+        if any(x is not None and x > 1e-9 for x in kept_part):
+            raise ValueError("an absorbed target must be explained by the effects")
     gram = moments(rows, ["__y_t", *design], w)
-    keep, out = kept_columns(gram[1 : p + q + 1, 1 : p + q + 1], np.diag(moments(rows, names, w))[1:])
+    keep, out = kept_columns(gram[1 : p + q + 1, 1 : p + q + 1], np.diag(moments(rows, ["__y", *estimated], w))[1:])
     if out:
-        raise ValueError(f"not identified in the full model: {[[*x1, *x2][j] for j in out]}")
+        raise ValueError(f"not identified in the full model: {[[*(x1[i] for i in active), *x2][j] for j in out]}")
     bread = np.linalg.inv(gram[1:, 1:])
     b = bread @ gram[1:, 0]
     e = F.col("__y_t") - sum((F.col(c) * float(v) for c, v in zip(design, b, strict=True)), F.lit(0.0))
     parts = {g: sum((F.col(f"__b{x2.index(c)}") * float(b[p + x2.index(c)]) for c in cols), F.lit(0.0)) for g, cols in groups.items()}
-    shown = [F.col(f"__y_fe{d + 1}") - sum((F.col(f"{c}_fe{d + 1}") * float(v) for c, v in zip(names[1:], b, strict=False)), F.lit(0.0)) for d in range(len(every))]
+    shown = [F.col(f"__y_fe{d + 1}") - sum((F.col(f"{c}_fe{d + 1}") * float(v) for c, v in zip(estimated, b, strict=False)), F.lit(0.0)) for d in range(len(every))]
     dof = absorbed(rows, every, list(clusters), True)
     df_full = n - p - q - max(dof["df_a"], 1) - int(bool(every) and bool(dof["df_a"]) and any(dof["nested"]))
     rows = rows.select(*names, *design, *ids, "__q", e.alias("__e"), *[v.alias(f"__h{i}") for i, v in enumerate(parts.values())], *[v.alias(f"__f{d}") for d, v in enumerate(shown)], *(["__one"] if every else []))
@@ -148,13 +167,13 @@ def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]]
     h = [f"__h{i}" for i in range(len(groups))] + [f"__f{every.index(d)}" for d in fes]
     labels = [*groups, *fes]
     # the auxiliary design: targets and the constant, or targets within the common effects
-    a = names[1 : p + 1]
+    a = names[1 : whole_p + 1]
     if common:
-        wanted = ["__y", *a, *names[p + 1 :], *h]
+        wanted = ["__y", *a, *names[whole_p + 1 :], *h]
         rows, _ = absorb(rows, wanted, common, "__q", "_c")
-        side, outcome, b2, h = [f"{c}_c" for c in a], "__y_c", [f"{c}_c" for c in names[p + 1 :]], [f"{c}_c" for c in h]
+        side, outcome, b2, h = [f"{c}_c" for c in a], "__y_c", [f"{c}_c" for c in names[whole_p + 1 :]], [f"{c}_c" for c in h]
     else:
-        side, outcome, b2 = [*a, "__one"], "__y", names[p + 1 :]
+        side, outcome, b2 = [*a, "__one"], "__y", names[whole_p + 1 :]
     ka, count = len(side), len(h)
     cross = moments(rows, [*side, outcome, *b2, *h], w)
     inverse = np.linalg.inv(cross[:ka, :ka])
@@ -230,32 +249,66 @@ def decompose(df: DataFrame, y: str, x1: list[str], groups: dict[str, list[str]]
             left = np.diag(cells - gamma(g).T @ cross[:ka, :ka] @ gamma(g)) / df_full * inverse[j, j]
             z = np.abs(gamma(g)[j]) / np.sqrt(np.maximum(left, 1e-300))
             regular[target, name] = whole or any(2 * normal_tail(float(t)) < alpha / 2 / len(z) for t in z)
-    full = b[:p]
+    full = np.zeros(whole_p)
+    full[active] = b[:p]
     told = {"clusters": int(g_n) if vce == "cluster" else 0, "few_clusters": vce == "cluster" and g_n < 30, "connectivity": "none"}
     if len(every) == 2:
         parts_n = mobility_groups(rows, every[0], every[1]).select("group").distinct().count()
         told |= {"connectivity": "identified_two_way" if parts_n == 1 else "normalization_dependent", "components": parts_n}
     elif len(every) > 2:
         told["connectivity"] = "not_certified_multiway"
-    within_share = np.diag(gram)[1 : p + 1] / np.maximum(np.diag(cross)[:p] if common else np.diag(moments(rows, a, w)), 1e-300)
-    told["near_collinear"] = [t for t, r in zip(x1, within_share, strict=True) if 1e-9 < r <= 1e-4] if every else []
+    within_share = np.diag(gram)[1 : p + 1] / np.maximum((np.diag(cross)[:whole_p] if common else np.diag(moments(rows, a, w)))[active], 1e-300)
+    told["near_collinear"] = [x1[i] for i, r in zip(active, within_share, strict=True) if 1e-9 < r <= 1e-4] if every else []
+    told |= {"imposed_zero": list(absorbed_targets), "sample_hash": provenance}
+    p = whole_p
     gap = float(np.max(np.abs(delta[:, :p].sum(0) - (base[:p] - full))))
+    if absorbed_targets and not (vce == "cluster" and list(clusters) and set(clusters) <= set(fes)):
+        lost = [x1.index(t) for t in absorbed_targets]
+        cov[:, lost], cov[:, :, :, lost], with_base[:, lost], with_base[:, :, lost] = np.nan, np.nan, np.nan, np.nan
     take = [g * ka + j for g in range(count) for j in range(p)]
     flat = cov.reshape(count * ka, count * ka)[np.ix_(take, take)]
     return Decomposition(list(x1), labels, base[:p], full, delta[:, :p], flat, base_cov[:p, :p], with_base[:, :p, :p].reshape(-1, p), int(n), df_full, gap, regular, told, rows.select(*ids, "__e", *v_cols), level)
 
 
+#: Rows of a sample up to which it is hashed, which goes row after row.
+MOST_HASHED = 50_000_000
+
+
+def sample_hash(n_input: int, positions: DataFrame, domain: str = "quadrat-sample-v1") -> str:
+    """The 64-bit FNV-1a hash, in hex, of the domain's name, the numbers of input and kept rows, and the kept positions in order.
+
+    Numbers are eight bytes, the least first. positions: one column. It tells samples apart, and is no digest against tampering.
+    """
+    n = positions.count()
+    if n > MOST_HASHED:
+        raise ValueError(f"{n} rows are more than are hashed ({MOST_HASHED})")
+    value = 0xCBF29CE484222325
+
+    def add(data: bytes) -> None:
+        nonlocal value
+        for byte in data:
+            value = (value ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+
+    add(domain.encode())
+    add(n_input.to_bytes(8, "little") + n.to_bytes(8, "little"))
+    name = positions.columns[0]
+    for row in positions.orderBy(name).toLocalIterator():
+        add(int(row[0]).to_bytes(8, "little"))
+    return f"{value:016x}"
+
+
 def bootstrap(df: DataFrame, unit: str, reps: int = 999, seed: int = 0, conf: float = 0.95, kind: str = "percentile", **options) -> list[dict]:
     """Intervals of contributions by drawing units (clusters, or a column that is unique) with replacement; whole refits.
 
-    A drawn unit's rows count as often as it was drawn: frequency weights of the unadjusted refits. Units are counted before
+    A drawn unit's rows count as often as it was drawn: frequency weights of the unadjusted refits, or a factor of analytic weights. Units are counted before
     they go to the driver. Draws that fail are skipped; under nine in ten valid ones raise.
     """
     import pandas as pd
     import pyarrow as pa
 
-    if options.get("fweights") or options.get("weights"):
-        raise ValueError("bootstrap takes no weights")
+    if options.get("fweights"):
+        raise ValueError("bootstrap takes no frequency weights")
+    weights = options.pop("weights", None)
     if kind not in ("percentile", "basic"):
         raise ValueError(f"interval {kind!r}")
     if options.keys() & {"vce", "clusters", "level", "alpha"}:
@@ -264,12 +317,15 @@ def bootstrap(df: DataFrame, unit: str, reps: int = 999, seed: int = 0, conf: fl
     if units.count() > 20_000_000:
         raise ValueError("more units than the driver takes")
     ids = units.toArrow().to_pandas()[unit].sort_values().reset_index(drop=True)
-    point, draws = decompose(df, **options), []
+    point, draws = decompose(df, weights=weights, **options), []
     for child in np.random.SeedSequence(seed).spawn(reps):
         drawn = np.bincount(np.random.Generator(np.random.PCG64(child)).integers(0, len(ids), len(ids)), minlength=len(ids))
         table = df.sparkSession.createDataFrame(pa.Table.from_pandas(pd.DataFrame({unit: ids[drawn > 0], "__drawn": drawn[drawn > 0].astype(float)}), preserve_index=False)).withColumn(unit, F.col(unit).cast(df.schema[unit].dataType))
         try:
-            draws.append(decompose(df.join(table, unit), weights="__drawn", fweights=True, **options).delta)
+            drawn_df = df.join(table, unit)
+            if weights:
+                drawn_df = drawn_df.withColumn("__drawn", F.col("__drawn") * F.col(weights))
+            draws.append(decompose(drawn_df, weights="__drawn", fweights=not weights, **options).delta)
         except (ValueError, np.linalg.LinAlgError):
             continue
     if len(draws) < 0.9 * reps:

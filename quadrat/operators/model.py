@@ -270,7 +270,7 @@ def clamped(v: np.ndarray, scale: np.ndarray) -> np.ndarray | None:
     return (q * np.maximum(e, 0)) @ q.T / np.outer(scale, scale) if len(e) and e[0] < 0 else None
 
 
-def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | str | None = None, weight_kind: str | None = None, tol: float = 1e-8, tolerance_mode: str = "comparable", collinear_priority: list[str] = (), aliases: list[str] = ()) -> Result:
+def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | str | None = None, weight_kind: str | None = None, tol: float = 1e-8, tolerance_mode: str = "comparable", collinear_priority: list[str] = (), aliases: list[str] = (), backend: str = "cpu", threads: int | None = None, convergence: str = "auto", progress=None) -> Result:
     """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights.
 
     An Effect in fes may have slopes. retain_fes: the sample gets fe1, fe2, ..., what each effect contributes to y.
@@ -280,9 +280,14 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     conventional: one for each set of cluster variables), t_df (degrees of freedom of t).
     weight_kind: a, f (as fweights), p (as a, and robust unless told otherwise) or i (as a, but n is the sum of weights).
     tol and tolerance_mode (comparable, fast, strict-residual) bound the certificate of the absorption; what is solved is the same.
+    backend must be cpu; threads and convergence (auto, normchange, sweep or both) are taken and change nothing: Spark deals
+    out the work, and what is solved is certified. progress: called with a line of text at each step.
     Where inference isn't available (no degrees of freedom left, fewer than two clusters) standard errors are NaN.
     """
     small = small_sample(ssc)
+    if backend != "cpu" or convergence not in ("auto", "normchange", "sweep", "both"):
+        raise ValueError(f"backend {backend!r}, convergence {convergence!r}")
+    say = progress or (lambda text: None)
     if weight_kind not in (None, "a", "f", "p", "i") or (weight_kind and not weights):
         raise ValueError(f"weight_kind {weight_kind!r}")
     if tolerance_mode not in MODES:
@@ -316,10 +321,12 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     if not told[0]:
         raise ValueError("no rows are left")
     n_rows, w_sum, means = told[0], float(told[1]), np.array(told[2:], float)
+    say(f"the sample has {n_rows} rows")
     n = int(w_sum) if fweights or weight_kind == "i" else n_rows
     cons = intercept and not fes
     centred = rows.select(*rows.columns, *[(F.col(c) - float(m if cons or plain else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
     tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None, bound=bound)
+    say(f"absorbed by {how['method']} in {how['iterations']} rounds")
     t = [f"{c}c_tilde" for c in cols]
     gram = moments(tilde, t, w)
     # Squares without weights tell what the effects explain.
