@@ -57,7 +57,7 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
     if not terms:
         return df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns]), {"method": "none", "iterations": 0, "certificate": 0.0, "certified": True}
     if len(terms) == 1 and not terms[0].slopes and not effects:
-        return within(df, columns, terms[0].keys[0], weight, suffix), {"method": "window", "iterations": 1, "certificate": 0.0, "certified": True}
+        return keep_cut(within(df, columns, terms[0].keys[0], weight, suffix)), {"method": "window", "iterations": 1, "certificate": 0.0, "certified": True}
     w = F.col(weight) if weight else F.lit(1.0)
     cells, edges = [], {}
     for e in terms:
@@ -68,6 +68,7 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
         for b in range(a + 1, len(terms)):
             ka, kb = F.col(terms[a].keys[0]).alias("ka"), F.col(terms[b].keys[0]).alias("kb")
             edges[a, b] = df.groupBy(ka, kb).agg(*[F.sum(w * _col(x) * _col(z)).alias(f"w{i}_{j}") for i, x in enumerate(carriers(terms[a])) for j, z in enumerate(carriers(terms[b]))])
+    cells, edges = [keep_cut(c) for c in cells], {k: keep_cut(e) for k, e in edges.items()}
     number = sum(x.count() * max(len(x.columns) - 1, 1) for x in [*cells, *edges.values()])
     if number > MOST_CELLS:
         out, told = _spread(df, columns, terms, cells, edges, suffix, effects)
@@ -191,9 +192,8 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
     q, cols = max(len(carriers(e)) for e in terms), range(len(columns))
     name = lambda d, c: F.concat(F.lit(f"{d}:"), F.col(c).cast("string"))
     zero = F.lit(0.0)
-    cut = [keep_cut(c) for c in cells]
     levels, both = None, None
-    for d, (e, c) in enumerate(zip(terms, cut, strict=True)):
+    for d, (e, c) in enumerate(zip(terms, cells, strict=True)):
         own = len(carriers(e))
         blocks = [(F.col(f"g{i}_{j}") if i < own else zero).cast("double").alias(f"g{i}_{j}") for i in range(q) for j in range(i + 1)]
         some = c.select(name(d, e.keys[0]).alias("k"), *blocks, *[(F.col(f"b{i}_{n}") if i < own else zero).cast("double").alias(f"r{i}_{n}") for i in range(q) for n in cols])
@@ -242,7 +242,7 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
         state = state.select(*fixed, *[F.col(f"{v}{i}_{n}") for v in "xr" for i in range(q) for n in cols], *[(z(i, n) + float(turn[n]) * F.col(f"p{i}_{n}")).alias(f"p{i}_{n}") for i in range(q) for n in cols])
     state = keep_cut(state)
     made = []
-    for d, (e, c) in enumerate(zip(terms, cut, strict=True)):
+    for d, (e, c) in enumerate(zip(terms, cells, strict=True)):
         found = c.select(e.keys[0], name(d, e.keys[0]).alias("k")).join(state, "k")
         made.append(found.select(e.keys[0], *[F.col(f"x{i}_{n}").alias(f"__t{d}_{i}_{n}") for i in range(len(carriers(e))) for n in cols]))
     out, kept = _joined(df, columns, terms, made, suffix, effects)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +10,42 @@ from .absorb import as_effect
 from .sample import keep_cut
 
 
+#: Distinct edges up to which one task joins them all.
+MOST_EDGES = 2_000_000
+
+
+def joined_nodes(u: np.ndarray, v: np.ndarray, keys=None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges and the root of each: of the nodes joined with it, the one with the least key.
+
+    keys: a function that gives values to the distinct nodes in ascending order; without it a node is its own key.
+    """
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.arange(len(nodes)) if keys is None else np.argsort(keys(nodes), kind="stable")
+    back = np.empty(len(nodes), np.int64)
+    back[order] = np.arange(len(nodes))
+    a, b = back[at[: len(u)]], back[at[len(u) :]]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while not ((up := root[root]) == root).all():
+            root = up
+        a, b = root[a], root[b]
+        left = a != b
+        a, b = a[left], b[left]
+    return nodes, nodes[order[root[back]]]
+
+
 def mobility_groups(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, group): the connected component of each level of a in the bipartite graph with b, named by its least level of a.
 
-    Labels go over the distinct edges and jump to the label of their label, so rounds are few on long paths.
+    Up to MOST_EDGES distinct edges, counted first, one task joins them. Beyond, labels go over the edges in the cluster and jump
+    to the label of their label, so rounds are few on long paths.
     """
     edges = keep_cut(df.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    if edges.count() <= MOST_EDGES:
+        kind = edges.schema["a"].dataType.simpleString()
+        return keep_cut(edges.coalesce(1).mapInArrow(_groups, f"a {kind}, group {kind}")).withColumnRenamed("a", a)
     labels = keep_cut(edges.select("a").distinct().withColumn("group", F.col("a")))
     while True:
         by_b = edges.join(labels, "a").groupBy("b").agg(F.min("group").alias("m"))
@@ -27,6 +58,32 @@ def mobility_groups(df: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select(F.col("a").alias(a), "group")
 
 
+def _groups(batches):
+    """The levels of a and their groups, from all edges."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    parts = list(batches)
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    kind = table.schema.field("a").type
+    codes = []
+    for c in ("a", "b"):
+        values = table.column(c).combine_chunks().dictionary_encode() if not isinstance(table.column(c).type, pa.DictionaryType) else table.column(c).combine_chunks()
+        order = pa.compute.sort_indices(values.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes.append((values.dictionary.take(pa.array(order)), rank[values.indices.to_numpy()]))
+    (levels, x), (_, y) = codes
+    # levels of a come first in their order, so the least node of a component is its least level of a
+    nodes, roots = joined_nodes(x, y + len(levels))
+    some = nodes < len(levels)
+    out = pa.record_batch([levels.take(pa.array(nodes[some])).cast(kind), levels.take(pa.array(roots[some])).cast(kind)], ["a", "group"])
+    for low in range(0, out.num_rows, 100_000):
+        yield out.slice(low, 100_000)
+
+
 def mobility_profile(df: DataFrame, a: str, b: str, weight: str | None = None) -> dict:
     """The graph of a and b: its components, the largest one's share of the rows and of the weight, and its class.
 

@@ -328,9 +328,12 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None, bound=bound)
     say(f"absorbed by {how['method']} in {how['iterations']} rounds")
     t = [f"{c}c_tilde" for c in cols]
-    gram = moments(tilde, t, w)
-    # Squares without weights tell what the effects explain.
-    squares = np.array(tilde.agg(*[F.sum(F.col(c) ** 2) for c in [*cols, *t]]).first(), float)
+    # Squares without weights tell what the effects explain; one pass gives them and the products.
+    pairs = [(i, j) for i in range(len(t)) for j in range(i, len(t))]
+    told = np.array(tilde.agg(*[F.sum(w * F.col(t[i]) * F.col(t[j])) for i, j in pairs], *[F.sum(F.col(c) ** 2) for c in [*cols, *t]]).first(), float)
+    gram, squares = np.zeros((len(t), len(t))), told[len(pairs) :]
+    for (i, j), v in zip(pairs, told, strict=False):
+        gram[i, j] = gram[j, i] = v
     raw, after = squares[: len(cols)], squares[len(cols) :]
     k = len(xs)
     first_ones = [xs.index(c) for c in collinear_priority]

@@ -55,26 +55,36 @@ def drop_singletons(df: DataFrame, keys: list[str], weight: str | None = None, m
     Rounds go over the distinct cells of the keys with their counts; the rows are read for those, and once at the end.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    cells = keep_cut(df.groupBy(*keys).agg(size.alias("__n")))
-    first = before = cells.count()
+    first = cells = keep_cut(df.groupBy(*keys).agg(size.alias("__n")))
+    gone = 0
     for _ in range(most_rounds):
+        before = gone
         for k in keys:
-            alone = cells.groupBy(k).agg(F.sum("__n").alias("__n")).where("__n <= 1").select(k)
-            cells = cells.join(alone.withColumnRenamed(k, "__alone"), F.col(k).eqNullSafe(F.col("__alone")), "left_anti")
-        cells = keep_cut(cells)
-        after = cells.count()
-        if after == before or len(keys) == 1:
+            alone = keep_cut(cells.groupBy(F.col(k).alias("__alone")).agg(F.sum("__n").alias("__n")).where("__n <= 1").select("__alone"))
+            if (n := alone.count()) > 0:
+                gone += n
+                cells = keep_cut(cells.join(counted(alone, n), F.col(k).eqNullSafe(F.col("__alone")), "left_anti"))
+        if gone == before or len(keys) == 1:
             break
-        before = after
     else:
         raise RuntimeError("singletons did not settle")
-    if after == first:
+    if not gone:
         return keep_cut(df)
-    named = cells.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    # A cell that goes has one row or several, of which each is alone at some time.
+    lost = keep_cut(first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).exceptAll(cells.select(*keys)))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return keep_cut(df.join(named, same, "left_semi"))
+    return keep_cut(df.join(counted(lost, lost.count()), same, "left_anti"))
+
+
+#: Rows of a few ids up to which a table that has been counted is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def counted(ids: DataFrame, n: int) -> DataFrame:
+    """A table of ids with n rows, to be broadcast if that is few enough; else joins shuffle it."""
+    return F.broadcast(ids) if n <= MOST_BROADCAST else ids
 
 
 def collapse(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
