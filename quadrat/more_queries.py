@@ -385,6 +385,25 @@ def akm_by_match(spark, d):
     return _akm_rows(spark, d, "match")
 
 
+def _projection_sql() -> str:
+    """The firm effects on the depot's number: its standard error is that of a sum of y with weights that solve the normal equations."""
+    a = lambda i: f"(df{i} * ({_DEPOTS[i - 1]} - zbar) / szz)"
+    weight = " + ".join(f"x{i} * (" + " + ".join(f"v{i}_{j}*{a(j)}" for j in range(1, 7)) + ")" for i in range(1, 7))
+    base = _akm_sql("match")
+    head = base[: base.index(", pl AS MATERIALIZED")]
+    return head + f""", zs AS MATERIALIZED (SELECT avg(depot) AS zbar, var_pop(depot) * count(*) AS szz, regr_slope(psi, depot) AS slope FROM r2),
+ws AS MATERIALIZED (SELECT l_orderkey, depot, any_value({weight}) AS x FROM d, b, tot, zs GROUP BY l_orderkey, depot)
+SELECT 'depot' AS term, {o.sig('any_value(slope)', 5)} AS coef, {o.sig('sqrt(sum(sigma * x * x))', 5)} AS se FROM r3 JOIN ws USING (l_orderkey, depot), zs"""
+
+
+@query(_projection_sql())
+def akm_projection(spark, d):
+    df = _shipped(spark, d)
+    r = akm_kss(df.withColumn("number", F.col("depot").cast("double")), Y, "l_orderkey", "depot", z=["number"], leverages="exact")
+    told = r.lincom[0]
+    return spark.createDataFrame([("depot", float(f"{told['coef']:.5g}"), float(f"{told['se']:.5g}"))], "term string, coef double, se double")
+
+
 # groups and their members
 
 _GROUP = "(SELECT l_orderkey, any_value(o_totalprice) AS o_totalprice, any_value(dayofyear(o_orderdate)) AS day, " + ", ".join(f"count(DISTINCT CASE WHEN depot = {m} THEN 1 END) / count(DISTINCT depot) AS s{i}" for i, m in enumerate(_DEPOTS, 1)) + " FROM " + _LINES + " JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)"
@@ -433,6 +452,25 @@ def coef_movement_parts(spark, d):
     return _rows(spark, [(g, float(r.delta[i, 0]), float(r.base[0])) for i, g in enumerate(r.groups)], "part string, delta double, base double")
 
 
+def _movement_sql(vce: str, by: str | None) -> str:
+    """Each row's influence on a contribution, through the auxiliary regression and through the group's coefficient."""
+    rows = "SELECT l_suppkey, l_extendedprice - avg(l_extendedprice) OVER () AS y, l_quantity - avg(l_quantity) OVER () AS x1, l_discount - avg(l_discount) OVER () AS x2, l_tax - avg(l_tax) OVER () AS x3, 1.0 AS w FROM lineitem"
+    big, own = ("n / (n - 1)", "n / (n - 4)") if vce == "robust" else ("gc / (gc - 1)", "(n - 1) / (n - 4) * gc / (gc - 1)")
+    sql = o.least_squares(rows, 3, "4", extra=f""", i AS MATERIALIZED (SELECT l_suppkey, {', '.join(f'x1 / g1_1 * b{k} * (x{k} - g1_{k} / g1_1 * x1) AS a{k}, g1_{k} / g1_1 * (v{k}_1*x1 + v{k}_2*x2 + v{k}_3*x3) * u AS c{k}' for k in (2, 3))} FROM e, b),
+t AS MATERIALIZED (SELECT {', '.join(f'sum(a{k}) AS a{k}, sum(c{k}) AS c{k}' for k in (2, 3))} FROM i GROUP BY {by}),
+z AS MATERIALIZED (SELECT count(*) AS gc, {', '.join(f'sum(a{k}*a{k}) AS aa{k}, sum(c{k}*c{k}) AS cc{k}, sum(a{k}*c{k}) AS ac{k}' for k in (2, 3))} FROM {'t' if by else 'i'}) """.replace("GROUP BY None", "GROUP BY l_suppkey"))
+    return sql + " UNION ALL ".join(f"SELECT '{vce}' AS vce, '{name}' AS part, {o.sig(f'g1_{k} / g1_1 * b{k}')} AS delta, {o.sig(f'sqrt({big} * aa{k} + {own} * cc{k} + 2 * {big} * ac{k})')} AS se FROM b, z" for k, name in ((2, "discount"), (3, "tax")))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_movement_sql(v, c)})" for v, c in (("robust", None), ("cluster", "l_suppkey"))))
+def coef_movement_sandwich(spark, d):
+    out = []
+    for vce in ("robust", "cluster"):
+        r = decompose(_lines(spark, d), Y, ["l_quantity"], {"discount": ["l_discount"], "tax": ["l_tax"]}, vce=vce, clusters=["l_suppkey"] if vce == "cluster" else [])
+        out += [(vce, t["group"], t["delta"], t["se"]) for t in r.tidy() if t["group"] != "total"]
+    return _rows(spark, out, "vce string, part string, delta double, se double")
+
+
 # distributions
 
 _TAILS = [("student", 1.3, 2.0, "1 - 1.3 / sqrt(2 + 1.3 * 1.3)"), ("student", 2.0, 1.0, "1 - 2 * atan(2.0) / pi()"), ("student", 1.7, 4.0, "1 - 1.7 / sqrt(4 + 1.7 * 1.7) * (1 + 2.0 / (4 + 1.7 * 1.7))"), ("chi2", 3.5, 2.0, "exp(-3.5 / 2)"), ("chi2", 7.0, 4.0, "exp(-3.5) * (1 + 3.5)"), ("chi2", 9.0, 6.0, "exp(-4.5) * (1 + 4.5 + 4.5 * 4.5 / 2)"), ("f_2", 1.9, 30.0, "pow(1 + 2 * 1.9 / 30, -15)"), ("f_2", 4.0, 7.0, "pow(1 + 2 * 4.0 / 7, -3.5)"), ("normal", 1.5, 0.0, "(SELECT 0.5 - sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(1.5 * i / 2000, 2) / 2)) * 1.5 / 2000 / 3 / sqrt(2 * pi()) FROM range(2001) q(i))"), ("normal", 0.3, 0.0, "(SELECT 0.5 - sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(0.3 * i / 2000, 2) / 2)) * 0.3 / 2000 / 3 / sqrt(2 * pi()) FROM range(2001) q(i))"), ("student_quantile", 0.975, 1.0, "tan(pi() * 0.475)"), ("student_quantile", 0.95, 2.0, "2 * 0.45 * sqrt(2 / (1 - 4 * 0.45 * 0.45))"), ("normal_quantile", 0.975, 0.0, "1.959963984540054")]

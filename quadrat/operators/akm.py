@@ -393,6 +393,49 @@ def component_errors(k: Solver, m: dict[str, np.ndarray], alpha: np.ndarray, psi
     return out
 
 
+def eigen_shares(k: Solver, name: str, top: int = 3, draws: int = 100, seed: int = 1, rounds: int = 200) -> dict:
+    """How much of a component few directions make up: its form's greatest eigenvalues (by size) in the metric of the fit, the
+    trace of the form's square (by random signs), and each squared eigenvalue's share of it. A share near 1 means that
+    the component isn't nearly normal. By subspace iterations."""
+    n, w, f, t = k.dw.sum(), k.w, k.f, k.c
+
+    def applied(a, b):
+        """The form's matrix on effects (a, b)."""
+        if name == "var_psi":
+            return 0 * a, k.df * (b - k.df @ b / n)
+        if name == "var_alpha":
+            return k.dw * (a - k.dw @ a / n), 0 * b
+        return 0.5 * np.bincount(w, t * (b - k.df @ b / n)[f], k.n), 0.5 * np.bincount(f, t * (a - k.dw @ a / n)[w], k.j)
+
+    def step(v):
+        return np.stack([np.concatenate(k.solve(*applied(x[: k.n], x[k.n :]))) for x in v.T], 1)
+
+    fitted = lambda v: v[: k.n][w] + v[k.n :][f]
+    size = min(top + 4, k.j - 1)
+    v = np.random.default_rng(seed).standard_normal((k.n + k.j, max(size, 1)))
+    values = np.zeros(max(size, 1))
+    for _ in range(rounds):
+        v = step(v)
+        x = np.stack([fitted(c) for c in v.T], 1) * np.sqrt(t)[:, None]
+        _, r = np.linalg.qr(x)
+        v = v @ np.linalg.pinv(r)
+        inner = np.array([[np.concatenate(applied(a[: k.n], a[k.n :])) @ b for a in v.T] for b in v.T])
+        e, q = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-np.abs(e))
+        v, e = v @ q[:, order], e[order]
+        if np.abs(e - values).max() <= 1e-12 * np.abs(e).max():
+            values = e
+            break
+        values = e
+    trace = 0.0
+    for i in range(draws):
+        rng = np.random.Generator(np.random.Philox(key=[seed, i]))
+        signs = 2.0 * rng.binomial(t.astype(np.int64), 0.5) - t  # a match's sum of its rows' signs
+        a = k.solve(*applied(*k.solve(np.bincount(w, signs, k.n), np.bincount(f, signs, k.j))))
+        trace += (t * (a[0][w] + a[1][f]) ** 2).sum() / draws
+    return {"values": values[:top].tolist(), "trace": float(trace), "shares": (values[:top] ** 2 / trace).tolist() if trace else []}
+
+
 @dataclass
 class Components:
     """Variances of firm and worker effects and their covariance: plain, corrected, and corrected for one error variance."""
@@ -412,6 +455,7 @@ class Components:
     beta: dict[str, float] = field(default_factory=dict)
     lincom: list[dict] = field(default_factory=list)
     errors: dict[str, tuple[float, float]] = field(default_factory=dict)
+    eigen: dict[str, dict] = field(default_factory=dict)
 
     def frame(self) -> DataFrame:
         rows = [(k, self.plugin[k], self.kss[k], self.agsu[k], self.kss[k] / self.var_y if self.var_y else float("nan")) for k in self.plugin]
@@ -425,12 +469,12 @@ class Components:
             df.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{path}_{name}")
 
 
-def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True, weights: str | None = None, errors: bool = False, smooth: str = "bins", error_draws: int = 1000, progress=None) -> Components:
+def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True, weights: str | None = None, errors: bool = False, smooth: str = "bins", error_draws: int = 1000, eigen: bool = False, progress=None) -> Components:
     """Variance components of y = worker + firm + controls, leaving out matches or observations (level: match or obs).
 
     leverages: exact, jla (random signs) or auto. z: columns onto which firm effects are projected. Workers with one row and
     rows that aren't leave-out connected go with prune; without, a row with leverage 1 raises. weights: frequency weights, at
-    match level and without z or errors. errors: also component_errors(), with variances smoothed by bins or lowess.
+    match level and without z or errors. errors: also component_errors(), with variances smoothed by bins or lowess. eigen: also eigen_shares() of each component.
     progress: called with a line of text at each step.
     """
     say = progress or (lambda text: None)
@@ -523,7 +567,7 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
     found = component_errors(k, {"t": t, "s": s, "ss": ss, "p": p}, alpha - psi_mean, psi + psi_mean, weights_, by_match, error_draws, seed, smooth) if errors else {}
     say("the components are estimated")
     three = lambda v: dict(zip(names, map(float, v), strict=True))
-    return Components(three(plain), three(kss), three(agsu), float(var_y or 0.0), one, n, k.n, k.j, len(m), use, effects, rows.join(a, "worker").join(b, "firm"), beta, told, found)
+    return Components(three(plain), three(kss), three(agsu), float(var_y or 0.0), one, n, k.n, k.j, len(m), use, effects, rows.join(a, "worker").join(b, "firm"), beta, told, found, {c: eigen_shares(k, c, seed=seed) for c in names} if eigen else {})
 
 
 def bipartite(df: DataFrame, y: str, worker: str, firm: str, order: list[str]) -> DataFrame:

@@ -492,26 +492,36 @@ class Prepared:
 
 
 def design(formula: str | Formula, df: DataFrame, context: dict | None = None, subset=None) -> Prepared:
-    """Products of columns become columns, joint effects become joint keys, C(g) becomes dummies.
+    """Products of columns become columns, joint effects become joint keys, C(g) and its products become dummies and theirs.
 
     context: names to functions of columns, for terms like log1(x). subset: a condition on rows, as SQL or column.
     """
     f = parse(formula) if isinstance(formula, str) else formula
     made = df if subset is None else df.where(subset)
     names: list[str] = []
+    present = {frozenset(split_top(t, ":")) for t in f.x} | ({frozenset()} if f.intercept or f.effects else set())
     for term in f.x:
-        if term.startswith("C("):
-            g, values = _categories(term, made, f.intercept or bool(f.effects))
-            for value in values:
-                made = made.withColumn(f"{g}[{value}]", F.when(F.col(g) == value, 1.0).otherwise(F.when(F.col(g).isNotNull(), 0.0)))
-                names.append(f"{g}[{value}]")
+        factors = split_top(term, ":")
+        if not any(x.startswith("C(") for x in factors):
+            if term not in df.columns:
+                product = F.lit(1.0)
+                for part in factors:
+                    product = product * _transform(part, df, context or {})
+                made = made.withColumn(term, product)
+            names.append(term)
             continue
-        if term not in df.columns:
-            product = F.lit(1.0)
-            for part in split_top(term, ":"):
-                product = product * _transform(part, df, context or {})
-            made = made.withColumn(term, product)
-        names.append(term)
+        # Of a category all levels get a column, but the reference where the rest of the term is in the model by itself.
+        cells = [("", F.lit(1.0))]
+        for part in factors:
+            if part.startswith("C("):
+                g, values = _categories(part, made, frozenset(factors) - {part} in present)
+                each = [(f"{g}[{v}]", F.when(F.col(g) == v, 1.0).otherwise(F.when(F.col(g).isNotNull(), 0.0))) for v in values]
+            else:
+                each = [(part, _transform(part, df, context or {}))]
+            cells = [(f"{name}:{n}" if name else n, column * c) for name, column in cells for n, c in each]
+        for name, column in cells:
+            made = made.withColumn(name, column)
+            names.append(name)
     keys = []
     for e in f.effects:
         name = "^".join(e.keys)

@@ -1,6 +1,6 @@
-"""Formulas: y ~ x1 + a:b + a*b + I(a + b) + C(g) | fe1 + f1^f2 + fe[z] + fe[[z]] | endogenous ~ instruments.
+"""Formulas: y ~ x1 + a:b + a*b + (a + b)**2 + I(a + b) + C(g) + C(g):x | fe1 + f1^f2 + fe[z] + fe[[z]] | endogenous ~ instruments.
 
-Effects may also be written f1#f2, fe##c.z, fe#c.z and fe##c.(z1 z2).
+Categories may also be written i.g, and numbers c.x; effects may be written f1#f2, fe##c.z, fe#c.z and fe##c.(z1 z2).
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import combinations
 
 
 @dataclass(frozen=True)
@@ -59,11 +60,18 @@ def terms(text: str) -> tuple[tuple[str, ...], bool]:
     out: list[str] = []
     intercept = True
     for raw in split_top(text.replace("- 1", "+ 0").replace("-1", "+ 0"), "+"):
+        raw = re.sub(r"(?<![\w.`])i\.([A-Za-z_]\w*)", r"C(\1)", re.sub(r"(?<![\w.`])c\.(?=[A-Za-z_])", "", raw))
         if raw in ("0", "1", ""):
             intercept = intercept and raw != "0"
             continue
         if raw == ".":
             raise ValueError("'.' is not supported in a formula")
+        if (m := re.fullmatch(r"(.+?)\s*\*\*\s*(\d+)", raw)) and len(split_top(raw, ":")) == 1 and not re.match(r"\w+\(", raw):
+            # a power is all products of up to so many of the terms, each once
+            inner = terms(m[1][1:-1] if m[1].startswith("(") and m[1].endswith(")") else m[1])[0]
+            found = [":".join(some) for k in range(1, int(m[2]) + 1) for some in combinations(inner, k)]
+            out += [t for t in found if t not in out]
+            continue
         parts = split_top(raw, "*")
         if len(parts) > 1 and not raw.startswith("I("):
             found = [":".join(p for i, p in enumerate(parts) if k >> i & 1) for k in sorted(range(1, 2 ** len(parts)), key=lambda k: (k.bit_count(), k))]

@@ -123,3 +123,16 @@ def test_frequency_weights(spark):
     assert a.n == b.n and all(math.isclose(a.kss[k], b.kss[k], rel_tol=1e-9) for k in a.kss) and math.isclose(a.var_y, b.var_y)
     with pytest.raises(ValueError):
         akm_kss(spark.createDataFrame(p), "y", "w", "f", weights="k", errors=True)
+
+
+def test_eigen_shares(spark):
+    p = panel()
+    r = akm_kss(spark.createDataFrame(p), "y", "w", "f", leverages="exact", eigen=True)
+    kept = r.rows.select("worker", "firm", "y").toPandas().rename(columns={"worker": "w", "firm": "f"}).sort_values(["w", "f"], ignore_index=True)
+    kept["w"], kept["f"] = kept.w.factorize(sort=True)[0], kept.f.factorize(sort=True)[0]
+    for name, (*_, a, inner, x, hat, b) in dense(kept, True).items():
+        whole = x @ inner @ a @ inner @ x.T
+        e = np.linalg.eigvalsh((whole + whole.T) / 2)
+        e = e[np.argsort(-np.abs(e))]
+        got = r.eigen[name]
+        assert np.allclose(got["values"], e[:3], rtol=1e-6) and math.isclose(got["trace"], (e**2).sum(), rel_tol=0.25)

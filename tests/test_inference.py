@@ -107,3 +107,16 @@ def test_aliases(spark):
     assert {"of_firm", "fe2"} <= set(r.fixef().columns)
     with pytest.raises(ValueError):
         bootstrap(spark.createDataFrame(panel()), "firm", vce="robust", y="y", x1=["x"], groups={"z": ["z"]})
+
+
+def test_powers_and_category_products(spark):
+    assert parse("y ~ (a + b + c)**2").x == ("a", "b", "c", "a:b", "a:c", "b:c") and parse("y ~ x**2 + i.g + c.z:x").x == ("x", "C(g)", "z:x")
+    p = panel().assign(g=lambda p: (p.firm % 3).astype(str))
+    df = spark.createDataFrame(p)
+    r = feols("y ~ x + C(g) + C(g):x", df)
+    assert r.terms == ["x", "g[1]", "g[2]", "g[1]:x", "g[2]:x", "_cons"]
+    d = pd.get_dummies(p.g).to_numpy(float)
+    z = np.column_stack([p.x, d[:, 1], d[:, 2], d[:, 1] * p.x, d[:, 2] * p.x, np.ones(len(p))])
+    assert np.allclose(r.coef, np.linalg.lstsq(z, p.y, rcond=None)[0])
+    full = feols("y ~ i.g:x", df)  # without x by itself all levels get a slope
+    assert full.terms == ["g[0]:x", "g[1]:x", "g[2]:x", "_cons"] and not full.omitted
