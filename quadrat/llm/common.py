@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.operators.graph import joined_nodes
 from quadrat.operators.sample import keep_cut
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -51,28 +52,6 @@ def keyed_by_text(text) -> list:
 MOST_EDGES = 500_000
 
 
-def joined_nodes(u: np.ndarray, v: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct nodes of the edges and the root of each: of the nodes joined with it, the one with the least key.
-
-    keys: a function's values for the distinct nodes in ascending order; without it a node is its own key.
-    """
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    order = np.arange(len(nodes)) if keys is None else np.argsort(keys(nodes), kind="stable")
-    back = np.empty(len(nodes), np.int64)
-    back[order] = np.arange(len(nodes))
-    a, b = back[at[: len(u)]], back[at[len(u) :]]
-    root = np.arange(len(nodes))
-    while len(a):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(root, high, low)
-        while (up := root[root]).tobytes() != root.tobytes():
-            root = up
-        a, b = root[a], root[b]
-        left = a != b
-        a, b = a[left], b[left]
-    return nodes, nodes[order[root[back]]]
-
-
 def components(edges: DataFrame, most_edges: int = MOST_EDGES, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v), for each node that has an edge to another.
 
