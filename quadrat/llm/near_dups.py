@@ -109,25 +109,35 @@ def _common(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumprod(key[1:] == key[:-1], 1).sum(1)])
 
 
-def _regions(keys: np.ndarray, tree: np.ndarray, least: int, before: np.ndarray) -> np.ndarray:
-    """A number for the region of each reading of a sorted run, and -1 for those alone.
+def _regions(keys: np.ndarray, tree: np.ndarray, least: int, before: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each reading of a sorted run the number of its region, -1 for those alone, and the region's depth.
 
-    before: by depth, how many readings with the first one's prefix went ahead of the run.
+    before: by depth, how many readings with the first one's prefix went ahead of the run. low: the least depth of each reading's region; over
+    DEPTH where the whole key is dealt out to several tasks, so that none is known to be alone.
     """
     shared = _common(keys)
     shared[1:][tree[1:] != tree[:-1]] = 0
-    number = np.zeros(len(keys), np.int64)
+    number, depths = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     alone = np.zeros(len(keys), bool)
     for depth in range(least, DEPTH + 1):
         fresh = np.cumsum(shared < depth)
         size = np.bincount(fresh)
         size[1:2] += before[depth]
         size = size[fresh]
-        take = (number == 0) & ((size <= REGION) | (depth == DEPTH))
+        take = (number == 0) & (depth >= np.minimum(low, DEPTH)) & ((size <= REGION) | (depth == DEPTH))
         number[take] = fresh[take] * (DEPTH + 1) + depth + 1
-        alone[take] = size[take] == 1
+        depths[take] = depth
+        alone[take] = (size[take] == 1) & (low[take] <= DEPTH)
     _, number = np.unique(number, return_inverse=True)
-    return np.where(alone, -1, number)
+    return np.where(alone, -1, number), depths
+
+
+def _key_names(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The names of regions of whole keys: the same in every task."""
+    out = mix64(tree.astype(np.uint64) + np.uint64(1))
+    for half in np.ascontiguousarray(key.astype(np.uint16)).view(np.uint64).T:
+        out = mix64(out ^ half)
+    return out.view(np.int64)
 
 
 def _prefixed(key: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -143,13 +153,13 @@ def _neighbours(least: int):
         held = None
         most = 400_000
         nothing = np.zeros(DEPTH + 1, np.int64)
-        # Of the part of this head that is out: what it shares with the readings held, and its last key, id and region.
+        # Of the part of this head that is out: what it shares with the readings held, and its last key and id.
         before, last = nothing, None
 
         def emit(rows, end):
             nonlocal before, last
-            tree, key, ids = rows
-            number = _regions(key, tree, least, before)
+            tree, key, ids, low = rows
+            number, depth = _regions(key, tree, least, before, low)
             shared = _common(key)
             shared[1:][tree[1:] != tree[:-1]] = 0
             other = np.concatenate([ids[:1], ids[:-1]])
@@ -160,33 +170,32 @@ def _neighbours(least: int):
             some = some[some < end]
             first = np.full(number.max(initial=0) + 1, len(number))
             np.minimum.at(first, number[number >= 0], np.flatnonzero(number >= 0))
-            names = ids[np.minimum(first, len(ids) - 1)]
-            if shared[0] == DEPTH:
-                names[number[0]] = last[2]  # only whole keys are parted, and their region goes on under its name
-            name = names[np.maximum(number[some], 0)]
+            # A region has its first id's name; one of a whole key, which may be parted, a name made of the key.
+            names = np.where(depth == DEPTH, _key_names(tree, key), ids[np.minimum(first, len(ids) - 1)][np.maximum(number, 0)])
             for i in range(0, len(some), 50_000):
                 s = some[i : i + 50_000]
-                yield pa.record_batch([pa.array(tree[s]), pa.array(ids[s]), pa.array(other[s], mask=~near[s]), pa.array(name[i : i + 50_000], mask=number[s] < 0)], ["tree", "id", "other", "region"])
+                yield pa.record_batch([pa.array(tree[s]), pa.array(ids[s]), pa.array(other[s], mask=~near[s]), pa.array(names[s], mask=number[s] < 0)], ["tree", "id", "other", "region"])
 
             if end < len(ids):
                 before = _prefixed(key[:end], key[end]) + np.where(_prefixed(key[:1], key[end]) > 0, before, 0)
-                last = key[end - 1], ids[end - 1], names[max(number[end - 1], 0)]
+                last = key[end - 1], ids[end - 1]
             else:
                 before, last = nothing, None
 
         for batch in it:
             key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)
-            rows = (np.asarray(batch.column("tree")), key, np.asarray(batch.column("id")))
+            low = np.asarray(batch.column("low")) if "low" in batch.schema.names else np.full(len(key), least)
+            rows = (np.asarray(batch.column("tree")), key, np.asarray(batch.column("id")), low)
             held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
             # Whole heads go out. Of a run of one head longer than `most`, all goes out but its last group of up to
             # REGION readings: the size of that one isn't known yet, and larger ones are split in any case.
-            tree, key, ids = held
+            tree, key, ids, _ = held
             cut = np.flatnonzero((key[1:, :least] != key[:-1, :least]).any(1) | (tree[1:] != tree[:-1]))
             end = int(cut[-1]) + 1 if len(cut) else 0
             if end:
                 yield from emit(tuple(x[:end] for x in held), end)
                 held = tuple(x[end:] for x in held)
-            tree, key, ids = held
+            tree, key, ids, _ = held
             if len(ids) > most:
                 own = _prefixed(key, key[-1])
                 size = own + np.where(_prefixed(key[:1], key[-1]) > 0, before, 0)
@@ -199,6 +208,38 @@ def _neighbours(least: int):
     return batches
 
 
+#: One class in so many tells which prefixes are hot, and of those so many readings make one.
+SHARE, HOT = 64, 200
+
+
+def _sorted(classes: DataFrame, least: int, share: int = SHARE, hot: int = HOT) -> DataFrame:
+    """The readings, dealt out by order and head, and sorted; with column low, the least depth of a region, where prefixes are hot.
+
+    A prefix is hot if its readings are a good part of a task's. It has more than REGION then, so its regions lie deeper, and its
+    readings are dealt out by a longer prefix, down to the first that isn't hot. Those of a hot whole key, which
+    are one region, are dealt out by id as well. So no task gets all of a group of near copies, whatever its size.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    readings = _readings(classes)
+    prefix = lambda d: F.expr(f"substring(key, 1, {2 * d})")
+    head = prefix(least)
+    task = max(classes.count() * TREES // parts, 1)
+    some = _readings(classes.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0))
+    counts = some.select("tree", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), prefix(d).alias("prefix")) for d in range(least, DEPTH + 1)])).alias("x"))
+    # At most as many of a depth as tasks, and a few times that.
+    found = settle(counts.groupBy("tree", "x.d", "x.prefix").count().where(F.col("count") >= max(hot, task // share // 4)))
+    if not found.head(1):
+        return readings.repartition(parts, "tree", head).sortWithinPartitions("tree", "key", "id")
+    low, deal, salts = F.lit(least), head, F.lit(1)
+    for d in range(least, DEPTH + 1):
+        own = found.where(F.col("d") == d).select(F.col("tree").alias("t"), F.col("prefix").alias(f"hot{d}"), F.greatest(F.lit(2), F.ceil(F.col("count") * share / task)).cast("int").alias(f"n{d}"))
+        readings = readings.join(F.broadcast(own), (F.col("tree") == F.col("t")) & (prefix(d) == F.col(f"hot{d}")), "left").drop("t")
+        is_hot = F.col(f"hot{d}").isNotNull()
+        low, deal, salts = F.when(is_hot, d + 1).otherwise(low), F.when(is_hot, prefix(min(d + 1, DEPTH))).otherwise(deal), F.when(is_hot, F.col(f"n{d}") if d == DEPTH else F.lit(1)).otherwise(salts)
+    readings = readings.select("tree", "key", "id", low.cast("int").alias("low"), deal.alias("deal"), F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    return readings.repartition(parts, "tree", "deal", "salt").select("tree", "key", "id", "low").sortWithinPartitions("tree", "key", "id")
+
+
 def _agreeing(side: np.ndarray, comp: np.ndarray, ids: np.ndarray, sig: np.ndarray, least_equal: int):
     """Rows of a block pair whose groups differ and whose signatures agree often enough, as index arrays, in parts."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -382,9 +423,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle(some.groupBy("print").agg(F.min(F.struct("id", "sig")).alias("x")).select("print", "x.id", "x.sig"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    head = F.expr(f"substring(key, 1, {2 * least_depth})")
-    sorted_ = _readings(classes).repartition(parts, "tree", head).sortWithinPartitions("tree", "key", "id")
-    found = settle(sorted_.transform(in_arrow, _neighbours(least_depth), "tree int, id long, other long, region long"))
+    found = settle(_sorted(classes, least_depth).transform(in_arrow, _neighbours(least_depth), "tree int, id long, other long, region long"))
     first = settle(found.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     members = settle(found.where("region IS NOT NULL").select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct())
     sets = settle(_sets(rows, members, shingle))

@@ -158,18 +158,50 @@ def test_regions_of_long_heads():
     ids = np.arange(len(keys)) * 3
     whole = pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids)], ["tree", "key", "id"])
     got = pa.Table.from_batches(_neighbours(3)(whole.slice(i, 10_000) for i in range(0, len(ids), 10_000)))
-    names, wanted = dict(zip(got["id"].to_pylist(), got["region"].to_pylist(), strict=True)), {}
+    names = dict(zip(got["id"].to_pylist(), got["region"].to_pylist(), strict=True))
     sizes = [np.unique(keys[:, :d], axis=0, return_inverse=True, return_counts=True) for d in range(3, DEPTH + 1)]
     groups = [(k, n[k]) for _, k, n in sizes]
     depth = np.select([n <= REGION for _, n in groups], range(len(groups)), len(groups) - 1)
-    for i, x in enumerate(ids.tolist()):
-        at, n = groups[depth[i]][0][i], groups[depth[i]][1][i]
-        first = wanted.setdefault((depth[i], at), x)
-        assert names.get(x) == (first if n > 1 else None)
+    wanted = [(int(depth[i]), int(groups[depth[i]][0][i])) for i in range(len(ids))]
+    alone = np.array([groups[depth[i]][1][i] == 1 for i in range(len(ids))])
+    assert all((names.get(x) is None) == a for x, a in zip(ids.tolist(), alone, strict=True))
+    pairs = {(w, names[x]) for w, x, a in zip(wanted, ids.tolist(), alone, strict=True) if not a}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({n for _, n in pairs})  # one name for each region, one region for each name
     others = dict(zip(got["id"].to_pylist(), got["other"].to_pylist(), strict=True))
     assert [others.get(x) for x in ids.tolist()] == [None, *ids[:-3].tolist(), None, ids[-2]]
 
 
+def test_hot_prefixes(spark):
+    """Readings of a hot head are dealt out deeper, to several tasks, and their regions are the same."""
+    from quadrat.llm import near_dups as m
+
+    g = np.random.default_rng(8)
+    sig = np.tile(g.integers(0, 60_000, m.POOL), (3000, 1))
+    swap = g.random(sig.shape) < np.repeat([0.0, 0.02, 0.3], 1000)[:, None]
+    sig[swap] = g.integers(0, 60_000, swap.sum())
+    rows = [(i, s.astype(np.uint16).tobytes()) for i, s in enumerate(sig)]
+    classes = spark.createDataFrame(rows, "id long, sig binary").repartition(4)
+    schema = "tree int, id long, other long, region long"
+
+    def regions(df):
+        out = {}
+        for r in df.mapInArrow(m._neighbours(3), schema).where("region IS NOT NULL").collect():
+            out.setdefault((r.tree, r.region), set()).add(r.id)
+        return {(t, frozenset(x)) for (t, _), x in out.items()}
+
+    plain = m._readings(classes).repartition(4, "tree").sortWithinPartitions("tree", "key", "id")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        dealt = m._sorted(classes, 3, share=1, hot=100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "low" in dealt.columns and "low" not in m._sorted(classes, 3, share=1, hot=100_000).columns
+    assert regions(dealt) == regions(plain) == regions(m._sorted(classes, 3, share=1, hot=100_000))
+    whole = m._readings(classes).groupBy("tree", "key").count().orderBy(F.desc("count")).first()
+    spread = dealt.withColumn("p", F.spark_partition_id()).where((F.col("tree") == whole["tree"]) & (F.col("key") == F.lit(bytes(whole["key"])))).groupBy("p").count()
+    assert spread.count() > 1
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "u long, v long")
     wanted = {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
