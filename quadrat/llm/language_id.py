@@ -161,12 +161,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = picked.groupBy("mark", "lang").agg(F.first("text").alias("text"))
     most = int(2 * sum(wanted.values())) + 100
     sample = picked.transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>").limit(most).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     langs = sorted(set(sample.column("lang").to_pylist()))
     label = np.array([langs.index(x) for x in sample.column("lang").to_pylist()], np.int64)
+    flat, ends = {}, np.zeros(1, np.int64)
+    for name in ("bins", "shares"):  # as flat arrays: lists of numbers would be many times as large
+        whole = pa.concat_arrays(sample.column(name).chunks) if sample.num_rows else pa.array([], sample.schema.field(name).type)
+        flat[name] = whole.flatten().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(pc.list_value_length(whole).to_numpy(zero_copy_only=False))).astype(np.int64)
     xs = []
-    for b, s in zip(sample.column("bins").to_pylist(), sample.column("shares").to_pylist(), strict=True):
-        b = np.array(b, np.int64)
-        xs.append((np.append(b, 1 << BITS), np.append(np.array(s) * idf[b] * SCALE, 1.0)))
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        b = flat["bins"][lo:hi].astype(np.int64)
+        xs.append((np.append(b, 1 << BITS), np.append(flat["shares"][lo:hi] * idf[b] * SCALE, 1.0)))
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, known)
     held = np.arange(len(xs)) % 5 == 4

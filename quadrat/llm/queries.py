@@ -34,7 +34,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     numbers = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *numbers, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *numbers, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 #: Fixed values of the rules: verdict, host, path.
