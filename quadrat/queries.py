@@ -178,7 +178,9 @@ SELECT 'l_quantity' AS term, {_sig('any_value(b)')} AS coef, {_sig('sqrt(any_val
     "groupvar": """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type FROM events),
 r(a, b) AS (SELECT user_id, user_id FROM e UNION SELECT r.a, y.user_id FROM r JOIN e x ON x.user_id = r.b JOIN e y ON y.event_type = x.event_type)
 SELECT a AS user_id, min(b) AS "group" FROM r GROUP BY a""",
-    "twoway_dof": "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) - 1 AS df_a FROM lineitem",
+    "twoway_dof": "WITH e AS MATERIALIZED (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), l0 AS MATERIALIZED (SELECT DISTINCT a, a AS l FROM e), "
+    + ", ".join(f"l{i + 1} AS MATERIALIZED (SELECT e.a, min(m) AS l FROM e JOIN (SELECT b, min(l) AS m FROM e JOIN l{i} USING (a) GROUP BY b) USING (b) GROUP BY e.a)" for i in range(12))
+    + " SELECT count(DISTINCT a) AS parts, count(DISTINCT b) AS suppliers, count(DISTINCT a) + count(DISTINCT b) - (SELECT count(DISTINCT l) FROM l12) AS df_a FROM e",
 }
 
 
