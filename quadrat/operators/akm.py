@@ -142,6 +142,45 @@ def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = No
     return df.join(keep_cut(kept), [worker, firm], "left_semi")
 
 
+#: Fixed values of the keyed signs: the multipliers of a draw's number and of a unit's.
+_DRAW, _UNIT = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """One step of the SplitMix64 generator from each state."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _streams(seed: int, draw: int, units: int) -> np.ndarray:
+    """The states of a draw's streams, one for each unit."""
+    mask = 2**64 - 1
+    own = _mixed(np.array([(seed & mask) ^ (_DRAW * (draw + 1) & mask)], np.uint64))
+    return _mixed(own ^ np.uint64(_UNIT) * np.arange(1, units + 1, dtype=np.uint64))
+
+
+def sign_rows(seed: int, draw: int, n: int) -> np.ndarray:
+    """n random signs, 64 from each stream, the lowest bit first."""
+    bits = _streams(seed, draw, -(-n // 64))
+    return ((bits[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).ravel()[:n] * 2.0 - 1
+
+
+def sign_sums(seed: int, draw: int, counts: np.ndarray) -> np.ndarray:
+    """For each unit the sum of so many random signs of its own stream."""
+    state, left, out = _streams(seed, draw, len(counts)), counts.astype(np.int64).copy(), np.zeros(len(counts))
+    live = np.flatnonzero(left > 0)
+    while len(live):
+        state[live] = _mixed(state[live])
+        k = np.minimum(left[live], 64)
+        bits = np.where(k == 64, state[live], state[live] & ((np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1)))
+        out[live] += 2.0 * np.bitwise_count(bits) - k
+        left[live] -= k
+        live = live[left[live] > 0]
+    return out
+
+
 class Solver:
     """Solves [Dw B; B' Df] (zw, zf) = (tw, tf) with the last firm's effect at zero, for many right sides at once."""
 
@@ -220,16 +259,18 @@ class Solver:
     def sketched(self, draws: int, seed: int, by_match: bool):
         """As exact(), from random signs; and the factor that corrects the bias of dividing by an estimated 1 - leverage.
 
-        At match level the leverage is that of a match. Signs come from a counter-based generator keyed by seed and draw.
+        At match level the leverage is that of a match. Signs are keyed by seed, draw and unit: the matches in order of worker and firm,
+        for their own signs in blocks of 64. At observation level a match's rows are alike, so what counts is how many have
+        which sign; that number comes from another generator, keyed alike.
         """
         n, t, m = self.dw.sum(), self.c, len(self.w)
         whole = t.astype(np.int64)
         p1, p2, m1, m2, pm, fe, pe, cov = np.zeros((8, m))
         for k in range(draws):
             rng = np.random.Generator(np.random.Philox(key=[seed, k]))
-            sums = 2.0 * rng.binomial(whole, 0.5) - t
+            sums = sign_sums(seed, 3 * k + 1, whole)
             if by_match:
-                r = rng.integers(0, 2, m) * 2.0 - 1
+                r = sign_rows(seed, 3 * k, m)
                 root = np.sqrt(t)
                 zw, zf = self.solve(np.bincount(self.w, root * r, self.n), np.bincount(self.f, root * r, self.j))
                 z = root * (zw[self.w] + zf[self.f])
@@ -581,14 +622,27 @@ def leave_out_csv(df: DataFrame, path: str) -> None:
     df.orderBy("i", "t").select("y", "i", "j").write.mode("overwrite").csv(path)
 
 
-def subsampling(df: DataFrame, y: str, worker: str, firm: str, fractions: list[float] = (0.1, 0.3, 0.5), reps: int = 1, seed: int = 1, **options) -> list[dict]:
-    """Components after dropping about a fraction of the movers, whole workers chosen by a keyed hash: how they move tells how
-    much mobility they need."""
-    movers = keep_cut(df.groupBy(worker).agg(F.countDistinct(firm).alias("n")).where("n > 1").select(worker))
+def subsampling(df: DataFrame, y: str, worker: str, firm: str, fractions: list[float] = (0.0, 0.1, 0.3, 0.5), reps: int = 1, seed: int = 1, **options) -> list[dict]:
+    """Components of the leave-out set after dropping a fraction of its movers, whole workers drawn without replacement: how they
+    move tells how much mobility they need. Fraction 0 is done once. The movers' ids are counted before they go to the driver.
+    """
+    import pandas as pd
+    import pyarrow as pa
+
+    base = keep_cut(leave_out_set(df.where(F.col(worker).isNotNull() & F.col(firm).isNotNull()), worker, firm))
+    movers = _arrow(base.groupBy(worker).agg(F.countDistinct(firm).alias("n")).where("n > 1").select(worker))[worker].sort_values().to_numpy()
     out = []
     for share in fractions:
-        for rep in range(reps):
-            drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(float(share)), F.lit(rep), F.col(worker)), F.lit(1_000_000)) < int(share * 1_000_000)
-            r = akm_kss(df.join(movers.where(drawn), worker, "left_anti"), y, worker, firm, **options)
-            out.append({"fraction": share, "rep": rep, "n": r.n, "firms": r.firms, **{f"plugin_{k}": v for k, v in r.plugin.items()}, **{f"kss_{k}": v for k, v in r.kss.items()}})
+        for rep in range(1 if share == 0 else reps):
+            rows = base
+            if share:
+                draws = np.random.default_rng(np.random.SeedSequence([int(seed), round(share * 1e6), rep]))
+                gone = draws.choice(movers, size=round(share * len(movers)), replace=False)
+                table = df.sparkSession.createDataFrame(pa.Table.from_pandas(pd.DataFrame({worker: gone}), preserve_index=False)).withColumn(worker, F.col(worker).cast(df.schema[worker].dataType))
+                rows = base.join(table, worker, "left_anti")
+            if rows.limit(3).count() < 3:
+                continue
+            r = akm_kss(rows, y, worker, firm, **options)
+            n_movers = r.rows.groupBy("worker").agg(F.countDistinct("firm").alias("n")).where("n > 1").count()
+            out.append({"fraction": float(share), "rep": rep, "n": r.n, "movers": n_movers, "firms": r.firms, **{f"{kind}_{k}": v for kind, told in (("plugin", r.plugin), ("kss", r.kss), ("agsu", r.agsu)) for k, v in told.items()}})
     return out

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quadrat.operators.akm import akm_kss, lowess, quantile_groups
+from quadrat.functions.distributions import splitmix64
+from quadrat.operators.akm import akm_kss, lowess, quantile_groups, sign_rows, sign_sums, subsampling
 
 
 def panel():
@@ -136,3 +137,35 @@ def test_eigen_shares(spark):
         e = e[np.argsort(-np.abs(e))]
         got = r.eigen[name]
         assert np.allclose(got["values"], e[:3], rtol=1e-6) and math.isclose(got["trace"], (e**2).sum(), rel_tol=0.25)
+
+
+def test_keyed_signs():
+    """Against the generator in plain Python."""
+
+    def stream(seed, draw, unit):
+        s = splitmix64(seed ^ (0xA24BAED4963EE407 * (draw + 1)) % 2**64)
+        return splitmix64(s ^ (0x9FB21C651E98DF25 * (unit + 1)) % 2**64)
+
+    rows = sign_rows(9, 6, 150)
+    assert rows.tolist() == [1.0 if stream(9, 6, i // 64) >> (i % 64) & 1 else -1.0 for i in range(150)]
+    counts = np.array([0, 1, 5, 63, 64, 65, 200])
+    wanted = []
+    for unit, n in enumerate(counts.tolist()):
+        state, total = stream(9, 7, unit), 0
+        while n > 0:
+            state = splitmix64(state)
+            k = min(n, 64)
+            total += 2 * (state & ((1 << k) - 1)).bit_count() - k
+            n -= k
+        wanted.append(total)
+    assert sign_sums(9, 7, counts).tolist() == wanted
+
+
+def test_subsampling_draws(spark):
+    p = panel()
+    df = spark.createDataFrame(p)
+    got = subsampling(df, "y", "w", "f", fractions=[0.0, 0.2], reps=2, seed=4, leverages="exact")
+    assert [(r["fraction"], r["rep"]) for r in got] == [(0.0, 0), (0.2, 0), (0.2, 1)]
+    whole = akm_kss(df, "y", "w", "f", leverages="exact")
+    assert got[0]["n"] == whole.n and math.isclose(got[0]["kss_var_psi"], whole.kss["var_psi"], rel_tol=1e-9)
+    assert got[1]["movers"] < got[0]["movers"] and got[1]["kss_var_psi"] != got[2]["kss_var_psi"]
