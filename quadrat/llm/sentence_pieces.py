@@ -126,7 +126,7 @@ class Encoder(Spelling):
 
     def skipped(self, name: np.ndarray, span: np.ndarray) -> np.ndarray:
         """Whether candidates are skipped, by the names of their occurrences and start << 32 | end."""
-        return mix64(name ^ mix64(span)) < self.bar
+        return mix64(name ^ span * PLACE) < self.bar
 
     def best(self, left: np.ndarray, right: np.ndarray, name: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For candidate pairs: the joined piece's place in the agenda (a large number if there is none or it is skipped), and the piece."""
@@ -152,50 +152,47 @@ class Encoder(Spelling):
         text = "".join(words)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = np.where(points < len(self.letter_ids), self.letter_ids[np.minimum(points, len(self.letter_ids) - 1)], self.unknown)
+        # A row of `wide` cells for each word; a symbol is the cell it begins in, and cells are numbered throughout.
+        wide = longest + 1
         row = np.repeat(np.arange(n), sizes)
         col = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.full((n, longest + 1), self.unknown, np.int32)
-        ids[row, col] = letters
-        # A linked list in each row: the next live symbol's column, and the one before it.
-        nxt = np.broadcast_to(np.arange(1, longest + 2, dtype=np.int32), (n, longest + 1)).copy()
+        cell = row * wide + col
+        ids = np.full(n * wide, self.unknown, np.int32)
+        ids[cell] = letters
+        # A linked list in each row: the next live symbol, and the one before it.
+        nxt = np.arange(1, n * wide + 1)
         prv = nxt - 2
-        live = np.zeros((n, longest + 1), bool)
-        live[row, col] = True
-        rank = np.full((n, longest + 1), NONE, np.int32)
-        piece = np.zeros((n, longest + 1), np.int32)
+        begin, stop = np.arange(n) * wide, np.arange(n) * wide + sizes
+        live = np.zeros(n * wide, bool)
+        live[cell] = True
+        rank = np.full(n * wide, NONE, np.int32)
+        piece = np.zeros(n * wide, np.int32)
+
+        def offer(r, c, d):
+            """Put the pairs of symbols c and d of rows r on the agenda."""
+            start, end = c - begin[r], nxt[d] - begin[r]
+            rank[c], piece[c] = self.best(ids[c], ids[d], name(r), start, end)
+            if names is None:
+                seen.append((r, start, end, rank[c]))
+
         have = col + 1 < sizes[row]
-        r, c = row[have], col[have]
-        rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, c + 1], name(r), c, c + 2)
-        if names is None:
-            seen.append((r, c, c + 2, rank[r, c]))
+        offer(row[have], cell[have], cell[have] + 1)
         todo = np.arange(n)
         while len(todo):
-            own = rank[todo]
-            at = own.argmin(1)
-            good = own[np.arange(len(todo)), at] < NONE
+            at = begin[todo] + rank.reshape(n, wide)[todo].argmin(1)
+            good = rank[at] < NONE
             todo, at = todo[good], at[good]
             if not len(todo):
                 break
-            after = nxt[todo, at]
-            ids[todo, at] = piece[todo, at]
-            live[todo, after] = False
-            rank[todo, after] = NONE
-            then = nxt[todo, after]
-            nxt[todo, at] = then
-            inside = then < sizes[todo]
-            prv[todo[inside], then[inside]] = at[inside]
-            rank[todo, at] = NONE
-            r, c, d = todo[inside], at[inside], then[inside]
-            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], name(r), c, nxt[r, d])
-            if names is None:
-                seen.append((r, c, nxt[r, d], rank[r, c]))
-            before = prv[todo, at]
-            r, c, d = todo[before >= 0], before[before >= 0], at[before >= 0]
-            rank[r, c], piece[r, c] = self.best(ids[r, c], ids[r, d], name(r), c, nxt[r, d])
-            if names is None:
-                seen.append((r, c, nxt[r, d], rank[r, c]))
-        kept = live[row, col]
-        out, owner = ids[row, col][kept], row[kept]
+            after = nxt[at]
+            then, before = nxt[after], prv[at]
+            ids[at], live[after], rank[after], nxt[at] = piece[at], False, NONE, then
+            rank[at] = NONE
+            inside, led = then < stop[todo], before >= begin[todo]
+            prv[then[inside]] = at[inside]
+            offer(np.concatenate([todo[inside], todo[led]]), np.concatenate([at[inside], before[led]]), np.concatenate([then[inside], at[led]]))
+        kept = live[cell]
+        out, owner = ids[cell][kept], row[kept]
         odd = np.flatnonzero(out == self.unknown)
         if len(odd):
             chars = np.array(list(text), object)[kept][odd]
