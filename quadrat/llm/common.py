@@ -173,6 +173,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = ASCII_WS
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: What a worker process keeps between tasks, by the name of its maker.
+KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key: tuple, make):
+    """make(), or what it made last under this name and key. A function of in_arrow() that uses it has the name as attribute `keeps`."""
+    if KEPT.get(name, (None,))[0] != key:
+        KEPT[name] = key, make()
+    return KEPT[name][1]
+
+
 def released(batches):
     """The function of a mapInArrow; after a task, its worker process gives the memory it has freed back to the system.
 
@@ -184,6 +195,9 @@ def released(batches):
 
         import pyarrow as pa
 
+        # What workers keep of another operator goes before this one's work begins.
+        for name in [k for k in KEPT if k != getattr(batches, "keeps", None)]:
+            del KEPT[name]
         try:
             yield from batches(it)
         finally:
@@ -197,7 +211,7 @@ def released(batches):
 
 #: Bytes of rows that Spark hands to a worker at a time, where the session has its own setting's default; texts are
 #: large, and each batch is held by the executor, the pipe and the worker.
-BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
+BATCH_BYTES, DEFAULT_BYTES = "4m", "67108864b"
 
 
 def in_arrow(df: DataFrame, batches, schema: str) -> DataFrame:

@@ -125,7 +125,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         total, letters, number = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
         for batch in it:
-            for part in pieces(batch, 1 << 20):
+            for part in pieces(batch, 1 << 19):
                 for i in range(0, part.num_rows, 64):
                     found = frequencies(part.slice(i, 64).column("text").to_pylist(), letters)
                     total += (found > 0).sum(0)
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
         import pyarrow as pa
 
         for batch in it:
-            for part in pieces(batch, 1 << 20, text=text):
+            for part in pieces(batch, 1 << 19, text=text):
                 langs, scores = model.predict([t or "" for t in text(part).to_pylist()])
                 yield pa.record_batch([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores)], ["__row", "__lang", "__score"])
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, mix64, pieces, text_of
+from .common import in_arrow, kept, mix64, pieces, text_of
 
 MARK = "▁"
 #: Stands in a part for U+2581 of the text itself; a lone surrogate is in no valid text.
@@ -37,6 +37,11 @@ NONE = 1 << 30
 PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def as_letters(text: str) -> str:
+    """A part in the letters of the model: spaces are marks, and marks of the text stand apart."""
+    return text.replace(MARK, OWN_MARK).replace(" ", MARK)
+
+
 class Spelling:
     """The pieces of a model: what they spell, and what they are."""
 
@@ -77,7 +82,7 @@ class Spelling:
 class Encoder(Spelling):
     """most_parts bounds memory: beyond it what is kept of parts is dropped and made anew."""
 
-    def __init__(self, path: str, dropout: float, most_parts: int = 150_000):
+    def __init__(self, path: str, dropout: float, most_parts: int = 80_000):
         super().__init__(path)
         plain, size = self.plain, len(self.length)
         self.letters = {x: i for x, i in plain.items() if len(x) == 1}
@@ -110,6 +115,7 @@ class Encoder(Spelling):
         self.place[order] = np.arange(len(order))
         self.bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         self.dropout, self.most_parts = dropout, most_parts
+        self.plain = {}  # no longer needed
         self.clear()
 
     def clear(self) -> None:
@@ -149,7 +155,7 @@ class Encoder(Spelling):
         name = (lambda r: None) if names is None else names.__getitem__
         seen: list[tuple] = []  # candidates without skips, for learn()
         n, longest = len(words), int(sizes.max())
-        text = "".join(words)
+        text = as_letters("".join(words))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = np.where(points < len(self.letter_ids), self.letter_ids[np.minimum(points, len(self.letter_ids) - 1)], self.unknown)
         # A row of `wide` cells for each word; a symbol is the cell it begins in, and cells are numbered throughout.
@@ -215,7 +221,7 @@ class Encoder(Spelling):
 
     def merge_long(self, word: str, name: np.uint64 | None) -> list[int]:
         """merge() for one long word, with the agenda in a heap."""
-        n = len(word)
+        word, n = as_letters(word), len(word)
         ids = [self.letters.get(x, self.unknown) for x in word]
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         names = None if name is None else np.full(max(n - 1, 1), name)
@@ -262,7 +268,7 @@ class Encoder(Spelling):
         while i < len(order):
             longest = sizes[order[i]]
             # parts of like length together, and a bounded matrix
-            j = min(int(np.searchsorted(sizes[order], longest + max(2, longest // 4), "right")), i + max(1, (1 << 19) // (int(longest) * 5 // 4 + 4)))
+            j = min(int(np.searchsorted(sizes[order], longest + max(2, longest // 4), "right")), i + max(1, (1 << 18) // (int(longest) * 5 // 4 + 4)))
             pick = order[i:j]
             if longest > LONG:
                 pick = order[i : i + 1]
@@ -292,7 +298,7 @@ class Encoder(Spelling):
         ends = np.cumsum(self.span_n[part])
         lo = 0
         while lo < len(part):  # some candidates at a time
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000, "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 100_000, "right")))
             n = self.span_n[part[lo:hi]]
             owner = np.repeat(np.arange(lo, hi), n)
             at = np.arange(len(owner)) + np.repeat(self.span_at[part[lo:hi]] - np.cumsum(n) + n, n)
@@ -310,7 +316,7 @@ class Encoder(Spelling):
         had = len(self.parts)
         for x in set(flat).difference(self.index):
             self.index[x] = len(self.parts)
-            self.parts.append(x.replace(MARK, OWN_MARK).replace(" ", MARK))
+            self.parts.append(x)
         while len(self.parts) > len(self.at):
             self.at = np.concatenate([self.at, np.full(len(self.at), -1)])
             self.size, self.span_at, self.span_n, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.span_at, self.span_n, self.lens))
@@ -334,13 +340,12 @@ class Encoder(Spelling):
         return ids, np.diff(total)
 
 
-@lru_cache(2)
 def encoder(path: str, dropout: float) -> Encoder:
     """One for each worker process, kept between tasks."""
-    return Encoder(path, dropout)
+    return kept("encoder", (path, dropout), lambda: Encoder(path, dropout))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def spelling(path: str) -> Spelling:
     return Spelling(path)
 
@@ -360,13 +365,14 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_
 
         own = encoder(model, dropout)
         for batch in it:
-            for part in pieces(batch, 1 << 20, text=text):
+            for part in pieces(batch, 1 << 19, text=text):
                 texts = text(part).to_pylist()
                 ids, number = own.encode([t or "" for t in texts], np.asarray(part.column("__name")).view(np.uint64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
                 yield pa.record_batch([part.column("__row"), lists, pa.array(number, pa.int64())], ["__row", "__ids", "__n"])
 
+    batches.keeps = "encoder"
     out = rows.transform(in_arrow, batches, f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>, __n long")
     return out.select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__ids").alias(ids_col), F.col("__n").alias(n_col))
 

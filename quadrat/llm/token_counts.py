@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, pieces
+from .common import in_arrow, kept, pieces
 
 LETTER, NUMBER, OTHER, SPACE, BLANK, EDGE = range(6)
 #: The code points of Unicode's White_Space besides U+0020.
@@ -295,10 +295,9 @@ class Transducer:
         return out
 
 
-@lru_cache(2)
 def transducer(path: str) -> Transducer:
     """One for each worker process, kept between tasks."""
-    return Transducer(path)
+    return kept("transducer", (path,), lambda: Transducer(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,5 +315,6 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(machine.counts(texts))], ["id", "n_bytes", "n_tokens"])
 
+    batches.keeps = "transducer"
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, batches, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
