@@ -368,7 +368,8 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
         fitted = [F.col(t[j]) for j in kept]
     bread = np.linalg.inv(a) if kept else np.zeros((0, 0))
     u = F.col(t[0]) - sum((F.col(t[j]) * float(v) for j, v in zip(kept, b, strict=True)), F.lit(0.0))
-    scored = keep_cut(tilde.select(*rows.columns, u.alias("__u"), *[f.alias(f"__x{i}") for i, f in enumerate(fitted)]))
+    # The rows are cut where effects were absorbed; what follows are columns of theirs, made again in each pass.
+    scored = tilde.select(*rows.columns, u.alias("__u"), *[f.alias(f"__x{i}") for i, f in enumerate(fitted)])
     centre = intercept or bool(fes)
     middle_y = float(means[0]) if centre else 0.0
     rss, tss = (float(v) for v in scored.agg(F.sum(w * F.col("__u") ** 2), F.sum(w * (F.col("__v0") - middle_y) ** 2)).first())
