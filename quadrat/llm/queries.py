@@ -89,7 +89,15 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, longest=3, least_words=20, share=(5, 100), seed=42)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans, op11_importance_resampling)}
+
+
 def _templates_sql() -> str:
     from .licenses import TEMPLATES
 
@@ -97,8 +105,27 @@ def _templates_sql() -> str:
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT 0 AS rid, {_WORDS} AS w FROM benchmark),
+x AS MATERIALIZED (SELECT rid, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT rid, w FROM d UNION ALL SELECT rid, w FROM b), (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+u AS MATERIALIZED (SELECT g, row_number() OVER () AS fid FROM (SELECT DISTINCT g FROM x)),
+c(fid, h, c) AS (SELECT fid, hex(encode(g)), 4294967295 FROM u UNION ALL
+  SELECT fid, h[3:], xor(c >> 8, v) FROM c JOIN t ON t.i = xor(c, 16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1) & 255 WHERE h <> ''),
+k AS MATERIALIZED (SELECT g, xor(c, 4294967295) % 10000 AS bucket FROM c JOIN u USING (fid) WHERE h = ''),
+f AS MATERIALIZED (SELECT rid, bucket FROM x JOIN k USING (g)),
+n AS (SELECT bucket, count(*) FILTER (rid > 0) AS s, count(*) FILTER (rid = 0) AS t FROM f GROUP BY bucket),
+q AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN q USING (bucket) WHERE rid > 0 GROUP BY rid),
+z AS (SELECT doc_id, len(w) >= 20 AS long_, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, list_reduce(list_transform(string_split(sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8], ''), lambda y: instr('0123456789abcdef', y) - 1), lambda p, y: 16 * p + y)::DOUBLE AS h FROM d LEFT JOIN m USING (rid)),
+y AS (SELECT doc_id, long_, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_ AND r <= 5 * n // 100 THEN r END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY long_ ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY long_) AS n FROM y)
+""",
     "op4_url_filter": f"""
 WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS whole FROM pages),
 q AS (SELECT page_id, html, split_part(whole, '#', 1) AS rest FROM p),
