@@ -95,7 +95,19 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, longest=3, least_words=20, share=(5, 100), seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans, op11_importance_resampling)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import find_runs, made_periodic
+
+    found = find_runs(made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")), times=4, least=6)
+    best = F.expr("aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (b, x) -> if(b IS NULL OR x.length * b.period > b.length * x.period, x, b))")
+    lines = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    own = found.withColumn("best", best).withColumn("lines", lines)
+    parts = [F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return own.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *parts, milli, F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans, op11_importance_resampling, op13_periodic_runs)}
 
 
 def _templates_sql() -> str:
