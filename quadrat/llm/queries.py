@@ -95,6 +95,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, longest=3, least_words=20, share=(5, 100), seed=42)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_templates import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import find_runs, made_periodic
 
@@ -107,7 +113,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *parts, milli, F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans, op11_importance_resampling, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_near_duplicates, op3_personal_data, op4_url_filter, op5_language_id, op6_cover_tree, op7_token_counts, op8_winnowing, op9_license_scan, op10_sentence_spans, op11_importance_resampling, op12_main_text, op13_periodic_runs)}
 
 
 def _templates_sql() -> str:
@@ -137,6 +143,11 @@ z AS (SELECT doc_id, len(w) >= 20 AS long_, coalesce(n_features, 0) AS n_feature
 y AS (SELECT doc_id, long_, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN long_ AND r <= 5 * n // 100 THEN r END AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY long_ ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY long_) AS n FROM y)
+""",
+    "op12_main_text": """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(h1|p)>'), lambda y: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(y, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS t FROM a)
+SELECT page_id, url, array_to_string(list_filter(t, lambda y: y <> ''), chr(10)) AS text, len(array_to_string(list_filter(t, lambda y: y <> ''), chr(10))) AS n_chars FROM b
 """,
     "op4_url_filter": f"""
 WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS whole FROM pages),
