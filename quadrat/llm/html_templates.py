@@ -3,8 +3,9 @@
 Tokens are elements, told apart by their path of tags (with class, id and role), and whole text blocks at their path. A token's
 occurrence vector is how often it occurs in each page of its host. Vectors aren't gathered: a token has the sum over pages of its
 count times the page's hash, modulo 2^64, and equal sums are equal vectors but for a chance of 2^-64. Tokens with one vector are a class. A
-class of two tokens or more is valid if its tokens come in one cyclic order in every page; elements of valid classes, nested by
-their paths, are the host's template. What else is in the pages lies in its slots, each under the innermost template element.
+class of two tokens or more (or of an element that is once in nearly every page it is in) is valid if its tokens come in one
+cyclic order in 95 of 100 pages that have them; elements of valid classes, nested by their paths, are the host's template. What
+else is in the pages lies in its slots, each under the innermost template element.
 
 A slot's share of text and of link text, over all pages, and the names of its elements tell whether it is main text. Text
 blocks of the class of what occurs once in every page belong to the template, and are left out. A page in which its host's
@@ -229,6 +230,7 @@ class Counts:
             linked[path] += links
             name = _named(path, "text", text)
             number[name] += 1
+            texts[name] += len(text)
             about[name] = path, "", BLOCK
             order += [e[0] for e in elements[done:before]]
             order.append(name)
@@ -245,8 +247,8 @@ class Counts:
             row[7] += linked[name]
 
     def out(self):
-        """Rows of COUNTED. Text blocks that not each of the host's pages here has are left out: they aren't in every page."""
-        rest = {key for key, row in self.rows.items() if row[2] != BLOCK or row[3] == row[4] == self.pages[key[0]]}
+        """Rows of COUNTED. Text blocks that are neither in each of the host's pages here nor wherever their element is are left out."""
+        rest = {key for key, row in self.rows.items() if row[2] != BLOCK or row[3] == row[4] == self.pages[key[0]] or row[5] == self.rows[key[0], row[0]][5]}
         for host, name in rest:
             parent, label, kind, pages, number, mark, chars, linked = self.rows[host, name]
             yield host, _signed(name), _signed(parent), label, kind, pages, number, Decimal(mark), chars, linked, None
@@ -292,7 +294,7 @@ def candidates(counts: DataFrame, least_pages: int, least_tokens: int) -> DataFr
     """One row for each host: its template's tokens as JSON, before classes are checked for their order.
 
     Elements are given that are in a tenth of the pages at least (so their number is bounded by what pages hold), and marked where their
-    class has least_tokens; text blocks that are once in every page, if least_pages different pages are there.
+    class has least_tokens; text blocks that are once in every page, or wherever their element is, if it is in least_pages and the host has so many different ones.
     """
     sums = [F.sum(c).alias(c) for c in ("pages", "number", "mark", "chars", "linked")]
     # The sum of decimals is exact, so that it can be taken modulo 2^64 at the end.
@@ -301,9 +303,13 @@ def candidates(counts: DataFrame, least_pages: int, least_tokens: int) -> DataFr
     every = tokens.where(f"token = {ROOT} AND kind = {ELEMENT}").select("host", F.col("pages").alias("all"), F.col("mark").alias("once"))
     different = counts.where(f"kind = {PAGE}").select("host", "token").distinct().groupBy("host").agg(F.count("*").alias("different"))
     known = tokens.join(every, "host").join(different, "host")
-    known = known.where(f"kind = {ELEMENT} AND pages * 10 >= all OR mark = once AND number = all AND different >= {least_pages}")
+    around = tokens.where(f"kind = {ELEMENT}").select("host", F.col("token").alias("parent"), F.col("mark").alias("around"))
+    elements = known.where(f"kind = {ELEMENT} AND pages * 10 >= all")
+    texts = known.where(f"kind = {BLOCK} AND pages >= {least_pages} AND different >= {least_pages}").join(around, ["host", "parent"]).where("mark = once AND number = all OR mark = around")
+    known = elements.unionByName(texts.drop("around"))
     sizes = known.groupBy("host", "mark").agg((F.count("*") >= least_tokens).alias("large"))
-    rows = known.join(sizes, ["host", "mark"]).select("host", F.struct("token", "parent", "label", "kind", F.col("mark").cast("string").alias("mark"), "chars", "linked", "large").alias("row"))
+    large = F.expr(f"large OR kind = {ELEMENT} AND 20 * number <= 21 * pages").alias("large")
+    rows = known.join(sizes, ["host", "mark"]).select("host", F.struct("token", "parent", "label", "kind", F.col("mark").cast("string").alias("mark"), "chars", "linked", large).alias("row"))
     return rows.groupBy("host").agg(F.to_json(F.collect_list("row")).alias("template"))
 
 
@@ -315,18 +321,18 @@ def in_order(tokens: list[int]) -> tuple[int, bool]:
 
 
 def disordered(orders: DataFrame) -> DataFrame:
-    """(host, mark) of the classes whose tokens don't come in one order in all pages; orders: host, order and template."""
+    """(host, mark) of the classes whose tokens don't come in one order in 95 of 100 pages; orders: host, order and template."""
 
     def batches(it):
         import pyarrow as pa
 
-        seen: dict[tuple[str, str], tuple[int, bool]] = {}
+        seen: Counter = Counter()
         classes: dict[str, dict[int, str]] = {}
 
         def told():
-            rows = [(h, m, _signed(o), g) for (h, m), (o, g) in seen.items()]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            return pa.record_batch([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["host", "mark", "first", "good"])
+            rows = [(*key, n) for key, n in seen.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.record_batch([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["host", "mark", "first", "good", "n"])
 
         for batch in it:
             templates = batch.column("template")
@@ -341,15 +347,15 @@ def disordered(orders: DataFrame) -> DataFrame:
                         met[mark].append(name)
                 for mark, names in met.items():
                     first, good = in_order(names)
-                    before = seen.get((host, mark), (first, True))
-                    seen[host, mark] = first, good and before[1] and before[0] == first
+                    seen[host, mark, _signed(first), good] += 1
             if len(seen) > MOST_TOKENS:
                 yield told()
                 seen.clear()
         yield told()
 
-    each = orders.transform(in_arrow, batches, "host string, mark string, first long, good boolean")
-    return each.groupBy("host", "mark").agg(F.min("good").alias("good"), F.min("first").alias("low"), F.max("first").alias("high")).where("NOT good OR low <> high").select("host", "mark")
+    each = orders.transform(in_arrow, batches, "host string, mark string, first long, good boolean, n long")
+    kinds = each.groupBy("host", "mark", "first", "good").agg(F.sum("n").alias("n"))
+    return kinds.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.max(F.when(F.col("good"), F.col("n"))).alias("most")).where("most IS NULL OR 100 * most < 95 * n").select("host", "mark")
 
 
 #: Hosts whose templates a task holds at a time.
@@ -369,6 +375,14 @@ class Template:
         for t, x in elements.items():
             chars[self.slot(t)] += x["chars"]
             linked[self.slot(t)] += x["linked"]
+        # Where a class has no other text, its texts are content that happens to be alike (copies of a page, say).
+        of_class, alike = Counter(), Counter()
+        for t in self.own:
+            of_class[elements[t]["mark"]] += chars[t]
+        for x in rows:
+            if x["token"] in self.fixed:
+                alike[x["mark"]] += x["chars"]
+        self.fixed = {x["token"] for x in rows if x["token"] in self.fixed and of_class[x["mark"]] > alike[x["mark"]]}
         self.main = self._main(chars, linked)
 
     def slot(self, token: int) -> int:
@@ -377,19 +391,26 @@ class Template:
             token = self.parent.get(token, 0)
         return token
 
-    def _up(self, slot: int):
-        while slot:
-            yield slot
-            slot = self.slot(self.parent.get(slot, 0))
-        yield 0
+    def _from_top(self) -> list[tuple[int, int]]:
+        """Each slot and the one around it, that one before; 0, outside all, is the first."""
+        inside = defaultdict(list)
+        for t in self.own:
+            inside[self.slot(self.parent[t])].append(t)
+        out, k = [(0, -1)], 0
+        while k < len(out):
+            out += [(t, out[k][0]) for t in inside[out[k][0]]]
+            k += 1
+        return out
 
     def _main(self, chars: Counter, linked: Counter) -> set[int]:
         tag = lambda t: self.label.get(t, "").split(" ")[0]
-        below: Counter = Counter()  # text that isn't a link, in a slot and what it holds
-        for s in chars:
-            for up in self._up(s):
-                below[up] += chars[s] - linked[s]
-        slots = [*self.own, 0]
+        tree = self._from_top()
+        below, depth = Counter(), {-1: 0}  # text that isn't a link, in a slot and what it holds
+        for s, around in reversed(tree):
+            below[s] += chars[s] - linked[s]
+            below[around] += below[s]
+        for s, around in tree:
+            depth[s] = depth[around] + 1
         heads: list[int] = []
         for kind in ("article", "main"):
             if heads := [t for t in self.own if tag(t) == kind and below[t] > 0]:
@@ -397,13 +418,17 @@ class Template:
                 heads = [t for t in heads if 2 * below[t] >= most]
                 break
         if not heads:
-            enough = [t for t in slots if below[t] > 0 and 5 * below[t] >= 4 * below[0]]
+            enough = [t for t, _ in tree if below[t] > 0 and 5 * below[t] >= 4 * below[0]]
             if not enough:
                 return set()
-            depth = {t: sum(1 for _ in self._up(t)) for t in enough}
             heads = [max(enough, key=lambda t: (depth[t], below[t], t)), *[t for t in self.own if tag(t) == "h1"]]
-        menu = {s for s in chars if 2 * linked[s] > chars[s] and tag(s) not in ("p", "blockquote", "pre", "h1", "h2", "h3", "article", "main")}
-        return {s for s in slots if set(self._up(s)) & set(heads) and not set(self._up(s)) & menu}
+        main, menus = set(), set()
+        for s, around in tree:
+            if around in menus or (2 * linked[s] > chars[s] and tag(s) not in ("p", "blockquote", "pre", "h1", "h2", "h3", "article", "main")):
+                menus.add(s)
+            elif s in heads or around in main:
+                main.add(s)
+        return main
 
     def text(self, elements, blocks) -> str:
         """The blocks in slots with main text, one a line."""
