@@ -2,9 +2,9 @@
 
 A sentence ends at a line end, or at . ! ? before white space. One of more than `longest` words is cut into pieces of
 `longest` at most, at places chosen by the words around them, so that a passage is cut alike wherever it stands. From
-every sentence starts one span and at every sentence ends one: the fewest consecutive sentences, two at least, that hold
-`least_words` words. Spans are compared by 96 bits of hashes of their lower-cased words. Of equal spans anywhere, the
-first in the document of the smallest id stays; the sentences of all others are removed.
+every sentence starts one span and at every sentence ends one: the fewest consecutive sentences, `least_sentences` at least, that hold
+`least_words` words (with least_words = 0, every run of least_sentences). Spans are compared by 96 bits of hashes of their lower-cased words.
+Of equal spans anywhere, the first in the document of the smallest id stays; the sentences of all others are removed.
 """
 
 from __future__ import annotations
@@ -62,12 +62,12 @@ class Sentences:
         self.owner = owner[self.first]
 
 
-def span_hash_pairs(s: Sentences, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hash_pairs(s: Sentences, least_words: int, least_sentences: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each span: its first sentence, the sentence after it, and two hashes."""
     word, m = s.word, len(s.first)
-    # the sentence after the span: enough words, and two sentences
+    # the sentence after the span: enough words, and enough sentences
     to = np.searchsorted(s.stop, s.first + least_words, "left") + 1
-    to = np.maximum(to, np.arange(m) + 2)
+    to = np.maximum(to, np.arange(m) + least_sentences)
     # the spans at whose end none of these ends: the last start from which there are enough
     last = np.setdiff1d(np.arange(1, m + 1), to)
     since = np.searchsorted(to, last, "right") - 1
@@ -85,8 +85,12 @@ def span_hash_pairs(s: Sentences, least_words: int) -> tuple[np.ndarray, np.ndar
     return a, b, out[0], (out[1] >> 32).astype(np.int32)
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest: int) -> DataFrame:
-    """(h1, h2, id, at, size, again): every span; at: the number of its first sentence in its text; again: the text has it before."""
+#: Of a span's place: bits for whether its text has it before, and for its number of sentences. The number of its first sentence is above.
+AGAIN, SIZE = 1, 24
+
+
+def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest: int, least_sentences: int) -> DataFrame:
+    """(h1, h2, id, key, place): every span; key: a hash of its text, so rows that share an id are told apart; place: see AGAIN."""
 
     def batches(it):
         import pyarrow as pa
@@ -95,37 +99,38 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest
             for part in pieces(batch):
                 data, offsets = arrow_bytes(part.column("text"))
                 s = Sentences(data, offsets, longest)
-                a, b, h1, h2 = span_hash_pairs(s, least_words)
+                a, b, h1, h2 = span_hash_pairs(s, least_words, least_sentences)
                 at = a - np.searchsorted(s.owner, s.owner[a], "left")
                 order = np.lexsort((a, h2, h1, s.owner[a]))
                 k = order[1:], order[:-1]
                 again = np.zeros(len(a), bool)
                 again[k[0]] = (h1[k[0]] == h1[k[1]]) & (h2[k[0]] == h2[k[1]]) & (s.owner[a[k[0]]] == s.owner[a[k[1]]])
-                columns = [pa.array(h1), pa.array(h2), part.column("id").take(pa.array(s.owner[a])), pa.array(at.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(again)]
-                yield pa.record_batch(columns, ["h1", "h2", "id", "at", "size", "again"])
+                row, place = pa.array(s.owner[a]), (at << SIZE | b - a) << AGAIN | again
+                yield pa.record_batch([pa.array(h1), pa.array(h2), part.column("id").take(row), part.column("key").take(row), pa.array(place)], ["h1", "h2", "id", "key", "place"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.transform(in_arrow, batches, f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, at int, size int, again boolean")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.transform(in_arrow, batches, f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, key long, place long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, longest: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, longest: int = 16, least_sentences: int = 2) -> DataFrame:
     """The rows with repeated spans taken out of the text, and n_sentences and n_removed.
 
-    A sentence goes with the white space after it. Null stays null; texts shorter than a span stay as they are. Rows
-    that share an id are one document: the first place of a span stays in each of them, and what is removed (by the
-    numbers of sentences) is removed from each. A null id is larger than others.
+    A sentence goes with the white space after it. Null stays null; texts shorter than a span stay as they are. Rows alike in id
+    and text are one document, in each of which the first place of a span stays; rows alike in id alone, or without id, are
+    documents of their own, the one of the smaller hash of its text first. A null id is larger than others.
     Columns named n_sentences or n_removed are replaced.
     """
-    every = spans(docs, id_col, text_col, least_words, longest)
+    every = spans(docs, id_col, text_col, least_words, longest, least_sentences)
     # One row for each repeated span; occurrences are combined before the shuffle, so a hot passage is one row a task.
-    repeated = every.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    repeated = every.groupBy("h1", "h2").agg(F.min(first).alias("lead"), F.count("*").alias("n")).where("n > 1")
     # The xor hides how this side is partitioned, so it is dealt out again and a hot span's partition can be split.
-    repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "lead")
-    later = every.join(repeated, ["h1", "h2"]).where("again OR NOT (id <=> lead)")
-    gone = later.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
+    repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", F.col("lead.id").alias("lead"), F.col("lead.key").alias("lead_key"))
+    later = every.join(repeated, ["h1", "h2"]).where("place % 2 = 1 OR NOT (id <=> lead AND key = lead_key)")
+    gone = later.groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
     keep = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
-    both = rows.join(gone, F.col("__id").eqNullSafe(F.col("id")), "left").select("__text", "__row", "gone")
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
+    both = rows.join(gone, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key")), "left").select("__text", "__row", "gone")
 
     def batches(it):
         import pyarrow as pa
@@ -138,8 +143,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cut = np.zeros(len(s.first) + 1, np.int64)
                 for i, marks in enumerate(part.column("gone").to_pylist()):
                     for m in marks or ():
-                        cut[low[i] + m["at"]] += 1
-                        cut[low[i] + m["at"] + m["size"]] -= 1
+                        begin, size = low[i] + (m >> SIZE + AGAIN), m >> AGAIN & (1 << SIZE) - 1
+                        cut[begin] += 1
+                        cut[begin + size] -= 1
                 out = np.cumsum(cut)[:-1] > 0
                 texts = part.column("__text").to_pylist()
                 raw = data.tobytes()

@@ -484,6 +484,24 @@ def test_sentence_spans_by_force(spark):
     assert len(same) == 4 and remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_sentence_spans_of_odd_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts: a passage that repeats is cut out of the later rows that hold it alone."""
+    p, x, y = prose(31, 60) + ".", "Other. " + prose(32, 60) + ".", prose(33, 40) + ". " + prose(34, 30) + "."
+    run = lambda rows: sorted(((i is None, i, t) for i, t in (tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "text").collect())), key=str)
+    assert [t for *_, t in run([(1, p), (None, p), (None, x), (None, y)])] == [p, *sorted(["", x, y])]
+    assert sorted(t for *_, t in run([(1, p), (2, p), (2, x)])) == sorted([p, "", x])
+    assert sorted(t for *_, t in run([(2, x), (None, p), (2, p + " " + y), (1, y)])) == sorted([x, "", p + " ", y])
+
+
+def test_sentence_spans_by_number(spark):
+    """With no least number of words, every run of so many sentences is hashed."""
+    texts = ["One of them. Two of them. Three of them. Own end.", "Begin. One of them. Two of them. Three of them.", "One of them. Two of them. Else."]
+    got = {r.doc_id: r.text for r in remove_repeats(docs(spark, texts), least_words=0, least_sentences=3).collect()}
+    assert got == {0: texts[0], 1: "Begin. ", 2: texts[2]}
+    got = {r.doc_id: r.text for r in remove_repeats(docs(spark, texts), least_words=0).collect()}
+    assert got == {0: texts[0], 1: "Begin. ", 2: "Else."}
+
+
 @pytest.mark.parametrize("lengths", [[30, 30, 5], [30, 14, 3, 2], [70]])
 def test_sentence_spans_cover(lengths):
     """All of a passage that repeats lies in common spans, but for what is near its ends within a long sentence."""
