@@ -89,8 +89,14 @@ def span_hash_pairs(s: Sentences, least_words: int, least_sentences: int = 2) ->
 AGAIN, SIZE = 1, 24
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest: int, least_sentences: int) -> DataFrame:
-    """(h1, h2, id, key, place): every span; key: a hash of its text, so rows that share an id are told apart; place: see AGAIN."""
+def named(docs: DataFrame, id_col: str, text_col: str) -> dict:
+    """What tells documents apart: their ids where all rows have one of their own, else also a hash of the text."""
+    n, different = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    return {"id": F.col(id_col)} | ({} if n == different else {"key": F.xxhash64(text_col)})
+
+
+def spans(docs: DataFrame, names: dict, text_col: str, least_words: int, longest: int, least_sentences: int) -> DataFrame:
+    """(h1, h2, id, perhaps key, place): every span, with its document's names as in named(); place: see AGAIN."""
 
     def batches(it):
         import pyarrow as pa
@@ -106,10 +112,11 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_words: int, longest
                 again = np.zeros(len(a), bool)
                 again[k[0]] = (h1[k[0]] == h1[k[1]]) & (h2[k[0]] == h2[k[1]]) & (s.owner[a[k[0]]] == s.owner[a[k[1]]])
                 row, place = pa.array(s.owner[a]), (at << SIZE | b - a) << AGAIN | again
-                yield pa.record_batch([pa.array(h1), pa.array(h2), part.column("id").take(row), part.column("key").take(row), pa.array(place)], ["h1", "h2", "id", "key", "place"])
+                yield pa.record_batch([pa.array(h1), pa.array(h2), *(part.column(c).take(row) for c in names), pa.array(place)], ["h1", "h2", *names, "place"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.transform(in_arrow, batches, f"h1 long, h2 int, id {rows.schema['id'].dataType.simpleString()}, key long, place long")
+    rows = docs.select(*[v.alias(c) for c, v in names.items()], F.col(text_col).alias("text"))
+    names = list(names)
+    return rows.transform(in_arrow, batches, "h1 long, h2 int, " + "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in names) + "place long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25, longest: int = 16, least_sentences: int = 2) -> DataFrame:
@@ -120,17 +127,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents of their own, the one of the smaller hash of its text first. A null id is larger than others.
     Columns named n_sentences or n_removed are replaced.
     """
-    every = spans(docs, id_col, text_col, least_words, longest, least_sentences)
+    names = named(docs, id_col, text_col)
+    every = spans(docs, names, text_col, least_words, longest, least_sentences)
     # One row for each repeated span; occurrences are combined before the shuffle, so a hot passage is one row a task.
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    repeated = every.groupBy("h1", "h2").agg(F.min(first).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    first = F.col("id") if len(names) == 1 else F.struct(F.col("id").isNull().alias("none"), *names)
+    repeated = every.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
     # The xor hides how this side is partitioned, so it is dealt out again and a hot span's partition can be split.
-    repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", F.col("lead.id").alias("lead"), F.col("lead.key").alias("lead_key"))
-    later = every.join(repeated, ["h1", "h2"]).where("place % 2 = 1 OR NOT (id <=> lead AND key = lead_key)")
-    gone = later.groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
+    leads = [F.col("first" if len(names) == 1 else f"first.{c}").alias(f"first_{c}") for c in names]
+    repeated = repeated.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", *leads)
+    later = every.join(repeated, ["h1", "h2"]).where("place % 2 = 1 OR NOT (" + " AND ".join(f"{c} <=> first_{c}" for c in names) + ")")
+    gone = later.groupBy(*names).agg(F.collect_set("place").alias("gone"))
     keep = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
-    both = rows.join(gone, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key")), "left").select("__text", "__row", "gone")
+    rows = docs.select(*[v.alias(f"__{c}") for c, v in names.items()], F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col]).alias("__row"))
+    same = [F.col("__id").eqNullSafe(F.col("id")), *([F.col("__key") == F.col("key")] if "key" in names else [])]
+    both = rows.join(gone, same, "left").select("__text", "__row", "gone")
 
     def batches(it):
         import pyarrow as pa
