@@ -3,7 +3,8 @@
 Person-years stay in the cluster: they are aggregated to matches (worker, firm) with a count and the sums of y and its
 square, which is all that the components need at either level. The leave-out set takes components in the cluster first;
 only the movers' matches of the largest go to the driver, where workers whose leaving would split it are searched. The
-match table goes to the driver for the solves; MOST_MATCHES bounds it, counted first, and more raise.
+match table goes to the driver for the solves up to MOST_MATCHES, counted first; beyond, the solves, leverages, components and
+projections stay in the cluster (spread_akm.py), with standard errors and eigenvalue shares left to the driver.
 """
 
 from __future__ import annotations
@@ -154,11 +155,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _streams(seed: int, draw: int, units: int) -> np.ndarray:
-    """The states of a draw's streams, one for each unit."""
+def keyed_states(seed: int, draw: int, unit: np.ndarray) -> np.ndarray:
+    """The states of a draw's streams, one for each unit (a uint64)."""
     mask = 2**64 - 1
     own = _mixed(np.array([(seed & mask) ^ (_DRAW * (draw + 1) & mask)], np.uint64))
-    return _mixed(own ^ np.uint64(_UNIT) * np.arange(1, units + 1, dtype=np.uint64))
+    return _mixed(own ^ np.uint64(_UNIT) * unit)
+
+
+def _streams(seed: int, draw: int, units: int) -> np.ndarray:
+    """The states of a draw's streams for units numbered from 1."""
+    return keyed_states(seed, draw, np.arange(1, units + 1, dtype=np.uint64))
 
 
 def sign_rows(seed: int, draw: int, n: int) -> np.ndarray:
@@ -167,9 +173,9 @@ def sign_rows(seed: int, draw: int, n: int) -> np.ndarray:
     return ((bits[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).ravel()[:n] * 2.0 - 1
 
 
-def sign_sums(seed: int, draw: int, counts: np.ndarray) -> np.ndarray:
-    """For each unit the sum of so many random signs of its own stream."""
-    state, left, out = _streams(seed, draw, len(counts)), counts.astype(np.int64).copy(), np.zeros(len(counts))
+def sums_of_signs(state: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each stream, from its state, the sum of so many random signs."""
+    state, left, out = state.copy(), counts.astype(np.int64).copy(), np.zeros(len(counts))
     live = np.flatnonzero(left > 0)
     while len(live):
         state[live] = _mixed(state[live])
@@ -181,6 +187,11 @@ def sign_sums(seed: int, draw: int, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def sign_sums(seed: int, draw: int, counts: np.ndarray) -> np.ndarray:
+    """For each unit the sum of so many random signs of its own stream."""
+    return sums_of_signs(_streams(seed, draw, len(counts)), counts)
+
+
 class Solver:
     """Solves [Dw B; B' Df] (zw, zf) = (tw, tf) with the last firm's effect at zero, for many right sides at once."""
 
@@ -510,13 +521,14 @@ class Components:
             df.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{path}_{name}")
 
 
-def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True, weights: str | None = None, errors: bool = False, smooth: str = "bins", error_draws: int = 1000, eigen: bool = False, progress=None) -> Components:
+def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] = (), z: list[str] = (), level: str = "match", leverages: str = "auto", draws: int = 200, seed: int = 20260705, prune: bool = True, weights: str | None = None, errors: bool = False, smooth: str = "bins", error_draws: int = 1000, eigen: bool = False, progress=None, spread: bool | None = None) -> Components:
     """Variance components of y = worker + firm + controls, leaving out matches or observations (level: match or obs).
 
     leverages: exact, jla (random signs) or auto. z: columns onto which firm effects are projected. Workers with one row and
     rows that aren't leave-out connected go with prune; without, a row with leverage 1 raises. weights: frequency weights, at
     match level and without z or errors. errors: also component_errors(), with variances smoothed by bins or lowess. eigen: also eigen_shares() of each component.
-    progress: called with a line of text at each step.
+    progress: called with a line of text at each step. spread: solve in the cluster (None: beyond MOST_MATCHES); there random signs are keyed by
+    seed, draw, worker and firm, so they differ from the driver's.
     """
     say = progress or (lambda text: None)
     if weights and (level != "match" or z or errors):
@@ -544,13 +556,18 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
         r = fit(rows, "y", [f"x{i}" for i in range(len(controls))], ["worker", "firm"], drop_singletons_=False, weights=own, fweights=bool(weights))
         beta = dict(zip(controls, r.coef[: len(controls)].tolist(), strict=True))
         rows = rows.withColumn("y", F.col("y") - sum((F.col(f"x{i}") * b for i, b in enumerate(beta.values())), F.lit(0.0)))
-    m = _arrow(matches(rows, "y", "worker", "firm", own)).sort_values(["worker", "firm"], ignore_index=True)
+    by_match = level == "match"
+    table = keep_cut(matches(rows, "y", "worker", "firm", own))
+    if spread or spread is None and table.count() > MOST_MATCHES:
+        if errors or eigen:
+            raise ValueError("standard errors and eigenvalue shares are for matches that the driver takes")
+        return _spread_components(rows, table, z, by_match, leverages, draws, seed, n, mean_y, float(var_y or 0.0), beta, say)
+    m = _arrow(table).sort_values(["worker", "firm"], ignore_index=True)
     w, workers = m["worker"].factorize(sort=True)
     f, firms = m["firm"].factorize(sort=True)
     t, s, ss = (m[c].to_numpy(float) for c in ("t", "s", "ss"))
     k = Solver(w, f, t, len(workers), len(firms))
     alpha, psi = k.solve(np.bincount(w, s, k.n), np.bincount(f, s, k.j))
-    by_match = level == "match"
     use = leverages if leverages != "auto" else "exact" if (len(m) if by_match else n) <= EXACT_ROWS and k.inverse is not None else "jla"
     if use == "exact":
         (p, fe, pe, cov), corr = k.exact(), np.ones(len(m))
@@ -611,6 +628,61 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
     return Components(three(plain), three(kss), three(agsu), float(var_y or 0.0), one, n, k.n, k.j, len(m), use, effects, rows.join(a, "worker").join(b, "firm"), beta, told, found, {c: eigen_shares(k, c, seed=seed) for c in names} if eigen else {})
 
 
+def _spread_components(rows: DataFrame, table: DataFrame, z: list[str], by_match: bool, leverages: str, draws: int, seed: int, n: int, mean: float, var_y: float, beta: dict, say) -> Components:
+    """akm_kss() with all that grows in the cluster: effects, leverages and weights are columns of the match table, and components are its sums."""
+    from .spread_akm import SpreadSystem
+
+    extra: list[str] = []
+    zs = [F.lit(1.0), *[F.col(f"z{i}") for i in range(len(z))]]
+    if z:
+        gram = np.array(rows.agg(F.array(*[F.sum(u * v) for u in zs for v in zs])).first()[0]).reshape(len(zs), -1)
+        inverse = np.linalg.inv(gram)
+        extra = [f"e{i}" for i in range(1, len(zs))]
+        sums = [F.sum(sum((float(inverse[i, j]) * v for j, v in enumerate(zs)), F.lit(0.0))).alias(e) for i, e in enumerate(extra, 1)]
+        table = table.join(rows.groupBy("worker", "firm").agg(*sums), ["worker", "firm"])
+    system = SpreadSystem(table, extra)
+    use = leverages if leverages != "auto" else "exact" if (system.n_matches if by_match else n) <= EXACT_ROWS else "jla"
+    found = system.exact(n) if use == "exact" else system.sketched(draws, seed, by_match, n)
+    say("the leverages are made")
+    of_worker = system.matches.groupBy("w").agg(F.sum("t").cast("double").alias("dw"), F.count(F.lit(1)).alias("nw"))
+    m = keep_cut(system.matches.join(system.effects(), ["w", "f"]).join(found, ["w", "f"]).join(of_worker, "w"))
+    t, s, ss, fitted = F.col("t").cast("double"), F.col("s"), F.col("ss"), F.col("alpha") + F.col("psi")
+    root_mean, psi_mean, alpha_mean = m.agg(F.avg(F.col("s") / F.sqrt(t)), F.sum(t * F.col("psi")) / n, F.sum(t * F.col("alpha")) / n).first()
+    product = ss - s * (F.lit(mean) + fitted) + t * mean * fitted
+    squares = ss - 2 * s * fitted + t * fitted**2
+    if by_match:
+        left, stays, root = 1 - t * F.col("p"), F.col("nw") < 2, F.sqrt(t)
+        y = s / root
+        sigma = F.when(stays, product / (1 - 1 / F.col("dw"))).otherwise(t * (y - root_mean) * F.col("corr") * (y - root * fitted) / left)
+        bad, white = ~stays & (left <= 1e-12), t * (y - root * fitted) ** 2
+    else:
+        left = 1 - F.col("p")
+        sigma, bad, white = product * F.col("corr") / left, left <= 1e-12, squares
+    m = m.withColumn("bad", bad).withColumn("sigma", F.when(~F.col("bad"), sigma)).withColumn("white", white)
+    psi, alpha = F.col("psi") - psi_mean, F.col("alpha") - alpha_mean
+    weights = ("fe", "pe", "cov")
+    told = m.agg(F.sum(t * psi**2), F.sum(t * alpha**2), F.sum(t * alpha * psi), *[F.sum(F.col(c) * F.col("sigma")) for c in weights], *[F.sum(F.col(c) * t) for c in weights], F.sum(squares), F.sum(F.when(F.col("bad") | F.col("sigma").isNull() | F.isnan("sigma"), 1).otherwise(0))).first()
+    if told[10]:
+        raise ValueError(f"{told[10]} matches have leverage 1: the sample isn't leave-out connected")
+    plain, corrected, one_each = (np.array(told[i : i + 3], float) / (n - 1) for i in (0, 3, 6))
+    free = n - (system.n_workers + system.n_firms - 1)
+    one = told[9] / free if free > 0 else 0.0
+    effects_a = m.groupBy("worker").agg((F.first("alpha") + psi_mean).alias("alpha"))
+    effects_b = m.groupBy("firm").agg((F.first("psi") - psi_mean).alias("psi"))
+    shown = effects_a.select(F.lit("worker").alias("kind"), F.col("worker").cast("string").alias("id"), F.col("alpha").alias("effect")).unionByName(effects_b.select(F.lit("firm").alias("kind"), F.col("firm").cast("string").alias("id"), F.col("psi").alias("effect")))
+    lincom = []
+    if z:
+        coef = m.agg(*[F.sum(F.col(e) * psi) for e in extra]).first()
+        u = m.join(system.of_extra(len(extra)), ["w", "f"])
+        spreads = u.agg(*[F.sum(F.col(c) * F.col(f"u{i}") ** 2) for i in range(len(extra)) for c in ("sigma", "white")]).first()
+        for i, c in enumerate(z):
+            se = math.sqrt(max(spreads[2 * i], 0.0))
+            lincom.append({"term": c, "coef": float(coef[i]), "se": se, "se_white": math.sqrt(spreads[2 * i + 1]), "t": float(coef[i]) / se if se else float("nan")})
+    say("the components are estimated")
+    three = lambda v: dict(zip(("var_psi", "var_alpha", "cov_alpha_psi"), map(float, v), strict=True))
+    return Components(three(plain), three(plain - corrected), three(plain - one * one_each), var_y, one, n, system.n_workers, system.n_firms, system.n_matches, use, shown, rows.join(effects_a, "worker").join(effects_b, "firm"), beta, lincom)
+
+
 def bipartite(df: DataFrame, y: str, worker: str, firm: str, order: list[str]) -> DataFrame:
     """Columns i, j, y and t, the number of the row in its worker by the columns of order, from 0."""
     t = F.row_number().over(Window.partitionBy(worker).orderBy(*order)) - 1
