@@ -364,8 +364,8 @@ r3 AS MATERIALIZED (SELECT *, t * CASE WHEN firms < 2 THEN own / (1 - 1.0 / tw)
     return base + more + plain + " " + rows
 
 
-def _akm_rows(spark, d, level):
-    r = akm_kss(_shipped(spark, d), Y, "l_orderkey", "depot", level=level, leverages="exact")
+def _akm_rows(spark, d, level, **options):
+    r = akm_kss(_shipped(spark, d), Y, "l_orderkey", "depot", level=level, leverages="exact", **options)
     five = lambda x: float(f"{x / r.var_y:.5g}")
     return spark.createDataFrame([(k, five(r.plugin[k]), five(r.kss[k])) for k in r.plugin], "component string, plugin double, kss double")
 
@@ -382,7 +382,7 @@ def akm_by_observation(spark, d):
 
 @query(_akm_sql("match"))
 def akm_by_match(spark, d):
-    return _akm_rows(spark, d, "match")
+    return _akm_rows(spark, d, "match", spread=True)
 
 
 def _projection_sql() -> str:
@@ -399,7 +399,7 @@ SELECT 'depot' AS term, {o.sig('any_value(slope)', 5)} AS coef, {o.sig('sqrt(sum
 @query(_projection_sql())
 def akm_projection(spark, d):
     df = _shipped(spark, d)
-    r = akm_kss(df.withColumn("number", F.col("depot").cast("double")), Y, "l_orderkey", "depot", z=["number"], leverages="exact")
+    r = akm_kss(df.withColumn("number", F.col("depot").cast("double")), Y, "l_orderkey", "depot", z=["number"], leverages="exact", spread=True)
     told = r.lincom[0]
     return spark.createDataFrame([("depot", float(f"{told['coef']:.5g}"), float(f"{told['se']:.5g}"))], "term string, coef double, se double")
 

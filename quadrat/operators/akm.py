@@ -630,7 +630,7 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
 
 def _spread_components(rows: DataFrame, table: DataFrame, z: list[str], by_match: bool, leverages: str, draws: int, seed: int, n: int, mean: float, var_y: float, beta: dict, say) -> Components:
     """akm_kss() with all that grows in the cluster: effects, leverages and weights are columns of the match table, and components are its sums."""
-    from .spread_akm import SpreadSystem
+    from .spread_akm import DENSE_FIRMS, SpreadSystem
 
     extra: list[str] = []
     zs = [F.lit(1.0), *[F.col(f"z{i}") for i in range(len(z))]]
@@ -642,6 +642,8 @@ def _spread_components(rows: DataFrame, table: DataFrame, z: list[str], by_match
         table = table.join(rows.groupBy("worker", "firm").agg(*sums), ["worker", "firm"])
     system = SpreadSystem(table, extra)
     use = leverages if leverages != "auto" else "exact" if (system.n_matches if by_match else n) <= EXACT_ROWS else "jla"
+    if use == "exact" and system.n_firms > DENSE_FIRMS and system.n_matches > EXACT_ROWS:
+        raise ValueError(f"exact leverages need {DENSE_FIRMS} firms or {EXACT_ROWS} matches at most")
     found = system.exact(n) if use == "exact" else system.sketched(draws, seed, by_match, n)
     say("the leverages are made")
     of_worker = system.matches.groupBy("w").agg(F.sum("t").cast("double").alias("dw"), F.count(F.lit(1)).alias("nw"))

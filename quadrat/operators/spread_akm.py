@@ -20,8 +20,8 @@ from .sample import keep_cut
 
 #: Matches in a block, nodes in a bucket, matches from which a worker is a node, and matches that are held with all right sides at a time.
 BLOCK_MATCHES, BUCKET_NODES, HOT_MATCHES, CHUNK = 200_000, 50_000, 100_000, 8_192
-#: Rows up to which a counted table is broadcast.
-MOST_BROADCAST = 1_000_000
+#: Rows up to which a counted table is broadcast, and firms up to which the firms' system is inverted whole.
+MOST_BROADCAST, DENSE_FIRMS = 1_000_000, 1_000
 
 BLOCK = "block int, wi array<int>, fi array<int>, hi array<int>, t array<double>, s array<double>, ss array<double>, extra array<double>, w array<bigint>, f array<bigint>, nodes array<bigint>, nb array<int>"
 BUCKET = "nb int, nodes array<bigint>, d array<double>, to array<int>, number array<int>, place array<int>"
@@ -115,6 +115,14 @@ class Block:
         first = np.flatnonzero(np.diff(wi, prepend=-1))
         return np.add.reduceat(x, first), self.dw[wi[first]], wi - wi[0]
 
+    def spread_of(self, low: int, high: int, firms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of an inner chunk by worker and firm, the workers' totals, and each match's number of its worker in it."""
+        wi = self.wi[low:high]
+        first = np.flatnonzero(np.diff(wi, prepend=-1))
+        out = np.zeros((len(first), len(firms)))
+        out[wi - wi[0], np.searchsorted(firms, self.nodes[self.fi[low:high]])] = self.t[low:high]
+        return out, self.dw[wi[first]], wi - wi[0]
+
     def add(self, out: np.ndarray, place: np.ndarray, x: np.ndarray) -> None:
         """Add rows of x to the rows of out at place."""
         order = np.argsort(place, kind="stable")
@@ -313,8 +321,69 @@ class SpreadSystem:
         own = lambda b, low, high: (np.zeros((high - low, number)), b.extra.reshape(number, -1)[:, low:high].T)
         return self.each(own, number, "w long, f long" + "".join(f", u{i} double" for i in range(number)), made)
 
-    def exact(self, n: float, width: int = 256) -> DataFrame:
-        """(w, f, p, fe, pe, cov, corr): each match's leverage of a row and its weights in the three components; a right side for each match."""
+    def _inverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The firms in order, the inverse of their system with the last at zero, the workers' part of it, and its diagonal."""
+        firms = np.sort(np.concatenate([x.nodes for x in self.buckets.select("nodes").collect()]))
+        of = np.zeros(len(firms))
+        for x in self.buckets.select("nodes", "d").collect():
+            of[np.searchsorted(firms, x.nodes)] = x.d
+
+        def summed(batches):
+            import pyarrow as pa
+
+            inner = np.zeros((len(firms), len(firms)))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = Block(_arrays(batch, i))
+                    for low, high in b.chunks():
+                        q, dw, _ = b.spread_of(low, high, firms)
+                        inner += q.T @ (q / dw[:, None])
+            i, j = np.nonzero(inner)
+            yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(inner[i, j])], ["i", "j", "v"])
+
+        inner = np.zeros((len(firms), len(firms)))
+        # at most the square of DENSE_FIRMS rows
+        for x in self.blocks.mapInArrow(summed, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            inner[x.i, x.j] = x.v
+        out = np.zeros_like(inner)
+        if len(firms) > 1:
+            out[:-1, :-1] = np.linalg.inv((np.diag(of) - inner)[:-1, :-1])
+        return firms, out, inner, of
+
+    def exact(self, n: float) -> DataFrame:
+        """(w, f, p, fe, pe, cov, corr): each match's leverage of a row and its weights in the three components.
+
+        Up to DENSE_FIRMS firms by the inverse of their system, which goes to all tasks, with any number of matches; else
+        by a right side for each match.
+        """
+        if self.n_firms > DENSE_FIRMS:
+            return self.exact_by_match(n)
+        firms, inverse, inner, of = self._inverse()
+
+        def told(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = Block(_arrays(batch, i))
+                    for low, high in b.chunks():
+                        q, dw, k = b.spread_of(low, high, firms)
+                        q, firm = q / dw[:, None], np.searchsorted(firms, b.nodes[b.fi[low:high]])
+                        out = np.zeros((4, high - low))
+                        for a in range(0, high - low, 1024):
+                            m = slice(a, min(a + 1024, high - low))
+                            own, d = q[k[m]], 1 / dw[k[m]]
+                            r = -own
+                            r[np.arange(len(r)), firm[m]] += 1
+                            z = r @ inverse
+                            qz, inside, sums = (own * z).sum(1), ((z @ inner) * z).sum(1), z @ of
+                            out[:, m] = d + (r * z).sum(1), (z * z) @ of - sums**2 / n, d - 2 * qz + inside - (1 - sums) ** 2 / n, qz - inside - (1 - sums) * sums / n
+                        yield pa.record_batch([pa.array(b.w[low:high]), pa.array(b.f[low:high]), *map(pa.array, out), pa.array(np.ones(high - low))], ["w", "f", "p", "fe", "pe", "cov", "corr"])
+
+        return self.blocks.mapInArrow(told, "w long, f long, p double, fe double, pe double, cov double, corr double")
+
+    def exact_by_match(self, n: float, width: int = 256) -> DataFrame:
+        """As exact(), by a right side for each match."""
         sizes = {r.block: r.n for r in self.blocks.select("block", F.size("t").alias("n")).collect()}
         begins = dict(zip(sizes, np.concatenate([[0], np.cumsum(list(sizes.values()))]).tolist(), strict=False))
         parts = []
