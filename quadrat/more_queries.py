@@ -320,7 +320,7 @@ def _leave_out_sql(rounds: int = 5) -> str:
 
 @query(_leave_out_sql())
 def split_leave_out(spark, d):
-    return leave_out_set(_jobs(spark, d), "worker", "firm").select("c_custkey")
+    return leave_out_set(_jobs(spark, d), "worker", "firm", spread=True).select("c_custkey")
 
 
 @query(f"SELECT worker AS i, firm AS j, pay AS y, row_number() OVER (PARTITION BY worker ORDER BY c_custkey) - 1 AS t FROM {_JOBS}")

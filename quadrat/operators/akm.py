@@ -1,9 +1,8 @@
 """Worker and firm effects, and their variance components corrected for limited mobility.
 
 Person-years stay in the cluster: they are aggregated to matches (worker, firm) with a count and the sums of y and its
-square, which is all that the components need at either level. The leave-out set takes components in the cluster first;
-only the movers' matches of the largest go to the driver, where workers whose leaving would split it are searched. The
-match table goes to the driver for the solves up to MOST_MATCHES, counted first; beyond, the solves, leverages, components and
+square, which is all that the components need at either level. The leave-out set takes components in the cluster first, then searches the largest for workers whose leaving would split it. The
+match table goes to the driver for the search and the solves up to MOST_MATCHES, counted first; beyond, the search (connectivity.py), the solves, leverages, components and
 projections stay in the cluster (spread_akm.py), with standard errors and eigenvalue shares left to the driver.
 """
 
@@ -93,8 +92,31 @@ def _labels(w: np.ndarray, f: np.ndarray, n_firms: int, n_workers: int) -> np.nd
         label = new
 
 
-def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = None) -> DataFrame:
-    """The rows whose effects stay estimable when any one worker leaves.
+def _largest(firms: DataFrame, movers: DataFrame, of_firm: DataFrame) -> DataFrame:
+    """(firm): those of the largest component of the movers' graph; a firm without movers is one by itself."""
+    groups = mobility_groups(movers, "firm", "worker")
+    every = firms.join(groups, "firm", "left").join(of_firm, "firm", "left").select("firm", F.coalesce("group", "firm").alias("group"), F.coalesce("t", F.lit(0)).alias("t"))
+    every = keep_cut(every)
+    top = every.groupBy("group").agg(F.count(F.lit(1)).alias("firms"), F.sum("t").alias("t"), F.min("firm").alias("least")).orderBy(F.desc("firms"), F.desc("t"), "least").first()
+    return every.where(F.col("group") == top["group"]).select("firm")
+
+
+def _spread_leave_out(inside: DataFrame) -> DataFrame:
+    """The leave-out set of one component's matches, in the cluster: workers that split it go and the largest component stays, again and again."""
+    from .connectivity import splitting_workers
+
+    while True:
+        movers = keep_cut(inside.join(inside.groupBy("worker").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("worker"), "worker"))
+        bad = splitting_workers(movers.select("worker", "firm"))
+        if not bad.head(1):
+            return inside
+        firms = inside.select("firm").distinct()
+        left, movers = inside.join(bad, "worker", "left_anti"), movers.join(bad, "worker", "left_anti")
+        inside = keep_cut(left.join(_largest(firms, movers, left.groupBy("firm").agg(F.sum("t").alias("t"))), "firm", "left_semi"))
+
+
+def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = None, spread: bool | None = None) -> DataFrame:
+    """The rows whose effects stay estimable when any one worker leaves. spread: search in the cluster (None: beyond MOST_MATCHES matches of movers).
 
     The largest component (most firms, then rows, then the smallest firm) is taken; workers that would split the graph of
     movers and firms go, and the largest component of the rest is taken again, until none is left; then workers with one row go.
@@ -111,7 +133,12 @@ def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = No
         return df
     inside = keep_cut(matches.join(groups.where(F.col("group") == top["group"]).select("firm"), "firm"))
     degrees = inside.groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
-    movers = _arrow(inside.join(degrees.where("n > 1").select("worker"), "worker").select("worker", "firm", "t"))
+    movers = keep_cut(inside.join(degrees.where("n > 1").select("worker"), "worker").select("worker", "firm", "t"))
+    if spread or spread is None and movers.count() > MOST_MATCHES:
+        kept = _spread_leave_out(inside)
+        kept = kept.groupBy("worker").agg(F.sum("t").alias("t")).where("t > 1").join(kept.drop("t"), "worker").select(F.col("worker").alias(worker), F.col("firm").alias(firm))
+        return df.join(keep_cut(kept), [worker, firm], "left_semi")
+    movers = _arrow(movers)
     at_firm = _arrow(inside.groupBy("firm").agg(F.sum("t").alias("t")))
     firms = pd.Index(at_firm["firm"].sort_values())
     rows = at_firm.set_index("firm")["t"].reindex(firms).to_numpy(float)
