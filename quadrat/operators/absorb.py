@@ -1,7 +1,7 @@
 """Within projection: columns less what fixed effects explain.
 
 A term is a key, or an Effect: a key whose levels have an intercept, slopes on columns, or both. One effect of intercepts
-is a window. Otherwise terms are solved on their levels: with D their columns, A = D'WD and B = D'WV, the level
+is its levels' means. Otherwise terms are solved on their levels: with D their columns, A = D'WD and B = D'WV, the level
 coefficients solve A t = B. B and A's diagonal blocks are one aggregation for each term; A's other blocks are edge tables,
 one aggregation for each pair of terms. While levels and edges are few enough for the driver (MOST_CELLS, counted first)
 conjugate gradients solve there; beyond, the same iterations run on those tables in the cluster: rows are read to make the
@@ -12,13 +12,15 @@ certificate measures what is left: the norm of D'W of the residual, by one aggre
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.formula import Effect
-from .sample import keep_cut
+from .sample import counted, keep_cut
 
 MOST_CELLS = 20_000_000
+#: Edges of one level that a task takes in the cluster's iterations.
+HOT_EDGES = 1_000_000
 
 
 def as_effect(term: str | Effect) -> Effect:
@@ -39,10 +41,11 @@ def _col(z: str | None):
 
 
 def within(df: DataFrame, columns: list[str], key: str, weight: str | None = None, suffix: str = "_tilde") -> DataFrame:
-    """Columns less their (weighted) mean in each level of key."""
-    by = Window.partitionBy(key)
-    mean = lambda c: F.avg(c).over(by) if weight is None else F.sum(F.col(c) * F.col(weight)).over(by) / F.sum(weight).over(by)
-    return df.select("*", *[(F.col(c) - mean(c)).alias(f"{c}{suffix}") for c in columns])
+    """Columns less their (weighted) mean in each level of key. Means are summed up before they are dealt out and joined back, so no task gets a level's rows."""
+    mean = lambda c: F.avg(c) if weight is None else F.sum(F.col(c) * F.col(weight)) / F.sum(weight)
+    means = keep_cut(df.groupBy(F.col(key).alias("__level")).agg(*[mean(c).alias(f"__m{i}") for i, c in enumerate(columns)]))
+    both = df.join(counted(means, means.count()), F.col(key).eqNullSafe(F.col("__level")), "left")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(c) - F.col(f"__m{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)])
 
 
 def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False, bound: float = 1e-8) -> tuple[DataFrame, dict]:
@@ -57,7 +60,7 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
     if not terms:
         return df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns]), {"method": "none", "iterations": 0, "certificate": 0.0, "certified": True}
     if len(terms) == 1 and not terms[0].slopes and not effects:
-        return keep_cut(within(df, columns, terms[0].keys[0], weight, suffix)), {"method": "window", "iterations": 1, "certificate": 0.0, "certified": True}
+        return keep_cut(within(df, columns, terms[0].keys[0], weight, suffix)), {"method": "means", "iterations": 1, "certificate": 0.0, "certified": True}
     w = F.col(weight) if weight else F.lit(1.0)
     cells, edges = [], {}
     for e in terms:
@@ -186,7 +189,8 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
     """_solve() in the cluster. A level is a row with its block, its solution x, what is left r and its direction p.
 
     Levels of all terms are one table, by term and key; edges lie both ways, dealt out by the level they read, as the levels are, so a
-    round moves one row for each level and the sums of edges in each task.
+    round moves one row for each level and the sums of edges in each task. Edges of a level with more than HOT_EDGES are dealt out
+    by lots of so many, each of which gets a copy of the level's direction.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q, cols = max(len(carriers(e)) for e in terms), range(len(columns))
@@ -213,7 +217,15 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
     gram = lambda i, j: F.col(f"g{max(i, j)}_{min(i, j)}")
     z = lambda i, n, r="r": sum((F.col(f"m{i}_{j}") * F.col(f"{r}{j}_{n}") for j in range(q)), zero)
     state = keep_cut(levels.select(*fixed, *[F.col(f"r{i}_{n}") for i in range(q) for n in cols], *[zero.alias(f"x{i}_{n}") for i in range(q) for n in cols], *[z(i, n).alias(f"p{i}_{n}") for i in range(q) for n in cols]).repartition(parts, "k"))
-    both = keep_cut(both.repartition(parts, "v")) if both is not None else None
+    lots = None
+    if both is not None:
+        lots = keep_cut(both.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / HOT_EDGES).cast("int").alias("lots")).where("lots > 1"))
+        if number := lots.count():
+            lots = counted(lots, number)
+            both = both.join(lots, "v", "left").withColumn("lot", F.expr("cast(pmod(xxhash64(u), coalesce(lots, 1)) AS int)")).drop("lots")
+        else:
+            lots, both = None, both.withColumn("lot", F.lit(0))
+        both = keep_cut(both.repartition(parts, "v", "lot"))
     dot = lambda a, b: [F.sum(sum((a(i, n) * b(i, n) for i in range(q)), zero)) for n in cols]
     r = lambda i, n: F.col(f"r{i}_{n}")
     told = state.agg(*dot(r, r), *dot(r, z)).first()
@@ -223,10 +235,11 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
         if (left <= goal).all() or (rz <= 0).all():
             break
         p = state.select(F.col("k").alias("v"), *[F.col(f"p{i}_{n}") for i in range(q) for n in cols])
+        p = p.withColumn("lot", F.lit(0)) if lots is None else p.join(lots, "v", "left").withColumn("lot", F.explode(F.expr("sequence(0, coalesce(lots, 1) - 1)"))).drop("lots")
         own = [sum((gram(i, j) * F.col(f"p{j}_{n}") for j in range(q)), zero) for i in range(q) for n in cols]
         names = [f"q{i}_{n}" for i in range(q) for n in cols]
         if both is not None:
-            met = both.join(p, "v").groupBy("u").agg(*[F.sum(sum((F.col(f"w{i}_{j}") * F.col(f"p{j}_{n}") for j in range(q)), zero)).alias(f"q{i}_{n}") for i in range(q) for n in cols])
+            met = both.join(p, ["v", "lot"]).groupBy("u").agg(*[F.sum(sum((F.col(f"w{i}_{j}") * F.col(f"p{j}_{n}") for j in range(q)), zero)).alias(f"q{i}_{n}") for i in range(q) for n in cols])
             state = state.join(met.withColumnRenamed("u", "k"), "k", "left")
             state = state.select(*[c for c in state.columns if c not in names], *[(v + F.coalesce(F.col(c), zero)).alias(c) for v, c in zip(own, names, strict=True)])
         else:
@@ -300,10 +313,13 @@ def normalise(df: DataFrame, parts: list[str], keys: list[str], weight: str | No
 
     w = F.col(weight) if weight else F.lit(1.0)
     if len(parts) > 1:
-        df = df.join(mobility_groups(df, keys[0], keys[1]).withColumnRenamed("group", "__group"), keys[0])
-        by = Window.partitionBy("__group")
-        shift = F.sum(w * F.col(parts[1])).over(by) / F.sum(w).over(by)
-        df = df.withColumn("__shift", shift).withColumns({parts[0]: F.col(parts[0]) + F.col("__shift"), parts[1]: F.col(parts[1]) - F.col("__shift")}).drop("__shift", "__group")
+        # sums by level, then by group, which may well be all of them; a level's shift is joined with the rows
+        levels = mobility_groups(df, keys[0], keys[1]).join(df.groupBy(keys[0]).agg(F.sum(w * F.col(parts[1])).alias("__s"), F.sum(w).alias("__w")), keys[0])
+        levels = keep_cut(levels)
+        shifts = keep_cut(levels.groupBy("group").agg((F.sum("__s") / F.sum("__w")).alias("__shift")))
+        of_level = keep_cut(levels.select(keys[0], "group").join(counted(shifts, shifts.count()), "group").select(keys[0], "__shift"))
+        df = df.join(counted(of_level, of_level.count()), keys[0])
+        df = df.withColumns({parts[0]: F.col(parts[0]) + F.col("__shift"), parts[1]: F.col(parts[1]) - F.col("__shift")}).drop("__shift")
     centred = [parts[0], *parts[2:]]
     means = df.agg(*[F.sum(w * F.col(p)) / F.sum(w) for p in centred]).first()
     return df.withColumns({p: F.col(p) - float(m) for p, m in zip(centred, means, strict=True)})

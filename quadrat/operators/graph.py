@@ -36,26 +36,58 @@ def joined_nodes(u: np.ndarray, v: np.ndarray, keys=None) -> tuple[np.ndarray, n
     return nodes, nodes[order[root[back]]]
 
 
+def components(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
+    """(node, root): the least node reachable over edges (u, v) of 64-bit numbers, for each node that has an edge to another.
+
+    Up to MOST_EDGES distinct edges one task joins them. Beyond, stars: in turn, each node links its larger neighbours, and then its
+    smaller ones and itself, to the least of them. Distances halve, so rounds are logarithmic also on long paths, and links
+    that fall together are dropped as they come up.
+    """
+    links = keep_cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if links.count() <= (MOST_EDGES if most_edges is None else most_edges):
+        return keep_cut(links.repartition(1).mapInArrow(_roots, "node long, root long"))
+    told = None
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = keep_cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == told:
+            break
+        told = now
+    return keep_cut(links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+
+
+def _roots(batches):
+    import pyarrow as pa
+
+    batches = list(batches)
+    if batches:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in "uv")
+        nodes, roots = joined_nodes(u, v)
+        for low in range(0, len(nodes), 100_000):
+            yield pa.record_batch([pa.array(nodes[low : low + 100_000]), pa.array(roots[low : low + 100_000])], ["node", "root"])
+
+
 def mobility_groups(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, group): the connected component of each level of a in the bipartite graph with b, named by its least level of a.
 
-    Up to MOST_EDGES distinct edges, counted first, one task joins them. Beyond, labels go over the edges in the cluster and jump
-    to the label of their label, so rounds are few on long paths.
+    Up to MOST_EDGES distinct edges, counted first, one task joins them; beyond, components() of 64-bit hashes of the levels (two
+    levels that share one raise).
     """
     edges = keep_cut(df.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     if edges.count() <= MOST_EDGES:
         kind = edges.schema["a"].dataType.simpleString()
         return keep_cut(edges.coalesce(1).mapInArrow(_groups, f"a {kind}, group {kind}")).withColumnRenamed("a", a)
-    labels = keep_cut(edges.select("a").distinct().withColumn("group", F.col("a")))
-    while True:
-        by_b = edges.join(labels, "a").groupBy("b").agg(F.min("group").alias("m"))
-        new = edges.join(by_b, "b").groupBy("a").agg(F.min("m").alias("m"))
-        jump = labels.select(F.col("a").alias("m"), F.col("group").alias("far"))
-        new = keep_cut(new.join(jump, "m", "left").select("a", F.least("m", "far").alias("group")))
-        moved = new.join(labels.withColumnRenamed("group", "old"), "a").where("group <> old").isEmpty()
-        labels = new
-        if moved:
-            return labels.select(F.col("a").alias(a), "group")
+    levels = keep_cut(edges.select("a").distinct().withColumn("node", F.xxhash64(F.lit(1), "a")))
+    if levels.groupBy("node").count().where("count > 1").head(1):
+        raise RuntimeError(f"two levels of {a} share a hash")
+    found = components(edges.select(F.xxhash64(F.lit(1), "a").alias("u"), F.xxhash64(F.lit(2), "b").alias("v")))
+    named = keep_cut(levels.join(found, "node").select("a", "root"))
+    return keep_cut(named.join(named.groupBy("root").agg(F.min("a").alias("group")), "root").select(F.col("a").alias(a), "group"))
 
 
 def _groups(batches):

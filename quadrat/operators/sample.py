@@ -49,33 +49,94 @@ def check(df: DataFrame, numbers: list[str], ids: list[str], na_action: str = "r
     return df.where(~bad) if n_bad else df
 
 
-def drop_singletons(df: DataFrame, keys: list[str], weight: str | None = None, most_rounds: int = 200) -> DataFrame:
+#: Distinct cells up to which one task drops all singletons.
+MOST_CELLS = 2_000_000
+
+
+def drop_singletons(df: DataFrame, keys: list[str], weight: str | None = None, most_cells: int | None = None) -> DataFrame:
     """Drop rows alone in a level of any key, again and again until none is; weight: frequency weights, counted as rows.
 
-    Rounds go over the distinct cells of the keys with their counts; the rows are read for those, and once at the end.
+    Works on the distinct cells of the keys with their counts; the rows are read for those, and once at the end. Up to MOST_CELLS
+    cells one task drops them one after the other. Beyond, a round takes all cells alone in a level and whatever
+    goes with them: if two cells are alone together in a level, and one goes, so does the other, so
+    whole chains go at once and rounds are logarithmic in the cells.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    first = cells = keep_cut(df.groupBy(*keys).agg(size.alias("__n")))
-    gone = 0
-    for _ in range(most_rounds):
-        before = gone
-        for k in keys:
-            alone = keep_cut(cells.groupBy(F.col(k).alias("__alone")).agg(F.sum("__n").alias("__n")).where("__n <= 1").select("__alone"))
-            if (n := alone.count()) > 0:
-                gone += n
-                cells = keep_cut(cells.join(counted(alone, n), F.col(k).eqNullSafe(F.col("__alone")), "left_anti"))
-        if gone == before or len(keys) == 1:
-            break
+    names = [f"__k{i}" for i in range(len(keys))]
+    cells = keep_cut(df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(size.cast("double").alias("__n")))
+    if len(keys) == 1:
+        lost = cells.where("__n <= 1").select(*names)
+    elif cells.count() <= (MOST_CELLS if most_cells is None else most_cells):
+        schema = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in names)
+        lost = cells.repartition(1).mapInArrow(_alone, schema)
     else:
-        raise RuntimeError("singletons did not settle")
-    if not gone:
+        lost = _spread_alone(cells, names)
+    lost = keep_cut(lost)
+    number = lost.count()
+    if not number:
         return keep_cut(df)
     # A cell that goes has one row or several, of which each is alone at some time.
-    lost = keep_cut(first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).exceptAll(cells.select(*keys)))
     same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return keep_cut(df.join(counted(lost, lost.count()), same, "left_anti"))
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return keep_cut(df.join(counted(lost, number), same, "left_anti"))
+
+
+def _alone(batches):
+    """The cells that go, of all cells: levels with one row left wait in a queue, and what goes makes others wait."""
+    import numpy as np
+    import pyarrow as pa
+
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    n, sides = table.column("__n").to_numpy().tolist(), []
+    for name in table.column_names[:-1]:
+        d = table.column(name).combine_chunks().dictionary_encode()
+        code = d.indices.fill_null(len(d.dictionary)).to_numpy().astype(np.int64)
+        order, levels = np.argsort(code, kind="stable"), len(d.dictionary) + 1
+        left = np.bincount(code, n, levels)
+        sides.append((code.tolist(), order.tolist(), np.concatenate([[0], np.cumsum(np.bincount(code, minlength=levels))]).tolist(), left.tolist()))
+    here = [True] * len(n)
+    waiting = [(k, level) for k, (_, _, first, left) in enumerate(sides) for level in range(len(left)) if left[level] <= 1 and first[level] < first[level + 1]]
+    while waiting:
+        k, level = waiting.pop()
+        _, order, first, _ = sides[k]
+        for cell in order[first[level] : first[level + 1]]:
+            if here[cell]:
+                here[cell] = False
+                for other, (code, _, _, left) in enumerate(sides):
+                    at = code[cell]
+                    before = left[at]
+                    left[at] -= n[cell]
+                    if left[at] <= 1 < before:
+                        waiting.append((other, at))
+    yield from table.drop_columns(["__n"]).take(np.flatnonzero(~np.array(here))).to_batches(max_chunksize=200_000)
+
+
+def _spread_alone(cells: DataFrame, names: list[str]) -> DataFrame:
+    """The cells that go, in the cluster."""
+    from .graph import components
+
+    every = cells = keep_cut(cells.withColumn("__c", F.monotonically_increasing_id()))
+    while True:
+        starts, links = None, None
+        for name in names:
+            levels = cells.groupBy(name).agg(F.sum("__n").alias("t"), F.max("__n").alias("most"), F.count(F.lit(1)).alias("c"), F.min("__c").alias("u"), F.max("__c").alias("v"))
+            levels = keep_cut(levels.where("t <= 1 OR c = 2 AND most <= 1"))
+            alone = levels.where("t <= 1").select(F.col(name).alias("__level"))
+            own = cells.join(alone, F.col(name).eqNullSafe(F.col("__level")), "left_semi").select("__c")
+            pairs = levels.where("c = 2").select("u", "v")
+            starts, links = (own, pairs) if starts is None else (starts.unionByName(own), links.unionByName(pairs))
+        starts = keep_cut(starts.distinct())
+        if not starts.head(1):
+            break
+        found = components(links)
+        with_start = found.join(starts.withColumnRenamed("__c", "node"), "node").select("root").distinct()
+        going = starts.unionByName(found.join(with_start, "root").select(F.col("node").alias("__c"))).distinct()
+        cells = keep_cut(cells.join(going, "__c", "left_anti"))
+    return every.join(cells.select("__c"), "__c", "left_anti").select(*names)
 
 
 #: Rows of a few ids up to which a table that has been counted is broadcast.
