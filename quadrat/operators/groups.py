@@ -2,8 +2,8 @@
 
 df has a row for each member of a group. The group's own columns are constant in it and are collapsed to one row; the
 pairs (group, individual) are the bridge. Individual effects enter a group's row through the bridge, so the
-projection is solved on levels by conjugate gradients, whose products go from levels to groups and back. Groups and
-bridge are counted first and go to the driver as codes; beyond MOST_PAIRS they raise.
+projection is solved on levels by conjugate gradients, whose products go from levels to groups and back. Up to MOST_PAIRS
+members, counted first, the driver does so; beyond, tasks do (spread_groups.py).
 """
 
 from __future__ import annotations
@@ -79,11 +79,12 @@ def _project(table, bridge, columns: list[str], fes: list[str], weight, aggregat
     return [table[c].to_numpy(float) - spread(x) for c, x in zip(columns, solved, strict=True)], np.stack(solved, 1), starts, rounds
 
 
-def fit_groups(df: DataFrame, y: str, x: list[str], group: str, fes: list[str] = (), individual: str | None = None, aggregation: str = "mean", weights: str | None = None, clusters: list[str] = (), se_type: str = "unadjusted", na_action: str = "raise", **options) -> Result:
+def fit_groups(df: DataFrame, y: str, x: list[str], group: str, fes: list[str] = (), individual: str | None = None, aggregation: str = "mean", spread: bool | None = None, weights: str | None = None, clusters: list[str] = (), se_type: str = "unadjusted", na_action: str = "raise", **options) -> Result:
     """Fit y on x over groups, one row each. individual: also absorb members' effects, as their mean or sum in the group.
 
     y, x, fes, weights and clusters must be constant in a group, or it raises. With individual, result.absorption["individual"]
-    is a DataFrame of individual effects (each up to what the other effects leave free), and instruments aren't taken.
+    is a DataFrame of individual effects (each up to what the other effects leave free), and instruments aren't taken. spread: project in the cluster
+    (None: beyond MOST_PAIRS members).
     """
     if aggregation not in ("mean", "sum"):
         raise ValueError(f"aggregation {aggregation!r}")
@@ -98,39 +99,65 @@ def fit_groups(df: DataFrame, y: str, x: list[str], group: str, fes: list[str] =
     rows = keep_cut(shared_singletons(rows, group, individual, fes))
     table = keep_cut(collapse(rows, group, own))
     bridge = keep_cut(rows.select(group, individual).distinct())
-    if (count := bridge.count()) > MOST_PAIRS:
-        raise ValueError(f"{count} members are more than the driver takes ({MOST_PAIRS})")
+    count, columns = bridge.count(), list(dict.fromkeys([y, *x]))
     if not count:
         raise ValueError("no groups are left")
-    import pandas as pd
-    import pyarrow as pa
-
-    own_rows = table.toArrow().to_pandas().sort_values(group, ignore_index=True)
-    pairs = bridge.toArrow().to_pandas()
-    levels, names = pairs[individual].factorize(sort=True)
-    codes = pd.Index(own_rows[group]).get_indexer(pairs[group])
-    columns = list(dict.fromkeys([y, *x]))
-    left, solved, starts, rounds = _project(own_rows, (codes, levels), columns, fes, weights, aggregation)
-    made = own_rows[list(dict.fromkeys([group, *clusters, *([weights] if weights else [])]))].copy()
-    for c, v in zip(columns, left, strict=True):
-        norm = np.linalg.norm(own_rows[c].to_numpy(float))
-        made[c] = np.where(v @ v <= 1e-9 * norm**2, 0.0, v)
-    spark = df.sparkSession
-    r = fit(spark.createDataFrame(pa.Table.from_pandas(made, preserve_index=False)), y, x, [], weights=weights, clusters=clusters, se_type=se_type, intercept=False, **options)
+    project = _spread_project if spread or spread is None and count > MOST_PAIRS else _driver_project
+    left, levels, rounds = project(table, bridge, columns, group, individual, fes, weights, aggregation)
+    own_w = F.col(weights).cast("double") if weights else F.lit(1.0)
+    sums = table.agg(F.count(F.lit(1)), F.sum(own_w), *[F.sum(own_w * F.col(c)) for c in columns], *[F.sum(F.col(c).cast("double") ** 2) for c in columns]).first()
+    means = {c: float(sums[2 + i] / sums[1]) for i, c in enumerate(columns)}
+    squares = left.agg(*[F.sum(F.col(c) ** 2) for c in columns]).first()
+    nought = {c for i, c in enumerate(columns) if squares[i] <= 1e-9 * sums[2 + len(columns) + i]}
+    left = left.select("group", *[(F.lit(0.0) if c in nought else F.col(c)).alias(c) for c in columns])
+    kept = [c for c in dict.fromkeys([*clusters, *([weights] if weights else [])]) if c != group]
+    made = keep_cut(left.withColumnRenamed("group", group).join(table.select(group, *kept), group))
+    r = fit(made, y, x, [], weights=weights, clusters=clusters, se_type=se_type, intercept=False, **options)
     dof = absorbed(rows.select(*dict.fromkeys([*fes, individual, *clusters])), [*fes, individual], clusters, True)
     k, n, df_a = r.df_model, r.n, dof["df_a"]
     free = n - k - df_a - (int(any(dof["nested"])) if clusters and df_a else 0)
     r.vcov *= (n - k) / free if free > 0 else np.nan
     r.df_resid = min(n - k - df_a, r.df_resid) if clusters else n - k - df_a
     r.df_absorbed, r.dof = df_a, dof
-    w = own_rows[weights].to_numpy(float) if weights else np.ones(n)
-    means = {c: float(np.average(own_rows[c].to_numpy(float), weights=w)) for c in columns}
-    scale = n / w.sum() if weights and not options.get("fweights") else 1.0
-    r.tss_within, r.tss = r.tss, float((w * (own_rows[y].to_numpy(float) - means[y]) ** 2).sum()) * scale
+    scale = n / float(sums[1]) if weights and not options.get("fweights") else 1.0
+    spread_y = table.agg(F.sum(own_w * (F.col(y) - means[y]) ** 2)).first()[0]
+    r.tss_within, r.tss = r.tss, float(spread_y) * scale
     r.terms = [*r.terms, "_cons"]
     slopes = r.coef
     r.coef = np.append(slopes, means[y] - sum(b * means[c] for c, b in zip(x, slopes.tolist(), strict=True)))
     r.vcov = np.pad(r.vcov, ((0, 1), (0, 1)), constant_values=math.nan)
-    effect = solved[:, 0] - solved[:, 1:] @ slopes if x else solved[:, 0]
-    r.absorption = {"method": "bridge", "iterations": rounds, "individual": spark.createDataFrame(pa.table({individual: pa.array(names), "effect": effect[: starts[1]]}))}
+    effect = F.col("x0") - sum((float(v) * F.col(f"x{columns.index(c)}") for c, v in zip(x, slopes.tolist(), strict=True)), F.lit(0.0))
+    r.absorption = {"method": "bridge", "iterations": rounds, "individual": levels.where("kind = 0").select(F.col("level").alias(individual), effect.alias("effect"))}
     return r
+
+
+def _driver_project(table, bridge, columns, group, individual, fes, weights, aggregation):
+    """(group, what is left of columns), (kind, level, x0, x1, ...: members' coefficients) and rounds, solved in the driver."""
+    import pandas as pd
+    import pyarrow as pa
+
+    own_rows = table.toArrow().to_pandas().sort_values(group, ignore_index=True)
+    pairs = bridge.toArrow().to_pandas()
+    levels, names = pairs[individual].factorize(sort=True)
+    codes = pd.Index(own_rows[group]).get_indexer(pairs[group])
+    left, solved, starts, rounds = _project(own_rows, (codes, levels), columns, fes, weights, aggregation)
+    spark = table.sparkSession
+    made = spark.createDataFrame(pa.table({"group": pa.array(own_rows[group])} | {c: v for c, v in zip(columns, left, strict=True)}))
+    found = spark.createDataFrame(pa.table({"kind": np.zeros(starts[1], np.int32), "level": pa.array(names)} | {f"x{i}": solved[: starts[1], i] for i in range(len(columns))}))
+    return made.withColumn("group", F.col("group").cast(table.schema[group].dataType)), found.withColumn("level", F.col("level").cast(bridge.schema[individual].dataType)), rounds
+
+
+def _spread_project(table, bridge, columns, group, individual, fes, weights, aggregation):
+    """As _driver_project(), in the cluster."""
+    from .spread_groups import SpreadGroups
+
+    text = lambda c: F.col(c).cast("string")
+    sized = bridge.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    share = 1 / F.col("__size") if aggregation == "mean" else F.lit(1.0)
+    entries = bridge.join(sized, group).select(F.col(group).alias("group"), F.lit(0).alias("kind"), text(individual).alias("level"), share.cast("double").alias("share"))
+    for d, k in enumerate(fes, 1):
+        entries = entries.unionByName(table.select(F.col(group).alias("group"), F.lit(d).alias("kind"), text(k).alias("level"), F.lit(1.0).alias("share")))
+    values = [*columns, *([weights] if weights and weights not in columns else [])]
+    system = SpreadGroups(entries, table.select(F.col(group).alias("group"), *[c for c in values if c != "group"]), columns, weights)
+    left, levels = system.project()
+    return left, keep_cut(levels.withColumn("level", F.col("level").cast(bridge.schema[individual].dataType))), system.rounds

@@ -185,7 +185,9 @@ def _answers(b: Block, out: np.ndarray):
 
 
 class SpreadSystem:
-    """[Dw B; B' Df] (zw, zf) = (tw, tf) over matches (worker, firm, t, s, ss and extra columns), for right sides in its range."""
+    """Gradients over blocks and buckets. Its own system is [Dw B; B' Df] (zw, zf) = (tw, tf) over matches (worker, firm, t, s, ss and extra columns), for right sides in its range."""
+
+    block_kind = Block
 
     def __init__(self, matches: DataFrame, extra: list[str] = (), block_matches: int | None = None, bucket_nodes: int | None = None, hot_matches: int | None = None):
         block_matches, bucket_nodes, hot_matches = block_matches or BLOCK_MATCHES, bucket_nodes or BUCKET_NODES, hot_matches or HOT_MATCHES
@@ -222,16 +224,18 @@ class SpreadSystem:
                         yield from _table([_sent(k["nb"], to, values[k["place"][a:b]])], PART).to_batches()
 
         messages = state.select("nb", "d", "to", "number", "place", column).mapInArrow(sent, PART)
-        run = lambda left, right: made(Block(_arrays(left)), _gathered(right, width))
+        kind = self.block_kind
+        run = lambda left, right: made(kind(_arrays(left)), _gathered(right, width))
         return self.blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
 
     def solve(self, rhs, width: int, tol: float = 1e-10, most_rounds: int = 5000) -> DataFrame:
         """The nodes' part of the solution, as a table of buckets with x."""
+        kind = self.block_kind
 
         def given(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    b = Block(_arrays(batch, i))
+                    b = kind(_arrays(batch, i))
                     yield from _answers(b, b.right(rhs, width)).to_batches()
 
         def summed(k: dict, right) -> np.ndarray:
