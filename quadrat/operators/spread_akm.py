@@ -20,10 +20,12 @@ from .sample import keep_cut
 
 #: Matches in a block, nodes in a bucket, matches from which a worker is a node, and matches that are held with all right sides at a time.
 BLOCK_MATCHES, BUCKET_NODES, HOT_MATCHES, CHUNK = 200_000, 50_000, 100_000, 8_192
+#: Rounds without gain after which the residual is made anew.
+STALLED = 25
 #: Rows up to which a counted table is broadcast, and firms up to which the firms' system is inverted whole.
 MOST_BROADCAST, DENSE_FIRMS = 1_000_000, 1_000
 
-BLOCK = "block int, wi array<int>, fi array<int>, hi array<int>, t array<double>, s array<double>, ss array<double>, extra array<double>, w array<bigint>, f array<bigint>, nodes array<bigint>, nb array<int>"
+BLOCK = "block int, wi array<int>, fi array<int>, hi array<int>, t array<double>, s array<double>, ss array<double>, extra array<double>, w array<bigint>, f array<bigint>, nodes array<bigint>, of array<int>"
 BUCKET = "nb int, nodes array<bigint>, d array<double>, to array<int>, number array<int>, place array<int>"
 STATE = BUCKET + ", x binary, r binary, p binary, s binary, v binary, told array<double>"
 PART = "nb int, block int, data binary"
@@ -67,7 +69,7 @@ def _block(n_buckets: int, extras: int):
         wi[inner] = np.unique(c["w"][inner], return_inverse=True)[1]
         hi[hot] = at(c["hw"][hot])
         extra = np.concatenate([np.zeros(0), *(c[f"e{i}"] for i in range(extras))])
-        return _table([{"block": int(c["block"][0]), "wi": wi, "fi": at(c["f"]), "hi": hi, "t": c["t"], "s": c["s"], "ss": c["ss"], "extra": extra, "w": c["w"], "f": c["f"], "nodes": nodes[by], "nb": (nodes % n_buckets)[by]}], BLOCK)
+        return _table([{"block": int(c["block"][0]), "wi": wi, "fi": at(c["f"]), "hi": hi, "t": c["t"], "s": c["s"], "ss": c["ss"], "extra": extra, "w": c["w"], "f": c["f"], "nodes": nodes[by], "of": (nodes % n_buckets)[by]}], BLOCK)
 
     return run
 
@@ -89,7 +91,7 @@ def _diagonals(batches):
             b = _arrays(batch, i)
             d, hot = np.bincount(b["fi"], b["t"], len(b["nodes"])), b["hi"] >= 0
             d += np.bincount(b["hi"][hot], b["t"][hot], len(d))
-            yield pa.record_batch([pa.array(b["nb"], pa.int32()), pa.array(b["nodes"]), pa.array(np.full(len(d), b["block"], np.int32)), pa.array(d)], ["nb", "node", "block", "d"])
+            yield pa.record_batch([pa.array(b["of"], pa.int32()), pa.array(b["nodes"]), pa.array(np.full(len(d), b["block"], np.int32)), pa.array(d)], ["nb", "node", "block", "d"])
 
 
 class Block:
@@ -180,8 +182,25 @@ def _gathered(table, width: int) -> np.ndarray:
 
 
 def _answers(b: Block, out: np.ndarray):
-    edges = np.append(np.flatnonzero(np.diff(b.nb, prepend=-1)), len(b.nb))
-    return _table([_sent(b.nb[i], b.block, out[i:j]) for i, j in zip(edges, edges[1:], strict=False)], PART)
+    edges = np.append(np.flatnonzero(np.diff(b.of, prepend=-1)), len(b.of))
+    return _table([_sent(b.of[i], b.block, out[i:j]) for i, j in zip(edges, edges[1:], strict=False)], PART)
+
+
+def _together(left: DataFrame, right: DataFrame, key: str, made, schema: str) -> DataFrame:
+    """made(row, messages) for each key: a row of left and the rows of right, which have data.
+
+    By a union, whose estimated size is a sum. That of a cogroup is a product, and estimates outlive checkpoints: after some
+    rounds their digits alone would take longer than the work.
+    """
+    columns = left.columns, right.columns
+
+    def run(table):
+        import pyarrow.compute as pc
+
+        sent = pc.is_valid(table.column("data"))
+        return made(table.filter(pc.invert(sent)).select(columns[0]), table.filter(sent).select(columns[1]))
+
+    return left.unionByName(right, allowMissingColumns=True).groupBy(key).applyInArrow(run, schema)
 
 
 class SpreadSystem:
@@ -226,7 +245,7 @@ class SpreadSystem:
         messages = state.select("nb", "d", "to", "number", "place", column).mapInArrow(sent, PART)
         kind = self.block_kind
         run = lambda left, right: made(kind(_arrays(left)), _gathered(right, width))
-        return self.blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
+        return _together(self.blocks, messages, "block", run, schema)
 
     def solve(self, rhs, width: int, tol: float = 1e-10, most_rounds: int = 5000) -> DataFrame:
         """The nodes' part of the solution, as a table of buckets with x."""
@@ -248,8 +267,10 @@ class SpreadSystem:
 
         def begun(left, right):
             k = _arrays(left)
-            none = np.zeros((len(k["nodes"]), width)).tobytes()
-            return _table([k | {"r": summed(k, right).tobytes(), "x": none, "p": none, "s": none, "v": none, "told": np.zeros(0)}], STATE)
+            none = np.zeros((len(k["nodes"]), width))
+            x = np.frombuffer(k["x"]).reshape(-1, width) if "x" in k else none
+            r = summed(k, right) - k["d"][:, None] * x
+            return _table([k | {"r": r.tobytes(), "x": x.tobytes(), "told": np.zeros(0)} | dict.fromkeys("psv", none.tobytes())], STATE)
 
         def advanced(alpha, beta):
             def run(batches):
@@ -272,13 +293,15 @@ class SpreadSystem:
 
         def turned(state):
             answers = self._to_blocks(state, "r", width, PART, lambda b, z: _answers(b, b.times(z)))
-            state = keep_cut(state.groupBy("nb").cogroup(answers.groupBy("nb")).applyInArrow(product, STATE))
+            state = keep_cut(_together(state, answers, "nb", product, STATE))
             return state, *np.sum([x.told for x in state.select("told").collect()], axis=0).reshape(3, width)
 
-        state = keep_cut(self.buckets.groupBy("nb").cogroup(self.blocks.mapInArrow(given, PART).groupBy("nb")).applyInArrow(begun, STATE))
+        right = keep_cut(self.blocks.mapInArrow(given, PART))
+        state = keep_cut(_together(self.buckets, right, "nb", begun, STATE))
         state, gamma, delta, left = turned(state)
-        goal, best, since = tol * tol * np.maximum(left, 1e-300), np.inf, 0
-        alpha, beta, open_ = np.where(delta > 0, gamma / np.where(delta > 0, delta, 1), 0.0), np.zeros(width), left > goal
+        goal, best, since, before = tol * tol * np.maximum(left, 1e-300), np.inf, 0, np.inf
+        first = lambda: np.where(delta > 0, gamma / np.where(delta > 0, delta, 1), 0.0)
+        alpha, beta, open_ = first(), np.zeros(width), left > goal
         for _ in range(most_rounds):
             self.rounds += 1
             if not open_.any():
@@ -292,8 +315,16 @@ class SpreadSystem:
             worst = float((left / goal)[open_].max(initial=0))
             since = 0 if worst < 0.999 * best else since + 1
             best = min(best, worst)
-            if since > 500:
-                break
+            if since > STALLED:
+                # The residual that is carried along has drifted off: begin anew from the true one, as long as that helps.
+                product_x = self._to_blocks(state, "x", width, PART, lambda b, x: _answers(b, -b.times(x)))
+                state = keep_cut(_together(state, right.unionByName(product_x), "nb", begun, STATE))
+                state, gamma, delta, left = turned(state)
+                open_ = left > goal
+                worst = float((left / goal)[open_].max(initial=0))
+                if worst > 0.25 * before:
+                    break
+                alpha, beta, best, since, before = first(), np.zeros(width), worst, 0, worst
         raise RuntimeError("the worker-firm system did not settle")
 
     def each(self, rhs, width: int, schema: str, made) -> DataFrame:
@@ -448,7 +479,7 @@ class SpreadSystem:
             corr = np.where(gone > 1e-300, 1 - var / np.maximum(gone, 1e-150) ** 2 + bias / gone, 1.0)
             return pa.table({"w": b["w"], "f": b["f"], "p": p / b["t"] if by_match else p, "fe": fe, "pe": pe, "cov": cov, "corr": corr})
 
-        return self.blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(told, "w long, f long, p double, fe double, pe double, cov double, corr double")
+        return _together(self.blocks, sums, "block", told, "w long, f long, p double, fe double, pe double, cov double, corr double")
 
 
 class _Signs:

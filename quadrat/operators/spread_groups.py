@@ -32,7 +32,7 @@ def _group_block(n_buckets: int, columns: int):
         place[by] = np.arange(len(nodes))
         extra = np.concatenate([c[f"c{i}"][first] for i in range(columns)])
         none = np.full(len(order), -1)
-        return _table([{"block": int(c["block"][0]), "wi": wi, "fi": place[np.searchsorted(nodes, c["node"])], "hi": none, "t": c["share"], "s": c["weight"][first], "ss": none[:0], "extra": extra, "w": groups, "f": none[:0], "nodes": nodes[by], "nb": (nodes % n_buckets)[by]}], BLOCK)
+        return _table([{"block": int(c["block"][0]), "wi": wi, "fi": place[np.searchsorted(nodes, c["node"])], "hi": none, "t": c["share"], "s": c["weight"][first], "ss": none[:0], "extra": extra, "w": groups, "f": none[:0], "nodes": nodes[by], "of": (nodes % n_buckets)[by]}], BLOCK)
 
     return run
 
@@ -80,7 +80,7 @@ def _level_parts(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             b = GroupBlock(_arrays(batch, i))
-            yield pa.record_batch([pa.array(b.nb, pa.int32()), pa.array(b.nodes), pa.array(np.full(len(b.nodes), b.block, np.int32)), pa.array(b.diagonal())], ["nb", "node", "block", "d"])
+            yield pa.record_batch([pa.array(b.of, pa.int32()), pa.array(b.nodes), pa.array(np.full(len(b.nodes), b.block, np.int32)), pa.array(b.diagonal())], ["nb", "node", "block", "d"])
 
 
 class SpreadGroups(SpreadSystem):
@@ -108,7 +108,7 @@ class SpreadGroups(SpreadSystem):
     def project(self) -> tuple[DataFrame, DataFrame]:
         """(group, columns less what levels explain) and (kind, level, columns' coefficients, node)."""
         columns, width = self.columns, len(self.columns)
-        state = keep_cut(self.solve(None, width, tol=1e-12))
+        state = keep_cut(self.solve(None, width))
 
         def left(b, x):
             import pyarrow as pa

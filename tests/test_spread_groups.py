@@ -23,3 +23,14 @@ def test_same_fit(spark, monkeypatch, aggregation, weights, fes, clusters):
     assert np.allclose(a.coef, b.coef, rtol=1e-8) and np.allclose(a.vcov[0, 0], b.vcov[0, 0], rtol=1e-8) and a.n == b.n and np.isclose(a.tss, b.tss)
     both = a.absorption["individual"].join(b.absorption["individual"].withColumnRenamed("effect", "other"), "member").toPandas()
     assert len(both) == 12 and np.allclose(both.effect - both.effect.mean(), both.other - both.other.mean(), atol=1e-6)
+
+
+def test_stalled_gradients_begin_anew(spark, monkeypatch):
+    """With a goal below what carried residuals reach, the true residual is made anew until it helps no more."""
+    monkeypatch.setattr(spread_akm, "STALLED", 2)
+    rows = [(f"w{i // 2}", (i + 1) // 2 % 6, 1.0, float(i % 5), float(i % 5) ** 2) for i in range(16)]
+    system = spread_akm.SpreadSystem(spark.createDataFrame(rows, "worker string, firm int, t double, s double, ss double"))
+    sums = lambda b, low, high: (b.s[low:high, None], b.s[low:high, None])
+    with pytest.raises(RuntimeError):
+        system.solve(sums, 1, tol=1e-40)
+    assert system.solve(sums, 1, tol=1e-9).count() == 1
