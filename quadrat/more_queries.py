@@ -413,7 +413,7 @@ _GROUP = "(SELECT l_orderkey, any_value(o_totalprice) AS o_totalprice, any_value
 def group_members_reg(spark, d):
     orders = _table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"))
     df = _shipped(spark, d).select("l_orderkey", "depot").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return _terms(fit_groups(df, "o_totalprice", ["day"], "l_orderkey", individual="depot"))
+    return _terms(fit_groups(df, "o_totalprice", ["day"], "l_orderkey", individual="depot", spread=True))
 
 
 def _shared_sql(rounds: int = 6) -> str:
