@@ -473,11 +473,24 @@ def coef_movement_sandwich(spark, d):
 
 # distributions
 
-_TAILS = [("student", 1.3, 2.0, "1 - 1.3 / sqrt(2 + 1.3 * 1.3)"), ("student", 2.0, 1.0, "1 - 2 * atan(2.0) / pi()"), ("student", 1.7, 4.0, "1 - 1.7 / sqrt(4 + 1.7 * 1.7) * (1 + 2.0 / (4 + 1.7 * 1.7))"), ("chi2", 3.5, 2.0, "exp(-3.5 / 2)"), ("chi2", 7.0, 4.0, "exp(-3.5) * (1 + 3.5)"), ("chi2", 9.0, 6.0, "exp(-4.5) * (1 + 4.5 + 4.5 * 4.5 / 2)"), ("f_2", 1.9, 30.0, "pow(1 + 2 * 1.9 / 30, -15)"), ("f_2", 4.0, 7.0, "pow(1 + 2 * 4.0 / 7, -3.5)"), ("normal", 1.5, 0.0, "(SELECT 0.5 - sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(1.5 * i / 2000, 2) / 2)) * 1.5 / 2000 / 3 / sqrt(2 * pi()) FROM range(2001) q(i))"), ("normal", 0.3, 0.0, "(SELECT 0.5 - sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(0.3 * i / 2000, 2) / 2)) * 0.3 / 2000 / 3 / sqrt(2 * pi()) FROM range(2001) q(i))"), ("student_quantile", 0.975, 1.0, "tan(pi() * 0.475)"), ("student_quantile", 0.95, 2.0, "2 * 0.45 * sqrt(2 / (1 - 4 * 0.45 * 0.45))"), ("normal_quantile", 0.975, 0.0, "1.959963984540054")]
+#: Closed forms of tails at x, with n lines of a part.
+_TAILS = {"student_1": "1 - 2 * atan(x) / pi()", "student_2": "1 - x / sqrt(2 + x * x)", "student_4": "1 - x / sqrt(4 + x * x) * (1 + 2.0 / (4 + x * x))", "chi2_2": "exp(-x / 2)", "chi2_4": "exp(-x / 2) * (1 + x / 2)", "chi2_6": "exp(-x / 2) * (1 + x / 2 + x * x / 8)", "f_2": "pow(1 + 2 * x / n, -n / 2.0)"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, {x}::DOUBLE AS x, {df}::DOUBLE AS df, round(({v})::DOUBLE, 9) AS value" for k, x, df, v in _TAILS))
+@query(f"SELECT l_partkey, {', '.join(f'round(({v})::DOUBLE, 6) AS {k}' for k, v in _TAILS.items())}, round((tan(pi() * u / 2))::DOUBLE, 4) AS quantile_1 FROM (SELECT l_partkey, avg(l_quantity)::DOUBLE / 10 AS x, count(*) AS n, avg(l_discount)::DOUBLE * 5 AS u FROM lineitem GROUP BY l_partkey)")
 def tails(spark, d):
+    """Tails of each part's mean quantity, with its lines as degrees of freedom, and a quantile at its mean discount."""
+    parts = _lines(spark, d).groupBy("l_partkey").agg((F.avg("l_quantity") / 10).alias("x"), F.count(F.lit(1)).alias("n"), (F.avg("l_discount") * 5).alias("u"))
     m = distributions
-    of = {"student": lambda x, df: m.student_p(x, df), "chi2": lambda x, df: m.chi2_tail(x, int(df)), "f_2": lambda x, df: m.f_tail(x, 2, df), "normal": lambda x, df: m.normal_tail(x), "student_quantile": m.student_quantile, "normal_quantile": lambda x, df: m.normal_quantile(x)}
-    return spark.createDataFrame([(k, x, df, round(of[k](x, df), 9)) for k, x, df, _ in _TAILS], "kind string, x double, df double, value double")
+    of = {f"student_{k}": lambda x, n, u, k=k: m.student_p(x, k) for k in (1, 2, 4)} | {f"chi2_{k}": lambda x, n, u, k=k: m.chi2_tail(x, k) for k in (2, 4, 6)} | {"f_2": lambda x, n, u: m.f_tail(x, 2, n)}
+
+    def run(batches):
+        for part in batches:
+            rows = list(zip(part["x"], part["n"], part["u"], strict=True))
+            for name, f in of.items():
+                part[name] = [round(f(*r), 6) for r in rows]
+            part["quantile_1"] = [round(m.student_quantile(0.5 + u / 2, 1.0), 4) for _, _, u in rows]
+            yield part.drop(columns=["x", "n", "u"])
+
+    key = parts.schema["l_partkey"].dataType.simpleString()
+    return parts.mapInPandas(run, f"l_partkey {key}, " + ", ".join(f"{k} double" for k in [*of, "quantile_1"]))

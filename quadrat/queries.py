@@ -230,6 +230,17 @@ SELECT 'discount' AS part, {_sig('g1*b1')} AS delta, {_sig('sqrt(b1*b1*a / (n -
 UNION ALL SELECT 'tax', {_sig('g2*b2')}, {_sig('sqrt(b2*b2*c / (n - 4) / xx + g2*g2*s2*i2)')} FROM g, b, s"""
 #: Orders and suppliers of these tables are one component that no order holds together alone, so only orders of one line go.
 ORACLE_SQL["leave_out_set"] = "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1"
+ORACLE_SQL["group_individual_reg"] = f"""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS g, l_suppkey FROM lineitem),
+o AS (SELECT o_orderkey AS g, o_totalprice - avg(o_totalprice) OVER () AS y, dayofyear(o_orderdate) - avg(dayofyear(o_orderdate)) OVER () AS x FROM orders WHERE o_orderkey IN (SELECT g FROM p)),
+k AS (SELECT count(DISTINCT l_suppkey)::INT AS k FROM p),
+e AS MATERIALIZED (SELECT g, dense_rank() OVER (ORDER BY l_suppkey)::INT AS i, 1.0::DOUBLE / count(*) OVER (PARTITION BY g) AS v FROM p UNION ALL SELECT g, k + 1, x FROM o, k UNION ALL SELECT g, k + 2, y FROM o, k),
+c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (g) GROUP BY a.i, b.i),
+-- the cross products, from which the suppliers are eliminated one after the other
+r(n, i, j, v) AS (SELECT 0, x.i::INT, z.j::INT, coalesce(v, 0) FROM (SELECT unnest(range(1, k + 3)) AS i FROM k) x CROSS JOIN (SELECT unnest(range(1, k + 3)) AS j FROM k) z LEFT JOIN c ON c.i = x.i AND c.j = z.j
+  UNION ALL SELECT n + 1, i, j, v - CASE WHEN d > 1e-9 THEN a * b / d ELSE 0 END FROM (SELECT *, max(CASE WHEN i = n + 1 AND j = n + 1 THEN v END) OVER () AS d, max(CASE WHEN j = n + 1 THEN v END) OVER (PARTITION BY i) AS a, max(CASE WHEN i = n + 1 THEN v END) OVER (PARTITION BY j) AS b FROM r) WHERE n < (SELECT k FROM k) AND i > n + 1 AND j > n + 1),
+f AS (SELECT max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) AS xx, max(CASE WHEN i = k + 1 AND j = k + 2 THEN v END) AS xy, max(CASE WHEN i = k + 2 AND j = k + 2 THEN v END) AS yy, any_value(k) AS k FROM r, k WHERE n = k),
+t AS (SELECT count(*) AS n FROM o)
+SELECT 'day' AS term, {_sig('xy / xx')} AS coef, {_sig('sqrt((yy - xy * xy / xx) / (n - 1 - k) / xx)')} AS se, n FROM f, t"""
 ORACLE_SQL["group_reg"] = f"""WITH s AS (SELECT o_totalprice, dayofyear(o_orderdate) AS day, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1),
 d AS (SELECT o_totalprice - avg(o_totalprice) OVER p AS y, day - avg(day) OVER p AS x FROM s WINDOW p AS (PARTITION BY o_custkey)),
 b AS (SELECT sum(x*y) / sum(x*x) AS b, sum(x*x) AS xx, count(*) AS n, (SELECT count(DISTINCT o_custkey) FROM s) AS k FROM d)
