@@ -15,7 +15,7 @@ from ..functions.distributions import f_tail, student_p, student_quantile
 from ..plans.formula import Effect, Formula, parse, split_top
 from .absorb import absorb, as_effect, normalise
 from .graph import absorbed
-from .sample import check, drop_singletons, keep_cut
+from .sample import check, counted, drop_singletons, keep_cut
 
 #: Stands on the diagonal of a covariance that can't be estimated.
 UNAVAILABLE = -1e-10
@@ -164,18 +164,39 @@ class Result:
         rows = [(r["term"], r["coef"], r["se"], r["t"], self.n, float(self.df_resid)) for r in self.tidy()]
         return self.sample.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, n long, df_r double")
 
-    def predict(self, kind: str = "residuals") -> DataFrame:
+    def predict(self, kind: str = "residuals", newdata: DataFrame | None = None) -> DataFrame:
         """The sample with a column `kind`: residuals, xb, xbd (fitted with effects), d (the effects' part),
-        dresiduals (residuals with effects), score or stdp (standard error of xb)."""
+        dresiduals (residuals with effects), score or stdp (standard error of xb).
+
+        newdata: instead its rows, with xb, stdp, xbd or d; the last two need retain_fes and effects without slopes, and
+        are null where the sample doesn't have a level.
+        """
+        if newdata is not None and kind not in ("xb", "stdp", "xbd", "d"):
+            raise ValueError(f"{kind} of new rows")
+        if newdata is not None and kind in ("xbd", "d"):
+            return self._effects_of(newdata, kind)
+        rows = self.sample if newdata is None else newdata
         slopes = [(t, b) for t, b in zip(self.terms, self.coef.tolist(), strict=True) if t != "_cons"]
         cons = dict(zip(self.terms, self.coef.tolist(), strict=True)).get("_cons", 0.0)
         xb = sum((F.col(t) * b for t, b in slopes), F.lit(cons))
         if kind == "stdp":
             v = np.nan_to_num(self.vcov)
             named = [F.lit(1.0) if t == "_cons" else F.col(t) for t in self.terms]
-            return self.sample.withColumn(kind, F.sqrt(sum((a * b * float(v[i, j]) for i, a in enumerate(named) for j, b in enumerate(named)), F.lit(0.0))))
+            return rows.withColumn(kind, F.sqrt(sum((a * b * float(v[i, j]) for i, a in enumerate(named) for j, b in enumerate(named)), F.lit(0.0))))
         made = {"score": F.col("__u"), "dresiduals": F.col("__y") - xb, "residuals": F.col("__u"), "xb": xb, "xbd": F.col("__y") - F.col("__u"), "d": F.col("__y") - F.col("__u") - xb}[kind]
-        return self.sample.withColumn(kind, made)
+        return rows.withColumn(kind, made)
+
+    def _effects_of(self, rows: DataFrame, kind: str) -> DataFrame:
+        shown = self.fixef().columns[: len(self.fe_names)]
+        if not all(k in self.sample.columns and k in rows.columns for k in self.fe_names):
+            raise ValueError("effects of new rows need their keys as columns, without slopes")
+        out, names = rows, list(rows.columns)
+        for i, (key, effect) in enumerate(zip(self.fe_names, shown, strict=True)):
+            levels = keep_cut(self.sample.groupBy(F.col(key).alias(f"__l{i}")).agg(F.first(effect).alias(f"__e{i}")))
+            out = out.join(counted(levels, levels.count()), F.col(key) == F.col(f"__l{i}"), "left")
+        d = sum((F.col(f"__e{i}") for i in range(len(shown))), F.lit(0.0))
+        slopes = sum((F.col(t) * b for t, b in zip(self.terms, self.coef.tolist(), strict=True) if t != "_cons"), F.lit(dict(zip(self.terms, self.coef.tolist(), strict=True)).get("_cons", 0.0)))
+        return out.select(*[F.col(f"`{c}`") for c in names if c != kind], (d + slopes if kind == "xbd" else d).alias(kind))
 
 
 def moments(df: DataFrame, columns: list[str], weight: F.Column) -> np.ndarray:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.functions.tables import model_table, parts_table, render
 from quadrat.operators import absorb as absorb_module
@@ -77,6 +78,14 @@ def test_retained_effects_and_predictions(spark):
     assert np.allclose(d.dresiduals, d["__y"] - d.x1 * r.coef[0] - r.coef[1])
     assert math.isfinite(r.ll) and r.information()["df"] == 1 + r.df_absorbed and r.r2_adj < r.r2
     assert r.summarize().count() == 2
+    own = r.sample.select("a", "b", "x1", F.col("__y").alias("y"))
+    for kind in ("xb", "stdp", "xbd", "d"):
+        old, new = (np.sort(x.toPandas()[kind]) for x in (r.predict(kind), r.predict(kind, own.withColumn(kind, F.lit("x")))))
+        assert np.allclose(old, new, atol=1e-8), kind
+    strange = r.predict("xbd", own.limit(3).withColumn("a", F.lit(987_654_321)))
+    assert strange.where("xbd IS NULL").count() == 3
+    with pytest.raises(ValueError):
+        r.predict("residuals", own)
     assert partial_out(spark.createDataFrame(p), ["y"], ["a", "b"], drop_singletons_=True).count() == len(p)
 
 

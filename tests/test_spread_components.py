@@ -25,7 +25,7 @@ def small(monkeypatch):
     monkeypatch.setattr(akm, "MOST_MATCHES", 20_000_000)
 
 
-@pytest.mark.parametrize(("level", "dense"), [("match", 0), ("obs", 0), ("match", 1000), ("obs", 1000)])
+@pytest.mark.parametrize(("level", "dense"), [("match", 0), ("obs", 1000)])
 def test_exact(spark, jobs, small, monkeypatch, level, dense):
     """Several blocks and buckets, workers that are nodes (without the inverse), and a projection."""
     monkeypatch.setattr(spread_akm, "DENSE_FIRMS", dense)

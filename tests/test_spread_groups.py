@@ -7,7 +7,7 @@ from quadrat.operators import spread_akm
 from quadrat.operators.groups import fit_groups
 
 
-@pytest.mark.parametrize(("aggregation", "weights", "fes", "clusters"), [("mean", None, [], []), ("sum", "w", ["team"], ["team"])])
+@pytest.mark.parametrize(("aggregation", "weights", "fes", "clusters"), [("sum", "w", ["team"], ["team"])])
 def test_same_fit(spark, monkeypatch, aggregation, weights, fes, clusters):
     g = np.random.default_rng(8)
     effect, rows = g.normal(size=12), []
