@@ -4,7 +4,8 @@ A term is a key, or an Effect: a key whose levels have an intercept, slopes on c
 is its levels' means. Otherwise terms are solved on their levels: with D their columns, A = D'WD and B = D'WV, the level
 coefficients solve A t = B. B and A's diagonal blocks are one aggregation for each term; A's other blocks are edge tables,
 one aggregation for each pair of terms. While levels and edges are few enough for the driver (MOST_CELLS, counted first)
-conjugate gradients solve there; beyond, the same iterations run on those tables in the cluster: rows are read to make the
+conjugate gradients solve there, preconditioned by the levels' own blocks and, where these take long, by an incomplete
+factorisation of the graph of the two largest effects (factor.py); beyond, the same iterations run on those tables in the cluster: rows are read to make the
 tables and to be joined with the result, and in no iteration. Either way the
 certificate measures what is left: the norm of D'W of the residual, by one aggregation for each term.
 """
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.formula import Effect
+from .factor import LaplacianFactor
 from .sample import counted, keep_cut
 
 MOST_CELLS = 20_000_000
+#: Rounds by the levels' own blocks alone, after which the graph of two effects is factorised.
+FEW_ROUNDS = 60
 #: Edges of one level that a task takes in the cluster's iterations.
 HOT_EDGES = 1_000_000
 
@@ -124,23 +128,17 @@ def _solve(df, columns, terms, cells, edges, suffix, tol, effects):
         out += np.bincount(r, v * x[c], len(x))
         return out + np.bincount(c, v * x[r], len(x))
 
+    closer = _pair_solver(terms, sizes, low, (r, c, v), blocks, inverses)
     solved, rounds = np.zeros_like(right), 0
     for k in range(right.shape[1]):
         b = right[:, k]
-        x, res = np.zeros(len(b)), b.copy()
-        z = blocks(inverses, res)
-        p, rz, goal = z.copy(), res @ z, tol * (np.linalg.norm(b) or 1.0)
-        n = 0
-        for n in range(10_000):
-            if np.linalg.norm(res) <= goal or rz <= 0:
-                break
-            q = times(p)
-            step = rz / (p @ q)
-            x += step * p
-            res -= step * q
-            z = blocks(inverses, res)
-            rz, old = res @ z, rz
-            p = z + rz / old * p
+        goal = tol * (np.linalg.norm(b) or 1.0)
+        x, n, left = _gradients(times, lambda y: blocks(inverses, y), b, np.zeros(len(b)), goal, FEW_ROUNDS if closer else 10_000)
+        before = np.inf
+        while closer and goal < left < before / 2:  # what is left is found anew from x, as long as that helps
+            before = left
+            x, more, left = _gradients(times, closer(), b, x, goal, 10_000 - n)
+            n += more
         rounds = max(rounds, n)
         solved[:, k] = x
     made = []
@@ -153,6 +151,53 @@ def _solve(df, columns, terms, cells, edges, suffix, tol, effects):
     return out, {"method": "levels", "iterations": rounds, "terms": kept}
 
 
+def _gradients(times, precondition, b, x, goal, most):
+    """Conjugate gradients from x: the solution, the rounds, and the norm of what is truly left."""
+    res = b - times(x)
+    z = precondition(res)
+    p, rz, n = z.copy(), res @ z, 0
+    for n in range(most + 1):
+        if np.linalg.norm(res) <= goal or rz <= 0 or n == most:
+            break
+        q = times(p)
+        step = rz / (p @ q)
+        x = x + step * p
+        res -= step * q
+        z = precondition(res)
+        rz, old = res @ z, rz
+        p = z + rz / old * p
+    return x, n, float(np.linalg.norm(b - times(x)))
+
+
+def _pair_solver(terms, sizes, low, edges, blocks, inverses):
+    """For two effects of intercepts or more: makes, when first asked, a preconditioner which factorises the graph of the two with most
+    levels, and takes other effects' levels by their own blocks. With the second one's signs turned the two are a Laplacian."""
+    plain = sorted((d for d, e in enumerate(terms) if carriers(e) == [None]), key=lambda d: -sizes[d][0])[:2]
+    if len(plain) < 2:
+        return None
+    made = []
+
+    def solver():
+        if not made:
+            first, second = sorted(plain)
+            r, c, v = edges
+            some = (r >= low[first]) & (r < low[first + 1]) & (c >= low[second]) & (c < low[second + 1])
+            n = sizes[first][0]
+            made.append(LaplacianFactor(n + sizes[second][0], r[some] - low[first], c[some] - low[second] + n, v[some]))
+
+            def run(y):
+                out = blocks(inverses, y)
+                mine, its = slice(low[first], low[first + 1]), slice(low[second], low[second + 1])
+                z = made[0].solve(np.concatenate([y[mine], -y[its]]))
+                out[mine], out[its] = z[:n], -z[n:]
+                return out
+
+            made.append(run)
+        return made[1]
+
+    return solver
+
+
 def _joined(df, columns, terms, tables, suffix, effects):
     """The rows less what the terms' level coefficients (key, __t<term>_<carrier>_<column>) add up to, and the coefficients by carrier."""
     out, kept = df, []
