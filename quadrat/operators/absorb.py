@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.formula import Effect
+from .coarse import Coarse
 from .factor import LaplacianFactor
 from .sample import counted, keep_cut
 
@@ -235,7 +236,8 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
 
     Levels of all terms are one table, by term and key; edges lie both ways, dealt out by the level they read, as the levels are, so a
     round moves one row for each level and the sums of edges in each task. Edges of a level with more than HOT_EDGES are dealt out
-    by lots of so many, each of which gets a copy of the level's direction.
+    by lots of so many, each of which gets a copy of the level's direction. After FEW_ROUNDS the preconditioner is the sum of the
+    levels' own blocks and of a solution between clusters of the two largest effects' levels (coarse.py).
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q, cols = max(len(carriers(e)) for e in terms), range(len(columns))
@@ -273,6 +275,8 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
         both = keep_cut(both.repartition(parts, "v", "lot"))
     dot = lambda a, b: [F.sum(sum((a(i, n) * b(i, n) for i in range(q)), zero)) for n in cols]
     r = lambda i, n: F.col(f"r{i}_{n}")
+    plain = sorted((d for d, e in enumerate(terms) if carriers(e) == [None]), key=lambda d: -cells[d].count())[:2]
+    coarse, turned = None, F.lit(1.0)
     told = state.agg(*dot(r, r), *dot(r, z)).first()
     goal, rz = tol**2 * np.maximum(np.array(told[: len(cols)], float), 1e-300), np.array(told[len(cols) :], float)
     left, rounds = goal / tol**2, 0
@@ -295,9 +299,21 @@ def _spread(df, columns, terms, cells, edges, suffix, effects, tol: float = 1e-1
         state = state.select(*fixed, *[(F.col(f"x{i}_{n}") + float(step[n]) * F.col(f"p{i}_{n}")).alias(f"x{i}_{n}") for i in range(q) for n in cols], *[(F.col(f"r{i}_{n}") - float(step[n]) * F.col(f"q{i}_{n}")).alias(f"r{i}_{n}") for i in range(q) for n in cols], *[F.col(f"p{i}_{n}") for i in range(q) for n in cols])
         told = state.agg(*dot(r, r), *dot(r, z)).first()
         left, new = np.array(told[: len(cols)], float), np.array(told[len(cols) :], float)
-        turn = np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)
+        begins = coarse is None and rounds >= FEW_ROUNDS and len(plain) == 2 and not (left <= goal).all()
+        if begins:
+            a, b = sorted(plain)
+            coarse = Coarse(edges[a, b].select(F.xxhash64(name(a, "ka")).alias("u"), F.xxhash64(name(b, "kb")).alias("v"), F.col("w0_0").cast("double").alias("w")))
+            turned = F.when(F.col("k").startswith(f"{b}:"), -1.0).otherwise(1.0)
+            state = keep_cut(state.withColumn("node", F.xxhash64("k")).join(coarse.places, "node", "left").drop("node"))
+            fixed.append("place")
+        if coarse:
+            # the clusters' solution is added to the blocks' own; the second effect's signs are turned
+            more, products = coarse.solve(state, [turned * F.col(f"r0_{n}") for n in cols])
+            state, new = state.join(more, "place", "left"), new + products
+        turn = np.zeros(len(new)) if begins else np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)
         rz = new
-        state = state.select(*fixed, *[F.col(f"{v}{i}_{n}") for v in "xr" for i in range(q) for n in cols], *[(z(i, n) + float(turn[n]) * F.col(f"p{i}_{n}")).alias(f"p{i}_{n}") for i in range(q) for n in cols])
+        added = lambda i, n: turned * F.coalesce(F.col(f"c{n}"), zero) if coarse and not i else zero  # noqa: B023, E731
+        state = state.select(*fixed, *[F.col(f"{v}{i}_{n}") for v in "xr" for i in range(q) for n in cols], *[(z(i, n) + added(i, n) + float(turn[n]) * F.col(f"p{i}_{n}")).alias(f"p{i}_{n}") for i in range(q) for n in cols])
     state = keep_cut(state)
     made = []
     for d, (e, c) in enumerate(zip(terms, cells, strict=True)):

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadrat.operators import absorb as absorb_module
+from quadrat.operators import coarse as coarse_module
 from quadrat.operators.absorb import FEW_ROUNDS, absorb
+from quadrat.operators.coarse import Coarse
 from quadrat.operators.factor import LaplacianFactor
 
 
@@ -75,3 +78,29 @@ def test_a_chain_and_a_third_effect(spark):
     df = chain(spark, 4000).withColumn("c", F.expr("pmod(xxhash64(e), 5)")).withColumn("w", F.lit(1.0) + F.col("e"))
     _, how = absorb(df, ["y"], ["c", "a", "b"], "w")
     assert how["certified"] and how["iterations"] < 150
+
+
+def test_clusters(spark, monkeypatch):
+    """Clusters are joined by edges, no more than asked for, and their edges add up to those that cross."""
+    g = np.random.default_rng(8)
+    edges = [(int(a), 1000 + int(b), float(w)) for a, b, w in zip(g.integers(0, 300, 900), g.integers(0, 60, 900), g.integers(1, 4, 900), strict=True)] + [(5000, 5001, 1.0)]
+    monkeypatch.setattr(coarse_module, "MOST_CLUSTERS", 20)
+    made = Coarse(spark.createDataFrame(edges, "u long, v long, w double"))
+    place = {r["node"]: r["place"] for r in made.places.collect()}
+    assert made.size <= 20 and made.rounds and set(place.values()) == set(range(made.size)) and 5000 not in place
+    whole = laplacian(made.size, *(np.array(x) for x in zip(*[(place[a], place[b], w) for a, b, w in edges if a in place], strict=True)))
+    b = whole @ g.normal(size=made.size)
+    assert np.allclose(whole @ made.factor.solve(b), b)
+
+
+def test_a_chain_in_the_cluster(spark, monkeypatch):
+    """Clusters of about three levels; the rows' residuals are the driver's."""
+    df = chain(spark, 60).withColumn("n", F.monotonically_increasing_id())
+    want, _ = absorb(df, ["y"], ["a", "b"])
+    monkeypatch.setattr(absorb_module, "MOST_CELLS", 1)
+    monkeypatch.setattr(absorb_module, "FEW_ROUNDS", 3)
+    monkeypatch.setattr(coarse_module, "MOST_CLUSTERS", 30)
+    got, how = absorb(df, ["y"], ["a", "b"])
+    assert how["method"] == "spread levels" and how["certified"] and how["iterations"] < 50
+    a, b = (np.array([r[0] for r in x.orderBy("n").select("y_tilde").collect()]) for x in (want, got))
+    assert np.allclose(a, b, atol=1e-8)
