@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
-Features: the n-grams of one to three letters of the lower-cased text (every other character is one gap), hashed into
+Features: the n-grams of one to three letters of the lower-cased text (every other character is one gap, and so is a text's end), hashed into
 2**BITS bins. TF is a bin's share of the text's n-grams, IDF comes from the document frequencies of all training
 documents. A score is linear in the shares, so a text is scored by one sum over its n-grams, of any length.
 
@@ -30,12 +30,13 @@ UNDETERMINED = "und"
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the text and the bin of every n-gram that has a letter; and at last the number of letters, by text."""
-    whole = "\0".join(t.lower() for t in texts)
+    whole = "".join(t.lower() + "\0" for t in texts)
     sizes = np.array([len(t.lower()) for t in texts], np.int64)
     points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(points)]
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
     letter = classes()[points] == LETTER
-    keep = letter | np.concatenate([[True], letter[:-1]]) if len(letter) else letter  # of a run of gaps only the first
+    # of a run of gaps only the first, and none before a text's first letter, whatever text is before it
+    keep = letter | np.concatenate([[False], letter[:-1]]) if len(letter) else letter
     points, owner, letter = np.where(letter, points, 0).astype(np.uint64)[keep], owner[keep], letter[keep]
     key, good = points, letter
     yield owner[good], bins(key[good])
@@ -58,7 +59,7 @@ def frequencies(texts: list[str], letters: np.ndarray | None = None) -> np.ndarr
             out += np.bincount(owner << BITS | bin_, minlength=len(out))
             if not k and letters is not None:
                 letters += np.bincount(bin_, minlength=1 << BITS)
-    return out.reshape(len(texts), -1)
+    return out.reshape(len(texts), 1 << BITS)
 
 
 @dataclass
@@ -159,8 +160,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = rows.withColumn("mark", mark).join(F.broadcast(bars), "lang").where("mark <= bar").select("mark", "lang", "text")
     # Repeated rows have one hash, and count once.
     picked = picked.groupBy("mark", "lang").agg(F.first("text").alias("text"))
-    most = int(2 * sum(wanted.values())) + 100
-    sample = picked.transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>").limit(most).toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
+    most = int(2 * sum(wanted.values())) + 100  # hashes are even, so about half as many come
+    sample = picked.transform(in_arrow, shares, "mark long, lang string, bins array<short>, shares array<float>").limit(most + 1).toArrow()
+    if sample.num_rows > most:
+        raise RuntimeError(f"more than {most} rows fell to a sample of {most_rows}")
+    sample = sample.sort_by([("mark", "ascending"), ("lang", "ascending")])
     import pyarrow as pa
     import pyarrow.compute as pc
 
