@@ -295,43 +295,3 @@ def sample_hash(n_input: int, positions: DataFrame, domain: str = "quadrat-sampl
     for row in positions.orderBy(name).toLocalIterator():
         add(int(row[0]).to_bytes(8, "little"))
     return f"{value:016x}"
-
-
-def bootstrap(df: DataFrame, unit: str, reps: int = 999, seed: int = 0, conf: float = 0.95, kind: str = "percentile", **options) -> list[dict]:
-    """Intervals of contributions by drawing units (clusters, or a column that is unique) with replacement; whole refits.
-
-    A drawn unit's rows count as often as it was drawn: frequency weights of the unadjusted refits, or a factor of analytic weights. Units are counted before
-    they go to the driver. Draws that fail are skipped; under nine in ten valid ones raise.
-    """
-    import pandas as pd
-    import pyarrow as pa
-
-    if options.get("fweights"):
-        raise ValueError("bootstrap takes no frequency weights")
-    weights = options.pop("weights", None)
-    if kind not in ("percentile", "basic"):
-        raise ValueError(f"interval {kind!r}")
-    if options.keys() & {"vce", "clusters", "level", "alpha"}:
-        raise ValueError("intervals come from the draws: vce, clusters, level and alpha have no effect here")
-    units = df.select(unit).distinct()
-    if units.count() > 20_000_000:
-        raise ValueError("more units than the driver takes")
-    ids = units.toArrow().to_pandas()[unit].sort_values().reset_index(drop=True)
-    point, draws = decompose(df, weights=weights, **options), []
-    for child in np.random.SeedSequence(seed).spawn(reps):
-        drawn = np.bincount(np.random.Generator(np.random.PCG64(child)).integers(0, len(ids), len(ids)), minlength=len(ids))
-        table = df.sparkSession.createDataFrame(pa.Table.from_pandas(pd.DataFrame({unit: ids[drawn > 0], "__drawn": drawn[drawn > 0].astype(float)}), preserve_index=False)).withColumn(unit, F.col(unit).cast(df.schema[unit].dataType))
-        try:
-            drawn_df = df.join(table, unit)
-            if weights:
-                drawn_df = drawn_df.withColumn("__drawn", F.col("__drawn") * F.col(weights))
-            draws.append(decompose(drawn_df, weights="__drawn", fweights=not weights, **options).delta)
-        except (ValueError, np.linalg.LinAlgError):
-            continue
-    if len(draws) < 0.9 * reps:
-        raise RuntimeError(f"{len(draws)} of {reps} draws are valid")
-    got = np.stack(draws)
-    low, high = np.quantile(got, [(1 - conf) / 2, (1 + conf) / 2], axis=0)
-    if kind == "basic":
-        low, high = 2 * point.delta - high, 2 * point.delta - low
-    return [{"target": t, "group": g, "delta": float(point.delta[i, j]), "se": float(got[:, i, j].std(ddof=1)), "low": float(low[i, j]), "high": float(high[i, j]), "valid": len(draws)} for j, t in enumerate(point.targets) for i, g in enumerate(point.groups)]

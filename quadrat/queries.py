@@ -11,6 +11,7 @@ from .operators.decompose import decompose
 from .operators.graph import absorbed, mobility_groups
 from .operators.groups import fit_groups
 from .operators.model import fit
+from .operators.resample import bootstrap
 from .operators.sample import drop_singletons
 from .plans.formula import Effect
 
@@ -104,7 +105,13 @@ def coef_movement(spark, d):
 
 
 def coef_movement_effects(spark, d):
-    return decompose(_lines(spark, d), Y, ["l_quantity"], {"discount": ["l_discount"]}, fes=["l_partkey"], vce="cluster", clusters=["l_suppkey"]).frame()
+    r = decompose(_lines(spark, d), Y, ["l_quantity"], {"discount": ["l_discount"]}, fes=["l_partkey"], vce="cluster", clusters=["l_suppkey"])
+    return spark.createDataFrame([(t["group"], *[float(f"{t[c]:.6g}") for c in ("delta", "se", "share")]) for t in r.tidy()], "part string, delta double, se double, share double")
+
+
+def coef_movement_bootstrap(spark, d):
+    got = bootstrap(_lines(spark, d), "l_suppkey", reps=199, seed=7, y=Y, x1=["l_quantity"], groups={"discount": ["l_discount"], "tax": ["l_tax"]}, fes=["l_partkey"])
+    return spark.createDataFrame([(r["target"], r["group"], r["delta"], r["se"], r["low"], r["high"], r["valid"]) for r in got], "target string, part string, delta double, se double, low double, high double, valid long")
 
 
 def leave_out_set(spark, d):
@@ -128,7 +135,7 @@ def group_individual_reg(spark, d):
     return _rounded(fit_groups(_orders(spark, d), "o_totalprice", ["day"], "l_orderkey", individual="l_suppkey"))
 
 
-QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, groupvar, twoway_dof, slope_reg, fixef_oneway, model_summary, coef_movement, coef_movement_effects, leave_out_set, akm_components, group_reg, group_individual_reg)}
+QUERIES = {f.__name__: f for f in (within_oneway, fe_reg_oneway, fe_reg_robust, fe_reg_cluster, fe_reg_multiway, fe_reg_weighted, fe_reg_fweight, iv_just_identified, twoway_reg, singletons, groupvar, twoway_dof, slope_reg, fixef_oneway, model_summary, coef_movement, coef_movement_effects, coef_movement_bootstrap, leave_out_set, akm_components, group_reg, group_individual_reg)}
 
 
 def _sig(x: str, digits: int = 6) -> str:
@@ -228,6 +235,19 @@ b AS (SELECT *, (c*p - b*q) / (a*c - b*b) AS b1, (a*q - b*p) / (a*c - b*b) AS b2
 s AS (SELECT sum((y - b1*z1 - b2*z2) * (y - b1*z1 - b2*z2)) / (any_value(n) - 4) AS s2 FROM r, b, g)
 SELECT 'discount' AS part, {_sig('g1*b1')} AS delta, {_sig('sqrt(b1*b1*a / (n - 4) / xx + g1*g1*s2*i1)')} AS se FROM g, b, s
 UNION ALL SELECT 'tax', {_sig('g2*b2')}, {_sig('sqrt(b2*b2*c / (n - 4) / xx + g2*g2*s2*i2)')} FROM g, b, s"""
+#: Influences on the contributions: a1 and a2 through the regressions of the parts on quantity, c through the discount's coefficient.
+ORACLE_SQL["coef_movement_effects"] = f"""WITH s AS (SELECT l_suppkey, {Y} AS raw, l_quantity AS x, l_discount AS z, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_partkey) > 1),
+d AS MATERIALIZED (SELECT *, raw - avg(raw) OVER p AS yt, x - avg(x) OVER p AS xt, z - avg(z) OVER p AS zt, x - avg(x) OVER () AS xc FROM s WINDOW p AS (PARTITION BY l_partkey)),
+g AS (SELECT sum(xt*xt) AS a, sum(xt*zt) AS b, sum(zt*zt) AS c, sum(xt*yt) AS p, sum(zt*yt) AS q, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM d),
+f AS MATERIALIZED (SELECT *, a*c - b*b AS det, (c*p - b*q) / (a*c - b*b) AS bx, (a*q - b*p) / (a*c - b*b) AS bz FROM g),
+h AS MATERIALIZED (SELECT l_suppkey, x, xc, z, raw, bz*z AS h1, raw - yt - bx*(x - xt) - bz*(z - zt) AS h2, (a*zt - b*xt) / det * (yt - bx*xt - bz*zt) AS c FROM d, f),
+m AS MATERIALIZED (SELECT regr_slope(h1, x) AS d1, regr_slope(h2, x) AS d2, regr_intercept(h1, x) AS i1, regr_intercept(h2, x) AS i2, regr_slope(z, x) AS gamma, regr_slope(raw, x) AS base, sum(xc*xc) AS xx FROM h),
+k AS (SELECT sum(xc / xx * (h1 - i1 - d1*x)) AS a1, sum(xc / xx * (h2 - i2 - d2*x)) AS a2, sum(c) AS c FROM h, m GROUP BY l_suppkey),
+v AS (SELECT count(*) / (count(*) - 1.0) AS big, sum(a1*a1) AS v11, sum(a1*a2) AS v12, sum(a2*a2) AS v22, sum(a1*c) AS v1c, sum(c*c) AS vcc FROM k),
+r AS (SELECT d1, d2, base, big*v11 + gamma*gamma*big*(n - 1) / (n - 2 - parts)*vcc + 2*gamma*big*v1c AS s1, big*v22 AS s2, big*v12 AS s12 FROM v, m, f)
+SELECT 'discount' AS part, {_sig('d1')} AS delta, {_sig('sqrt(s1)')} AS se, {_sig('d1 / base')} AS share FROM r
+UNION ALL SELECT 'l_partkey', {_sig('d2')}, {_sig('sqrt(s2)')}, {_sig('d2 / base')} FROM r
+UNION ALL SELECT 'total', {_sig('d1 + d2')}, {_sig('sqrt(s1 + s2 + 2*s12)')}, {_sig('(d1 + d2) / base')} FROM r"""
 #: Orders and suppliers of these tables are one component that no order holds together alone, so only orders of one line go.
 ORACLE_SQL["leave_out_set"] = "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1"
 ORACLE_SQL["group_individual_reg"] = f"""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS g, l_suppkey FROM lineitem),

@@ -6,7 +6,8 @@ import pytest
 
 from quadrat.functions.tables import records
 from quadrat.operators.absorb import absorb, absorb_cached
-from quadrat.operators.decompose import bootstrap, decompose, sample_hash
+from quadrat.operators.decompose import decompose, sample_hash
+from quadrat.operators.resample import bootstrap
 from quadrat.operators.model import fit
 
 

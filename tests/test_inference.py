@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.operators.decompose import bootstrap
+from quadrat.operators.resample import bootstrap
 from quadrat.operators.graph import largest_pair, mobility_profile
 from quadrat.operators.model import UNAVAILABLE, clamped, feols, fit, small_sample
 from quadrat.plans.formula import Effect, parse

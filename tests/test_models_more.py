@@ -11,7 +11,8 @@ from quadrat.functions.tables import model_table, parts_table, render
 from quadrat.operators import absorb as absorb_module
 from quadrat.operators.absorb import absorb
 from quadrat.operators.akm import akm_kss, bipartite, cut_workers, leave_out_csv, leave_out_set, subsampling
-from quadrat.operators.decompose import bootstrap, decompose
+from quadrat.operators.decompose import decompose
+from quadrat.operators.resample import bootstrap
 from quadrat.operators.groups import fit_groups
 from quadrat.operators.model import feols, fit, partial_out, prepare_formula
 from quadrat.plans.formula import Effect
