@@ -70,3 +70,27 @@ def render(rows: list[dict[str, str]], kind: str = "markdown") -> str:
 def records(result) -> list[dict]:
     """The rows of a model's or a decomposition's tidy() as plain records, with NaN as None, for frames and other table packages."""
     return [{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()} for r in result.tidy()]
+
+
+def plot_data(d, target: str, keep: str | None = None, drop: str | None = None, labels: dict[str, str] | None = None, other: bool = True, least: float = 1e-12) -> dict:
+    """A waterfall of one target's movement to draw with any plotting package: bars from `bottom` over `height`, and lines between them.
+
+    keep and drop are patterns for groups; what they leave out is one bar of its own, so bars still lead from base to full, unless
+    other is False. share: of the movement, None where that is under least. A bar's kind is endpoint, group or other.
+    """
+    labels, j = labels or {}, d.targets.index(target)
+    shown = [g for g in d.groups if (keep is None or re.search(keep, g)) and not (drop and re.search(drop, g))]
+    moves = [(g, "group", float(d.delta[d.groups.index(g), j])) for g in shown]
+    rest = [float(d.delta[i, j]) for i, g in enumerate(d.groups) if g not in shown]
+    if rest and other:
+        moves.append(("Other (filtered)", "other", sum(rest)))
+    base, full, movement = float(d.base[j]), float(d.full[j]), float(d.total[j])
+    bars, at = [{"label": labels.get("base", "base"), "kind": "endpoint", "start": 0.0, "end": base, "share": None}], base
+    for name, kind, value in moves:
+        bars.append({"label": labels.get(name, name), "kind": kind, "start": at, "end": at - value, "share": value / movement if abs(movement) > least else None})
+        at -= value
+    bars.append({"label": labels.get("full", "full"), "kind": "endpoint", "start": 0.0, "end": full, "share": None})
+    bars = [{"position": i, **b, "bottom": min(b["start"], b["end"]), "height": abs(b["end"] - b["start"])} for i, b in enumerate(bars)]
+    # a line leaves where a bar ends, and meets the next where it starts, or where the last one ends
+    lines = [{"from": a["position"], "to": b["position"], "left": a["end"], "right": b["end"] if b["kind"] == "endpoint" else b["start"]} for a, b in zip(bars, bars[1:], strict=False)]
+    return {"target": target, "bars": bars, "lines": lines}
