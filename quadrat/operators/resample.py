@@ -56,7 +56,7 @@ def draws(units: DataFrame, reps: int, seed: int, most_counts: int | None = None
         ends[row[0] + 1] = row[1]
     ends = np.cumsum(ends)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges of buckets keep the tree's nodes that tasks share few
+    # by ranges of buckets, so that tasks share few nodes of the tree
     dealt = dealt.repartitionByRange(parts, "__bucket").sortWithinPartitions("__bucket", unit)
     schema = f"`{unit}` {units.schema[unit].dataType.simpleString()}, __draws binary"
     return keep_cut(dealt.mapInPandas(_bucket_draws(unit, ends, reps, seed), schema))
@@ -85,7 +85,8 @@ def _bucket_draws(unit, ends, reps, seed):
 
         def drawn(bucket, ids):
             n = len(ids)
-            generator = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, 1, int(bucket)])))
+            # nodes are numbered from 1 and keys are padded with zeros, so no node has a bucket's key
+            generator = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, 0, int(bucket) + 1])))
             counts = generator.multinomial(totals(bucket), np.full(n, 1 / n)).T.astype(">u2")
             return pd.DataFrame({unit: ids.to_numpy(), "__draws": [row.tobytes() for row in counts]})
 
