@@ -319,6 +319,22 @@ def test_url_filter_sql(spark, tmp_path):
     assert got == wanted and len({x[5] for x in got}) < 100
 
 
+def test_url_filter_contract(spark, tmp_path):
+    """The query's rules are the contract's, in code and SQL."""
+    import duckdb
+
+    from quadrat.llm.queries import ORACLE_SQL, QUERIES
+
+    urls = ["http://a.com/en/1", "http://a.example.com/en/7", "http://a.net/de/1", "http://x.example.net/de/8", "http://x.example.net/de/7", "http://a.org/es/", "http://a.org/de/"]
+    wanted = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+    spark.createDataFrame([(i, u, "<p>x</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    got = QUERIES["op4_url_filter"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == wanted
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    assert [x[3:5] for x in sorted(own.sql(ORACLE_SQL["op4_url_filter"]).fetchall())] == wanted
+
+
 def test_language_id(spark):
     r = random.Random(1)
     word = {"xx": lambda: r.choice(["lorem", "ipsum", "dolor"]), "yy": lambda: r.choice(["straße", "über", "ähnlich"])}
