@@ -1,9 +1,11 @@
 """Workers whose leaving splits the graph of movers and firms, found in the cluster.
 
 Movers between the same two firms are edges side by side: two of them stand for all, and neither splits anything. Tasks then
-reduce the edges they are dealt to a certificate: a scan-first forest, and a spanning forest of the rest. Where
+reduce the workers they are dealt to a certificate: a scan-first forest, and a spanning forest of the rest. Where
 two nodes hang together without a third, they do so in the certificate as well, whatever other edges are added; so certificates of parts are dealt
-out anew and reduced again, until one task takes what is left and searches it depth-first.
+out anew and reduced again, until one task takes what is left and searches it depth-first. A task has all edges of its workers, so
+one with a single edge left splits nothing and goes, and one with two is itself an edge between firms, of which forests
+keep two for each firm: what is left grows with the firms, not with the workers.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .graph import joined_nodes
 from .sample import keep_cut
 
-#: Edges that one task takes.
-MOST_TASK_EDGES = 5_000_000
+#: Edges that the last task takes, and about as many as one that reduces them is dealt.
+MOST_TASK_EDGES, TASK_EDGES = 5_000_000, 2_000_000
 
 
 def scan_first_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -66,10 +68,23 @@ def _coded(batches):
 
 def _reduced(batches):
     batches = list(batches)
-    if batches:
-        table, w, f, n_workers, n_firms = _coded(batches)
-        kept = np.flatnonzero(certificate(w, f + n_workers, n_workers + n_firms))
-        yield from table.take(kept).to_batches(max_chunksize=200_000)
+    if not batches:
+        return
+    table, w, f, n_workers, n_firms = _coded(batches)
+    rows = np.arange(len(w))
+    while True:
+        degree = np.bincount(w[rows], minlength=n_workers)[w[rows]]
+        two, hub = rows[degree == 2], rows[degree > 2]
+        two = two[np.argsort(w[two], kind="stable")]
+        hubs, at = np.unique(w[hub], return_inverse=True)
+        a, b = np.concatenate([f[two[::2]], f[hub]]), np.concatenate([f[two[1::2]], n_firms + at])
+        kept = certificate(a, b, n_firms + len(hubs))
+        pairs = kept[: len(two) // 2]
+        now = np.concatenate([two[::2][pairs], two[1::2][pairs], hub[kept[len(two) // 2 :]]])
+        if len(now) == len(rows):
+            break
+        rows = now
+    yield from table.take(np.sort(rows)).to_batches(max_chunksize=200_000)
 
 
 def _searched(batches):
@@ -95,9 +110,9 @@ def splitting_workers(movers: DataFrame, most_edges: int | None = None) -> DataF
     edges = keep_cut(some.unionByName(hubs))
     n, turn = edges.count(), 0
     while n > most:
-        # By a node's side in turn, so that edges meet others of the same worker, then of the same firm.
-        parts = math.ceil(n / most) + 1
-        dealt = edges.repartition(parts, F.xxhash64(F.lit(turn), "worker" if turn % 2 else "firm"))
+        # By worker, so that a task has all edges of each of its workers; in every turn they meet others.
+        parts = math.ceil(n / min(most, TASK_EDGES)) + 1
+        dealt = edges.repartition(parts, F.xxhash64(F.lit(turn), "worker"))
         edges, before = keep_cut(dealt.mapInArrow(_reduced, schema)), n
         n, turn = edges.count(), turn + 1
         if n > 0.98 * before and turn > 4:

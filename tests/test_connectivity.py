@@ -57,3 +57,12 @@ def test_same_set(spark):
         assert a == b
         sizes.add(len(a))
     assert len(sizes) > 1
+
+
+def test_many_workers_of_few_firms(spark):
+    """Workers at three firms and more, of which no edge is spare while workers are nodes: what is left grows with the firms."""
+    g = np.random.default_rng(5)
+    rows = [(w, int(f)) for w in range(400) for f in g.choice(7, g.integers(3, 6), replace=False)]
+    rows += [(1000, 1), (1000, 90), (1001, 2), (1001, 91), (1002, 2), (1002, 91), (1003, 3), (1003, 92), (1003, 93)]
+    got = splitting_workers(spark.createDataFrame(rows, "worker long, firm long"), 120)
+    assert sorted(r.worker for r in got.collect()) == [1000, 1003]
