@@ -482,14 +482,14 @@ def tails(spark, d):
     """Tails of each part's mean quantity, with its lines as degrees of freedom, and a quantile at its mean discount."""
     parts = _lines(spark, d).groupBy("l_partkey").agg((F.avg("l_quantity") / 10).alias("x"), F.count(F.lit(1)).alias("n"), (F.avg("l_discount") * 5).alias("u"))
     m = distributions
-    of = {f"student_{k}": lambda x, n, u, k=k: m.student_p(x, k) for k in (1, 2, 4)} | {f"chi2_{k}": lambda x, n, u, k=k: m.chi2_tail(x, k) for k in (2, 4, 6)} | {"f_2": lambda x, n, u: m.f_tail(x, 2, n)}
+    of = {f"student_{k}": lambda x, n, k=k: m.student_ps(x, k) for k in (1, 2, 4)} | {f"chi2_{k}": lambda x, n, k=k: m.chi2_tails(x, k) for k in (2, 4, 6)} | {"f_2": lambda x, n: m.f_tails(x, 2, n)}
 
     def run(batches):
         for part in batches:
-            rows = list(zip(part["x"], part["n"], part["u"], strict=True))
+            x, n, u = (part[c].to_numpy(float) for c in "xnu")
             for name, f in of.items():
-                part[name] = [round(f(*r), 6) for r in rows]
-            part["quantile_1"] = [round(m.student_quantile(0.5 + u / 2, 1.0), 4) for _, _, u in rows]
+                part[name] = [round(v, 6) for v in f(x, n).tolist()]
+            part["quantile_1"] = [round(v, 4) for v in m.student_quantiles(0.5 + u / 2, 1.0).tolist()]
             yield part.drop(columns=["x", "n", "u"])
 
     key = parts.schema["l_partkey"].dataType.simpleString()
