@@ -137,9 +137,9 @@ def _cons_sql(vce: str, by: list[str] = ()) -> str:
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_cons_sql(v, b)})" for v, b in (("unadjusted", []), ("robust", []), ("cluster", ["l_suppkey"]))))
 def constant_inference(spark, d):
-    out = []
-    for vce in ("unadjusted", "robust", "cluster"):
-        r = fit(_lines(spark, d), Y, ["l_quantity", "l_discount"], ["l_partkey"], se_type=vce, clusters=["l_suppkey"] if vce == "cluster" else [])
+    out, rows, work = [], _lines(spark, d), {}
+    for vce in ("cluster", "unadjusted", "robust"):  # the first keeps the clusters' ids
+        r = fit(rows, Y, ["l_quantity", "l_discount"], ["l_partkey"], se_type=vce, clusters=["l_suppkey"] if vce == "cluster" else [], work=work)
         out.append((vce, float(r.coef[-1]), float(r.se[-1])))
     return _rows(spark, out, "vce string, cons double, se double")
 
@@ -154,9 +154,9 @@ _SSC = {"K.adj=0": "gc / (gc - 1)", "K.fixef=none": "gc / (gc - 1) * (n - 1) / (
 
 @query(" UNION ALL ".join(_ssc_sql(k, v) for k, v in _SSC.items()))
 def small_sample_options(spark, d):
-    out = []
+    out, rows, work = [], _lines(spark, d), {}
     for options in _SSC:
-        r = fit(_lines(spark, d), Y, ["l_quantity"], ["l_partkey"], clusters=["l_suppkey"], se_type="cluster", ssc=options)
+        r = fit(rows, Y, ["l_quantity"], ["l_partkey"], clusters=["l_suppkey"], se_type="cluster", ssc=options, work=work)
         out.append((options, float(r.se[0])))
     return _rows(spark, out, "options string, se double")
 

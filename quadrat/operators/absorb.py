@@ -53,10 +53,10 @@ def within(df: DataFrame, columns: list[str], key: str, weight: str | None = Non
     return both.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(c) - F.col(f"__m{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)])
 
 
-def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False, bound: float = 1e-8) -> tuple[DataFrame, dict]:
+def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = None, suffix: str = "_tilde", tol: float = 1e-13, effects: bool = False, bound: float = 1e-8, lean: bool = False) -> tuple[DataFrame, dict]:
     """The rows with <column>_tilde for each column, and how it went: method, iterations, certificate, certified.
 
-    bound: the greatest certificate that passes; a greater one raises.
+    bound: the greatest certificate that passes; a greater one raises. lean: the columns themselves may be left out of the rows.
 
     effects: also <column>_fe1, _fe2, ... with what each term contributes, and in how["terms"] for each term a DataFrame
     of its level coefficients: the key, then <column>_<carrier> (the carrier `const` or the slope's column).
@@ -64,8 +64,15 @@ def absorb(df: DataFrame, columns: list[str], keys: list, weight: str | None = N
     terms = [as_effect(k) for k in keys]
     if not terms:
         return df.select("*", *[F.col(c).alias(f"{c}{suffix}") for c in columns]), {"method": "none", "iterations": 0, "certificate": 0.0, "certified": True}
-    if len(terms) == 1 and not terms[0].slopes and not effects:
-        return keep_cut(within(df, columns, terms[0].keys[0], weight, suffix)), {"method": "means", "iterations": 1, "certificate": 0.0, "certified": True}
+    if len(terms) == 1 and not terms[0].slopes:
+        out, key = within(df, columns, terms[0].keys[0], weight, suffix), terms[0].keys[0]
+        if effects:
+            out = out.select("*", *[(F.col(c) - F.col(f"{c}{suffix}")).alias(f"{c}_fe1") for c in columns])
+        out = keep_cut(out.drop(*columns, *[f"{c}{suffix}" for c in columns if effects]) if lean else out)
+        how = {"method": "means", "iterations": 1, "certificate": 0.0, "certified": True}
+        if effects:
+            how["terms"] = [out.groupBy(key).agg(*[F.first(f"{c}_fe1").alias(f"{c}_const") for c in columns])]
+        return out, how
     w = F.col(weight) if weight else F.lit(1.0)
     cells, edges = [], {}
     for e in terms:

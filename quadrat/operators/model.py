@@ -291,7 +291,7 @@ def clamped(v: np.ndarray, scale: np.ndarray) -> np.ndarray | None:
     return (q * np.maximum(e, 0)) @ q.T / np.outer(scale, scale) if len(e) and e[0] < 0 else None
 
 
-def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | str | None = None, weight_kind: str | None = None, tol: float = 1e-8, tolerance_mode: str = "comparable", collinear_priority: list[str] = (), aliases: list[str] = (), backend: str = "cpu", threads: int | None = None, convergence: str = "auto", progress=None) -> Result:
+def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weights: str | None = None, fweights: bool = False, clusters: list[str] = (), se_type: str = "unadjusted", endogenous: list[str] = (), instruments: list[str] = (), intercept: bool = True, drop_singletons_: bool = True, na_action: str = "raise", level: float = 0.95, dof: str = "all", retain_fes: bool = False, ssc: dict | str | None = None, weight_kind: str | None = None, tol: float = 1e-8, tolerance_mode: str = "comparable", collinear_priority: list[str] = (), aliases: list[str] = (), backend: str = "cpu", threads: int | None = None, convergence: str = "auto", progress=None, work: dict | None = None) -> Result:
     """Fit y on x (endogenous ones last) after absorbing fes. Analytic weights, or frequency weights with fweights.
 
     An Effect in fes may have slopes. retain_fes: the sample gets fe1, fe2, ..., what each effect contributes to y.
@@ -304,6 +304,8 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     backend must be cpu; threads and convergence (auto, normchange, sweep or both) are taken and change nothing: Spark deals
     out the work, and what is solved is certified. progress: called with a line of text at each step.
     Where inference isn't available (no degrees of freedom left, fewer than two clusters) standard errors are NaN.
+    work: a dict that keeps the sample and what is absorbed from one fit for later ones of the same rows, columns, effects and weights, which
+    may differ in their inference; their clusters must be the first one's, or fewer, or effects.
     """
     small = small_sample(ssc)
     if backend != "cpu" or convergence not in ("auto", "normchange", "sweep", "both"):
@@ -331,22 +333,30 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     slopes = {z: f"__z{i}" for i, z in enumerate(dict.fromkeys(z for e in effects for z in e.slopes))}
     fes = [Effect(e.keys, tuple(slopes[z] for z in e.slopes), e.intercept) for e in effects]
     plain = [e.keys[0] for e in effects if e.intercept]
-    picked = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(vs)], *[F.col(z).cast("double").alias(c) for z, c in slopes.items()], *([F.col(weights).cast("double").alias("__w")] if weights else []), *[F.col(c).alias(c) for c in ids])
-    cols = [f"__v{i}" for i in range(len(vs))]
-    rows = check(picked, cols + list(slopes.values()) + (["__w"] if weights else []), ids, na_action)
-    if weights and rows.where("__w < 0" + (" OR __w <> floor(__w) OR __w = 0" if fweights else "")).limit(1).count():
-        raise ValueError("weights must be" + (" positive whole numbers" if fweights else " at least 0"))
-    rows = drop_singletons(rows, plain, "__w" if fweights else None) if plain and drop_singletons_ else keep_cut(rows)
-    w = F.col("__w") if weights else F.lit(1.0)
-    told = rows.agg(F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(c)) / F.sum(w) for c in cols]).first()
+    cols, w = [f"__v{i}" for i in range(len(vs))], F.col("__w") if weights else F.lit(1.0)
+    asked = (df, vs, effects, weights, fweights, intercept, drop_singletons_, na_action, bound)
+    if work and work["asked"][0] is df and work["asked"][1:] == asked[1:] and set(ids) <= set(work["ids"]):
+        rows, told, tilde, how = (work[k] for k in ("rows", "told", "tilde", "how"))
+    else:
+        picked = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(vs)], *[F.col(z).cast("double").alias(c) for z, c in slopes.items()], *([F.col(weights).cast("double").alias("__w")] if weights else []), *[F.col(c).alias(c) for c in ids])
+        rows = check(picked, cols + list(slopes.values()) + (["__w"] if weights else []), ids, na_action)
+        if weights and rows.where("__w < 0" + (" OR __w <> floor(__w) OR __w = 0" if fweights else "")).limit(1).count():
+            raise ValueError("weights must be" + (" positive whole numbers" if fweights else " at least 0"))
+        rows = drop_singletons(rows, plain, "__w" if fweights else None) if plain and drop_singletons_ else keep_cut(rows)
+        told = rows.agg(F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(c)) / F.sum(w) for c in cols]).first()
+        tilde = how = None
     if not told[0]:
         raise ValueError("no rows are left")
     n_rows, w_sum, means = told[0], float(told[1]), np.array(told[2:], float)
     say(f"the sample has {n_rows} rows")
     n = int(w_sum) if fweights or weight_kind == "i" else n_rows
     cons = intercept and not fes
-    centred = rows.select(*rows.columns, *[(F.col(c) - float(m if cons or plain else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
-    tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None, bound=bound)
+    if tilde is None:
+        centred = rows.select(*rows.columns, *[(F.col(c) - float(m if cons or plain else 0.0)).alias(f"{c}c") for c, m in zip(cols, means, strict=True)])
+        tilde, how = absorb(centred, [f"{c}c" for c in cols], list(fes), "__w" if weights else None, bound=bound, lean=True)
+        if work is not None:
+            work.clear()
+            work.update(asked=asked, ids=ids, rows=rows, told=told, tilde=tilde, how=how, dof={})
     say(f"absorbed by {how['method']} in {how['iterations']} rounds")
     t = [f"{c}c_tilde" for c in cols]
     # Squares without weights tell what the effects explain; one pass gives them and the products.
@@ -394,7 +404,10 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
     centre = intercept or bool(fes)
     middle_y = float(means[0]) if centre else 0.0
     rss, tss = (float(v) for v in scored.agg(F.sum(w * F.col("__u") ** 2), F.sum(w * (F.col("__v0") - middle_y) ** 2)).first())
-    dof = absorbed(rows, list(fes), list(clusters), intercept, dof, "__w" if weights else None)
+    searched = work["dof"] if work else {}
+    if (of := (dof, *clusters)) not in searched:
+        searched[of] = absorbed(rows, list(fes), list(clusters), intercept, dof, "__w" if weights else None)
+    dof = searched[of]
     df_a = dof["df_a"] if fes else 0
     p = len(kept) + intercept
     df_r = n - len(kept) - (df_a if fes else cons)
@@ -458,9 +471,10 @@ def fit(df: DataFrame, y: str, x: list[str], fes: list[str | Effect] = (), weigh
         raise RuntimeError("the fit gave coefficients or variances that aren't finite")
     if retain_fes and fes:
         left = F.col("__v0") - sum((F.col(f"__v{j}") * float(v) for j, v in zip(kept, b, strict=True)), F.lit(float(coef[len(xs)]) if intercept else 0.0))
-        scored, _ = absorb(scored.withColumn("__d", left), ["__d"], list(fes), "__w" if weights else None, effects=True)
+        scored, _ = absorb(scored.select(*rows.columns, "__u", left.alias("__d")), ["__d"], list(fes), "__w" if weights else None, effects=True, lean=True)
         if not slopes:
-            scored = keep_cut(normalise(scored, [f"__d_fe{i + 1}" for i in range(len(fes))], plain, "__w" if weights else None))
+            scored = normalise(scored, [f"__d_fe{i + 1}" for i in range(len(fes))], plain, "__w" if weights else None)
+            scored = keep_cut(scored) if len(fes) > 1 else scored  # with one it is a column less a number
     shown = [F.col(f"__d_fe{i + 1}").alias(([*aliases, *[f"fe{j + 1}" for j in range(len(aliases), len(fes))]])[i]) for i in range(len(fes))] if retain_fes else []
     sample = scored.select(*shown, *ids, F.col("__v0").alias("__y"), "__u", *([F.col("__w")] if weights else []), *[F.col(f"__v{i + 1}").alias(c) for i, c in enumerate(xs)])
     return Result(terms, coef, vcov, n, df_r, len(kept), df_a, rss * scale, tss * scale, float(gram[0, 0]) * scale, sample, how, dof, {xs[j]: r for j, r in omitted.items()}, level, y, [e.name for e in effects], se_type, list(clusters), checks, available, bool(retain_fes and fes))

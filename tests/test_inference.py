@@ -120,3 +120,34 @@ def test_powers_and_category_products(spark):
     assert np.allclose(r.coef, np.linalg.lstsq(z, p.y, rcond=None)[0])
     full = feols("y ~ i.g:x", df)  # without x by itself all levels get a slope
     assert full.terms == ["g[0]:x", "g[1]:x", "g[2]:x", "_cons"] and not full.omitted
+
+
+def test_shared_work(spark, monkeypatch):
+    """Fits that differ in their inference absorb once and give what each gives alone; other columns or effects are absorbed anew."""
+    from quadrat.operators import model
+
+    g = np.random.default_rng(12)
+    df = spark.createDataFrame([(int(a), int(b), float(x), float(y)) for a, b, x, y in zip(g.integers(0, 9, 90), g.integers(0, 6, 90), g.normal(size=90), g.normal(size=90), strict=True)], "firm long, year long, x double, y double")
+    calls, plain = [], model.absorb
+    monkeypatch.setattr(model, "absorb", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    asked = [{"se_type": "cluster", "clusters": ["year"]}, {"se_type": "cluster", "clusters": ["year"], "ssc": "K.adj=0"}, {}, {"se_type": "robust"}]
+    work = {}
+    shared = [fit(df, "y", ["x"], ["firm"], work=work, **o) for o in asked]
+    assert len(calls) == 1
+    for a, o in zip(shared, asked, strict=True):
+        b = fit(df, "y", ["x"], ["firm"], **o)
+        assert np.allclose(a.coef, b.coef, rtol=1e-12) and np.allclose(a.vcov, b.vcov, rtol=1e-12) and a.dof == b.dof
+    calls.clear()
+    fit(df, "y", ["x"], ["year"], work=work)
+    assert len(calls) == 1
+
+
+def test_one_effect_recovered(spark):
+    """One effect's levels are means, without a solver, and the rows don't keep what was subtracted."""
+    from quadrat.operators.absorb import absorb
+
+    df = spark.createDataFrame([(i % 7, float(i * i % 31), 1.0 + i % 3) for i in range(70)], "firm long, y double, w double")
+    out, how = absorb(df, ["y"], ["firm"], "w", effects=True, lean=True)
+    assert how["method"] == "means" and "y" not in out.columns
+    want = {r.firm: r.m for r in df.groupBy("firm").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m")).collect()}
+    assert all(abs(r.y_const - want[r.firm]) < 1e-12 for r in how["terms"][0].collect()) and all(abs(r.y_fe1 - want[r.firm]) < 1e-12 for r in out.collect())
