@@ -88,3 +88,23 @@ def test_hot_levels_in_the_iterations(spark, monkeypatch):
     assert how["method"] == "spread levels"
     a, b = (np.sort([r[0] for r in x.select("y_tilde").collect()]) for x in (want, got))
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_pair_in_blocks(spark, monkeypatch):
+    """Two effects beyond what the driver takes are solved on blocks, also with weights of zero and recovered effects, and a chain still ends."""
+    from quadrat.operators import absorb as m
+
+    g = np.random.default_rng(21)
+    rows = [(int(a), f"s{b}", float(y), float(w)) for a, b, y, w in zip(g.integers(0, 60, 500), g.integers(0, 12, 500), g.normal(size=500), g.integers(1, 4, 500), strict=True)] + [(99, "s99", 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "part long, supplier string, y double, w double").withColumn("row", F.monotonically_increasing_id())
+    want, _ = m.absorb(df, ["y"], ["supplier", "part"], "w", effects=True)
+    want = {r.row: r for r in want.collect()}
+    monkeypatch.setattr(m, "MOST_PAIR_CELLS", 0)
+    monkeypatch.setattr(m, "PAIR_MATCHES", 100)
+    monkeypatch.setattr(m, "_spread", None)
+    monkeypatch.setattr(m, "_solve", None)
+    got, how = m.absorb(df, ["y"], ["supplier", "part"], "w", effects=True)
+    got = got.collect()
+    assert len(got) == 501 and how["certified"] and 0 < how["iterations"] < 60
+    assert all(abs(r.y_tilde - want[r.row].y_tilde) < 1e-9 for r in got)
+    assert {r["part"] for r in how["terms"][1].collect()} == {x[0] for x in rows}
