@@ -3,7 +3,8 @@
 df has a row for each member of a group. The group's own columns are constant in it and are collapsed to one row; the
 pairs (group, individual) are the bridge. Individual effects enter a group's row through the bridge, so the
 projection is solved on levels by conjugate gradients, whose products go from levels to groups and back. Up to MOST_PAIRS
-members, counted first, the driver does so; beyond, tasks do (spread_groups.py).
+members, counted first, the driver does so; beyond, tasks do (spread_groups.py). Members are gathered in a row for each group, so neither
+the search for singletons nor the projection shuffles the bridge again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .graph import absorbed
 from .model import Result, fit
-from .sample import check, collapse, keep_cut
+from .sample import check, collapse, counted, keep_cut
 
 MOST_PAIRS = 20_000_000
 
@@ -24,19 +25,36 @@ MOST_PAIRS = 20_000_000
 def shared_singletons(df: DataFrame, group: str, individual: str, fes: list[str], most_rounds: int = 200) -> DataFrame:
     """Drop whole groups until each level of fes and each individual is in two groups or more."""
     pairs = keep_cut(df.select(group, individual, *fes).distinct())
-    before = pairs.count()
+    left = _settled(pairs, group, [*fes, individual], lambda t, key: t.select(group, key), most_rounds)
+    if left is pairs:
+        return df.where(F.col(group).isNotNull())
+    return df.join(left.select(group).distinct(), group, "left_semi")
+
+
+def _settled(table: DataFrame, group: str, keys: list[str], pairs, most_rounds: int = 200) -> DataFrame:
+    """table without the groups of shared_singletons(), itself if there are none; pairs(table, key) are its groups and levels, repeated or not.
+
+    A level is alone if its least group is its greatest, so tasks send one row for each level that they have, and no pair is shuffled."""
     for _ in range(most_rounds):
-        for key in [*fes, individual]:
-            alone = pairs.groupBy(key).agg(F.countDistinct(group).alias("__n"), F.min(group).alias("__g")).where("__n < 2").select(F.col("__g").alias(group)).distinct()
-            pairs = pairs.join(alone, group, "left_anti")
-        pairs = keep_cut(pairs)
-        after = pairs.count()
-        if after == before:
-            return df.join(pairs.select(group).distinct(), group, "left_semi")
-        before = after
+        before = table
+        for key in keys:
+            ends = pairs(table, key).groupBy(F.col(key).alias("__key")).agg(F.min(group).alias("__low"), F.max(group).alias("__high"))
+            alone = keep_cut(ends.where(F.col("__low").eqNullSafe(F.col("__high"))).select(F.col("__low").alias(group)).distinct())
+            if number := alone.count():
+                table = keep_cut(table.join(counted(alone, number), group, "left_anti"))
+        if table is before:
+            return table
     raise RuntimeError("singletons did not settle")
 
 
+def _gathered(rows: DataFrame, group: str, individual: str, columns: list[str]) -> DataFrame:
+    """A row for each group: its columns, whether one varies, and its members (__members), each once."""
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | (F.min(c) != F.max(c))
+    return rows.groupBy(group).agg(*[F.min(c).alias(c) for c in columns], differs.alias("__varies"), F.sort_array(F.collect_set(individual)).alias("__members"))
+
+
 def _project(table, bridge, columns: list[str], fes: list[str], weight, aggregation: str, tol: float = 1e-13):
     """Columns of table less what individual effects (bridge: row, level) and fes explain; the coefficients, and rounds."""
     row, level = bridge
@@ -96,14 +114,19 @@ def fit_groups(df: DataFrame, y: str, x: list[str], group: str, fes: list[str] =
     if options.keys() & {"endogenous", "instruments", "retain_fes"}:
         raise ValueError("individual effects go with neither instruments nor retained effects")
     rows = check(df.select(group, individual, *own), [y, *x, *([weights] if weights else [])], list(dict.fromkeys([group, individual, *fes, *clusters])), na_action)
-    rows = keep_cut(shared_singletons(rows, group, individual, fes))
-    table = keep_cut(collapse(rows, group, own))
-    bridge = keep_cut(rows.select(group, individual).distinct())
-    count, columns = bridge.count(), list(dict.fromkeys([y, *x]))
+    gathered = keep_cut(_gathered(rows, group, individual, own))
+    members = lambda t, *kept: t.select(*[c for c in kept if c != individual], F.explode("__members").alias(individual))
+    gathered = _settled(gathered, group, [*fes, individual], lambda t, key: members(t, group) if key == individual else t.select(group, key))
+    if not gathered.where("__varies").isEmpty():
+        raise ValueError("a column varies inside a group")
+    table = gathered.select(group, *own)
+    count, columns = gathered.agg(F.sum(F.size("__members"))).first()[0], list(dict.fromkeys([y, *x]))
     if not count:
         raise ValueError("no groups are left")
-    project = _spread_project if spread or spread is None and count > MOST_PAIRS else _driver_project
-    left, levels, rounds = project(table, bridge, columns, group, individual, fes, weights, aggregation)
+    if spread or spread is None and count > MOST_PAIRS:
+        left, levels, rounds = _spread_project(gathered, members, columns, group, individual, fes, weights, aggregation)
+    else:
+        left, levels, rounds = _driver_project(table, members(gathered, group), columns, group, individual, fes, weights, aggregation)
     own_w = F.col(weights).cast("double") if weights else F.lit(1.0)
     sums = table.agg(F.count(F.lit(1)), F.sum(own_w), *[F.sum(own_w * F.col(c)) for c in columns], *[F.sum(F.col(c).cast("double") ** 2) for c in columns]).first()
     means = {c: float(sums[2 + i] / sums[1]) for i, c in enumerate(columns)}
@@ -111,9 +134,10 @@ def fit_groups(df: DataFrame, y: str, x: list[str], group: str, fes: list[str] =
     nought = {c for i, c in enumerate(columns) if squares[i] <= 1e-9 * sums[2 + len(columns) + i]}
     left = left.select("group", *[(F.lit(0.0) if c in nought else F.col(c)).alias(c) for c in columns])
     kept = [c for c in dict.fromkeys([*clusters, *([weights] if weights else [])]) if c != group]
-    made = keep_cut(left.withColumnRenamed("group", group).join(table.select(group, *kept), group))
+    made = left.withColumnRenamed("group", group)
+    made = keep_cut(made.join(table.select(group, *kept), group) if kept else made)
     r = fit(made, y, x, [], weights=weights, clusters=clusters, se_type=se_type, intercept=False, **options)
-    dof = absorbed(rows.select(*dict.fromkeys([*fes, individual, *clusters])), [*fes, individual], clusters, True)
+    dof = absorbed(members(gathered, *dict.fromkeys([*fes, *clusters])), [*fes, individual], clusters, True)
     k, n, df_a = r.df_model, r.n, dof["df_a"]
     free = n - k - df_a - (int(any(dof["nested"])) if clusters and df_a else 0)
     r.vcov *= (n - k) / free if free > 0 else np.nan
@@ -147,17 +171,29 @@ def _driver_project(table, bridge, columns, group, individual, fes, weights, agg
     return made.withColumn("group", F.col("group").cast(table.schema[group].dataType)), found.withColumn("level", F.col("level").cast(bridge.schema[individual].dataType)), rounds
 
 
-def _spread_project(table, bridge, columns, group, individual, fes, weights, aggregation):
-    """As _driver_project(), in the cluster."""
-    from .spread_groups import SpreadGroups
-
-    text = lambda c: F.col(c).cast("string")
-    sized = bridge.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    share = 1 / F.col("__size") if aggregation == "mean" else F.lit(1.0)
-    entries = bridge.join(sized, group).select(F.col(group).alias("group"), F.lit(0).alias("kind"), text(individual).alias("level"), share.cast("double").alias("share"))
-    for d, k in enumerate(fes, 1):
-        entries = entries.unionByName(table.select(F.col(group).alias("group"), F.lit(d).alias("kind"), text(k).alias("level"), F.lit(1.0).alias("share")))
-    values = [*columns, *([weights] if weights and weights not in columns else [])]
-    system = SpreadGroups(entries, table.select(F.col(group).alias("group"), *[c for c in values if c != "group"]), columns, weights)
-    left, levels = system.project()
-    return left, keep_cut(levels.withColumn("level", F.col("level").cast(bridge.schema[individual].dataType))), system.rounds
+def _spread_project(gathered, members, columns, group, individual, fes, weights, aggregation):
+    """As _driver_project(), in the cluster: groups stay there; levels' vectors are held by the driver if they are few enough, else in buckets."""
+    from . import spread_groups
+
+    kinds, levels = [individual, *fes], None
+    for d, k in enumerate(kinds):
+        # members of any type, other levels as text
+        found = (members(gathered) if d == 0 else gathered.select(k)).distinct()
+        found = found.select(F.lit(d).alias("kind"), F.col(k).cast("string").alias("level"), F.xxhash64(F.lit(d), k).alias("node"))
+        levels = found if levels is None else levels.unionByName(found)
+    levels = keep_cut(levels)
+    number = levels.count()
+    if number * len(columns) <= spread_groups.MOST_VALUES:
+        left, solved, rounds = spread_groups.few_levels(gathered, levels, columns, group, fes, weights, aggregation)
+    else:
+        text = lambda c: F.col(c).cast("string")
+        share = 1 / F.size("__members") if aggregation == "mean" else F.lit(1.0)
+        entries = gathered.select(F.col(group).alias("group"), F.lit(0).alias("kind"), F.explode("__members").alias("level"), share.cast("double").alias("share")).withColumn("level", text("level"))
+        for d, k in enumerate(fes, 1):
+            entries = entries.unionByName(gathered.select(F.col(group).alias("group"), F.lit(d).alias("kind"), text(k).alias("level"), F.lit(1.0).alias("share")))
+        values = [*columns, *([weights] if weights and weights not in columns else [])]
+        system = spread_groups.SpreadGroups(entries, gathered.select(F.col(group).alias("group"), *[c for c in values if c != "group"]), columns, weights)
+        left, solved = system.project()
+        rounds = system.rounds
+    kind = gathered.schema["__members"].dataType.elementType
+    return left, keep_cut(solved.withColumn("level", F.col("level").cast(kind))), rounds

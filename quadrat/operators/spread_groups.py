@@ -3,6 +3,9 @@
 A group's row is the sum of its members' effects, each times its share, and of the effects of the group's own levels. Groups are dealt out to
 blocks with their bridge (group, level, share), levels lie in buckets, and gradients go over them as in spread_akm: a block turns
 the levels' values into values of its groups and those back into its part of each level's sum. One group's bridge is held by one task.
+
+Up to MOST_VALUES the levels' vectors are held by the driver (few_levels): a round broadcasts a direction, tasks read their groups where these
+were written, and what is shuffled are the sums of each task, so that no group or bridge moves in a round.
 """
 
 from __future__ import annotations
@@ -18,6 +21,121 @@ from .sample import keep_cut
 from .spread_akm import BLOCK, BUCKET, Block, SpreadSystem, _arrays, _bucket, _table
 
 
+#: Levels times columns up to which the driver holds the gradients' vectors, and levels in one message of a task.
+MOST_VALUES, LEVELS_SENT = 4_000_000, 50_000
+
+
+def few_levels(gathered: DataFrame, levels: DataFrame, columns: list[str], group: str, fes: list[str], weight: str | None, aggregation: str, tol: float = 1e-12, most_rounds: int = 5000) -> tuple[DataFrame, DataFrame, int]:
+    """(group, columns less what levels explain), (kind, level, columns' coefficients) and rounds, from rows of groups with their
+    __members and the levels (kind, level, node)."""
+    import pyarrow as pa
+
+    spark, width, own = gathered.sparkSession, len(columns), len(fes)
+    nodes = np.sort(levels.select("node").toArrow()["node"].to_numpy())
+    if (nodes[1:] == nodes[:-1]).any():
+        raise RuntimeError("two ids share a hash")
+    mean, n, every = aggregation == "mean", len(nodes), spark.sparkContext.broadcast(nodes)
+    node = F.concat(F.transform("__members", lambda m: F.xxhash64(F.lit(0), m)), F.array(*[F.xxhash64(F.lit(d), k) for d, k in enumerate(fes, 1)]).cast("array<bigint>"))
+    told = gathered.select(F.col(group).alias("g"), node.alias("node"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def packed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            entries, rows = b.column("node"), b.num_rows
+            low, high = entries.offsets[0].as_py(), entries.offsets[rows].as_py()
+            at = np.searchsorted(every.value, entries.values.to_numpy()[low:high]).astype(np.int32)
+            c = np.stack([b.column(f"c{i}").to_numpy() for i in range(width)])
+            sizes = np.diff(entries.offsets.to_numpy()[: rows + 1]).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), b.column("g"))
+            yield pa.record_batch([kept, *(pa.array([v.tobytes()], pa.binary()) for v in (sizes, at, b.column("w").to_numpy(), c))], ["g", "sizes", "at", "w", "c"])
+
+    blocks = keep_cut(told.mapInArrow(packed, f"g array<{gathered.schema[group].dataType.simpleString()}>, sizes binary, at binary, w binary, c binary"))
+    tasks = spark.sparkContext.defaultParallelism
+
+    def opened(batches):
+        """Of each block its row, each entry's level, share and group, where groups begin, their weights and columns."""
+        for b in batches:
+            for i in range(b.num_rows):
+                sizes, at, w, c = (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in (("sizes", np.int32), ("at", np.int32), ("w", float), ("c", float)))
+                first = np.cumsum(sizes) - sizes
+                share = np.repeat(1.0 / (sizes - own) if mean else np.ones(len(sizes)), sizes)
+                for d in range(own):
+                    share[first + sizes - 1 - d] = 1.0
+                yield b.column("g")[i].values, at, share, np.repeat(np.arange(len(sizes)), sizes), first, w, c.reshape(width, -1)
+
+    def summed(add, height: int) -> np.ndarray:
+        """The sums over blocks of what add(out, *block) adds to out, a matrix of height rows and a column for each level."""
+
+        def run(batches):
+            out = np.zeros((height, n))
+            for _, *b in opened(batches):
+                add(out, *b)
+            for k in range(0, n, LEVELS_SENT):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(out[:, k : k + LEVELS_SENT]).tobytes()], pa.binary())], ["low", "data"])
+
+        def total(table):
+            out = sum(np.frombuffer(x.as_py()) for x in table.column("data"))
+            return pa.table({"low": table.column("low").slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
+
+        schema, out = "low int, data binary", np.zeros((height, n))
+        for row in blocks.coalesce(tasks).mapInArrow(run, schema).groupBy("low").applyInArrow(total, schema).collect():
+            some = np.frombuffer(row["data"]).reshape(height, -1)
+            out[:, row["low"] : row["low"] + some.shape[1]] = some
+        return out
+
+    def given(out, at, share, of, first, w, c):
+        for j in range(width):
+            np.add.at(out[j], at, share * (w * c[j])[of])
+        np.add.at(out[width], at, share**2 * w[of])
+
+    def times(z: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(z)
+
+        def add(out, at, share, of, first, w, c):
+            for j in range(width):
+                np.add.at(out[j], at, share * (w * np.add.reduceat(share * sent.value[j][at], first))[of])
+
+        out = summed(add, width)
+        sent.destroy()
+        return out
+
+    *right, scale = summed(given, width + 1)
+    right, scale = np.array(right), np.maximum(scale, 1e-300)
+    norm = lambda v: np.sqrt((v * v).sum(1))
+    size = np.where(norm(right) > 0, norm(right), 1.0)
+    x, rest, rounds, before = np.zeros_like(right), right.copy(), 0, np.inf
+    while True:
+        z = rest / scale
+        p, rz = z.copy(), (rest * z).sum(1)
+        while rounds < most_rounds and (turns := (norm(rest) > tol * size) & (rz > 0)).any():
+            v, rounds = times(p), rounds + 1
+            pv = (p * v).sum(1)
+            step = np.where(turns & (pv > 0), rz / np.where(pv > 0, pv, 1), 0.0)[:, None]
+            x, rest = x + step * p, rest - step * v
+            z = rest / scale
+            new = (rest * z).sum(1)
+            p, rz = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)[:, None] * p, new
+        # what is truly left; gradients begin anew from it, as long as that helps
+        rest = right - times(x)
+        left = float((norm(rest) / size).max())
+        if left <= 10 * tol or left > before / 2 or rounds >= most_rounds:
+            break
+        before = left
+    if left > 1e-8:
+        raise RuntimeError("individual effects did not settle")
+    solution = spark.sparkContext.broadcast(x)
+
+    def less(batches):
+        for g, at, share, _, first, _, c in opened(batches):
+            yield pa.record_batch([g, *(pa.array(c[j] - np.add.reduceat(share * solution.value[j][at], first)) for j in range(width))], ["group", *columns_out])
+
+    columns_out = [f"c{j}" for j in range(width)]
+    out = blocks.mapInArrow(less, f"group {gathered.schema[group].dataType.simpleString()}" + "".join(f", {c} double" for c in columns_out))
+    found = spark.createDataFrame(pa.table({"node": nodes} | {f"x{j}": x[j] for j in range(width)}))
+    return out.select("group", *[F.col(f"c{j}").alias(c) for j, c in enumerate(columns)]), levels.join(found, "node"), rounds
+
+
 def _group_block(n_buckets: int, columns: int):
     """A block's row: wi, fi and t are each bridge entry's group, level and share; s is the groups' weight and extra their columns."""
 
