@@ -1,9 +1,10 @@
 """Bootstrap of contributions: units are drawn with replacement, and all replicates are estimated from one aggregation.
 
 How often each replicate draws a unit is a row of the unit with as many two-byte counts as there are replicates. Rows are summed
-up to the moments of each unit (and level, where there is an effect) once; a replicate's moments are those sums times its
+up to the moments of each unit once; a replicate's moments are those sums times its
 counts, one matrix product for each slice of a task. With one effect, what its levels explain is s s' / w of each level's weighted sums,
-so the within moments of all replicates come from the same pass. Contributions are functions of these moments alone, and only they
+so the within moments of all replicates need one more aggregation, by unit and level. Counts that the driver drew are broadcast to it, so
+that cells are shuffled by level without them; others are joined with each cell first. Contributions are functions of these moments alone, and only they
 reach the driver. With more effects each replicate is a fit of its own, with the same counts.
 """
 
@@ -103,8 +104,22 @@ def _bucket_draws(unit, ends, reps, seed):
     return run
 
 
-def _replicate_sums(columns: int, reps: int, level: bool, by_rows: bool):
-    """Adds up moments of all replicates over cells (__n, __s0.., __m0.., __draws and, sorted by the first two, __level, __lot, __hot).
+def _sent_draws(counts: DataFrame, unit: str, reps: int, most_counts: int | None = None):
+    """A broadcast of the units' hashes, in order, and of their counts; None if the counts are more than the driver draws, or two units share a hash."""
+    if counts.count() * reps > (MOST_COUNTS if most_counts is None else most_counts):
+        return None
+    told = counts.select(F.xxhash64(unit).alias("u"), "__draws").toArrow()
+    u = told["u"].to_numpy()
+    order = np.argsort(u)
+    if (u[order][1:] == u[order][:-1]).any():
+        return None
+    return counts.sparkSession.sparkContext.broadcast((u[order], np.frombuffer(b"".join(told["__draws"].to_pylist()), ">u2").reshape(-1, reps)[order]))
+
+
+def _replicate_sums(columns: int, reps: int, level: bool, by_rows: bool, sent=None):
+    """Adds up over cells of all replicates the moments (__m0..), or what levels explain (__n, __s0.. and, sorted by the first two, __level, __lot, __hot).
+
+    A cell has __draws, or __u, the hash of its unit among those sent.
 
     Rows are (kind, level, rep, at, value). Kind 0: the moments, from `pairs` on what levels explain, from 2 * pairs on what goes with levels of one row.
     Kind 1: partial sums of a level that is dealt out in lots: at 0 the rows, then the sums.
@@ -135,9 +150,12 @@ def _replicate_sums(columns: int, reps: int, level: bool, by_rows: bool):
                 low = high
 
         def add(cells, starts):
-            d = np.frombuffer(b"".join(cells["__draws"]), ">u2").reshape(len(cells), reps).astype(float)
-            total[0] += cells[[f"__m{k}" for k in range(pairs)]].to_numpy(float).T @ d
+            if sent:
+                d = sent.value[1][np.searchsorted(sent.value[0], cells["__u"].to_numpy())].astype(float)
+            else:
+                d = np.frombuffer(b"".join(cells["__draws"]), ">u2").reshape(len(cells), reps).astype(float)
             if not level:
+                total[0] += cells[[f"__m{k}" for k in range(pairs)]].to_numpy(float).T @ d
                 return
             rows = np.add.reduceat(((d > 0) if by_rows else d) * cells["__n"].to_numpy(float)[:, None], starts, 0)
             s = [np.add.reduceat(d * cells[f"__s{k}"].to_numpy(float)[:, None], starts, 0) for k in range(columns)]
@@ -194,7 +212,7 @@ def _hot_levels(columns: int, pairs: int):
     return run
 
 
-def _moments(df: DataFrame, columns: list[str], unit: str, effect: str | None, weights: str | None, counts: DataFrame, reps: int, na_action: str, hot_cells: int) -> tuple[np.ndarray, ...]:
+def _moments(df: DataFrame, columns: list[str], unit: str, effect: str | None, weights: str | None, counts: DataFrame, reps: int, na_action: str, hot_cells: int, most_counts: int | None = None) -> tuple[np.ndarray, ...]:
     """Of each replicate the moments of the constant and the columns, what the effect's levels explain of them, and what goes with levels of one row."""
     names = [f"__c{k}" for k in range(len(columns))]
     size, pairs = len(columns) + 1, (len(columns) + 1) * (len(columns) + 2) // 2
@@ -206,19 +224,21 @@ def _moments(df: DataFrame, columns: list[str], unit: str, effect: str | None, w
     # a shift changes no contribution, but spares digits
     means = rows.agg(*[F.avg(c) for c in names]).first()
     values = [F.lit(1.0), *[F.col(c) - float(m or 0.0) for c, m in zip(names, means, strict=True)]]
-    by = ["__unit", *(["__level"] if effect else [])]
     crossed = [(i, j) for i in range(size) for j in range(i, size)]
-    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(w * v).alias(f"__s{k}") for k, v in enumerate(values)], *[F.sum(w * values[i] * values[j]).alias(f"__m{k}") for k, (i, j) in enumerate(crossed)])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = counts.withColumnRenamed(unit, "__unit")
+    schema = "kind int, level string, rep int, at int, value double"
+    units = rows.groupBy("__unit").agg(*[F.sum(w * values[i] * values[j]).alias(f"__m{k}") for k, (i, j) in enumerate(crossed)])
+    sums = units.join(drawn, "__unit").drop("__unit").mapInPandas(_replicate_sums(size, reps, False, bool(weights)), schema)
     if effect:
-        cells = keep_cut(cells)
+        cells = keep_cut(rows.groupBy("__unit", "__level").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(w * v).alias(f"__s{k}") for k, v in enumerate(values)]))
         lots = keep_cut(cells.groupBy("__level").agg(F.ceil(F.count(F.lit(1)) / hot_cells).cast("int").alias("__lots")).where("__lots > 1"))
         cells = cells.join(counted(lots, lots.count()), "__level", "left")
-        cells = cells.withColumns({"__hot": F.col("__lots").isNotNull(), "__lot": F.expr("pmod(xxhash64(__unit), coalesce(__lots, 1))")}).drop("__lots")
-    cells = cells.join(counts.withColumnRenamed(unit, "__unit"), "__unit").drop("__unit")
-    if effect:
+        cells = cells.withColumns({"__hot": F.col("__lots").isNotNull(), "__lot": F.expr("cast(pmod(xxhash64(__unit), coalesce(__lots, 1)) AS int)")}).drop("__lots")
+        sent = _sent_draws(drawn, "__unit", reps, most_counts)
+        cells = (cells.withColumn("__u", F.xxhash64("__unit")) if sent else cells.join(drawn, "__unit")).drop("__unit")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         cells = cells.repartition(parts, "__level", "__lot").sortWithinPartitions("__level", "__lot")
-    sums = cells.mapInPandas(_replicate_sums(size, reps, bool(effect), bool(weights)), "kind int, level string, rep int, at int, value double")
+        sums = sums.unionByName(cells.mapInPandas(_replicate_sums(size, reps, True, bool(weights), sent), schema))
     sums = keep_cut(sums.groupBy("kind", "level", "rep", "at").agg(F.sum("value").alias("value")))
     plain = sums.where("kind = 0").select("rep", "at", "value")
     if effect:
@@ -284,7 +304,7 @@ def bootstrap(df: DataFrame, unit: str, reps: int = 999, seed: int = 0, conf: fl
             spans.append((spans[-1][1] if spans else 0, (spans[-1][1] if spans else 0) + len(cols)))
         columns = [options["y"], *options["x1"], *[c for cols in groups.values() for c in cols]]
         place = "common" if options.get("common_fes") else "added" if effects else ""
-        for told in zip(*_moments(df, columns, unit, effects[0] if effects else None, weights, counts, reps, na_action, hot_cells), strict=True):
+        for told in zip(*_moments(df, columns, unit, effects[0] if effects else None, weights, counts, reps, na_action, hot_cells, most_counts), strict=True):
             try:
                 got.append(_contributions(*told, len(options["x1"]), spans, place))
             except (ValueError, np.linalg.LinAlgError):

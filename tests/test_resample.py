@@ -1,9 +1,12 @@
 """Bootstrap in one pass: as refits one by one, draws in the cluster, hot levels."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from quadrat.operators import resample
 from quadrat.operators.resample import bootstrap, draws
 
 
@@ -79,3 +82,35 @@ def test_odd_input(spark):
     rare = df.withColumn("z", (df.unit == 3).cast("double"))
     with pytest.raises(RuntimeError, match="valid"):
         bootstrap(rare, "unit", seed=1, **(asked | {"reps": 60}))
+
+
+def shuffled(spark):
+    """Bytes that this application has shuffled so far."""
+    time.sleep(1)
+    spark.range(1).count()
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def test_counts_stay_out_of_the_cells(spark):
+    """Cells of units and levels are shuffled without a count for each replicate, which took hundreds of bytes; with counts drawn in the cluster they are joined."""
+    n = 20_000
+    p = panel(n)
+    i = np.arange(n)
+    df = spark.createDataFrame(p.assign(unit=i % 200, level=i // 200 % 50 * 2 + i // 10_000)).cache()
+    asked = {"reps": 400, "seed": 5, "y": "y", "x1": ["x"], "groups": {"z": ["z"]}, "fes": ["level"]}
+    df.count()
+    before = shuffled(spark)
+    bootstrap(df, "unit", **asked)
+    assert shuffled(spark) - before < 150 * n
+    df.unpersist()
+
+
+def test_sent_and_joined_counts_agree(spark, monkeypatch):
+    df = spark.createDataFrame(panel())
+    asked = {"reps": 20, "seed": 5, "y": "y", "x1": ["x"], "groups": {"z": ["z"]}, "fes": ["level"], "hot_cells": 8, "most_counts": 0}
+    joined = bootstrap(df, "unit", **asked)
+    send = resample._sent_draws
+    monkeypatch.setattr(resample, "_sent_draws", lambda counts, unit, reps, most: send(counts, unit, reps, 10**6))
+    for a, b in zip(bootstrap(df, "unit", **asked), joined, strict=True):
+        assert np.allclose([a["delta"], a["se"], a["low"], a["high"]], [b["delta"], b["se"], b["low"], b["high"]], rtol=1e-9)
