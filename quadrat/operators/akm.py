@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .graph import mobility_groups
 from .model import fit
-from .sample import check, keep_cut
+from .sample import MOST_BROADCAST, check, counted, keep_cut
 
 MOST_MATCHES = 20_000_000
+#: Matches from which the leave-out set is searched for in the cluster.
+MOST_SEARCHED = 2_000_000
 #: Firms up to which the reduced system is inverted whole, and working rows up to which leverages are exact by default.
 DENSE_FIRMS, EXACT_ROWS = 5_000, 10_000
 
@@ -92,31 +94,41 @@ def _labels(w: np.ndarray, f: np.ndarray, n_firms: int, n_workers: int) -> np.nd
         label = new
 
 
-def _largest(firms: DataFrame, movers: DataFrame, of_firm: DataFrame) -> DataFrame:
-    """(firm): those of the largest component of the movers' graph; a firm without movers is one by itself."""
-    groups = mobility_groups(movers, "firm", "worker")
-    every = firms.join(groups, "firm", "left").join(of_firm, "firm", "left").select("firm", F.coalesce("group", "firm").alias("group"), F.coalesce("t", F.lit(0)).alias("t"))
-    every = keep_cut(every)
-    top = every.groupBy("group").agg(F.count(F.lit(1)).alias("firms"), F.sum("t").alias("t"), F.min("firm").alias("least")).orderBy(F.desc("firms"), F.desc("t"), "least").first()
-    return every.where(F.col("group") == top["group"]).select("firm")
+def _spread_leave_out(matches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(firm), (worker) or None: the firms that stay and the workers that go. Matches lie by worker and are read where they lie: the
+    largest component stays and workers that split it go, again and again, until none does. A firm without movers is a component by itself."""
+    from .connectivity import forest, roots, splitting_workers
 
+    firms = keep_cut(matches.select("firm", F.xxhash64(F.lit(1), "firm").alias("node")).distinct())
+    if firms.groupBy("node").count().where("count > 1").head(1):
+        raise RuntimeError("two firms share a hash")
+    number, gone = firms.count(), None
+    total = number
 
-def _spread_leave_out(inside: DataFrame) -> DataFrame:
-    """The leave-out set of one component's matches, in the cluster: workers that split it go and the largest component stays, again and again."""
-    from .connectivity import splitting_workers
+    def inside() -> DataFrame:
+        some = matches.withColumn("node", F.xxhash64(F.lit(1), "firm"))
+        some = some if number == total else some.join(counted(firms.select("node"), number), "node", "left_semi")
+        return (some if gone is None else some.join(counted(gone, gone.count()), "worker", "left_anti")).sortWithinPartitions("worker")
 
     while True:
-        movers = keep_cut(inside.join(inside.groupBy("worker").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("worker"), "worker"))
-        bad = splitting_workers(movers.select("worker", "firm"))
+        now = inside()
+        now = now if number <= MOST_BROADCAST else keep_cut(now.repartition(matches.rdd.getNumPartitions(), "worker").sortWithinPartitions("worker"))
+        links = forest(now)
+        groups = roots(links)
+        every = firms.join(counted(groups, groups.count()), "node", "left").join(now.groupBy("node").agg(F.sum("t").alias("t")), "node", "left")
+        every = keep_cut(every.select("firm", "node", F.coalesce("root", "node").alias("group"), F.coalesce("t", F.lit(0)).alias("t")))
+        top = every.groupBy("group").agg(F.count(F.lit(1)).alias("firms"), F.sum("t").alias("t"), F.min("firm").alias("least")).orderBy(F.desc("firms"), F.desc("t"), "least").first()
+        firms = keep_cut(every.where(F.col("group") == top["group"]).select("firm", "node"))
+        number = top["firms"]
+        here = links.join(counted(firms.select(F.col("node").alias("u")), number), "u", "left_semi")
+        bad = splitting_workers(inside(), links=here)
         if not bad.head(1):
-            return inside
-        firms = inside.select("firm").distinct()
-        left, movers = inside.join(bad, "worker", "left_anti"), movers.join(bad, "worker", "left_anti")
-        inside = keep_cut(left.join(_largest(firms, movers, left.groupBy("firm").agg(F.sum("t").alias("t"))), "firm", "left_semi"))
+            return firms.select("firm"), gone
+        gone = bad if gone is None else keep_cut(gone.unionByName(bad))
 
 
 def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = None, spread: bool | None = None) -> DataFrame:
-    """The rows whose effects stay estimable when any one worker leaves. spread: search in the cluster (None: beyond MOST_MATCHES matches of movers).
+    """The rows whose effects stay estimable when any one worker leaves. spread: search in the cluster (None: beyond MOST_SEARCHED matches).
 
     The largest component (most firms, then rows, then the smallest firm) is taken; workers that would split the graph of
     movers and firms go, and the largest component of the rest is taken again, until none is left; then workers with one row go.
@@ -125,7 +137,21 @@ def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = No
     import pyarrow as pa
 
     w = F.col(weight) if weight else F.lit(1)
-    matches = keep_cut(df.groupBy(F.col(worker).alias("worker"), F.col(firm).alias("firm")).agg(F.sum(w).alias("t")))
+    df = df.where(F.col(worker).isNotNull() & F.col(firm).isNotNull())
+    matches = df.groupBy(F.col(worker).alias("worker"), F.col(firm).alias("firm")).agg(F.sum(w).alias("t"))
+    # by worker and in their order, which checkpoints keep: what follows reads them where they lie
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matches = keep_cut(matches.repartition(parts, "worker").sortWithinPartitions("worker"))
+    if spread or spread is None and matches.count() > min(MOST_MATCHES, MOST_SEARCHED):
+        if not matches.head(1):
+            return df
+        firms, gone = _spread_leave_out(matches)
+        number = firms.count()
+        kept = matches.join(counted(firms, number), "firm", "left_semi")
+        kept = kept if gone is None else kept.join(counted(gone, gone.count()), "worker", "left_anti")
+        stay = kept.groupBy("worker").agg(F.sum("t").alias("t")).where("t > 1").select(F.col("worker").alias(worker))
+        # a worker that is left has no match outside the firms that stay
+        return df.join(counted(firms.select(F.col("firm").alias(firm)), number), firm, "left_semi").join(stay, worker, "left_semi")
     groups = mobility_groups(matches, "firm", "worker")
     sized = matches.join(groups, "firm").groupBy("group").agg(F.countDistinct("firm").alias("firms"), F.sum("t").alias("t"), F.min("firm").alias("least"))
     top = sized.orderBy(F.desc("firms"), F.desc("t"), "least").first()
@@ -134,10 +160,6 @@ def leave_out_set(df: DataFrame, worker: str, firm: str, weight: str | None = No
     inside = keep_cut(matches.join(groups.where(F.col("group") == top["group"]).select("firm"), "firm"))
     degrees = inside.groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
     movers = keep_cut(inside.join(degrees.where("n > 1").select("worker"), "worker").select("worker", "firm", "t"))
-    if spread or spread is None and movers.count() > MOST_MATCHES:
-        kept = _spread_leave_out(inside)
-        kept = kept.groupBy("worker").agg(F.sum("t").alias("t")).where("t > 1").join(kept.drop("t"), "worker").select(F.col("worker").alias(worker), F.col("firm").alias(firm))
-        return df.join(keep_cut(kept), [worker, firm], "left_semi")
     movers = _arrow(movers)
     at_firm = _arrow(inside.groupBy("firm").agg(F.sum("t").alias("t")))
     firms = pd.Index(at_firm["firm"].sort_values())

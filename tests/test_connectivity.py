@@ -2,8 +2,9 @@
 
 import numpy as np
 
+from quadrat.operators import connectivity
 from quadrat.operators.akm import cut_workers, leave_out_set
-from quadrat.operators.connectivity import certificate, splitting_workers
+from quadrat.operators.connectivity import certificate, forest, spanning, splitting_workers
 from quadrat.operators.graph import joined_nodes
 
 
@@ -66,3 +67,31 @@ def test_many_workers_of_few_firms(spark):
     rows += [(1000, 1), (1000, 90), (1001, 2), (1001, 91), (1002, 2), (1002, 91), (1003, 3), (1003, 92), (1003, 93)]
     got = splitting_workers(spark.createDataFrame(rows, "worker long, firm long"), 120)
     assert sorted(r.worker for r in got.collect()) == [1000, 1003]
+
+
+def test_forest_joins_what_workers_join(spark, monkeypatch):
+    """Forests made anew after a few links, over several tasks, hang together as all rows do, with as few links as that takes."""
+    monkeypatch.setattr(connectivity, "LINKS", 7)
+    g = np.random.default_rng(6)
+    for n_workers, n_firms, n in ((40, 60, 90), (9, 30, 60), (200, 12, 300)):
+        e = edges(g, n_workers, n_firms, n)
+        df = spark.createDataFrame([(f"w{a}", int(b)) for a, b in e], "worker string, node long").repartition(3, "worker").sortWithinPartitions("worker")
+        links = forest(df).collect()
+        _, want = joined_nodes(e[:, 0] + 1000, e[:, 1])
+        nodes, at = np.unique(e[:, 1], return_inverse=True)
+        assert len(links) == len(nodes) - len(np.unique(want))
+        u, v = (np.searchsorted(nodes, [getattr(x, c) for x in links]) for c in "uv")
+        assert spanning(u, v, len(nodes)).all()
+        firms = {w: set(e[e[:, 0] == int(w[1:]), 1].tolist()) for w in {x.worker for x in links}}
+        assert all({x.u, x.v} <= firms[x.worker] for x in links)
+
+
+def test_only_workers_of_the_forest_are_searched(spark, monkeypatch):
+    """Most workers can split nothing: a bound on edges that all movers would pass is kept, and matches are not dealt out again."""
+    g = np.random.default_rng(8)
+    rows = [(w, int(f)) for w in range(300) for f in g.choice(40, 4, replace=False)]
+    rows += [(1000, 1), (1000, 90), (1001, 90), (1001, 91), (1002, 91), (1002, 90), (1003, 2), (1003, 3), (1003, 92)]
+    seen = []
+    monkeypatch.setattr(connectivity, "_searched_edges", lambda movers, most, own=connectivity._searched_edges: (seen.append(movers.count()), own(movers, most))[1])
+    got = splitting_workers(spark.createDataFrame(rows, "worker long, firm long"))
+    assert sorted(r.worker for r in got.collect()) == [1000, 1003] and seen[0] < 20
