@@ -33,11 +33,11 @@ def _arrow(df: DataFrame):
     return df.toArrow().to_pandas()
 
 
-def matches(df: DataFrame, y: str, worker: str, firm: str, weight: str | None = None) -> DataFrame:
-    """(worker, firm, t, s, ss): of each match the number of its rows (or their frequency weight), and the sums of y and of its square."""
+def matches(df: DataFrame, y: str, worker: str, firm: str, weight: str | None = None, sums: list[str] = ()) -> DataFrame:
+    """(worker, firm, t, s, ss): of each match the number of its rows (or their frequency weight), and the sums of y, of its square and of further columns."""
     w = F.col(weight) if weight else F.lit(1)
     v = F.col(y).cast("double")
-    return df.groupBy(F.col(worker).alias("worker"), F.col(firm).alias("firm")).agg(F.sum(w).alias("t"), F.sum(w * v).alias("s"), F.sum(w * v * v).alias("ss"))
+    return df.groupBy(F.col(worker).alias("worker"), F.col(firm).alias("firm")).agg(F.sum(w).alias("t"), F.sum(w * v).alias("s"), F.sum(w * v * v).alias("ss"), *[F.sum(c).alias(c) for c in sums])
 
 
 def cut_workers(w: np.ndarray, f: np.ndarray, n_workers: int, n_firms: int) -> np.ndarray:
@@ -606,7 +606,7 @@ def akm_kss(df: DataFrame, y: str, worker: str, firm: str, controls: list[str] =
         beta = dict(zip(controls, r.coef[: len(controls)].tolist(), strict=True))
         rows = rows.withColumn("y", F.col("y") - sum((F.col(f"x{i}") * b for i, b in enumerate(beta.values())), F.lit(0.0)))
     by_match = level == "match"
-    table = keep_cut(matches(rows, "y", "worker", "firm", own))
+    table = keep_cut(matches(rows, "y", "worker", "firm", own, [f"z{i}" for i in range(len(z))]))
     if spread or spread is None and table.count() > MOST_MATCHES:
         if errors or eigen:
             raise ValueError("standard errors and eigenvalue shares are for matches that the driver takes")
@@ -686,19 +686,25 @@ def _spread_components(rows: DataFrame, table: DataFrame, z: list[str], by_match
     if z:
         gram = np.array(rows.agg(F.array(*[F.sum(u * v) for u in zs for v in zs])).first()[0]).reshape(len(zs), -1)
         inverse = np.linalg.inv(gram)
-        extra = [f"e{i}" for i in range(1, len(zs))]
-        sums = [F.sum(sum((float(inverse[i, j]) * v for j, v in enumerate(zs)), F.lit(0.0))).alias(e) for i, e in enumerate(extra, 1)]
-        table = table.join(rows.groupBy("worker", "firm").agg(*sums), ["worker", "firm"])
+        extra = [f"extra{i}" for i in range(1, len(zs))]
+        of_match = [F.col("t").cast("double"), *zs[1:]]
+        table = table.withColumns({e: sum((float(inverse[i, j]) * v for j, v in enumerate(of_match)), F.lit(0.0)) for i, e in enumerate(extra, 1)})
     system = SpreadSystem(table, extra)
     use = leverages if leverages != "auto" else "exact" if (system.n_matches if by_match else n) <= EXACT_ROWS else "jla"
     if use == "exact" and system.n_firms > DENSE_FIRMS and system.n_matches > EXACT_ROWS:
         raise ValueError(f"exact leverages need {DENSE_FIRMS} firms or {EXACT_ROWS} matches at most")
-    found = system.exact(n) if use == "exact" else system.sketched(draws, seed, by_match, n)
+    # up to so many firms, all that is told of a match comes from its block
+    alone = use == "exact" and system.n_firms <= DENSE_FIRMS and system.few(max(len(extra), 1)) and not system.n_hot
+    found = None if alone else system.exact(n) if use == "exact" else system.sketched(draws, seed, by_match, n)
     say("the leverages are made")
-    of_worker = system.matches.groupBy("w").agg(F.sum("t").cast("double").alias("dw"), F.count(F.lit(1)).alias("nw"))
-    m = keep_cut(system.matches.join(system.effects(), ["w", "f"]).join(found, ["w", "f"]).join(of_worker, "w"))
+    if found is None:
+        light, m = system.every(), system.every(n)
+    else:
+        of_worker = system.matches.groupBy("w").agg(F.sum("t").cast("double").alias("dw"), F.count(F.lit(1)).alias("nw"))
+        m = system.matches.drop("worker", "firm").withColumnsRenamed({e: f"e{i}" for i, e in enumerate(extra)}).join(system.effects(), ["w", "f"]).join(found, ["w", "f"]).join(of_worker, "w")
+        light = m = keep_cut(m.join(system.of_extra(len(extra)), ["w", "f"]) if z else m)
     t, s, ss, fitted = F.col("t").cast("double"), F.col("s"), F.col("ss"), F.col("alpha") + F.col("psi")
-    root_mean, psi_mean, alpha_mean = m.agg(F.avg(F.col("s") / F.sqrt(t)), F.sum(t * F.col("psi")) / n, F.sum(t * F.col("alpha")) / n).first()
+    root_mean, psi_mean, alpha_mean = light.agg(F.avg(F.col("s") / F.sqrt(t)), F.sum(t * F.col("psi")) / n, F.sum(t * F.col("alpha")) / n).first()
     product = ss - s * (F.lit(mean) + fitted) + t * mean * fitted
     squares = ss - 2 * s * fitted + t * fitted**2
     if by_match:
@@ -712,20 +718,19 @@ def _spread_components(rows: DataFrame, table: DataFrame, z: list[str], by_match
     m = m.withColumn("bad", bad).withColumn("sigma", F.when(~F.col("bad"), sigma)).withColumn("white", white)
     psi, alpha = F.col("psi") - psi_mean, F.col("alpha") - alpha_mean
     weights = ("fe", "pe", "cov")
-    told = m.agg(F.sum(t * psi**2), F.sum(t * alpha**2), F.sum(t * alpha * psi), *[F.sum(F.col(c) * F.col("sigma")) for c in weights], *[F.sum(F.col(c) * t) for c in weights], F.sum(squares), F.sum(F.when(F.col("bad") | F.col("sigma").isNull() | F.isnan("sigma"), 1).otherwise(0))).first()
+    told = m.agg(F.sum(t * psi**2), F.sum(t * alpha**2), F.sum(t * alpha * psi), *[F.sum(F.col(c) * F.col("sigma")) for c in weights], *[F.sum(F.col(c) * t) for c in weights], F.sum(squares), F.sum(F.when(F.col("bad") | F.col("sigma").isNull() | F.isnan("sigma"), 1).otherwise(0)), *[F.sum(F.col(f"e{i}") * psi) for i in range(len(z))], *[F.sum(F.col(c) * F.col(f"u{i}") ** 2) for i in range(len(z)) for c in ("sigma", "white")]).first()
     if told[10]:
         raise ValueError(f"{told[10]} matches have leverage 1: the sample isn't leave-out connected")
     plain, corrected, one_each = (np.array(told[i : i + 3], float) / (n - 1) for i in (0, 3, 6))
     free = n - (system.n_workers + system.n_firms - 1)
     one = told[9] / free if free > 0 else 0.0
-    effects_a = m.groupBy("worker").agg((F.first("alpha") + psi_mean).alias("alpha"))
-    effects_b = m.groupBy("firm").agg((F.first("psi") - psi_mean).alias("psi"))
+    named = system.matches.select("w", "f", "worker", "firm").join(light.select("w", "f", "alpha", "psi"), ["w", "f"])
+    effects_a = named.groupBy("worker").agg((F.first("alpha") + psi_mean).alias("alpha"))
+    effects_b = named.groupBy("firm").agg((F.first("psi") - psi_mean).alias("psi"))
     shown = effects_a.select(F.lit("worker").alias("kind"), F.col("worker").cast("string").alias("id"), F.col("alpha").alias("effect")).unionByName(effects_b.select(F.lit("firm").alias("kind"), F.col("firm").cast("string").alias("id"), F.col("psi").alias("effect")))
     lincom = []
     if z:
-        coef = m.agg(*[F.sum(F.col(e) * psi) for e in extra]).first()
-        u = m.join(system.of_extra(len(extra)), ["w", "f"])
-        spreads = u.agg(*[F.sum(F.col(c) * F.col(f"u{i}") ** 2) for i in range(len(extra)) for c in ("sigma", "white")]).first()
+        coef, spreads = told[11 : 11 + len(z)], told[11 + len(z) :]
         for i, c in enumerate(z):
             se = math.sqrt(max(spreads[2 * i], 0.0))
             lincom.append({"term": c, "coef": float(coef[i]), "se": se, "se_white": math.sqrt(spreads[2 * i + 1]), "t": float(coef[i]) / se if se else float("nan")})

@@ -3,7 +3,7 @@
 Matches (worker, firm) are dealt out to blocks by worker, so that a worker's effect is eliminated inside its block. What
 blocks share are nodes: the firms, and workers with so many matches that these are dealt out by match. Nodes lie in buckets. In a round a bucket sends
 each block the values of the nodes that it needs, a block answers with its part of the product, and buckets add up
-what they get. Values are matrices of a column for each right side, so a round serves all of them, and what
+what they get. Up to MOST_VALUES the driver holds the nodes' values instead, and blocks are read where they lie. Values are matrices of a column for each right side, so a round serves all of them, and what
 moves is one row for each pair of a bucket and a block. The sums of the gradients are of Chronopoulos and Gear's kind: one reduction a round, and
 the driver gets a few numbers for each bucket and right side. No match, worker or firm goes to the driver.
 """
@@ -24,6 +24,8 @@ BLOCK_MATCHES, BUCKET_NODES, HOT_MATCHES, CHUNK = 200_000, 50_000, 100_000, 8_19
 STALLED = 25
 #: Rows up to which a counted table is broadcast, and firms up to which the firms' system is inverted whole.
 MOST_BROADCAST, DENSE_FIRMS = 1_000_000, 1_000
+#: Nodes times right sides up to which the driver holds the nodes' values, and nodes in one message of a task.
+MOST_VALUES, NODES_SENT = 4_000_000, 50_000
 
 BLOCK = "block int, wi array<int>, fi array<int>, hi array<int>, t array<double>, s array<double>, ss array<double>, extra array<double>, w array<bigint>, f array<bigint>, nodes array<bigint>, of array<int>"
 BUCKET = "nb int, nodes array<bigint>, d array<double>, to array<int>, number array<int>, place array<int>"
@@ -204,30 +206,144 @@ def _together(left: DataFrame, right: DataFrame, key: str, made, schema: str) ->
 
 
 class SpreadSystem:
-    """Gradients over blocks and buckets. Its own system is [Dw B; B' Df] (zw, zf) = (tw, tf) over matches (worker, firm, t, s, ss and extra columns), for right sides in its range."""
+    """Gradients over blocks and buckets. matches are read several times. Its own system is [Dw B; B' Df] (zw, zf) = (tw, tf) over matches (worker, firm, t, s, ss and extra columns), for right sides in its range."""
 
     block_kind = Block
 
     def __init__(self, matches: DataFrame, extra: list[str] = (), block_matches: int | None = None, bucket_nodes: int | None = None, hot_matches: int | None = None):
         block_matches, bucket_nodes, hot_matches = block_matches or BLOCK_MATCHES, bucket_nodes or BUCKET_NODES, hot_matches or HOT_MATCHES
         keys = {"w": F.xxhash64(F.lit(1), "worker"), "f": F.xxhash64(F.lit(2), "firm"), "hw": F.xxhash64(F.lit(3), "worker")}
-        self.matches = m = keep_cut(matches.withColumns(keys))
+        self.matches = m = matches.withColumns(keys)
+        told = {}
         for key, of in (("w", "worker"), ("f", "firm")):
-            if m.groupBy(key).agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b").head(1):
+            by = m.groupBy(key).agg(F.min(of).alias("a"), F.max(of).alias("b"), F.count(F.lit(1)).alias("n"))
+            told[key] = by.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.expr("int(a <> b)")), F.sum((F.col("n") > hot_matches).cast("int"))).first()
+            if told[key][2]:
                 raise RuntimeError(f"two ids of {of} share a hash")
-        self.n_matches = m.count()
-        hot = keep_cut(m.groupBy("w").count().where(F.col("count") > hot_matches).select("w", F.lit(True).alias("hot")))
-        number = hot.count()
-        self.n_firms, self.n_workers = (m.select(c).distinct().count() for c in "fw")
-        n_blocks, n_buckets = max(1, math.ceil(self.n_matches / block_matches)), max(1, math.ceil((self.n_firms + number) / bucket_nodes))
+        (self.n_workers, self.n_matches, _, number), self.n_firms = told["w"], told["f"][0]
+        self.n_matches, number = self.n_matches or 0, number or 0
+        self.n_hot, self.n_nodes = number, self.n_firms + number
+        hot = keep_cut(m.groupBy("w").count().where(F.col("count") > hot_matches).select("w", F.lit(True).alias("hot"))) if number else m.sparkSession.createDataFrame([], "w long, hot boolean")
+        n_blocks, n_buckets = max(1, math.ceil(self.n_matches / block_matches)), max(1, math.ceil(self.n_nodes / bucket_nodes))
         placed = m.join(F.broadcast(hot) if number <= MOST_BROADCAST else hot, "w", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        placed = placed.withColumn("hw", F.when(F.col("hot"), F.col("hw")).otherwise(F.lit(0)))
         placed = placed.withColumn("block", F.expr(f"cast(pmod(if(hot, xxhash64(w, f), w), {n_blocks}) AS int)"))
         double = [F.col(c).cast("double").alias(c) for c in ("t", "s", "ss")]
         rows = placed.select("block", "w", "f", "hw", "hot", *double, *[F.col(c).cast("double").alias(f"e{i}") for i, c in enumerate(extra)])
+        self.n_extra = len(extra)
         self.blocks = keep_cut(rows.groupBy("block").applyInArrow(_block(n_buckets, len(extra)), BLOCK))
-        parts = self.blocks.mapInArrow(_diagonals, "nb int, node long, block int, d double")
-        self.buckets = keep_cut(parts.groupBy("nb").applyInArrow(_bucket, BUCKET))
-        self.rounds = 0
+        self.rounds, self._buckets, self._nodes = 0, None, None
+
+    @property
+    def buckets(self) -> DataFrame:
+        if self._buckets is None:
+            parts = self.blocks.mapInArrow(_diagonals, "nb int, node long, block int, d double")
+            self._buckets = keep_cut(parts.groupBy("nb").applyInArrow(_bucket, BUCKET))
+        return self._buckets
+
+    @buckets.setter
+    def buckets(self, made: DataFrame) -> None:
+        self._buckets = made
+
+    def few(self, width: int) -> bool:
+        """Whether the driver holds the nodes' values, so that no block moves in a round."""
+        return self.n_nodes * width <= MOST_VALUES
+
+    def nodes(self):
+        """The nodes in order, and the same sent to all tasks."""
+        if self._nodes is None:
+            spark = self.blocks.sparkSession
+            found = self.matches.select(F.col("f").alias("node")).distinct().toArrow()["node"].to_numpy()
+            if self.n_hot:
+                hot = self.blocks.select(F.explode("nodes").alias("node")).distinct().toArrow()["node"].to_numpy()
+                found = np.union1d(found, hot)
+            self._nodes = np.sort(found), spark.sparkContext.broadcast(np.sort(found))
+        return self._nodes
+
+    def _summed(self, part, width: int) -> np.ndarray:
+        """The sum over blocks of part(block, at), a matrix of a row for each of the block's nodes; at tells where those are in nodes()."""
+        (nodes, every), kind, spark = self.nodes(), self.block_kind, self.blocks.sparkSession
+        n = len(nodes)
+
+        def run(batches):
+            out = np.zeros((n, width))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = kind(_arrays(batch, i))
+                    at = np.searchsorted(every.value, b.nodes)
+                    out[at] += part(b, at)
+            yield from _table([{"low": k, "data": out[k : k + NODES_SENT].tobytes()} for k in range(0, n, NODES_SENT)], "low int, data binary").to_batches(1)
+
+        def total(table):
+            out = sum(np.frombuffer(x.as_py()) for x in table.column("data"))
+            return _table([{"low": table.column("low")[0].as_py(), "data": out.tobytes()}], "low int, data binary")
+
+        out, parts = np.zeros((n, width)), self.blocks.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "low int, data binary")
+        for row in parts.groupBy("low").applyInArrow(total, "low int, data binary").collect():
+            some = np.frombuffer(row["data"]).reshape(-1, width)
+            out[row["low"] : row["low"] + len(some)] = some
+        return out
+
+    def solve_few(self, rhs, width: int, tol: float = 1e-10, most_rounds: int = 5000) -> np.ndarray:
+        """solve() with the nodes' values held by the driver: a round sends a direction to all tasks, which read blocks where these
+        lie, and what is shuffled are the sums of each task."""
+        context = self.blocks.sparkSession.sparkContext
+
+        def begun(b, at):
+            d, hot = np.bincount(b.fi, b.t, len(b.nodes)), b.hi >= 0
+            d += np.bincount(b.hi[hot], b.t[hot], len(d))
+            return np.concatenate([b.right(rhs, width), d[:, None]], axis=1)
+
+        def times(z):
+            sent = context.broadcast(z)
+            out = d * z + self._summed(lambda b, at: b.times(sent.value[at]), width)
+            sent.destroy()
+            return out
+
+        right = self._summed(begun, width + 1)
+        right, d = right[:, :width], right[:, width:]
+        norm = lambda v: np.sqrt((v * v).sum(0))
+        size = np.where(norm(right) > 0, norm(right), 1.0)
+        x, rest, rounds, before = np.zeros_like(right), right.copy(), 0, np.inf
+        while True:
+            z = rest / d
+            p, rz = z.copy(), (rest * z).sum(0)
+            best, since = np.inf, 0
+            while (turns := (norm(rest) > tol * size) & (rz > 0)).any() and since <= STALLED:
+                if rounds >= most_rounds:
+                    raise Unsettled("the worker-firm system did not settle")
+                v, rounds = times(p), rounds + 1
+                pv = (p * v).sum(0)
+                step = np.where(turns & (pv > 0), rz / np.where(pv > 0, pv, 1), 0.0)
+                x, rest = x + step * p, rest - step * v
+                z = rest / d
+                new = (rest * z).sum(0)
+                p, rz = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0) * p, new
+                worst = float((norm(rest) / size).max())
+                since = 0 if worst < 0.999 * best else since + 1
+                best = min(best, worst)
+            # what is truly left; gradients begin anew from it, as long as that helps
+            rest, rounds = right - times(x), rounds + 1
+            left = float((norm(rest) / size).max())
+            if left <= 2 * tol:
+                break
+            if left > before / 2:
+                raise Unsettled("the worker-firm system did not settle")
+            before = left
+        self.rounds += rounds
+        return x
+
+    def _mapped(self, x: np.ndarray, schema: str, made) -> DataFrame:
+        """made(block, values) of each block and the values of its nodes, of which x has a row for each of nodes()."""
+        every, sent, kind = self.nodes()[1], self.blocks.sparkSession.sparkContext.broadcast(x), self.block_kind
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = kind(_arrays(batch, i))
+                    yield from made(b, sent.value[np.searchsorted(every.value, b.nodes)]).to_batches()
+
+        return self.blocks.mapInArrow(run, schema)
 
     def _to_blocks(self, state: DataFrame, column: str, width: int, schema: str, made) -> DataFrame:
         """made(block, values) of each block and the values of its nodes in column x, or of z = r / d."""
@@ -329,6 +445,8 @@ class SpreadSystem:
 
     def each(self, rhs, width: int, schema: str, made) -> DataFrame:
         """made(block, chunks of Block.effects()) of each block, for the solution of rhs."""
+        if self.few(width):
+            return self._mapped(self.solve_few(rhs, width), schema, lambda b, x: made(b, b.effects(rhs, x)))
         state = self.solve(rhs, width)
         return self._to_blocks(state, "x", width, schema, lambda b, x: made(b, b.effects(rhs, x)))
 
@@ -370,10 +488,42 @@ class SpreadSystem:
             k, j = len(w), len(b.nodes)
             return pa.table({"w": pa.array(np.concatenate([w, np.zeros(j, np.int64)]), mask=np.arange(k + j) >= k), "f": pa.array(np.concatenate([np.zeros(k, np.int64), b.nodes]), mask=np.arange(k + j) < k)} | {f"z{i}": z[:, i] for i in range(number)})
 
-        found = self._to_blocks(self.solve(own, number, tol, most_rounds), "x", number, "w long, f long" + "".join(f", z{i} double" for i in range(number)), made)
+        schema = "w long, f long" + "".join(f", z{i} double" for i in range(number))
+        if self.few(number) and not self.n_hot:
+            import pyarrow as pa
+
+            x = self.solve_few(own, number, tol, most_rounds)
+            firms = self.blocks.sparkSession.createDataFrame(pa.table({"f": self.nodes()[0]} | {f"z{i}": x[:, i] for i in range(number)}))
+            return self._mapped(x, schema, made).where("w IS NOT NULL").unionByName(firms.select(F.lit(None).cast("long").alias("w"), "*"))
+        found = self._to_blocks(self.solve(own, number, tol, most_rounds), "x", number, schema, made)
         # a firm is in many blocks, and a worker with very many matches too; all have the same values
         return found.groupBy("w", "f").agg(*[F.first(f"z{i}").alias(f"z{i}") for i in range(number)])
 
+    def every(self, n: float | None = None) -> DataFrame:
+        """(w, f, t, s, ss, e0, ..., dw, nw, alpha, psi, u0, ...) of each match, made from its block without a join; with n also what exact() tells.
+        For up to DENSE_FIRMS firms, whose values the driver holds and of which no worker has very many."""
+        k = self.n_extra
+        sums = lambda b, low, high: (b.s[low:high, None], b.s[low:high, None])
+        own = lambda b, low, high: (np.zeros((high - low, k)), b.extra.reshape(k, len(b.t))[:, low:high].T)
+        if not hasattr(self, "_solved"):
+            self._solved = np.concatenate([self.solve_few(sums, 1), *([self.solve_few(own, k)] if k else [])], axis=1)
+            self._inverted = self._inverse()
+        leverage = ["p", "fe", "pe", "cov", "corr"]
+        names = ["w", "f", "t", "s", "ss", *[f"e{i}" for i in range(k)], "dw", "nw", "alpha", "psi", *[f"u{i}" for i in range(k)], *(leverage if n else [])]
+        told = self._leverages(n, *self._inverted) if n else None
+
+        def made(b, x):
+            import pyarrow as pa
+
+            zw, zf = (np.concatenate(v)[:, 0] for v in zip(*((zw, zf) for *_, zw, zf in b.effects(sums, x[:, :1])), strict=True))
+            u = [np.concatenate([a + c for *_, a, c in b.effects(own, x[:, 1:])])] if k else []
+            columns = [b.w, b.f, b.t, b.s, b.ss, *b.extra.reshape(k, len(b.t)), b.dw[b.wi], np.bincount(b.wi)[b.wi], zw, zf, *[v for m in u for v in m.T]]
+            if n:
+                columns += [*np.concatenate([told(b, *c) for c in b.chunks()], axis=1), np.ones(len(b.w))]
+            return pa.table(dict(zip(names, columns, strict=True)))
+
+        return self._mapped(self._solved, ", ".join(f"{c} {'long' if c in ('w', 'f', 'nw') else 'double'}" for c in names), made)
+
     def _inverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The firms in order, the inverse of their system with the last at zero, the workers' part of it, and its diagonal."""
         firms = np.sort(np.concatenate([x.nodes for x in self.buckets.select("nodes").collect()]))
@@ -411,7 +561,7 @@ class SpreadSystem:
         """
         if self.n_firms > DENSE_FIRMS:
             return self.exact_by_match(n)
-        firms, inverse, inner, of = self._inverse()
+        of_chunk = self._leverages(n, *self._inverse())
 
         def told(batches):
             import pyarrow as pa
@@ -420,21 +570,29 @@ class SpreadSystem:
                 for i in range(batch.num_rows):
                     b = Block(_arrays(batch, i))
                     for low, high in b.chunks():
-                        q, dw, k = b.spread_of(low, high, firms)
-                        q, firm = q / dw[:, None], np.searchsorted(firms, b.nodes[b.fi[low:high]])
-                        out = np.zeros((4, high - low))
-                        for a in range(0, high - low, 1024):
-                            m = slice(a, min(a + 1024, high - low))
-                            own, d = q[k[m]], 1 / dw[k[m]]
-                            r = -own
-                            r[np.arange(len(r)), firm[m]] += 1
-                            z = r @ inverse
-                            qz, inside, sums = (own * z).sum(1), ((z @ inner) * z).sum(1), z @ of
-                            out[:, m] = d + (r * z).sum(1), (z * z) @ of - sums**2 / n, d - 2 * qz + inside - (1 - sums) ** 2 / n, qz - inside - (1 - sums) * sums / n
-                        yield pa.record_batch([pa.array(b.w[low:high]), pa.array(b.f[low:high]), *map(pa.array, out), pa.array(np.ones(high - low))], ["w", "f", "p", "fe", "pe", "cov", "corr"])
+                        yield pa.record_batch([pa.array(b.w[low:high]), pa.array(b.f[low:high]), *map(pa.array, of_chunk(b, low, high)), pa.array(np.ones(high - low))], ["w", "f", "p", "fe", "pe", "cov", "corr"])
 
         return self.blocks.mapInArrow(told, "w long, f long, p double, fe double, pe double, cov double, corr double")
 
+    def _leverages(self, n: float, firms: np.ndarray, inverse: np.ndarray, inner: np.ndarray, of: np.ndarray):
+        """From a block and a chunk to the chunk's leverages and weights, by the inverse of the firms' system."""
+
+        def of_chunk(b, low, high):
+            q, dw, k = b.spread_of(low, high, firms)
+            q, firm = q / dw[:, None], np.searchsorted(firms, b.nodes[b.fi[low:high]])
+            out = np.zeros((4, high - low))
+            for a in range(0, high - low, 1024):
+                m = slice(a, min(a + 1024, high - low))
+                own, d = q[k[m]], 1 / dw[k[m]]
+                r = -own
+                r[np.arange(len(r)), firm[m]] += 1
+                z = r @ inverse
+                qz, inside, sums = (own * z).sum(1), ((z @ inner) * z).sum(1), z @ of
+                out[:, m] = d + (r * z).sum(1), (z * z) @ of - sums**2 / n, d - 2 * qz + inside - (1 - sums) ** 2 / n, qz - inside - (1 - sums) * sums / n
+            return out
+
+        return of_chunk
+
     def exact_by_match(self, n: float, width: int = 256) -> DataFrame:
         """As exact(), by a right side for each match."""
         sizes = {r.block: r.n for r in self.blocks.select("block", F.size("t").alias("n")).collect()}

@@ -51,3 +51,23 @@ def test_sketched(spark, jobs, small, monkeypatch):
     assert np.allclose(list(runs[0].kss.values()), list(runs[1].kss.values()), rtol=1e-9)
     with pytest.raises(ValueError):
         akm_kss(kept, "y", "worker", "firm", prune=False, errors=True)
+
+
+def _refused(*args, **kwargs):
+    raise AssertionError("blocks are moved")
+
+
+@pytest.mark.parametrize("level", ["match", "obs"])
+def test_few_firms_move_no_block(spark, jobs, small, monkeypatch, level):
+    """Where the driver holds the firms' values no round moves blocks; by buckets the results are the same."""
+    monkeypatch.setattr(spread_akm, "HOT_MATCHES", 1000)
+    asked = lambda: akm_kss(jobs, "y", "worker", "firm", z=["z"], level=level, leverages="exact", spread=True)
+    monkeypatch.setattr(spread_akm, "MOST_VALUES", 0)
+    a = asked()
+    monkeypatch.setattr(spread_akm, "MOST_VALUES", 1_000_000)
+    monkeypatch.setattr(spread_akm, "NODES_SENT", 4)
+    monkeypatch.setattr(spread_akm.SpreadSystem, "_to_blocks", _refused)
+    b = asked()
+    for kind in ("plugin", "kss", "agsu"):
+        assert np.allclose(list(getattr(a, kind).values()), list(getattr(b, kind).values()), rtol=1e-8), kind
+    assert all(np.isclose(a.lincom[0][k], b.lincom[0][k], rtol=1e-7) for k in ("coef", "se", "se_white"))
